@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing, token_files
 
-QUERIES = {"op3_mixing": mixing.op3_mixing}
+QUERIES = {"op1_token_files": token_files.op1_token_files, "op3_mixing": mixing.op3_mixing, "op10_byte_bpe": bpe.op10_byte_bpe}
 ORACLES = {"op3_mixing": mixing.SQL}
