@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, token_files
+from . import bpe, langid, mixing, quality, token_files
 
-QUERIES = {"op1_token_files": token_files.op1_token_files, "op3_mixing": mixing.op3_mixing, "op10_byte_bpe": bpe.op10_byte_bpe}
+QUERIES = {
+    "op1_token_files": token_files.op1_token_files,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_quality": quality.op4_quality,
+    "op8_language_id": langid.op8_language_id,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
+}
 ORACLES = {"op3_mixing": mixing.SQL}
