@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,14 +16,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialise, new_path, partitions_for, read
+from .shared import materialise, new_path, partitions_for, read
+from .words import compact_words, slices, text_buffers
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Ids in a shard file before the next one begins (a single longer document still stays in one file).
 SHARD_IDS = 4 << 20
-#: Distinct words whose ids a worker remembers; beyond that it starts again.
-MEMO_WORDS = 400_000
+#: Distinct words after which a worker's memory begins anew, keeping the last one beside it for words that come again.
+MEMO_WORDS = 500_000
 
 MAGIC = b"EFIDS\x00\x00\x01"
 #: part, shard, documents, of these without id, ids, bytes an id.
@@ -140,38 +142,80 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizer, each distinct word once.
+    """Encodes texts with the tokenizer, each distinct word once while it is remembered.
 
     The tokenizer drops white space and none of its steps looks across it, so a text's ids are its words' ids one
-    after the other; the words here are cut at ASCII white space only.
+    after the other; the words here are cut at ASCII white space only. Arrow finds a batch's distinct words. New words
+    of plain letters and punctuation go piece by piece to the tokenizer's model where its other steps do no more than
+    spell such pieces in its byte alphabet; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.memo: dict[str, bytes] = {}
-        self.find = re.compile(WORD).findall
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes."""
+        self.older: dict[str, bytes] = {}
+        # A tokenizer that lower-cases gives a word's ids for its lower-case form too, so that one is remembered.
+        self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AZ") == "az"
+        self.plain = re.compile(r"[a-zß-öø-ÿ!-&(-/:-@\[-`{-~]+").fullmatch
+        self.parts = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+").findall
+        self.spell = {c: "".join(x[0] for x in self.tok.pre_tokenizer.pre_tokenize_str(chr(c))) for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]}
+        probes = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, self.spell)), r"!\"#$%&()*+,-./:;=?@[\]^_`{}~>|<", "a.b", "é,ü!!", "x***", "(ñ)"]
+        self.straight = all(self._pieces(w) == self.tok.encode(w, add_special_tokens=False).ids for w in [*probes, *"".join(probes)])
+
+    def _pieces(self, word: str) -> list[int]:
+        tokenize, spell = self.tok.model.tokenize, self.spell
+        return [t.id for p in self.parts(word) for t in tokenize(p if p.isascii() else p.translate(spell))]
+
+    def _learn(self, words: list[str]) -> None:
+        rest = []
+        kind = "H" if self.width == 2 else "I"
+        for w in words:
+            if self.straight and self.plain(w) and "<|" not in w:
+                self.memo[w] = array(kind, self._pieces(w)).tobytes()
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            found = self.tok.encode_batch_fast([[w] for w in part], is_pretokenized=True, add_special_tokens=False)
+            self.memo.update((w, array(kind, x.ids).tobytes()) for w, x in zip(part, found, strict=True))
+
+    def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the documents between these offsets, one after the other, and each document's number of ids."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        split = [self.find(t) for t in texts]
-        new = list(set().union(*split).difference(self.memo))
-        kind = f"<u{self.width}"
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.asarray(found.ids, kind).tobytes()
-        of = self.memo.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+            self.memo, self.older = {}, self.memo
+        words, begins = compact_words(raw, offs, self.lowers)
+        coded = words.dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if not distinct:
+            return np.zeros(0, self.kind), np.zeros(len(offs) - 1, np.int64)
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, distinct))
+        new = [w for w, x in zip(distinct, found, strict=True) if x is None]
+        if new:
+            memo.update((w, older[w]) for w in new if w in older)
+            self._learn([w for w in new if w not in memo])
+            found = list(map(memo.__getitem__, distinct))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        flat, first = np.frombuffer(b"".join(found), self.kind), np.cumsum(size) - size
+        n = size[which]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1]) + np.repeat(first[which] - (ends - n), n)]
+        return ids, np.diff(np.concatenate(([0], ends))[begins])
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """A worker's encoder, which keeps its memory from one task to the next."""
+    return WordEncoder(path)
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, out: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     store, folder = fs.FileSystem.from_uri(out)
-    enc = WordEncoder(path)
+    enc = word_encoder(path)
     end = np.asarray([end_id], f"<u{enc.width}").tobytes()
     context = TaskContext.get()
     part, k = context.partitionId(), 0
@@ -193,14 +237,16 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, out: str, end_id: int,
         return row
 
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            rows = batch.slice(i, 256)
-            texts = [t or "" for t in rows.column("text").to_pylist()]
-            for doc, ids in zip(rows.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
+        raw, offs = text_buffers(batch.column("text"))
+        names = batch.column("doc_id")
+        for i, j in slices(offs, 16 << 20):
+            ids, counts = enc.encode(raw, offs[i : j + 1])
+            ends = np.cumsum(counts)
+            for doc, a, b in zip(names.slice(i, j - i).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):
                 docs.append(doc)
-                parts.append(ids + end)
-                lengths.append(len(ids) // enc.width + 1)
-                held += lengths[-1]
+                parts += ids[a:b].tobytes(), end
+                lengths.append(b - a + 1)
+                held += b - a + 1
                 if held >= shard_ids:
                     yield flush()
     if docs:

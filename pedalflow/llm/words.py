@@ -103,6 +103,27 @@ def split(raw: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     return Words(data, starts, ends, hashes, offsets)
 
 
+def compact_words(raw: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of the documents between these offsets as one string array, and where each document's begin."""
+    data = raw[int(offs[0]) : int(offs[-1])]
+    rel = offs - int(offs[0])
+    inside = _INSIDE[data]
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[rel] = True
+    start = inside.copy()
+    if n:
+        start[1:] &= ~inside[:-1] | edge[1:n]
+    starts = np.flatnonzero(start)
+    kept = data[inside]
+    if lower:
+        kept = LOWER[kept]
+    before = np.concatenate(([0], np.cumsum(inside)))
+    bounds = np.append(before[starts], len(kept))
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(kept))
+    return words, np.searchsorted(starts, rel)
+
+
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every run of n words of one document, and where each document's runs begin."""
     h, offs = words.hashes, words.offsets

@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from pedalflow.llm import token_files as tf
 from pedalflow.llm.shared import new_path
 
 PATH = public_tokenizers.path(tf.TOKENIZER)
-TEXTS = ["Hello World's <|endoftext|> 12 x²", "", None, "a b\u0085c\x1cd　e İSTANBUL ΣΑΣ", "é ́x  \t tail", "don't we'll !!! #hash", "long " * 900, "don't we'll !!! #hash"]
+TEXTS = ["Hello World's <|endoftext|> 12 x²", "", None, "a b\u0085c\x1cd　e İSTANBUL ΣΑΣ", "é ́x  \t tail", "don't we'll !!! #hash", "long " * 900, "don't we'll !!! #hash", "\ue000 a\ue000b x", "\xa0 \u3000 a"]
 
 
 @pytest.mark.parametrize("values", [[], [5], [0, 0, 0], [0, 3, 3, 9, 1000, 10**12], [-(2**63), -1, 0, 2**63 - 1], list(range(0, 5000, 7))])
@@ -52,3 +53,17 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
     assert sorted(r.start for r in got) == [0, 3, 6, 8] and [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 2, 2]
     out = new_path(spark, "t")
     assert tf.read_token_files(spark, out, tf.write_token_files(df.limit(0), PATH, out)).count() == 0
+
+
+def test_remembered_words_give_what_the_tokenizer_gives():
+    texts = [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()] + [t or "" for t in TEXTS]
+    texts += ["".join(chr(c) for c in range(k, k + 40)) for k in range(33, 1200, 23)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    enc = tf.WordEncoder(PATH)
+    assert enc.straight
+    ids, counts = enc.encode(raw, offs)
+    at = 0
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
+        at += n
