@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_topk, langid, lsh, mixing, quality, token_files
+from . import bpe, exact_topk, langid, lm, lsh, mixing, quality, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_exact_topk": exact_topk.op2_exact_topk,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_lsh": lsh.op7_lsh,
     "op8_language_id": langid.op8_language_id,
     "op10_byte_bpe": bpe.op10_byte_bpe,
