@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_topk, langid, lm, lsh, mixing, quality, token_files
+from . import bpe, exact_topk, jaccard, langid, lm, lsh, mixing, quality, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_lsh": lsh.op7_lsh,
     "op8_language_id": langid.op8_language_id,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLES = {"op2_exact_topk": exact_topk.SQL, "op3_mixing": mixing.SQL}
+ORACLES = {"op2_exact_topk": exact_topk.SQL, "op3_mixing": mixing.SQL, "op9_jaccard": jaccard.SQL}
