@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_topk, jaccard, langid, lm, lsh, mixing, quality, token_files
+from . import bpe, exact_topk, jaccard, langid, lm, lsh, mixing, quality, substring, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_exact_topk": exact_topk.op2_exact_topk,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
+    "op5_substring": substring.op5_substring,
     "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_lsh": lsh.op7_lsh,
     "op8_language_id": langid.op8_language_id,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
-ORACLES = {"op2_exact_topk": exact_topk.SQL, "op3_mixing": mixing.SQL, "op9_jaccard": jaccard.SQL}
+ORACLES = {"op2_exact_topk": exact_topk.SQL, "op3_mixing": mixing.SQL, "op5_substring": substring.SQL, "op9_jaccard": jaccard.SQL}
