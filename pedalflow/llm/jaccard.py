@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import Union, components, edge_batch
 from .shared import materialise, partitions_for, read
@@ -87,8 +88,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
         flat = np.concatenate(columns) if columns else np.zeros(0, np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-            names=["doc_id", "n", "class", "columns"],
+            [batch.column("row"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
+            names=["row", "n", "class", "columns"],
         )
 
 
@@ -212,23 +213,25 @@ def family_links(sets: DataFrame) -> DataFrame:
     return links.unionByName(multiply(left.unionByName(right)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), class (equal for equal
-    sets; null without shingles).
+    sets; null without shingles), component (the smallest class reachable) and the columns in ``carry``.
 
     Null and empty texts, and texts without words, have no shingles and are their own component. Rows without a
     doc_id take part; a component of such rows alone has a null id. Repeated rows are one class. An empty table gives
     no rows. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = materialise(base.mapInArrow(_sets, "doc_id long, n long, class long, columns array<long>"), "jaccard-sets")
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("columns", T.ArrayType(T.LongType()))])
+    sets = materialise(rows.mapInArrow(_sets, schema), "jaccard-sets")
     sent = sets.select("class", "n", F.explode("columns").alias("h"))
     shared = materialise(_shared(sent), "jaccard-shared")
     again = materialise(_enough(_shared(_enough(shared))), "jaccard-candidates")
     families = components(again.select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-families")
     families = families.select(F.col("node").alias("class"), F.col("component").alias("family"))
 
-    members = sets.where("n > 0").select("class", "doc_id").join(families, "class")
+    members = sets.where("n > 0").select("class", F.col("row.doc_id").alias("doc_id")).join(families, "class")
     chosen = members.groupBy("class").agg(F.first("family").alias("family"), F.min("doc_id").alias("doc_id"))
     texts = base.join(chosen.select(F.col("doc_id").alias("_id"), "class", "family"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "family", "text")
 
@@ -245,12 +248,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = family_links(texts.mapInArrow(full, "family long, class long, n long, data binary"))
     found = components(links, "jaccard-components").withColumnRenamed("node", "class")
     labelled = materialise(
-        sets.select("doc_id", "n", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")).select("doc_id", "n", "class", "component"),
-        "jaccard-labelled",
+        sets.select("row.*", "n", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "jaccard-labelled"
     )
     smallest = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(smallest, "component", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class"
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "class",
+        "component",
+        *carry,
     )
 
 

@@ -48,11 +48,13 @@ def mix(
     max_epochs: float = 3.0,
     seed: int = 7,
     size: Column | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """How much of every document a mix by source weights takes.
 
     Sources weigh ``weights`` in turn, by code point, a null source last. The result has the columns ``doc_id, size,
-    source_size, target, taken`` and the helper columns ``source, epochs_whole``: every document is taken
+    source_size, target, taken``, the helper columns ``source, epochs_whole`` and those in ``keep``, which should be
+    narrow: they travel with every row. Every document is taken
     ``floor(target / source_size)`` times, and in a seeded order (md5 of seed and id) documents get one more
     repetition until the source's remaining words are used up; the document on that border gives only a part.
 
@@ -73,6 +75,7 @@ def mix(
             F.conv(F.substring(draw, 1, 3), 16, 10).cast("int").alias("_bucket"),
             F.coalesce("source", F.lit("")).alias("_name"),
             F.col("source").isNull().alias("_none"),
+            *keep,
         ),
         "mix-sizes",
     )
@@ -102,7 +105,7 @@ def mix(
         rows.withColumn("_before", F.coalesce(F.sum("size").over(run), F.lit(0)))
         .join(offsets, [*key, "_bucket"])
         .withColumn("taken", F.col("epochs_whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
-        .select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "epochs_whole")
+        .select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "epochs_whole", *keep)
     )
 
 
