@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .fm_index import FmIndex
 from .shared import materialise, partitions_for, read
-from .words import Words, grams, pieces
+from .words import Words, grams, mix, pieces
 
 WINDOW, GRAM = 13, 5
 #: Words after which a task's shard is indexed and the next one begins, at a new anchor.
@@ -71,7 +71,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the wanted anchors of each text, the word hashes of the windows around them."""
+    """For the wanted anchors of each text, the pieces of the windows around them. Every piece of every document gives
+    a row with its place; its word hashes come only with the first one of a batch, next to the batch's smallest
+    document that has it."""
     for batch in batches:
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
         keys = batch.column("text_key").to_numpy(zero_copy_only=False)
@@ -83,15 +85,34 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = np.stack((ask.astype(np.uint64), flat[offs[i] : offs[j]]), axis=1)
             have = np.stack((doc.astype(np.uint64), h), axis=1)
             hit = np.isin(have.view("V16").ravel(), np.ascontiguousarray(pairs).view("V16").ravel()) if len(h) else np.zeros(0, bool)
+            if not hit.any():
+                continue
             h, doc, first, count = h[hit], doc[hit], first[hit], count[hit]
             length = count + WINDOW - 1
             ends = np.cumsum(length)
-            start = words.offsets[:-1][doc] + first
-            take = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length) + np.repeat(start, length)
-            bounds = np.concatenate(([0], ends * 8)).astype(np.int32)
-            data = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(bounds), pa.py_buffer(words.hashes[take])])
+            taken = words.hashes[_within(length) + np.repeat(words.offsets[:-1][doc] + first, length)]
+            with np.errstate(over="ignore"):
+                spread = mix(taken + _within(length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                piece = mix(np.add.reduceat(spread, ends - length) + length.astype(np.uint64))
+            # Of equal pieces the one of the smallest document carries the words.
+            order = np.lexsort((docs[i:j][doc], piece))
+            lead = np.concatenate(([True], piece[order][1:] != piece[order][:-1]))
+            bears = np.zeros(len(h), bool)
+            bears[order[lead]] = True
+            size = np.where(bears, length * 8, 0)
+            data = taken[np.repeat(bears, length)]
+            bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            blank = pa.py_buffer(np.packbits(bears, bitorder="little"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(docs[i:j][doc]), pa.array(keys[i:j][doc]), pa.array(first.astype(np.int32)), data], names=["anchor", "doc_id", "text_key", "start", "words"]
+                [
+                    pa.array(h.view(np.int64)),
+                    pa.array(piece.view(np.int64)),
+                    pa.array(docs[i:j][doc]),
+                    pa.array(keys[i:j][doc]),
+                    pa.array(first.astype(np.int32)),
+                    pa.BinaryArray.from_buffers(pa.binary(), len(h), [blank, pa.py_buffer(bounds), pa.py_buffer(data)]),
+                ],
+                names=["anchor", "piece", "doc_id", "text_key", "start", "words"],
             )
 
 
@@ -141,46 +162,36 @@ def _within(counts: np.ndarray) -> np.ndarray:
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor; gives for each piece of each document which of its windows a smaller document holds."""
+    """Rows come by anchor; gives for each piece of which some window is also in another piece, or in several
+    documents, the smallest document that holds each of its windows."""
     number: dict[bytes, int] = {}
     least: list[int] = []
-    held: list[tuple[np.ndarray, ...]] = []
+    names: list[int] = []
     size, now = 0, None
 
     def out() -> pa.RecordBatch:
-        piece, doc, key, start = (np.concatenate(x) for x in zip(*held, strict=True))
         found, begin, length = smallest_holders(list(number), np.asarray(least))
-        count = length[piece] - WINDOW + 1
-        nth = _within(count)
-        taken = found[np.repeat(begin[piece], count) + nth] < np.repeat(doc, count)
-        mask = np.add.reduceat(taken.astype(np.int64) << nth, np.cumsum(count) - count)
-        keep = mask != 0
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(start[keep]), pa.array(mask[keep].astype(np.int32))], names=["text_key", "start", "mask"])
+        count = length - WINDOW + 1
+        flat = found[np.repeat(begin, count) + _within(count)]
+        ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["piece", "holders"])
 
     for batch in batches:
         anchor = batch.column("anchor").to_numpy()
-        docs = batch.column("doc_id").to_numpy()
-        keys, starts = batch.column("text_key").to_numpy(), batch.column("start").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
-        data = batch.column("words").to_pylist()
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if anchor[a] != now and size > SHARD_WORDS:
+        columns = (batch.column(c).to_pylist() for c in ("piece", "doc_id", "words"))
+        for at, piece, doc, words in zip(anchor.tolist(), *columns, strict=True):
+            if at != now and size > SHARD_WORDS:
                 yield out()
-                number, least, held, size = {}, [], [], 0
-            now = anchor[a]
-            piece = np.empty(b - a, np.int64)
-            for r in range(a, b):
-                at = number.setdefault(data[r], len(least))
-                if at == len(least):
-                    least.append(int(docs[r]))
-                    size += len(data[r]) // 8
-                elif docs[r] < least[at]:
-                    least[at] = int(docs[r])
-                piece[r - a] = at
-            held.append((piece, docs[a:b].copy(), keys[a:b].copy(), starts[a:b].copy()))
-    if held:
+                number, least, names, size = {}, [], [], 0
+            now = at
+            k = number.setdefault(words, len(least))
+            if k == len(least):
+                least.append(doc)
+                names.append(piece)
+                size += len(words) // 8
+            elif doc < least[k]:
+                least[k] = doc
+    if least:
         yield out()
 
 
@@ -198,10 +209,16 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
     wanted = shared.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "text_key")
     texts = base.join(wanted.select(F.col("text_key").alias("_key"), F.col("first_id").alias("_id"), "anchors"), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")))
-    cut = texts.select("doc_id", "text_key", "text", "anchors").mapInArrow(_cut, "anchor long, doc_id long, text_key long, start int, words binary")
-    n = partitions_for(spark)
-    shards = cut.repartition(n, "anchor").sortWithinPartitions("anchor")
-    masks = materialise(shards.mapInArrow(_shard, "text_key long, start int, mask int"), "substring-masks")
+    cut = materialise(
+        texts.select("doc_id", "text_key", "text", "anchors").mapInArrow(_cut, "anchor long, piece long, doc_id long, text_key long, start int, words binary"), "substring-pieces"
+    )
+    # Equal pieces go to the shards a few times at most; their many places wait for the answer outside.
+    shards = cut.where("words is not null").select("anchor", "piece", "doc_id", "words").repartition(partitions_for(spark), "anchor").sortWithinPartitions("anchor")
+    holders = shards.mapInArrow(_shard, "piece long, holders array<long>")
+    places = cut.select("piece", "text_key", "doc_id", "start").join(holders, "piece")
+    mask = F.aggregate("holders", F.struct(F.lit(0).alias("mask"), F.lit(1).alias("bit")), lambda a, x: F.struct(
+        (a["mask"] + F.when(x < F.col("doc_id"), a["bit"]).otherwise(0)).alias("mask"), (a["bit"] * 2).alias("bit")), lambda a: a["mask"])
+    masks = materialise(places.select("text_key", "start", mask.alias("mask")).where("mask <> 0"), "substring-masks")
     lists = masks.distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     return firsts.join(lists, "text_key", "left").select("text_key", "first_id", F.col("spans.start").alias("starts"), F.col("spans.mask").alias("masks"))
 
