@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pedalflow.llm import bpe, jaccard, langid, mixing, substring
-from pedalflow.llm.shared import WORD, limit_batches, materialise
+from pedalflow.llm.shared import WORD, materialise, prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The share of a text's n-grams that its language must know, and the characters a text needs to be judged by it.
@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rejects documents in no learned language: without any letter, or of LEAST_CHARS and more whose best language
     knows under LEAST_SCORE of the text's n-grams. The model is learned from the stage's own documents; kept ones stay
     as they are."""
-    limit_batches(spark)
+    prepare(spark)
     model = langid.learn_from_documents(docs)
     found = langid.predict(docs.select(F.struct(*COLUMNS).alias("doc"), "text"), model)
     known = (F.col("score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)

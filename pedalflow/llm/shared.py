@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,39 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to Python; a worker holds two or three at a time. Spark's own 64 MB are too many where
+#: several workers share a small executor.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m")
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, unless the session sets its own."""
+    key, usual, ours = BATCH_BYTES
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, ours)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, unless PYTHONPATH already leads their workers to it."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if getattr(context, "_pedalflow_sent", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="pedalflow-")) / "pedalflow.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted((root / "pedalflow").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(archive))
+    context._pedalflow_sent = True
+
+
+def prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    limit_batches(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
