@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import catalogue_metrics, catalogue_trips
+
+QUERIES: dict = catalogue_metrics.QUERIES | catalogue_trips.QUERIES
+ORACLES: dict[str, str] = catalogue_metrics.ORACLES | catalogue_trips.ORACLES
