@@ -3,7 +3,9 @@
 1. A document's set is its distinct shingles' 64-bit hashes. Equal sets are one class.
 2. Each set's smallest hashes, in number just enough that two linked sets must share a given count of them, go to
    columns (one a hash). Sets with too few columns that another set has can't be linked with anything and go.
-3. Sets that share columns are one family: candidates, connected but not compared yet.
+3. Overlaps are first counted on the columns alone, for columns of few sets pair by pair. A pair stays a candidate
+   while its count, and the large columns that both might share, reach what a link takes; sets with that many large
+   columns stay candidates of all sets in these. What candidates connect is a family.
 4. Families are cut into blocks of rows, and pairs of blocks are multiplied, document by shingle times its transpose:
    the product holds exact overlap counts. Pairs below the bound that both sizes give are discarded.
 5. The links that are left are united to components.
@@ -29,7 +31,11 @@ SHINGLE, PERCENT = 5, 80
 #: Every COMMON-th part of a set must be found among the shared columns.
 COMMON = 10
 #: Sets and shingles of a block, and columns multiplied at once.
-BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 768, 1 << 19, 4096
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 768, 1 << 19, 1024
+#: Pairs of a shingle up to which they are added up one by one.
+FEW_PAIRS = 400
+#: Sets of a column up to which its pairs are counted, and pairs a task counts at once.
+FEW, PAIRS = 24, 1 << 21
 #: Classes a task remembers so as to send their columns once.
 SEEN = 200_000
 
@@ -94,10 +100,79 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (class, n, h) whose column another class has too, with the smallest class of that column."""
-    # A class has one row in a column, so a column holds a small part of all rows however common its shingle.
+    """Rows (class, n, h) whose column another class has too, with the column's number of rows."""
+    # A class has a few rows in a column at most, so a column holds a small part of all rows however common its shingle.
     same = Window.partitionBy("h")
-    return rows.select("class", "n", "h").withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same)}).where("low < high").drop("high")
+    found = rows.select("class", "n", "h").withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same), "rows": F.count("*").over(same)})
+    return found.where("low < high").drop("low", "high")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by column; counts in how many of a task's columns each pair of sets of fitting sizes is."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+    carry: pa.RecordBatch | None = None
+
+    def out() -> pa.RecordBatch:
+        a, b, na, nb = (np.concatenate(x) for x in zip(*held, strict=True))
+        key = mix(a.view(np.uint64)) ^ mix(b.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        _, first, count = np.unique(key, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_pydict({"a": pa.array(a[first]), "b": pa.array(b[first]), "n_a": pa.array(na[first]), "n_b": pa.array(nb[first]), "got": pa.array(count.astype(np.int64))})
+
+    def count(batch: pa.RecordBatch) -> None:
+        nonlocal size
+        h, c, n = (batch.column(x).to_numpy() for x in ("h", "class", "n"))
+        order = np.lexsort((c, h))
+        h, c, n = h[order], c[order], n[order]
+        once = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+        h, c, n = h[once], c[once], n[once]
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        sizes = np.diff(np.append(begin, len(h)))
+        for g in np.unique(sizes).tolist():
+            if g < 2:
+                continue
+            members = begin[sizes == g][:, None] + np.arange(g)
+            i, j = np.triu_indices(g, 1)
+            for k in range(0, len(members), max(1, PAIRS // len(i))):
+                part = members[k : k + max(1, PAIRS // len(i))]
+                x, y = part[:, i].ravel(), part[:, j].ravel()
+                fit = 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
+                x, y = x[fit], y[fit]
+                held.append((c[x], c[y], n[x], n[y]))
+                size += len(x)
+
+    for batch in batches:
+        if carry is not None:
+            batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+        h = batch.column("h").to_numpy()
+        whole = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last column may go on in the next batch
+        carry = batch.slice(whole)
+        if whole:
+            count(batch.slice(0, whole))
+        if size > PAIRS:
+            yield out()
+            held, size = [], 0
+    if carry is not None and carry.num_rows:
+        count(carry)
+    if held and size:
+        yield out()
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets that may be linked: every linked pair is connected by them."""
+    need = F.ceil(F.ceil(F.col("n") * PERCENT / 100) / COMMON).alias("need")
+    many = materialise(rows.where(F.col("rows") > FEW).select("class", "h", need), "jaccard-many")
+    large = many.groupBy("class", "need").agg(F.count("*").alias("large"))
+    few = rows.where(F.col("rows") <= FEW).select("class", "n", "h").repartition(partitions_for(rows.sparkSession), "h").sortWithinPartitions("h")
+    pairs = few.mapInArrow(_pairs, "a long, b long, n_a long, n_b long, got long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("got").alias("got"))
+    for side in ("a", "b"):
+        pairs = pairs.join(large.select(F.col("class").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
+    least = F.ceil(F.ceil(F.least("n_a", "n_b") * PERCENT / 100) / COMMON)
+    both = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
+    likely = pairs.where(F.col("got") + both >= least).select("a", "b")
+    heavy = many.join(large.where(F.col("large") >= F.col("need")).select("class"), "class")
+    stars = heavy.join(heavy.groupBy("h").agg(F.min("class").alias("a")), "h").select("a", F.col("class").alias("b"))
+    return likely.unionByName(stars.where("a <> b").distinct())
 
 
 def _enough(rows: DataFrame) -> DataFrame:
@@ -107,9 +182,9 @@ def _enough(rows: DataFrame) -> DataFrame:
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-    """Counts of common shingles, row by column: the product of both incidence matrices, over the shingles that both
-    sides have, so many at a time."""
-    out = np.zeros((len(rows), len(cols)), np.float32)
+    """Counts of common shingles, row by column: the product of both incidence matrices. Shingles that few sets of
+    either side have add up their pairs one by one; frequent ones are multiplied as dense columns, so many at a time."""
+    out = np.zeros((len(rows), len(cols)), np.int32)
     if len(rows) * len(cols) <= 16:
         for i, a in enumerate(rows):
             for j, b in enumerate(cols):
@@ -128,12 +203,24 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
         return whose[hit][order], at[hit][order]
 
     (lr, lc), (rr, rc) = entries(left, rows), entries(right, cols)
-    for c in range(0, len(both), COLUMNS):
+    n_left, n_right = np.bincount(lc, minlength=len(both)), np.bincount(rc, minlength=len(both))
+    dense = n_left * n_right > FEW_PAIRS
+    sparse = ~dense[lc]
+    times = n_right[lc[sparse]]
+    begin = (np.cumsum(n_right) - n_right)[lc[sparse]]
+    ends = np.cumsum(times)
+    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times)
+    pair = np.repeat(lr[sparse], times) * len(cols) + rr[np.repeat(begin, times) + within]
+    out += np.bincount(pair, minlength=out.size).reshape(out.shape).astype(np.int32)
+
+    number = np.cumsum(dense) - 1
+    (lr, lc), (rr, rc) = ((r[dense[c]], number[c[dense[c]]]) for r, c in ((lr, lc), (rr, rc)))
+    for c in range(0, int(dense.sum()), COLUMNS):
         a, b = np.searchsorted(lc, (c, c + COLUMNS)), np.searchsorted(rc, (c, c + COLUMNS))
         x, y = np.zeros((len(rows), COLUMNS), np.float32), np.zeros((len(cols), COLUMNS), np.float32)
         x[lr[a[0] : a[1]], lc[a[0] : a[1]] - c] = 1
         y[rr[b[0] : b[1]], rc[b[0] : b[1]] - c] = 1
-        out += x @ y.T
+        out += (x @ y.T).astype(np.int32)
     return out
 
 
@@ -228,7 +315,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     sent = sets.select("class", "n", F.explode("columns").alias("h"))
     shared = materialise(_shared(sent), "jaccard-shared")
     again = materialise(_enough(_shared(_enough(shared))), "jaccard-candidates")
-    families = components(again.select(F.col("low").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-families")
+    families = components(candidates(again), "jaccard-families")
     families = families.select(F.col("node").alias("class"), F.col("component").alias("family"))
 
     members = sets.where("n > 0").select("class", F.col("row.doc_id").alias("doc_id")).join(families, "class")

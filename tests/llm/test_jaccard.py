@@ -56,15 +56,18 @@ def rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [768, 7, 2])
-def test_against_brute_force(spark, rows, monkeypatch, block):
+@pytest.mark.parametrize("block,few", [(768, 24), (7, 24), (7, 1), (2, 4)])
+def test_against_brute_force(spark, rows, monkeypatch, block, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, class long, component_id string")
     assert ours(df) == brute(rows)
 
 
-def test_blocked_product_counts_exactly(monkeypatch):
+@pytest.mark.parametrize("few_pairs", [0, 6, 400])
+def test_blocked_product_counts_exactly(monkeypatch, few_pairs):
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    monkeypatch.setattr(jaccard, "FEW_PAIRS", few_pairs)
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 120, n).astype(np.uint64)) for n in (5, 60, 90, 1, 80, 100, 70)]
     got = jaccard.overlaps(sets, sets[2:])
