@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +12,8 @@ from .shared import drop_path, materialise, new_path
 
 #: Edges a task unites at once before it hands on what is left of them.
 HELD_EDGES = 1 << 19
+#: Edges, counted first, that one task may unite alone; more take the distributed rounds.
+ALONE_EDGES = 1 << 18
 
 
 class Union:
@@ -86,11 +87,16 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows (node, component) of all nodes of the edges (a, b): a component is called by its smallest node.
 
-    Large-star and small-star rounds on tables in the shared folder until a round changes nothing; every round at
-    least halves long chains, and the stars that similarity joins give settle in two or three.
+    Tasks first thin their edges to forests. Up to ALONE_EDGES that are left are united by one task; more by large-star
+    and small-star rounds on tables in the shared folder until a round changes nothing. Every round at least halves
+    long chains, and the stars that similarity joins give settle in two or three.
     """
     spark = edges.sparkSession
-    now = materialise(thinned(edges).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    now = materialise(thinned(edges), name)
+    if now.count() <= ALONE_EDGES:
+        now = materialise(thinned(now.repartition(1)), name)
+        return _labels(now)
+    now = now.distinct()
     paths: list[str] = []
 
     def sign(df: DataFrame) -> tuple:
@@ -109,12 +115,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    return _labels(now)
 
 
-def forest_of(pairs: Iterable[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    found = Union()
-    for a, b in pairs:
-        found.unite(a, b)
-    a, b = found.forest()
-    return np.asarray(a, np.int64), np.asarray(b, np.int64)
+def _labels(stars: DataFrame) -> DataFrame:
+    """Nodes with their component, from edges that each lead from a component's smallest node to another of its."""
+    roots = stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

@@ -6,7 +6,7 @@
 3. Overlaps are first counted on the columns alone, for columns of few sets pair by pair. A pair stays a candidate
    while its count, and the large columns that both might share, reach what a link takes; sets with that many large
    columns stay candidates of all sets in these. What candidates connect is a family.
-4. Families are cut into blocks of rows, and pairs of blocks are multiplied, document by shingle times its transpose:
+4. Families are cut into blocks of rows by size, and pairs of blocks are multiplied, document by shingle times its transpose:
    the product holds exact overlap counts. Pairs below the bound that both sizes give are discarded.
 5. The links that are left are united to components.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,13 +29,13 @@ from .words import grams, mix, pieces
 #: Words a shingle; links need PERCENT * union <= 100 * intersection.
 SHINGLE, PERCENT = 5, 80
 #: Every COMMON-th part of a set must be found among the shared columns.
-COMMON = 10
+COMMON = 5
 #: Sets and shingles of a block, and columns multiplied at once.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 768, 1 << 19, 1024
-#: Pairs of a shingle up to which they are added up one by one.
-FEW_PAIRS = 400
+#: Pairs of a shingle up to which they are added up one by one, and how many of these at once.
+FEW_PAIRS, ADDED = 100, 1 << 19
 #: Sets of a column up to which its pairs are counted, and pairs a task counts at once.
-FEW, PAIRS = 24, 1 << 21
+FEW, PAIRS = 24, 1 << 19
 #: Classes a task remembers so as to send their columns once.
 SEEN = 200_000
 
@@ -206,12 +206,16 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     n_left, n_right = np.bincount(lc, minlength=len(both)), np.bincount(rc, minlength=len(both))
     dense = n_left * n_right > FEW_PAIRS
     sparse = ~dense[lc]
-    times = n_right[lc[sparse]]
-    begin = (np.cumsum(n_right) - n_right)[lc[sparse]]
+    times, begin, row = n_right[lc[sparse]], (np.cumsum(n_right) - n_right)[lc[sparse]], lr[sparse]
     ends = np.cumsum(times)
-    within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times)
-    pair = np.repeat(lr[sparse], times) * len(cols) + rr[np.repeat(begin, times) + within]
-    out += np.bincount(pair, minlength=out.size).reshape(out.shape).astype(np.int32)
+    a = 0
+    while a < len(times):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + ADDED)))
+        part = times[a:b]
+        within = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part)
+        pair = np.repeat(row[a:b] * len(cols), part) + rr[np.repeat(begin[a:b], part) + within]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape).astype(np.int32)
+        a = b
 
     number = np.cumsum(dense) - 1
     (lr, lc), (rr, rc) = ((r[dense[c]], number[c[dense[c]]]) for r, c in ((lr, lc), (rr, rc)))
@@ -264,39 +268,61 @@ def multiply(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "class", "data").mapInArrow(_multiply, "a long, b long")
 
 
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows with the number of blocks that their keys' sets take, as ``name``."""
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return rows.join(rows.groupBy(*keys).agg(size.alias(name)), keys)
+
+
 def family_links(sets: DataFrame) -> DataFrame:
     """Links that connect what the families' links connect. ``sets``: family, class, n, data.
 
-    A family of one block is multiplied with itself. A larger one is first multiplied block by block with itself and
-    with its first block; what is connected then need not be compared again, so only sets outside the family's
-    largest component are multiplied with all of its blocks.
+    A family of one block is multiplied with itself. A larger one is cut into steps of size, so that linked sets lie
+    in one step or in neighbours, and each step into blocks. Every block is first multiplied with itself and with the
+    first block of its step; what is connected then need not be compared again, so only sets outside the family's
+    largest component are multiplied with all blocks of their own step and the two beside it.
     """
-    sizes = sets.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = materialise(sets.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "jaccard-blocks")
+    placed = materialise(_blocks(sets, ["family"], "blocks"), "jaccard-families")
 
     def key(*parts):
         return F.concat_ws(":", *parts).alias("key")
 
-    own = placed.select(key("family", "block"), F.lit(0).alias("side"), "class", "data")
-    large = placed.where("blocks > 1")
-    to_first = large.where("block > 0").select(key("family", "block", F.lit("first")), F.lit(0).alias("side"), "class", "data")
-    # Block 0 goes to every other block of its family: rows of one block, times the family's number of blocks.
-    first = large.where("block = 0").withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
-    first = first.select(key("family", "other", F.lit("first")), F.lit(1).alias("side"), "class", "data")
-    links = materialise(multiply(own.unionByName(to_first).unionByName(first)), "jaccard-links")
+    def side(rows: DataFrame, k: Column, number: int) -> DataFrame:
+        return rows.select(k, F.lit(number).alias("side"), "class", "data")
+
+    own = side(placed.where("blocks = 1"), key("family"), 0)
+    # Sizes of linked sets differ by a factor of 100 / PERCENT at most, which is one step.
+    step = F.floor(F.log("n") / F.lit(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    stepped = _blocks(placed.where("blocks > 1").drop("blocks").withColumn("step", step), ["family", "step"], "blocks")
+    large = materialise(stepped.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "jaccard-blocks")
     if large.isEmpty():
-        return links
+        return materialise(multiply(own), "jaccard-links")
+    diagonal = side(large, key("family", "step", "block"), 0)
+    to_first = side(large.where("block > 0"), key("family", "step", "block", F.lit("first")), 0)
+    # A step's first block goes to each of its other blocks: rows of one block, times their number.
+    spread = large.where("block = 0 and blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    first = side(spread, key("family", "step", "other", F.lit("first")), 1)
+    links = materialise(multiply(own.unionByName(diagonal).unionByName(to_first).unionByName(first)), "jaccard-links")
 
     known = components(links, "jaccard-known").withColumnRenamed("node", "class")
     labelled = large.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
     count = labelled.groupBy("family", "component").agg(F.count("*").alias("n_sets"))
     main = count.groupBy("family").agg(F.max_by("component", F.struct("n_sets", "component")).alias("main"))
-    rest = materialise(labelled.join(main, "family").where("component <> main").select("family", "class", "n", "data", "blocks"), "jaccard-rest")
-    shares = rest.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("shares"))
-    dealt = rest.join(shares, "family").withColumn("share", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int"))
-    left = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(key("family", "share", "block", F.lit("rest")), F.lit(0).alias("side"), "class", "data")
-    right = large.join(shares, "family").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    right = right.select(key("family", "share", "block", F.lit("rest")), F.lit(1).alias("side"), "class", "data")
+    marked = materialise(labelled.join(main, "family").withColumn("rest", F.col("component") != F.col("main")).select(*large.columns, "rest"), "jaccard-marked")
+    rest = _blocks(marked.where("rest"), ["family", "step"], "shares").withColumn("share", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int"))
+    # Task rows: a share of the rest of a step against a block of a step beside it. Two sets of the rest meet in the
+    # smaller one's turn, so the step below counts without its rest.
+    places = marked.groupBy("family", "step", "block").agg(F.bool_or(~F.col("rest")).alias("settled"))
+    shares = rest.select("family", "step", "share").distinct()
+    tasks = (
+        shares.withColumn("beside", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+        .join(places.select("family", (F.col("step")).alias("_step"), "block", "settled"), "family")
+        .where((F.col("_step") == F.col("step") + F.col("beside")) & ((F.col("beside") >= 0) | F.col("settled")))
+        .select("family", "step", "share", "_step", "block", "beside", key("family", "step", "share", "_step", "block"))
+    )
+    left = side(rest.join(tasks.select("family", "step", "share", "key"), ["family", "step", "share"]), F.col("key"), 0)
+    right = marked.withColumnRenamed("step", "_step").join(tasks.drop("step", "share"), ["family", "_step", "block"])
+    right = side(right.where((F.col("beside") >= 0) | ~F.col("rest")), F.col("key"), 1)
     return links.unionByName(multiply(left.unionByName(right)))
 
 

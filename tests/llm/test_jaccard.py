@@ -59,6 +59,7 @@ def rows():
 @pytest.mark.parametrize("block,few", [(768, 24), (7, 24), (7, 1), (2, 4)])
 def test_against_brute_force(spark, rows, monkeypatch, block, few):
     monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(graph, "ALONE_EDGES", 1 << 18 if few == 24 else 4)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, class long, component_id string")
     assert ours(df) == brute(rows)
@@ -68,6 +69,7 @@ def test_against_brute_force(spark, rows, monkeypatch, block, few):
 def test_blocked_product_counts_exactly(monkeypatch, few_pairs):
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
     monkeypatch.setattr(jaccard, "FEW_PAIRS", few_pairs)
+    monkeypatch.setattr(jaccard, "ADDED", 50)
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 120, n).astype(np.uint64)) for n in (5, 60, 90, 1, 80, 100, 70)]
     got = jaccard.overlaps(sets, sets[2:])
@@ -93,7 +95,9 @@ def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("alone", [1 << 18, 3])
+def test_components_of_chains_and_stars(spark, monkeypatch, alone):
+    monkeypatch.setattr(graph, "ALONE_EDGES", alone)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, x) for x in range(200, 260)] + [(259, 7), (7, 7), (1000, 999)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     found = graph.Union()
