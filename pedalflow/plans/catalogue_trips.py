@@ -259,10 +259,10 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 RAW_ID = "CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 3 = 0 THEN start_station_id || '.0' WHEN l_orderkey % 3 = 1 THEN start_station_id || '.00' ELSE start_station_id || '.1' END"
 RAW = f"""raw AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN TIMESTAMP '2021-03-01' ELSE TIMESTAMP '2020-03-01' END AS st, {RAW_ID} AS sid, end_station_id, start_station_id AS sn,
-  CASE l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'NULL' WHEN 2 THEN birth_year || '.0' ELSE CAST(birth_year AS VARCHAR) END AS by, l_orderkey, l_linenumber, l_partkey,
+  CASE l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'NULL' WHEN 2 THEN birth_year || '.0' ELSE CAST(birth_year AS VARCHAR) END AS byr, l_orderkey, l_linenumber, l_partkey,
   CASE WHEN l_orderkey % 4 = 0 THEN 0.0 ELSE (l_orderkey % 50) / 10 END AS lat FROM trips)"""
 CLEAN_ID = "CASE WHEN st >= TIMESTAMP '2021-02-01' THEN regexp_replace(sid, '^(\\d+\\.\\d)$', '\\1' || '0') ELSE regexp_replace(sid, '\\.00?$', '') END"
-CLEAN_YEAR = "CAST(CAST(nullif(nullif(by, ''), 'NULL') AS DECIMAL(20, 6)) AS INT)"
+CLEAN_YEAR = "CAST(CAST(nullif(nullif(byr, ''), 'NULL') AS DECIMAL(20, 6)) AS INT)"
 
 
 @query(RAW + f" SELECT l_orderkey, l_linenumber, l_partkey, {CLEAN_ID} AS start_station_id, {CLEAN_YEAR} AS birth_year, nullif(lat, 0) AS start_latitude FROM raw WHERE sid IS NOT NULL AND end_station_id IS NOT NULL", "trips")
@@ -281,7 +281,7 @@ def normalize_station_id(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("id", station_id(F.col("raw_id"), F.col("start_time")))
 
 
-@query(RAW + f" SELECT DISTINCT by AS raw_year, {CLEAN_YEAR} AS birth_year FROM raw", "trips")
+@query(RAW + f" SELECT DISTINCT byr AS raw_year, {CLEAN_YEAR} AS birth_year FROM raw", "trips")
 def nullif_clean(spark: SparkSession, d: str) -> DataFrame:
     return _raw(spark, d).select(F.col("birth_year").alias("raw_year")).distinct().withColumn("birth_year", clean_int(F.col("raw_year")))
 
