@@ -27,7 +27,7 @@ class Settings:
         env = dict(os.environ) if env is None else env
         if not env.get("PEDALFLOW_DATA_DIR"):
             raise ValueError("PEDALFLOW_DATA_DIR is not set")
-        return cls(env["PEDALFLOW_DATA_DIR"], env.get("PEDALFLOW_SOURCE", "nextbike_bn"))
+        return cls(env["PEDALFLOW_DATA_DIR"], env.get("PEDALFLOW_SOURCE", "bikes"))
 
 
 METRICS = {

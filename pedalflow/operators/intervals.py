@@ -33,19 +33,24 @@ def overlap_seconds(start: Column, end: Column, other_start: Column, other_end:
 
 
 def trailing_distinct(rows: DataFrame, day: str, ident: str, days: int, name: str, calendar: tuple[str, str] | None = None) -> DataFrame:
-    """For each day, how many distinct idents came in the ``days`` days that end with it.
+    """For each day, how many distinct idents came in the ``days`` days that end with it; days without any are left
+    out. Without a calendar, days from the first to the last of the data.
 
-    Instead of joining every day with all days before it, each (day, ident) is spread to the days that it counts for.
-    Without a calendar, days from the first to the last of the data.
+    A sighting counts for an ident until its window ends or the next sighting takes over, so every ident is counted
+    once a day: each stretch adds one at its start and takes one away after its end, and the running sum over days is
+    the answer. Nothing is spread over the window and no day is joined with those before it.
     """
-    once = rows.select(F.to_date(day).alias("_day"), F.col(ident).alias("_ident")).where("_ident is not null").distinct()
-    spread = once.select("_ident", F.explode(F.sequence("_day", F.date_add("_day", days - 1))).alias("date"))
-    if calendar is None:
-        last = once.agg(F.max("_day").alias("_last"))
-        spread = spread.join(F.broadcast(last), F.col("date") <= F.col("_last"))  # one row
-    else:
-        spread = spread.where(F.col("date").between(F.lit(calendar[0]).cast("date"), F.lit(calendar[1]).cast("date")))
-    return spread.groupBy("date").agg(F.countDistinct("_ident").alias(name))
+    once = rows.select(F.to_date(day).alias("_day"), F.col(ident).alias("_ident")).where("_day is not null and _ident is not null").distinct()
+    after = F.lead("_day").over(Window.partitionBy("_ident").orderBy("_day"))
+    stretches = once.withColumn("_end", F.least(F.date_add("_day", days), after))
+    steps = stretches.select("_day", F.explode(F.array(F.struct(F.col("_day").alias("date"), F.lit(1).alias("d")), F.struct(F.col("_end").alias("date"), F.lit(-1).alias("d")))).alias("x"))
+    # From here on a row is a day.
+    changes = steps.groupBy("x.date").agg(F.sum("x.d").alias("_change"), F.max("_day").alias("_seen"))
+    dense = changes.agg(F.min("date").alias("a"), F.max("_seen" if calendar is None else "date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("date"))
+    counts = dense.join(changes, "date", "left").select("date", F.sum(F.coalesce("_change", F.lit(0))).over(Window.orderBy("date")).alias(name))
+    if calendar is not None:
+        counts = counts.where(F.col("date").between(F.lit(calendar[0]).cast("date"), F.lit(calendar[1]).cast("date")))
+    return counts.where(F.col(name) > 0)
 
 
 def holes(rows: DataFrame, key: str, time: str, most_seconds: int) -> DataFrame:

@@ -36,7 +36,7 @@ class Catalog:
 
     spark: SparkSession
     data_dir: str = ""
-    source: str = "nextbike_bn"
+    source: str = "bikes"
     tables: dict[str, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ def read_trips(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], schemas.TRIPS_EARLY)
 
 
-def read_stations(spark: SparkSession, path: str, data_source: str = "citibike_website") -> DataFrame:
+def read_stations(spark: SparkSession, path: str, data_source: str = "website") -> DataFrame:
     rows = _csv(spark, path, T.StructType(schemas.STATIONS.fields[:4]))
     return rows.withColumns({"data_source": F.lit(data_source), "normalized_id": F.when(F.col("normalized_id").rlike(r"^\d+\.\d$"), F.concat("normalized_id", F.lit("0"))).otherwise(F.col("normalized_id"))})
 

@@ -81,10 +81,10 @@ def test_collecting_stores_once_and_leaves_other_sources(spark, tmp_path):
     station = {"station_id": "7", "num_bikes_available": 2, "is_installed": True, "is_renting": True, "is_returning": True, "last_reported": 1_772_408_000}
     body = json.dumps({"last_updated": 1_772_409_000, "ttl": 60, "data": {"stations": [station]}})
     line = lambda source: json.dumps({"source": source, "feed": "station_status", "fetched_at": at(0).isoformat(), "json": body})
-    for k, text in enumerate((line("syn"), line("syn") + "\n" + line("dott"))):
+    for k, text in enumerate((line("syn"), line("syn") + "\n" + line("other"))):
         (folder / f"{k}.json").write_text(text)
         collect.collect(collect.payload_stream(spark, str(folder)), data, "syn", str(tmp_path / "check")).awaitTermination()
-    assert Catalog(spark, data, "syn").station_status.count() == 1 and Catalog(spark, data, "dott").station_status.count() == 0
+    assert Catalog(spark, data, "syn").station_status.count() == 1 and Catalog(spark, data, "other").station_status.count() == 0
 
 
 @pytest.mark.parametrize("build,rows", [(collect.hourly_availability, 1), (collect.empty_episodes, 1)])
