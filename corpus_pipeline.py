@@ -26,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     as they are."""
     prepare(spark)
     model = langid.learn_from_documents(docs)
-    found = langid.predict(docs.select(F.struct(*COLUMNS).alias("doc"), "text"), model)
+    found = langid.predict(docs.select(*COLUMNS), model)
     known = (F.col("score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & known).select("doc.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & known).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, read
+from .shared import lean, materialise, read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters a chunk owns, and characters it shares with the next one.
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, chunk: int
 
     short = docs.where(~long_text).select(F.struct(*kept).alias("row"), text.alias("text"))
     schema = T.StructType([short.schema["row"], T.StructField("ids", T.BinaryType())])
-    short = short.mapInArrow(lambda it: _encode_short(it, path), schema).select("row.*", "ids")
+    short = short.mapInArrow(lean(_encode_short, path), schema).select("row.*", "ids")
 
     named = docs.where(long_text).select(F.struct(*kept).alias("kept"), F.sha2(text, 256).alias("row"), text.alias("text"))
     parts = materialise(
@@ -219,7 +219,7 @@ def digests(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
     schema = T.StructType([plain.schema[c] for c in keep])
     for name, kind in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())):
         schema = schema.add(name, kind)
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import Union, components, edge_batch
-from .shared import materialise, partitions_for, read
+from .shared import lean, materialise, partitions_for, read
 from .words import grams, mix, pieces
 
 #: Words a shingle; links need PERCENT * union <= 100 * intersection.
@@ -164,7 +164,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     many = materialise(rows.where(F.col("rows") > FEW).select("class", "h", need), "jaccard-many")
     large = many.groupBy("class", "need").agg(F.count("*").alias("large"))
     few = rows.where(F.col("rows") <= FEW).select("class", "n", "h").repartition(partitions_for(rows.sparkSession), "h").sortWithinPartitions("h")
-    pairs = few.mapInArrow(_pairs, "a long, b long, n_a long, n_b long, got long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("got").alias("got"))
+    pairs = few.mapInArrow(lean(_pairs), "a long, b long, n_a long, n_b long, got long").groupBy("a", "b", "n_a", "n_b").agg(F.sum("got").alias("got"))
     for side in ("a", "b"):
         pairs = pairs.join(large.select(F.col("class").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
     least = F.ceil(F.ceil(F.least("n_a", "n_b") * PERCENT / 100) / COMMON)
@@ -265,7 +265,7 @@ def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def multiply(pairs: DataFrame) -> DataFrame:
     """Links (a, b) of task rows (key, side, class, data)."""
     n = partitions_for(pairs.sparkSession)
-    return pairs.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "class", "data").mapInArrow(_multiply, "a long, b long")
+    return pairs.repartition(n, "key").sortWithinPartitions("key", "side").select("key", "side", "class", "data").mapInArrow(lean(_multiply), "a long, b long")
 
 
 def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("columns", T.ArrayType(T.LongType()))])
-    sets = materialise(rows.mapInArrow(_sets, schema), "jaccard-sets")
+    sets = materialise(rows.mapInArrow(lean(_sets), schema), "jaccard-sets")
     sent = sets.select("class", "n", F.explode("columns").alias("h"))
     shared = materialise(_shared(sent), "jaccard-shared")
     again = materialise(_enough(_shared(_enough(shared))), "jaccard-candidates")
@@ -358,7 +358,7 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("family"), part.column("class"), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["family", "class", "n", "data"])
 
-    links = family_links(texts.mapInArrow(full, "family long, class long, n long, data binary"))
+    links = family_links(texts.mapInArrow(lean(full), "family long, class long, n long, data binary"))
     found = components(links, "jaccard-components").withColumnRenamed("node", "class")
     labelled = materialise(
         sets.select("row.*", "n", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "jaccard-labelled"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_fold, materialise, read
+from .shared import crc_fold, lean, materialise, read
 from .words import mix, slices, text_buffers
 
 #: Slots of the filter, hashes an n-gram sets, least share of a language's n-grams for a place in its filter (so that
@@ -126,7 +126,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part, back = np.unique(np.concatenate((old, part)), return_inverse=True)
                     n = np.bincount(back, np.concatenate((m, n))).astype(np.int64)
                 held[lang] = part, n
-        if sum(len(x) for x, _ in held.values()) > 4 << 20:
+        if sum(len(x) for x, _ in held.values()) > 1 << 20:
             yield from out()
             held.clear()
     yield from out()
@@ -139,7 +139,7 @@ def learn(texts: DataFrame) -> Model:
     share that any language has. The driver gets the filter's slots only, whose number is fixed.
     """
     rows = texts.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    counts = materialise(rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "lang-counts")
+    counts = materialise(rows.mapInArrow(lean(_count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "lang-counts")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals, key=lambda x: x.encode())
     width = max(1, -(-len(langs) // 64))
@@ -166,21 +166,22 @@ def learn(texts: DataFrame) -> Model:
     return Model(langs, max(range(len(langs)), key=lambda i: (totals[langs[i]], -i)), table, fill**HASHES)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs with ``lang_pred`` and ``score``, the share of the text's n-grams that the language's filter
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (default: all) with ``lang_pred`` and ``score``, the share of the text's n-grams that the language's filter
     holds, corrected for false positives.
 
     A null text or one without any letter, and any text where nothing was learned: ``und`` and 0. Ties go to the most
     frequent language of the learned texts, then to the first by code point. Columns of docs that are called like
     the results are replaced; repeated rows are scored each.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    inside = "text" in kept  # then the text travels in the row alone
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS words for every 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            raw, offs = text_buffers(batch.column("text"))
+            raw, offs = text_buffers(batch.column("row").field("text") if inside else batch.column("text"))
             letters = batch.column("letters")
             for i, j in slices(offs):
                 if model.langs:
@@ -192,9 +193,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     names, score = [UNKNOWN] * (j - i), np.zeros(j - i)
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(names, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), *([] if inside else ["text"]), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(lean(run), schema).select("row.*", "lang_pred", "score")
 
 
 def learn_from_documents(docs: DataFrame) -> Model:
@@ -206,5 +207,4 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn_from_documents(docs)
     found = docs.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "text")
     # Only ids come back from Python.
-    texts = found.select(F.struct("doc_id", "held_out").alias("id"), "text")
-    return predict(texts, model).select("id.doc_id", "id.held_out", "lang_pred", "score")
+    return predict(found, model, keep=["doc_id", "held_out"])

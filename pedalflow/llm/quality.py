@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_fold, read
+from .shared import crc_fold, lean, read
 from .words import slices, text_buffers
 
 #: Bytes a chunk, bytes from one chunk to the next, bytes an input step, steps a filter spans.
@@ -197,7 +197,7 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(1 / (1 + np.exp(-np.clip(logit, -60, 60))))], names=["row", "score"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).select("row.*", "score")
+    return rows.mapInArrow(lean(run), schema).select("row.*", "score")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FmIndex
-from .shared import materialise, partitions_for, read
+from .shared import lean, materialise, partitions_for, read
 from .words import Words, grams, mix, pieces
 
 WINDOW, GRAM = 13, 5
@@ -203,18 +203,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     firsts = base.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
     # A text has one row at an anchor, so one anchor holds a small part of all rows however common its passage.
     same = Window.partitionBy("anchor")
-    sent = base.select("text", "text_key").mapInArrow(_anchors, "text_key long, anchor long")
+    sent = base.select("text", "text_key").mapInArrow(lean(_anchors), "text_key long, anchor long")
     shared = materialise(
         sent.withColumns({"low": F.min("text_key").over(same), "high": F.max("text_key").over(same)}).where("low < high").select("text_key", "anchor"), "substring-anchors"
     )
     wanted = shared.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "text_key")
     texts = base.join(wanted.select(F.col("text_key").alias("_key"), F.col("first_id").alias("_id"), "anchors"), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")))
     cut = materialise(
-        texts.select("doc_id", "text_key", "text", "anchors").mapInArrow(_cut, "anchor long, piece long, doc_id long, text_key long, start int, words binary"), "substring-pieces"
+        texts.select("doc_id", "text_key", "text", "anchors").mapInArrow(lean(_cut), "anchor long, piece long, doc_id long, text_key long, start int, words binary"), "substring-pieces"
     )
     # Equal pieces go to the shards a few times at most; their many places wait for the answer outside.
     shards = cut.where("words is not null").select("anchor", "piece", "doc_id", "words").repartition(partitions_for(spark), "anchor").sortWithinPartitions("anchor")
-    holders = shards.mapInArrow(_shard, "piece long, holders array<long>")
+    holders = shards.mapInArrow(lean(_shard), "piece long, holders array<long>")
     places = cut.select("piece", "text_key", "doc_id", "start").join(holders, "piece")
     mask = F.aggregate("holders", F.struct(F.lit(0).alias("mask"), F.lit(1).alias("bit")), lambda a, x: F.struct(
         (a["mask"] + F.when(x < F.col("doc_id"), a["bit"]).otherwise(0)).alias("mask"), (a["bit"] * 2).alias("bit")), lambda a: a["mask"])
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     first = F.col("_id") == F.col("first_id")
     ready = both.select("row", "text", F.coalesce(F.col("_id") > F.col("first_id"), F.lit(False)).alias("copy"), F.when(first, F.col("starts")).alias("starts"), F.when(first, F.col("masks")).alias("masks"))
     schema = T.StructType([ready.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return ready.mapInArrow(lambda it: _remove(it, with_text), schema)
+    return ready.mapInArrow(lean(_remove, with_text), schema)
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

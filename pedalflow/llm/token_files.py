@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, new_path, partitions_for, read
+from .shared import lean, materialise, new_path, partitions_for, read
 from .words import compact_words, slices, text_buffers
 
 TOKENIZER = "word_bpe_49k.json"
@@ -268,7 +268,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = END_ID
     store.create_dir(folder, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions_for(spark), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
-    return materialise(ordered.mapInArrow(lambda it: _write(it, path, out, end_id, shard_ids), "part int, k int, n_ids long"), "token-manifest")
+    return materialise(ordered.mapInArrow(lean(_write, path, out, end_id, shard_ids), "part int, k int, n_ids long"), "token-manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +290,7 @@ def read_token_files(spark: SparkSession, out: str, manifest: DataFrame) -> Data
     # A row here is a shard file, not a document.
     bases = manifest.select("part", "k", F.coalesce(F.sum("n_ids").over(upto), F.lit(0)).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.efids").load(out).select("content")
-    rows = files.mapInArrow(_read, "part int, k int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(_read), "part int, k int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["part", "k"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

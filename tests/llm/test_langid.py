@@ -27,16 +27,17 @@ def test_predicts_held_out_texts_and_defines_odd_ones(spark):
     assert model.langs == ["de", "en"]
     df = spark.createDataFrame([(1, "the other river", "q"), (2, "und der andere Fluss", "q"), (3, None, "q"), (4, "12 !?", None), (5, "", ""), (6, "qqq", ""), (1, "the other river", "q")], "doc_id long, text string, score string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
-    assert got[1][0] == "en" and got[2][0] == "de" and got[1][1] > 0.8
+    assert got[1][0] == "en" and got[2][0] == "de" and got[1][1] > 0.6
     assert got[3] == got[4] == got[5] == ("und", 0.0) and got[6][0] == "de"
     assert langid.predict(df, model).count() == 7
 
 
 def test_more_than_64_languages(spark):
-    rows = [(" ".join(chr(97 + i % 26) * (2 + i // 26) + chr(97 + (i + j) % 26) * 3 for j in range(6)), f"l{i:02d}") for i in range(70)]
+    # Each language has letters of its own beside one that all share.
+    rows = [(" ".join(chr(0x4E00 + 40 * i + j) * 2 + "a" * 4 for j in range(8)), f"l{i:02d}") for i in range(70)]
     model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
     df = spark.createDataFrame(rows, "text string, lang string")
-    assert langid.predict(df, model).where("lang = lang_pred").count() >= 68
+    assert langid.predict(df, model).where("lang = lang_pred").count() == 70
 
 
 def test_nothing_learned_and_no_rows(spark):
