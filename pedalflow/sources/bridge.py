@@ -29,8 +29,9 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of a station in an hour, as that hour's snapshot: many stations share one."""
     rows = status(spark, sf_dir).withColumn("snapshot_ts", hour_of(F.col("snapshot_ts")))
-    last = F.max_by(F.struct("num_bikes_available", "is_installed"), "event_id").alias("s")
-    return rows.groupBy("source", "station_id", "snapshot_ts").agg(last).select("source", "station_id", "snapshot_ts", "s.*")
+    # One aggregate a column: fixed-width buffers stay in hash aggregation, a struct would be sorted.
+    last = [F.max_by(c, "event_id").alias(c) for c in ("num_bikes_available", "is_installed")]
+    return rows.groupBy("station_id", "snapshot_ts").agg(*last).select(F.lit(SOURCE).alias("source"), "station_id", "snapshot_ts", "num_bikes_available", "is_installed")
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
