@@ -34,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one document stays, that with the smallest id; of a component without any
     id, one text. Of rows that share an id one stays."""
+    prepare(spark)
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
     found = jaccard.near_duplicates(keyed, carry=("_key",))
     named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_key").alias("_key"))
@@ -49,6 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the words of passages that a document with a smaller id has too. A document that loses none keeps its
     text as it is; one that loses all its words goes."""
+    prepare(spark)
     found = substring.remove_repeats(docs.select("doc_id", F.struct("lang", "source", "n_chars", F.col("text").alias("whole")).alias("doc"), "text"))
     changed = F.col("n_removed") > 0
     return found.where("n_removed = 0 or n_removed < n_words").select(
@@ -81,8 +83,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as counts and digests: doc_id, lang, source, n_tokens,
     ids_sha256, decoded_sha256."""
+    prepare(spark)
     path = public_tokenizers.path(bpe.RANKS)
-    return bpe.digests(bpe.encode(docs, path, keep=["doc_id", "lang", "source"]), path, ["doc_id", "lang", "source"])
+    return bpe.digests(docs, path, ["doc_id", "lang", "source"])
 
 
 STAGES = [

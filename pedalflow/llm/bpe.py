@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -141,7 +141,16 @@ def _join_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [b"".join(pdf.sort_values("piece")["ids"])]})
 
 
-def encode(docs: DataFrame, path: str, keep: list[str] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, column: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame,
+    path: str,
+    keep: list[str] | None = None,
+    chunk: int = CHUNK,
+    overlap: int = OVERLAP,
+    column: str = "text",
+    then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None,
+    fields: T.StructType | None = None,
+) -> DataFrame:
     """The columns ``keep`` of docs (default: all) and a binary column ``ids``: the token ids of the whole text,
     little-endian unsigned 32-bit.
 
@@ -150,6 +159,8 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, chunk: int
     piece; where neighbours never meet (one run longer than the overlap), the text is read on as one piece. Only
     one text's ids and boundaries ever meet in one task, and copies of a long text are encoded once.
 
+    ``then`` maps batches of (row, ids) to (row, ``fields``) in the same workers' pass, so that ids needn't travel.
+
     Null or empty text: no ids. Repeated rows are encoded each. An empty table gives no rows. A column that is
     called ``ids`` is replaced.
     """
@@ -159,8 +170,10 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, chunk: int
     long_text = F.length(text) > chunk
 
     short = docs.where(~long_text).select(F.struct(*kept).alias("row"), text.alias("text"))
-    schema = T.StructType([short.schema["row"], T.StructField("ids", T.BinaryType())])
-    short = short.mapInArrow(lean(_encode_short, path), schema).select("row.*", "ids")
+    row = short.schema["row"]
+    out = T.StructType([row, *(fields or T.StructType([T.StructField("ids", T.BinaryType())]))])
+    follow = then or (lambda batches: batches)
+    short = short.mapInArrow(lean(lambda batches: follow(_encode_short(batches, path))), out)
 
     named = docs.where(long_text).select(F.struct(*kept).alias("kept"), F.sha2(text, 256).alias("row"), text.alias("text"))
     parts = materialise(
@@ -179,7 +192,10 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None, chunk: int
         .applyInPandas(lambda pdf: _encode_pieces(pdf, path), "row string, piece int, ids binary")
     )
     long_ids = pieces.groupBy("row").applyInPandas(_join_pieces, "row string, ids binary")
-    return short.unionByName(named.drop("text").join(long_ids, "row").select("kept.*", "ids"))
+    whole = named.drop("text").join(long_ids, "row").select(F.col("kept").alias("row"), "ids")
+    if then is not None:
+        whole = whole.mapInArrow(lean(follow), out)
+    return short.unionByName(whole).select("row.*", *out.names[1:])
 
 
 def decode_bytes(ids: bytes, path: str) -> bytes:
@@ -204,25 +220,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return done.select("row.*", "decoded")
 
 
-def digests(encoded: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """Decodes ids and reduces both sides to counts and digests in the same pass, so that texts don't travel back."""
-    def run(batches):
-        for batch in batches:
-            n, a, b = [], [], []
-            for x in batch.column("ids").to_pylist():
-                n.append(len(x) // 4)
-                a.append(hashlib.sha256(x).hexdigest())
-                b.append(hashlib.sha256(decode_bytes(x, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
+def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Decodes ids and reduces both sides to a count and digests."""
+    for batch in batches:
+        n, a, b = [], [], []
+        for x in batch.column("ids").to_pylist():
+            n.append(len(x) // 4)
+            a.append(hashlib.sha256(x).hexdigest())
+            b.append(hashlib.sha256(decode_bytes(x, path)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["row", *DIGESTS.names])
+
 
-    plain = encoded.select(*keep, "ids")
-    schema = T.StructType([plain.schema[c] for c in keep])
-    for name, kind in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())):
-        schema = schema.add(name, kind)
-    return plain.mapInArrow(lean(run), schema)
+def digests(docs: DataFrame, path: str, keep: list[str], **how: int) -> DataFrame:
+    """The columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of every whole text: encoded, decoded again."""
+    return encode(docs, path, keep, then=lambda batches: _digest(batches, path), fields=DIGESTS, **how)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    encoded = encode(read(spark, sf_dir, "documents"), path, keep=["doc_id"])
-    return digests(encoded, path, ["doc_id"])
+    return digests(read(spark, sf_dir, "documents"), path, ["doc_id"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import Union, components, edge_batch
-from .shared import lean, materialise, partitions_for, read
+from .shared import drop, lean, materialise, partitions_for, read
 from .words import grams, mix, pieces
 
 #: Words a shingle; links need PERCENT * union <= 100 * intersection.
@@ -296,7 +296,9 @@ def family_links(sets: DataFrame) -> DataFrame:
     stepped = _blocks(placed.where("blocks > 1").drop("blocks").withColumn("step", step), ["family", "step"], "blocks")
     large = materialise(stepped.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "jaccard-blocks")
     if large.isEmpty():
-        return materialise(multiply(own), "jaccard-links")
+        links = materialise(multiply(own), "jaccard-links")
+        drop(placed, large)
+        return links
     diagonal = side(large, key("family", "step", "block"), 0)
     to_first = side(large.where("block > 0"), key("family", "step", "block", F.lit("first")), 0)
     # A step's first block goes to each of its other blocks: rows of one block, times their number.
@@ -323,7 +325,9 @@ def family_links(sets: DataFrame) -> DataFrame:
     left = side(rest.join(tasks.select("family", "step", "share", "key"), ["family", "step", "share"]), F.col("key"), 0)
     right = marked.withColumnRenamed("step", "_step").join(tasks.drop("step", "share"), ["family", "_step", "block"])
     right = side(right.where((F.col("beside") >= 0) | ~F.col("rest")), F.col("key"), 1)
-    return links.unionByName(multiply(left.unionByName(right)))
+    more = materialise(multiply(left.unionByName(right)), "jaccard-more-links")
+    drop(placed, large, marked)
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -340,8 +344,12 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     sets = materialise(rows.mapInArrow(lean(_sets), schema), "jaccard-sets")
     sent = sets.select("class", "n", F.explode("columns").alias("h"))
     shared = materialise(_shared(sent), "jaccard-shared")
+    wide, sets = sets, materialise(sets.drop("columns"), "jaccard-classes")
+    drop(wide)
     again = materialise(_enough(_shared(_enough(shared))), "jaccard-candidates")
+    drop(shared)
     families = components(candidates(again), "jaccard-families")
+    drop(again)
     families = families.select(F.col("node").alias("class"), F.col("component").alias("family"))
 
     members = sets.where("n > 0").select("class", F.col("row.doc_id").alias("doc_id")).join(families, "class")

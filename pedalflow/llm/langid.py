@@ -18,6 +18,8 @@ from .words import mix, slices, text_buffers
 #: a language has at most 1 / MIN_RATE of them), and least part of the largest share that any language has.
 SLOTS, HASHES, MIN_RATE, KEEP = 1 << 21, 2, 1e-6, 0.2
 UNKNOWN = "und"
+#: Bytes of text that are looked up at once.
+SLICE = 1 << 19
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
@@ -116,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, offs = text_buffers(batch.column("text"))
         langs = np.asarray(batch.column("lang").to_pylist(), object)
-        for i, j in slices(offs):
+        for i, j in slices(offs, SLICE):
             found, begins = codes(*normalise(raw, offs[i : j + 1]))
             whose = np.repeat(np.arange(i, j), np.diff(begins))
             for lang in set(langs[i:j]):
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
         for batch in batches:
             raw, offs = text_buffers(batch.column("row").field("text") if inside else batch.column("text"))
             letters = batch.column("letters")
-            for i, j in slices(offs):
+            for i, j in slices(offs, SLICE):
                 if model.langs:
                     best, score = model.score(raw, offs[i : j + 1])
                     has = letters.slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)

@@ -122,7 +122,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes materialised tables that no plan reads any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table._written_to)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fm_index import FmIndex
-from .shared import lean, materialise, partitions_for, read
+from .shared import drop, lean, materialise, partitions_for, read
 from .words import Words, grams, mix, pieces
 
 WINDOW, GRAM = 13, 5
@@ -212,6 +212,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     cut = materialise(
         texts.select("doc_id", "text_key", "text", "anchors").mapInArrow(lean(_cut), "anchor long, piece long, doc_id long, text_key long, start int, words binary"), "substring-pieces"
     )
+    drop(shared)
     # Equal pieces go to the shards a few times at most; their many places wait for the answer outside.
     shards = cut.where("words is not null").select("anchor", "piece", "doc_id", "words").repartition(partitions_for(spark), "anchor").sortWithinPartitions("anchor")
     holders = shards.mapInArrow(lean(_shard), "piece long, holders array<long>")
@@ -219,6 +220,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     mask = F.aggregate("holders", F.struct(F.lit(0).alias("mask"), F.lit(1).alias("bit")), lambda a, x: F.struct(
         (a["mask"] + F.when(x < F.col("doc_id"), a["bit"]).otherwise(0)).alias("mask"), (a["bit"] * 2).alias("bit")), lambda a: a["mask"])
     masks = materialise(places.select("text_key", "start", mask.alias("mask")).where("mask <> 0"), "substring-masks")
+    drop(cut)
     lists = masks.distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     return firsts.join(lists, "text_key", "left").select("text_key", "first_id", F.col("spans.start").alias("starts"), F.col("spans.mask").alias("masks"))
 

@@ -239,7 +239,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, out: str, end_id: int,
     for batch in batches:
         raw, offs = text_buffers(batch.column("text"))
         names = batch.column("doc_id")
-        for i, j in slices(offs, 16 << 20):
+        for i, j in slices(offs, 6 << 20):
             ids, counts = enc.encode(raw, offs[i : j + 1])
             ends = np.cumsum(counts)
             for doc, a, b in zip(names.slice(i, j - i).to_pylist(), (ends - counts).tolist(), ends.tolist(), strict=True):

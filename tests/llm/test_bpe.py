@@ -39,7 +39,7 @@ def test_decoding_gives_the_bytes_back_and_digests_agree(spark):
     encoded = bpe.encode(df, PATH, chunk=200, overlap=30)
     for r in bpe.decode(encoded, PATH).collect():
         assert bytes(r.decoded) == (r.text or "").encode()
-    for r in bpe.digests(encoded, PATH, ["doc_id"]).collect():
+    for r in bpe.digests(df, PATH, ["doc_id"], chunk=200, overlap=30).collect():
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
         assert r.ids_sha256 == hashlib.sha256(whole(TEXTS[r.doc_id])).hexdigest() and r.n_tokens == len(whole(TEXTS[r.doc_id])) // 4
 
