@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectors
-from .shared import materialise, partitions_for, read
+from .shared import lean, materialise, partitions_for, read
 from .words import mix
 
 #: Hash tables, projections a table, width of a projection's cells (of vectors scaled to length 1), buckets a query
@@ -278,14 +278,15 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     """
     spark = rows.sparkSession
     some = vectors.valid(rows).where(F.exists("embedding", lambda x: x != 0))
-    held, found = vectors.classes(some, F.col("embedding").cast("array<double>"), "lsh-rows", k, every)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    held, found = vectors.classes(some, F.col("embedding"), "lsh-rows", k, every)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     ready = materialise(found.withColumn("norm", norm).withColumn("d", F.size("vec")), "lsh-classes")
     total = ready.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()
     longest = float(total["longest"] or 1.0)
     parts = max(partitions_for(spark), -(-total["n"] * TABLES // PART_ROWS))
 
-    index = materialise(ready.select("d", "cid", "vec", "ids").mapInArrow(lambda it: _index(it, longest), "bucket long, cid string, vec array<double>, ids array<long>"), "lsh-index")
+    kind = ready.schema["vec"].dataType.simpleString()  # vectors travel as they came; sums are made in double
+    index = materialise(ready.select("d", "cid", "vec", "ids").mapInArrow(lean(_index, longest), f"bucket long, cid string, vec {kind}, ids array<long>"), "lsh-index")
     shares = index.groupBy("bucket").count().where(F.col("count") > PART_ROWS).select("bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("shares"))
 
     def part_of(share):
@@ -299,7 +300,7 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     lists = dealt.select("cid", "bucket", part_of(F.col("_share"))).groupBy("cid", "part").agg(F.collect_list("bucket").alias("list"))
     queries = lists.join(asked, "cid").select("part", "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", "list")
     both = queries.unionByName(candidates).repartition(min(parts, 8 * partitions_for(spark)), "part").sortWithinPartitions("part", "d", "kind", "bucket")
-    result = both.mapInArrow(lambda it: _rerank(it, k), "cid string, scores array<double>, ids array<long>")
+    result = both.mapInArrow(lean(_rerank, k), "cid string, scores array<double>, ids array<long>")
     return vectors.answers(held, result, "double", k, every)
 
 
