@@ -352,8 +352,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     drop(again)
     families = families.select(F.col("node").alias("class"), F.col("component").alias("family"))
 
-    members = sets.where("n > 0").select("class", F.col("row.doc_id").alias("doc_id")).join(families, "class")
-    chosen = members.groupBy("class").agg(F.first("family").alias("family"), F.min("doc_id").alias("doc_id"))
+    # Summed before it is joined, so that a class with very many copies is one row.
+    chosen = sets.where("n > 0").groupBy("class").agg(F.min("row.doc_id").alias("doc_id")).join(families, "class")
     texts = base.join(chosen.select(F.col("doc_id").alias("_id"), "class", "family"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "family", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +371,8 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     labelled = materialise(
         sets.select("row.*", "n", "class").join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "jaccard-labelled"
     )
-    smallest = labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # A table of its own: a join with it can split a component that very many documents are in.
+    smallest = materialise(labelled.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
     return labelled.join(smallest, "component", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
