@@ -274,7 +274,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     gives no rows.
     """
     whole = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    marks = repeated(whole.select("doc_id", "text"))
+    # A table of its own: a join with it can split a text that very many documents are copies of.
+    marks = materialise(repeated(whole.select("doc_id", "text")), "substring-marks")
     others = [c for c in docs.columns if c != "text"]
     rows = whole.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("text_key"))
     both = rows.join(marks, "text_key", "left")
