@@ -98,6 +98,7 @@ def answers(held: DataFrame, found: DataFrame, kind: str, k: int = K, every: int
         "cid",
         F.slice(F.array_sort(F.array_distinct(F.transform("all", lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("v"))))), 1, k + 1).alias("best"),
     )
+    best = materialise(best, "neighbours")  # a join with a table can split a vector that very many queries have
     own = F.filter("best", lambda x: x["v"] != F.col("query_id"))
     return (
         queries.join(best, "cid")
