@@ -96,8 +96,9 @@ def split(raw: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     within = np.arange(count) - first
     with np.errstate(over="ignore"):
         terms = _BYTE[data[inside]] * _POW[within & 4095]
-        if len(within) and int(length.max()) > 4096:
-            terms = mix(terms + (within >> 12).astype(np.uint64) * _GOLD)
+        far = within > 4095  # the powers repeat there; nothing else of the slice may change
+        if far.any():
+            terms[far] = mix(terms[far] + (within[far] >> 12).astype(np.uint64) * _GOLD)
         sums = np.add.reduceat(terms, np.cumsum(length) - length)
         hashes = mix(sums + length.astype(np.uint64) * _GOLD)
     return Words(data, starts, ends, hashes, offsets)
