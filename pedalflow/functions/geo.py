@@ -77,3 +77,31 @@ def rounded_rings(polygons: Column, digits: int = 5) -> Column:
         return F.filter(near, lambda p, i: (i == 0) | (p != F.get(near, i - 1)))
 
     return F.transform(polygons, lambda rings: F.transform(rings, ring))
+
+
+def decode_polyline(text: Column, digits: int = 5) -> Column:
+    """An encoded polyline as an array of (lon, lat): numbers in chunks of five bits, signs in the lowest bit, each point
+    as its difference from the one before."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.ascii(c) - 63).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.array().cast("array<bigint>").alias("out"))
+
+    def take(state: Column, code: Column) -> Column:
+        value = state["value"] + F.call_function("shiftleft", code.bitwiseAND(F.lit(31)), state["shift"])
+        signed = F.when(value % 2 == 1, -((value + 1) / 2).cast("long")).otherwise((value / 2).cast("long"))
+        goes_on = code >= 32
+        return F.struct(
+            F.when(goes_on, value).otherwise(F.lit(0)).cast("long").alias("value"),
+            F.when(goes_on, state["shift"] + 5).otherwise(F.lit(0)).alias("shift"),
+            F.when(goes_on, state["out"]).otherwise(F.concat(state["out"], F.array(signed))).alias("out"),
+        )
+
+    steps = F.aggregate(codes, start, take, lambda s: s["out"])
+
+    def total(upto: Column, first: int) -> Column:
+        """The sum of every second difference from ``first`` up to point number ``upto``."""
+        own = F.filter(steps, lambda _, i: (i % 2 == first) & (i <= 2 * upto + first))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(10.0**digits)
+
+    n = F.floor(F.size(steps) / 2).cast("int")
+    points = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(total(k, 1).alias("lon"), total(k, 0).alias("lat")))
+    return F.when(n > 0, points).when(text.isNotNull(), F.array().cast(RING))

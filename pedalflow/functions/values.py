@@ -82,3 +82,19 @@ def ellipsis(text: Column, most: int = 17) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b in double; null where b is 0."""
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+
+
+def axis_ticks(top: Column, about: int = 5) -> Column:
+    """Ticks from 0 to the first one at or above ``top``, a step of 1, 2 or 5 times a power of ten apart and about so
+    many. Nothing above 0: the tick 0 alone."""
+    raw = top / about
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    part = raw / power
+    step = F.when(part <= 1, 1.0).when(part <= 2, 2.0).when(part <= 5, 5.0).otherwise(10.0) * power
+    count = F.ceil(top / step - 1e-9).cast("int")
+    return F.when(top > 0, F.transform(F.sequence(F.lit(0), count), lambda k: F.round(k * step, 9))).otherwise(F.array(F.lit(0.0)))
+
+
+def pseudonym(ident: Column, salt: str) -> Column:
+    """A name for an id that gives the same name again and doesn't tell the id; null stays null."""
+    return F.substring(F.sha2(F.concat(F.lit(salt), F.lit(":"), ident.cast("string")), 256), 1, 16)

@@ -56,3 +56,17 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
 
     plan = bridge.gaps(spark, "/root/testdata/sf0.001").where(F.col("gap_start") > F.lit("2024-01-01").cast("timestamp_ntz"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type)" in plan and "props" not in plan
+
+
+def test_polylines_ticks_and_pseudonyms(spark):
+    from pyspark.sql import functions as F
+
+    from pedalflow.functions import geo, values
+
+    df = spark.createDataFrame([("_p~iF~ps|U_ulLnnqC_mqNvxq`@",), ("",), (None,)], "p string")
+    got = [r.x if r.x is None else [(round(p.lon, 5), round(p.lat, 5)) for p in r.x] for r in df.select(geo.decode_polyline(F.col("p")).alias("x")).collect()]
+    assert got == [[(-120.2, 38.5), (-120.95, 40.7), (-126.453, 43.252)], [], None]
+    tops = spark.createDataFrame([(9.0,), (47.0,), (0.03,), (0.0,), (100.0,)], "t double")
+    assert [r.x for r in tops.select(values.axis_ticks(F.col("t")).alias("x")).collect()] == [[0, 2, 4, 6, 8, 10], [0, 10, 20, 30, 40, 50], [0, 0.01, 0.02, 0.03], [0], [0, 20, 40, 60, 80, 100]]
+    names = [r.x for r in spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "i string").select(values.pseudonym(F.col("i"), "s").alias("x")).collect()]
+    assert names[0] == names[1] != names[2] and names[3] is None
