@@ -183,8 +183,11 @@ def top_k(rows: DataFrame, scale: int = 64, k: int = vectors.K, every: int = vec
     longest = meta.groupBy("d").agg(F.max_by("cb", F.struct("top", -F.col("cb"))).alias("cb"), F.max("top").alias("top"))
     first = search(asked_blocks.select("d", "qb").join(longest, "d"))
     need = materialise(first.select("qb", "need").distinct(), "topk-need")
-    # One row here is a pair of blocks.
-    pairs = asked_blocks.select("d", "qb").join(need, "qb").join(meta, "d").where(F.col("top") * (1 + 1e-9) + 1e-9 >= F.col("need")).select("d", "qb", "cb", "top")
+    # One row here is a pair of blocks. There are few vector lengths, so the pairs are made in n shares of the candidate
+    # blocks, each of which meets all query blocks (two numbers a block).
+    asking = asked_blocks.select("d", "qb").join(need, "qb").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    offered = meta.withColumn("share", F.pmod(F.xxhash64("cb"), F.lit(n)).cast("int"))
+    pairs = asking.join(offered, ["d", "share"]).where(F.col("top") * (1 + 1e-9) + 1e-9 >= F.col("need")).select("d", "qb", "cb", "top")
     result = search(pairs).select("cid", "scores", "ids")
     return vectors.answers(held, result, "long", k, every)
 
