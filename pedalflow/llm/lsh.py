@@ -119,10 +119,9 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for own in _rows_by_length(batch.slice(i, 500)):
                 x = vectors.matrix(own.column("vec"), np.float64)
                 x /= np.sqrt((x**2).sum(axis=1))[:, None]
-                found = probe_ids(x).reshape(len(x), -1)
-                flat = found.ravel()
-                offs = np.arange(len(x) + 1, dtype=np.int32) * found.shape[1]
-                yield pa.RecordBatch.from_arrays([own.column("cid"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["cid", "buckets"])
+                found = [np.unique(row) for row in probe_ids(x).reshape(len(x), -1)]
+                offs = np.concatenate(([0], np.cumsum([len(row) for row in found]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([own.column("cid"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found)))], names=["cid", "buckets"])
 
 
 class Pool:
@@ -287,7 +286,9 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
 
     kind = ready.schema["vec"].dataType.simpleString()  # vectors travel as they came; sums are made in double
     index = materialise(ready.select("d", "cid", "vec", "ids").mapInArrow(lean(_index, longest), f"bucket long, cid string, vec {kind}, ids array<long>"), "lsh-index")
-    shares = index.groupBy("bucket").count().where(F.col("count") > PART_ROWS).select("bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("shares"))
+    # A table of its own, so that its size, mostly nothing, is known before it is joined.
+    large = index.groupBy("bucket").count().where(F.col("count") > PART_ROWS)
+    shares = materialise(large.select("bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("shares")), "lsh-shares")
 
     def part_of(share):
         return F.pmod(F.xxhash64("bucket", share), F.lit(parts)).cast("int").alias("part")
@@ -295,7 +296,7 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     candidates = index.join(shares, "bucket", "left").withColumn("_share", F.pmod(F.xxhash64("cid"), F.coalesce("shares", F.lit(1))).cast("int"))
     candidates = candidates.select(part_of(F.col("_share")), F.size("vec").alias("d"), F.lit(1).alias("kind"), "bucket", F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
     asked = ready.where("asked").select("d", "cid", "vec")
-    visits = asked.mapInArrow(_probes, "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket")).distinct()
+    visits = asked.mapInArrow(lean(_probes), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
     dealt = visits.join(shares, "bucket", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
     lists = dealt.select("cid", "bucket", part_of(F.col("_share"))).groupBy("cid", "part").agg(F.collect_list("bucket").alias("list"))
     queries = lists.join(asked, "cid").select("part", "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", "list")
