@@ -16,12 +16,12 @@ RATE, CLIP = 0.02, 1.0
 
 
 def softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the targets, and all probabilities."""
-    logits = logits - logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    s = e.sum(axis=1, keepdims=True)
-    rows = np.arange(len(target))
-    return logits[rows, target] - np.log(s[:, 0]), e / s
+    """Log probabilities of the targets, and all probabilities; a column for each target. Writes over the logits."""
+    logits -= logits.max(axis=0)
+    given = logits[target, np.arange(len(target))]
+    e = np.exp(logits, out=logits)
+    s = e.sum(axis=0)
+    return given - np.log(s), np.divide(e, s, out=e)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -75,12 +75,12 @@ class Gru:
         """Natural log probability of each target after its state."""
         w = self.w
         klass, inside = targets // SPAN, targets % SPAN
-        out = softmax_loss(states @ w["klass"] + w["klass_b"], klass)[0]
+        out = softmax_loss(w["klass"].T @ states.T + w["klass_b"][:, None], klass)[0]
         order = np.argsort(klass, kind="stable")
         edges = np.flatnonzero(np.diff(klass[order])) + 1
         for part in np.split(order, edges):
             c = klass[part[0]]
-            out[part] += softmax_loss(states[part] @ w["word"][c] + w["word_b"][c], inside[part])[0]
+            out[part] += softmax_loss(w["word"][c].T @ states[part].T + w["word_b"][c][:, None], inside[part])[0]
         return out
 
     def score(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -122,81 +122,115 @@ class Gru:
         """Over one window (step by document; target -1 after a document's end): gradients of the mean loss, the last
         state, and that loss. Nothing flows back beyond the window."""
         w, n = self.w, HIDDEN
-        saved, states = [], []
+        # Step by feature by document, so that the gates are blocks.
+        x = np.ascontiguousarray(w["embed"][inputs].transpose(0, 2, 1))
+        x[:, : 2 * n] += w["b"][: 2 * n, None]
+        new_b, turn = w["b"][2 * n :, None], np.ascontiguousarray(w["u"].T)
+        before = np.empty((len(inputs), n, len(h)), h.dtype)
+        states, new, gn, gates = np.empty_like(before), np.empty_like(x[:, :n]), np.empty_like(x[:, :n]), np.empty_like(x[:, : 2 * n])
+        h = np.ascontiguousarray(h.T)
         for t in range(len(inputs)):
-            h, back = self.step(inputs[t], h)
-            saved.append(back), states.append(h)
+            before[t] = h
+            g = turn @ h
+            gate = np.add(x[t, : 2 * n], g[: 2 * n], out=gates[t])
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.add(g[2 * n :], new_b, out=gn[t])
+            np.tanh(x[t, 2 * n :] + gate[:n] * gn[t], out=new[t])
+            h = np.add(new[t], gate[n:] * (h - new[t]), out=states[t])
         real = targets >= 0
         count = max(1, int(real.sum()))
-        hs = np.stack(states)
-        flat, goal = hs[real], targets[real]
+        flat, goal = states.transpose(0, 2, 1)[real], targets[real]
         klass, inside = goal // SPAN, goal % SPAN
+        order = np.argsort(klass, kind="stable")
+        rows = klass[order]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        lp, p = softmax_loss(flat @ w["klass"] + w["klass_b"], klass)
+        lp, p = softmax_loss(w["klass"].T @ flat.T + w["klass_b"][:, None], klass)
         loss = -float(lp.sum())
-        p[np.arange(len(goal)), klass] -= 1
+        p[klass, np.arange(len(goal))] -= 1
         p /= count
-        g["klass"], g["klass_b"] = flat.T @ p, p.sum(axis=0)
-        d_flat = p @ w["klass"].T
-        order = np.argsort(klass, kind="stable")
+        g["klass"], g["klass_b"] = (p @ flat).T, p.sum(axis=1)
+        d_flat = (w["klass"] @ p).T
         if len(order):
-            for part in np.split(order, np.flatnonzero(np.diff(klass[order])) + 1):
-                c = klass[part[0]]
-                lp, p = softmax_loss(flat[part] @ w["word"][c] + w["word_b"][c], inside[part])
-                loss -= float(lp.sum())
-                p[np.arange(len(part)), inside[part]] -= 1
-                p /= count
-                g["word"][c], g["word_b"][c] = flat[part].T @ p, p.sum(axis=0)
-                d_flat[part] += p @ w["word"][c].T
-        d_states = np.zeros_like(hs)
+            own, inside = flat[order], inside[order]
+            p, back = np.empty((SPAN, len(order)), flat.dtype), np.empty_like(own)
+            parts = list(zip(rows[starts].tolist(), starts, [*starts[1:], len(rows)], strict=True))
+            for c, i, j in parts:
+                np.add(w["word"][c].T @ own[i:j].T, w["word_b"][c][:, None], out=p[:, i:j])
+            lp, p = softmax_loss(p, inside)
+            loss -= float(lp.sum())
+            p[inside, np.arange(len(inside))] -= 1
+            p /= count
+            for c, i, j in parts:
+                g["word"][c], g["word_b"][c] = (p[:, i:j] @ own[i:j]).T, p[:, i:j].sum(axis=1)
+                back[i:j] = (w["word"][c] @ p[:, i:j]).T
+            d_flat[order] += back
+        d_states = np.zeros((*inputs.shape, n), flat.dtype)
         d_states[real] = d_flat
-        d_h = np.zeros_like(h)
-        d_x_all, token_all = [], []
+        d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+        r, z = gates[:, :n], gates[:, n:]
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), gn * r * (1 - r)
+        d_g, d_new, d_h = np.empty_like(x), np.empty_like(new), np.zeros_like(h)
         for t in reversed(range(len(inputs))):
-            tokens, before, r, z, new, gn = saved[t]
-            d_h = d_h + d_states[t]
-            d_new = d_h * (1 - z) * (1 - new**2)
-            d_z = d_h * (before - new) * z * (1 - z)
-            d_r = d_new * gn * r * (1 - r)
-            d_x = np.concatenate((d_r, d_z, d_new), axis=1)
-            d_g = np.concatenate((d_r, d_z, d_new * r), axis=1)
-            g["u"] += before.T @ d_g
-            g["b"] += d_g.sum(axis=0)
-            d_h = d_h * z + d_g @ w["u"].T
-            d_x_all.append(d_x), token_all.append(tokens)
-        np.add.at(g["embed"], np.concatenate(token_all), np.concatenate(d_x_all))
-        return g, h, loss / count
-
-    def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, windows: int, batch: int = 64, rate: float = RATE) -> int:
-        """One pass of AdaGrad over the documents in a seeded order: from each, up to ``windows`` windows on end, from
-        a seeded place, the state going from one to the next. Returns the tokens it learned from."""
+            d_h += d_states[t]
+            np.multiply(d_h, by_new[t], out=d_new[t])
+            np.multiply(d_new[t], by_r[t], out=d_g[t, :n])
+            np.multiply(d_h, by_z[t], out=d_g[t, n : 2 * n])
+            np.multiply(d_new[t], r[t], out=d_g[t, 2 * n :])
+            d_h *= z[t]
+            d_h += w["u"] @ d_g[t]
+        g["u"], g["b"] = (before @ d_g.transpose(0, 2, 1)).sum(axis=0), d_g.sum(axis=2).sum(axis=0)
+        d_g[:, 2 * n :] = d_new
+        wide = 3 * n
+        places = (inputs.reshape(-1, 1) * wide + np.arange(wide)).ravel()
+        np.add.at(g["embed"].reshape(-1), places, d_g.transpose(0, 2, 1).ravel())  # fast on one axis only
+        return g, np.ascontiguousarray(states[-1].T), loss / count
+
+    def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, windows: int | None = None, batch: int = 64, rate: float = RATE) -> int:
+        """One pass of AdaGrad over the documents in a seeded order, the state going from one window to the next. From
+        each document come all its windows, or with ``windows`` up to so many on end from a seeded place. Returns the
+        tokens it learned from.
+
+        ``batch`` documents go side by side; where one ends the next takes its turn. The order spreads documents over
+        the pass by their length, so that long ones do not remain alone at its end.
+        """
         rng = np.random.default_rng(seed)
-        length = np.diff(begins)
-        order = rng.permutation(len(length))
-        seen = 0
+        opens, end = begins[:-1], begins[1:]
+        if windows is not None:
+            long = np.maximum(np.diff(begins) - windows * WINDOW, 0)
+            opens = opens + (rng.random(len(long)) * (long + 1)).astype(np.int64)
+            end = np.minimum(opens + windows * WINDOW, end)
+        turns = -(-(end - opens) // WINDOW)
+        steps = max(-(-int(turns.sum()) // batch), int(turns.max(initial=0)))
+        order = np.argsort(rng.random(len(turns)) * (steps - turns + 1), kind="stable")
+        seen = waiting = 0
         if not hasattr(self, "_sum"):
             self._sum = {k: np.full_like(v, 1e-3) for k, v in self.w.items()}
-        for i in range(0, len(order), batch):
-            pick = order[i : i + batch]
-            long = np.maximum(length[pick] - windows * WINDOW, 0)
-            first = begins[pick] + (rng.random(len(pick)) * (long + 1)).astype(np.int64)
-            end = np.minimum(first + windows * WINDOW, begins[pick + 1])
-            h = np.zeros((len(pick), HIDDEN), np.float32)
-            for k in range(windows):
-                at = first + k * WINDOW + np.arange(WINDOW)[:, None]
-                live = at < end
-                if not live.any():
-                    break
-                target = np.where(live, tokens[np.minimum(at, len(tokens) - 1)], -1)
-                begin = at == begins[pick]
-                given = np.where(live & ~begin, tokens[np.minimum(np.maximum(at - 1, 0), len(tokens) - 1)], 0)
-                grads, h, _ = self.gradients(given, target, h)
-                seen += int(live.sum())
-                for name, g in grads.items():
-                    g = np.clip(g * WINDOW, -CLIP, CLIP)
-                    self._sum[name] += g * g
-                    self.w[name] -= rate * g / np.sqrt(self._sum[name])
-        return seen
+        pick, place, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
+        while True:
+            on = place < end[pick]
+            more = order[waiting : waiting + batch - int(on.sum())]
+            waiting += len(more)
+            pick, place = np.concatenate((pick[on], more)), np.concatenate((place[on], opens[more]))
+            h = np.concatenate((h[on], np.zeros((len(more), HIDDEN), np.float32)))
+            if not len(pick):
+                return seen
+            at = place + np.arange(WINDOW)[:, None]
+            live = at < end[pick]
+            target = np.where(live, tokens[np.minimum(at, len(tokens) - 1)], -1)
+            given = np.where(live & (at != begins[pick]), tokens[np.minimum(np.maximum(at - 1, 0), len(tokens) - 1)], 0)
+            grads, h, _ = self.gradients(given, target, h)
+            seen += int(live.sum())
+            place = place + WINDOW
+            for name, g in grads.items():
+                # A row of a token that was not given has no gradient.
+                rows = np.unique(given) if name == "embed" else slice(None)
+                g = np.clip(g[rows] * WINDOW, -CLIP, CLIP)
+                self._sum[name][rows] += g * g
+                self.w[name][rows] -= rate * g / np.sqrt(self._sum[name][rows])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.NAMES])

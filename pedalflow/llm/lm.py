@@ -20,8 +20,8 @@ from .words import pieces, slices, text_buffers
 CHUNK_BYTES, HOLD_BYTES = 6 << 20, 18 << 20
 #: Words the network tells apart; documents that start its training on the driver, and their most characters.
 VOCAB, WARM_DOCS, WARM_CHARS, WARM_EPOCHS = 2046, 2000, 20_000, 4
-#: Windows that every training document gives to the pass over the whole corpus, and that pass's rate.
-WINDOWS, RATE = 1, 0.01
+#: Rate of the pass over the whole corpus.
+RATE = 0.01
 SMOOTH = 0.1
 FOLDS = 10
 
@@ -170,8 +170,8 @@ def _concat(batch: pa.RecordBatch, learn: np.ndarray | None = None) -> tuple[np.
 
 
 def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
-    """One pass over the whole corpus: every task goes on training the same network on windows of all its training
-    documents, and the results are averaged, weighted by tokens. Sums are made in two levels, so that no task and not
+    """One pass over the whole corpus: every task goes on training the same network on all windows of all its training
+    documents, each document in order with the state carried on, and the results are averaged, weighted by tokens. Sums are made in two levels, so that no task and not
     the driver holds more than a few hundred copies of a block of weights."""
     block = 8192
     sent = chunks.sparkSession.sparkContext.broadcast(model)  # VOCAB words' weights
@@ -184,7 +184,7 @@ def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
             for _, chunk, learn, texts in _texts(batch):
                 tokens, begins = model.encode(*_concat(texts, learn))
                 if len(tokens):
-                    seen += net.train(tokens, begins, seed + chunk, WINDOWS, rate=RATE)
+                    seen += net.train(tokens, begins, seed + chunk, rate=RATE)
         if seen:
             flat = net.flat().astype(np.float64) * seen
             salt = TaskContext.get().partitionId() % 256
@@ -210,7 +210,7 @@ def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and for each chunk its words with their counts in all training documents.
 
     Every word of every training document is counted; words are told apart by 64-bit hashes. The network starts from
-    a bounded sample on the driver and then learns from windows of every training document.
+    a bounded sample on the driver and then learns from every token of every training document.
     """
     spark = chunks.sparkSession
     words = chunks.mapInArrow(lean(_vocabulary), "chunk long, h long, n long")

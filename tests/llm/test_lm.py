@@ -84,6 +84,33 @@ def test_gradients_against_differences():
         assert (near[0] - near[1]) / 2e-5 == pytest.approx(grads[k][at], rel=1e-4)
 
 
+def test_trains_on_every_window_of_a_document():
+    rng = np.random.default_rng(5)
+    docs = [np.append(rng.integers(1, 120, n), 0) for n in (0, 1, 31, 32, 33, 150, 3000, *rng.integers(0, 200, 100).tolist())]
+    docs.append(np.append(np.arange(2, 100), 0))
+    begins = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    net = Gru.fresh(np.ones(120))
+    windows = []
+    whole = net.gradients
+
+    def seen(given, target, h):
+        out = whole(given, target, h)
+        windows.extend((given[:, j], target[:, j], h[j], out[1][j]) for j in range(given.shape[1]))
+        return out
+
+    net.gradients = seen
+    assert net.train(np.concatenate(docs), begins, 7) == begins[-1]
+    assert Counter(t for _, target, _, _ in windows for t in target.tolist() if t >= 0) == Counter(np.concatenate(docs).tolist())
+    # The long document's windows come in order, each from the state that the one before left.
+    long, last, at = docs[6], np.zeros(HIDDEN, np.float32), 0
+    for given, target, h, after in windows:
+        part = long[at : at + len(target)]
+        if len(part) and (target[: len(part)] == part).all() and (h == last).all():
+            assert given[0] == (long[at - 1] if at else 0) and (given[1 : len(part)] == part[:-1]).all()
+            last, at = after, at + len(part)
+    assert at == len(long)
+
+
 def test_beats_the_base_on_held_out_documents(spark):
     out = lm.op6_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert out.s > out.b
