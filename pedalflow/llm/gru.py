@@ -189,20 +189,17 @@ class Gru:
         np.add.at(g["embed"].reshape(-1), places, d_g.transpose(0, 2, 1).ravel())  # fast on one axis only
         return g, np.ascontiguousarray(states[-1].T), loss / count
 
-    def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, windows: int | None = None, batch: int = 64, rate: float = RATE) -> int:
-        """One pass of AdaGrad over the documents in a seeded order, the state going from one window to the next. From
-        each document come all its windows, or with ``windows`` up to so many on end from a seeded place. Returns the
-        tokens it learned from.
+    def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, batch: int = 64, rate: float = RATE, before: np.ndarray | None = None) -> int:
+        """One pass of AdaGrad over all windows of the documents in a seeded order, the state going from one window to
+        the next. ``before`` has the token that stands before each document's first, the end token if not given.
+        Returns the tokens it learned from.
 
         ``batch`` documents go side by side; where one ends the next takes its turn. The order spreads documents over
         the pass by their length, so that long ones do not remain alone at its end.
         """
         rng = np.random.default_rng(seed)
         opens, end = begins[:-1], begins[1:]
-        if windows is not None:
-            long = np.maximum(np.diff(begins) - windows * WINDOW, 0)
-            opens = opens + (rng.random(len(long)) * (long + 1)).astype(np.int64)
-            end = np.minimum(opens + windows * WINDOW, end)
+        first = np.zeros(len(opens), np.int64) if before is None else before
         turns = -(-(end - opens) // WINDOW)
         steps = max(-(-int(turns.sum()) // batch), int(turns.max(initial=0)))
         order = np.argsort(rng.random(len(turns)) * (steps - turns + 1), kind="stable")
@@ -221,7 +218,7 @@ class Gru:
             at = place + np.arange(WINDOW)[:, None]
             live = at < end[pick]
             target = np.where(live, tokens[np.minimum(at, len(tokens) - 1)], -1)
-            given = np.where(live & (at != begins[pick]), tokens[np.minimum(np.maximum(at - 1, 0), len(tokens) - 1)], 0)
+            given = np.where(live, np.where(at == opens[pick], first[pick], tokens[np.clip(at - 1, 0, len(tokens) - 1)]), 0)
             grads, h, _ = self.gradients(given, target, h)
             seen += int(live.sum())
             place = place + WINDOW

@@ -12,14 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .gru import Gru
+from .gru import WINDOW, Gru
 from .shared import crc_fold, lean, materialise, partitions_for, read
 from .words import pieces, slices, text_buffers
 
 #: Bytes of text a chunk, and bytes a task holds to put documents of like length into one chunk.
 CHUNK_BYTES, HOLD_BYTES = 6 << 20, 18 << 20
-#: Words the network tells apart; documents that start its training on the driver, and their most characters.
-VOCAB, WARM_DOCS, WARM_CHARS, WARM_EPOCHS = 2046, 2000, 20_000, 4
+#: Words the network tells apart; documents that start its training on the driver, how often, and the most tokens that
+#: each gives every time.
+VOCAB, WARM_DOCS, WARM_EPOCHS, WARM_TOKENS = 2046, 2000, 4, 4 * WINDOW
 #: Rate of the pass over the whole corpus.
 RATE = 0.01
 SMOOTH = 0.1
@@ -179,7 +180,8 @@ def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         net, seen = model.net.like(model.net.flat()), 0
-        net._sum = {k: v.copy() for k, v in model.net._sum.items()}
+        if hasattr(model.net, "_sum"):
+            net._sum = {k: v.copy() for k, v in model.net._sum.items()}
         for batch in batches:
             for _, chunk, learn, texts in _texts(batch):
                 tokens, begins = model.encode(*_concat(texts, learn))
@@ -206,11 +208,31 @@ def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
     return model.net.like(np.concatenate([np.frombuffer(r["data"]) / r["seen"] for r in sorted(rows, key=lambda r: r["block"])]))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """For every epoch of the warm start, up to WARM_TOKENS tokens on end of each text, from a place seeded by its id,
+    and the token before them."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        sizes = text_buffers(batch.column("text"))[1]
+        for i, j in slices(sizes, CHUNK_BYTES):
+            tokens, begins = model.encode(*_concat(pa.RecordBatch.from_arrays([batch.column("text").slice(i, j - i)], names=["text"])))
+            out: list[tuple[int, int, int, np.ndarray]] = []
+            for r, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True), i):
+                rng = np.random.default_rng(ids[r] % (1 << 63))
+                for epoch in range(WARM_EPOCHS):
+                    at = a + int(rng.random() * (max(b - a - WARM_TOKENS, 0) + 1))
+                    out.append((ids[r], epoch, int(tokens[at - 1]) if at > a else 0, tokens[at : min(at + WARM_TOKENS, b)]))
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "epoch", "before", "tokens"]
+            )
+
+
 def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and for each chunk its words with their counts in all training documents.
 
     Every word of every training document is counted; words are told apart by 64-bit hashes. The network starts from
-    a bounded sample on the driver and then learns from every token of every training document.
+    pieces of a bounded number of documents, whatever their length, on the driver and then learns from every token of every training document.
     """
     spark = chunks.sparkSession
     words = chunks.mapInArrow(lean(_vocabulary), "chunk long, h long, n long")
@@ -230,14 +252,17 @@ def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     start = Gru.fresh(np.concatenate(([n_end, rare], counts)).astype(float))
     model = Model(start, hashes[order], (np.arange(len(top)) + 2)[order], sums["n"] + n_end, sums["v"] + (n_end > 0), n_end, rare, sums["v"] - len(top))
 
-    some = docs.where((crc_fold("doc_id", FOLDS) != 0) & (F.length("text") <= WARM_CHARS)).select("doc_id", "text")
+    some = docs.where((crc_fold("doc_id", FOLDS) != 0) & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS).distinct()
-    warm = some.join(F.broadcast(ids), "doc_id").limit(2 * WARM_DOCS).collect()  # at most WARM_DOCS ids
-    if warm:
-        warm.sort(key=lambda r: (r["doc_id"], r["text"]))
-        tokens, begins = model.encode(*_concat(pa.RecordBatch.from_pydict({"text": pa.array([r["text"] for r in warm], pa.string())})))
-        for epoch in range(WARM_EPOCHS):
-            model.net.train(tokens, begins, epoch, 4)
+    cut = some.join(F.broadcast(ids), "doc_id").mapInArrow(lean(lambda it: _pieces(it, model)), "doc_id long, epoch int, before long, tokens array<long>")
+    warm = cut.limit(2 * WARM_DOCS * WARM_EPOCHS).collect()  # at most WARM_DOCS ids
+    warm.sort(key=lambda r: (r["epoch"], r["doc_id"], r["tokens"]))
+    for epoch in range(WARM_EPOCHS):
+        rows = [r for r in warm if r["epoch"] == epoch]
+        if rows:
+            begins = np.concatenate(([0], np.cumsum([len(r["tokens"]) for r in rows])))
+            model.net.train(np.concatenate([r["tokens"] for r in rows]), begins, epoch, before=np.array([r["before"] for r in rows]))
+    if model.n:
         model.net = average(chunks, model, 100)
     return model, packed
 

@@ -111,6 +111,15 @@ def test_trains_on_every_window_of_a_document():
     assert at == len(long)
 
 
+def test_learns_where_all_documents_are_long(spark):
+    rng = np.random.default_rng(6)
+    # Each word is followed by the next one of eight, which no unigram can tell.
+    rows = [(i, " ".join(f"word{(k + s) % 8}" for k in range(4000))) for i, s in enumerate(rng.integers(0, 8, 24).tolist())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = lm.score(df).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert out.s > 0.5 * out.b
+
+
 def test_beats_the_base_on_held_out_documents(spark):
     out = lm.op6_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert out.s > out.b
