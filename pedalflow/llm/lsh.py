@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,10 @@ from .words import mix
 #: visits in each table, and rows of an index part.
 TABLES, PROJECTIONS, WIDTH, PROBES, PART_ROWS = 14, 8, 1.8, 220, 50_000
 SEED = 20
+#: Quotient of the longest and shortest norm of a range, and classes up to which a range is scanned whole.
+RANGE, SCAN_ROWS = 1.25, 1024
+
+Spans = dict[int, list[tuple[int, float, bool]]]
 
 
 @lru_cache(maxsize=2)
@@ -100,26 +105,50 @@ def _rows_by_length(batch: pa.RecordBatch):
         yield batch.filter(pa.array(sizes == d))
 
 
-def _index(batches: Iterator[pa.RecordBatch], longest: float) -> Iterator[pa.RecordBatch]:
-    """Each class once a table. Vectors are scaled by the longest and get a component that makes them unit long, so
-    that nearness in space orders them as their inner products with a query do."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2000):
-            for own in _rows_by_length(batch.slice(i, 2000)):
-                x = vectors.matrix(own.column("vec"), np.float64) / longest
-                whole, _ = cells(x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1))))
-                found = bucket_ids(whole, x.shape[1])
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, t]), own.column("cid"), own.column("vec"), own.column("ids")], names=["bucket", "cid", "vec", "ids"])
+def ranged(buckets: np.ndarray, span: int) -> np.ndarray:
+    """The numbers of buckets inside a range of norms."""
+    with np.errstate(over="ignore"):
+        return mix(buckets.view(np.uint64) + np.array([span], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def whole_range(d: int, span: int) -> int:
+    """The bucket that holds all of a range that is scanned."""
+    return int(ranged(np.array([-d], np.int64), span)[0])
+
+
+def _index(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.RecordBatch]:
+    """Each class once a table, or once at all in a range that is scanned. Vectors are scaled by the longest of their
+    range and get a component that makes them unit long, so that nearness in space orders those of a range as their
+    inner products with a query do."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            for of_length in _rows_by_length(batch.slice(i, 2000)):
+                d, place = of_length.column("d")[0].as_py(), of_length.column("span").to_numpy()
+                for span, longest, scan in spans[d]:
+                    own = of_length.filter(pa.array(place == span))
+                    if not own.num_rows:
+                        continue
+                    if scan:
+                        found = np.full((own.num_rows, 1), whole_range(d, span))
+                    else:
+                        x = vectors.matrix(own.column("vec"), np.float64) / longest
+                        whole, _ = cells(x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1))))
+                        found = ranged(bucket_ids(whole, d), span)
+                    for t in range(found.shape[1]):
+                        yield pa.RecordBatch.from_arrays([pa.array(found[:, t]), own.column("cid"), own.column("vec"), own.column("ids")], names=["bucket", "cid", "vec", "ids"])
+
+
+def _probes(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             for own in _rows_by_length(batch.slice(i, 500)):
                 x = vectors.matrix(own.column("vec"), np.float64)
                 x /= np.sqrt((x**2).sum(axis=1))[:, None]
-                found = [np.unique(row) for row in probe_ids(x).reshape(len(x), -1)]
+                d = x.shape[1]
+                hashed = [span for span, _, scan in spans[d] if not scan]
+                scanned = np.array([whole_range(d, span) for span, _, scan in spans[d] if scan], np.int64)
+                visits = probe_ids(x).reshape(len(x), -1) if hashed else np.zeros((len(x), 0), np.int64)
+                found = [np.concatenate([scanned, *(ranged(row, span) for span in hashed)]) for row in map(np.unique, visits)]
                 offs = np.concatenate(([0], np.cumsum([len(row) for row in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column("cid"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found)))], names=["cid", "buckets"])
 
@@ -266,26 +295,35 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     """Each query's k nearest rows found, by largest inner product in double precision: query_id, rank, vec_id, score.
 
     Queries are the rows whose id ``every`` divides; candidates all rows but those with the query's own id; all rows
-    are in the index, none is sampled. Every class of equal vectors lies in one bucket of each table; a query visits
-    PROBES buckets of each, likeliest first, and all it meets there are scored on the original vectors. Buckets go to
+    are in the index, none is sampled. Vectors are dealt into ranges of like norm, each scaled by its own longest, so
+    that a few long ones do not make the others alike. A range of up to SCAN_ROWS classes is one bucket that all
+    queries visit. In the others every class of equal vectors lies in one bucket of each table; a query visits PROBES
+    buckets of each, likeliest first. All it meets are scored on the original vectors; a query that meets fewer than
+    k others is scored against all of its length. Buckets go to
     index parts of about PART_ROWS rows; a bucket with more is dealt over several, and a query goes to a part once
     with the list of its buckets there.
 
     Null ids or vectors, empty vectors, zero vectors and vectors with null or non-finite components take no part;
     equal rows count once; vectors of another length are no candidates. Ties go to the smaller id. Fewer candidates
-    found give fewer rows; an empty table gives none. Other columns are ignored.
+    than k give fewer rows; an empty table gives none. Other columns are ignored.
     """
     spark = rows.sparkSession
     some = vectors.valid(rows).where(F.exists("embedding", lambda x: x != 0))
     held, found = vectors.classes(some, F.col("embedding"), "lsh-rows", k, every)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    ready = materialise(found.withColumn("norm", norm).withColumn("d", F.size("vec")), "lsh-classes")
-    total = ready.agg(F.count("*").alias("n"), F.max("norm").alias("longest")).first()
-    longest = float(total["longest"] or 1.0)
-    parts = max(partitions_for(spark), -(-total["n"] * TABLES // PART_ROWS))
+    span = F.floor(F.log("norm") / F.lit(math.log(RANGE)) + F.lit(0.5)).cast("int")  # a norm of 1 lies inside a range
+    ready = materialise(found.withColumn("norm", norm).withColumn("d", F.size("vec")).withColumn("span", span), "lsh-classes")
+    # A row for each length of vectors and range of norms.
+    sizes = ready.groupBy("d", "span").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
+    total: dict[int, int] = {}
+    spans: Spans = {}
+    for r in sorted(sizes, key=lambda r: (r["d"], r["span"])):
+        total[r["d"]] = total.get(r["d"], 0) + r["n"]
+        spans.setdefault(r["d"], []).append((r["span"], float(r["longest"]), r["n"] <= SCAN_ROWS))
+    parts = max(partitions_for(spark), -(-sum(total.values()) * TABLES // PART_ROWS))
 
     kind = ready.schema["vec"].dataType.simpleString()  # vectors travel as they came; sums are made in double
-    index = materialise(ready.select("d", "cid", "vec", "ids").mapInArrow(lean(_index, longest), f"bucket long, cid string, vec {kind}, ids array<long>"), "lsh-index")
+    index = materialise(ready.select("d", "span", "cid", "vec", "ids").mapInArrow(lean(_index, spans), f"bucket long, cid string, vec {kind}, ids array<long>"), "lsh-index")
     # A table of its own, so that its size, mostly nothing, is known before it is joined.
     large = index.groupBy("bucket").count().where(F.col("count") > PART_ROWS)
     shares = materialise(large.select("bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("shares")), "lsh-shares")
@@ -296,12 +334,25 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     candidates = index.join(shares, "bucket", "left").withColumn("_share", F.pmod(F.xxhash64("cid"), F.coalesce("shares", F.lit(1))).cast("int"))
     candidates = candidates.select(part_of(F.col("_share")), F.size("vec").alias("d"), F.lit(1).alias("kind"), "bucket", F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
     asked = ready.where("asked").select("d", "cid", "vec")
-    visits = asked.mapInArrow(lean(_probes), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
+    visits = asked.mapInArrow(lean(_probes, spans), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
     dealt = visits.join(shares, "bucket", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
     lists = dealt.select("cid", "bucket", part_of(F.col("_share"))).groupBy("cid", "part").agg(F.collect_list("bucket").alias("list"))
     queries = lists.join(asked, "cid").select("part", "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", "list")
     both = queries.unionByName(candidates).repartition(min(parts, 8 * partitions_for(spark)), "part").sortWithinPartitions("part", "d", "kind", "bucket")
-    result = both.mapInArrow(lean(_rerank, k), "cid string, scores array<double>, ids array<long>")
+    schema = "cid string, scores array<double>, ids array<long>"
+    result = materialise(both.mapInArrow(lean(_rerank, k), schema), "lsh-found")
+
+    # A query that met fewer than k others is scored against all vectors of its length.
+    met = result.groupBy("cid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("met"))
+    short = materialise(asked.join(met, "cid", "left").where(F.coalesce("met", F.lit(0)) <= k).select("d", "cid", "vec"), "lsh-short")
+    if not short.isEmpty():
+        shares_of = F.create_map(*[F.lit(x) for d, n in total.items() for x in (d, -(-n // PART_ROWS))])
+        every_part = F.explode(F.sequence(F.lit(0), shares_of[F.col("d")] - 1)).alias("part")
+        left = short.select(every_part, "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", F.array(F.lit(0).cast("long")).alias("list"))
+        own_part = F.pmod(F.xxhash64("cid"), shares_of[F.col("d")]).cast("int").alias("part")
+        right = ready.select(own_part, "d", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
+        scan = left.unionByName(right).repartition(partitions_for(spark), "part", "d").sortWithinPartitions("part", "d", "kind", "bucket")
+        result = result.unionByName(scan.mapInArrow(lean(_rerank, k), schema))
     return vectors.answers(held, result, "double", k, every)
 
 

@@ -89,6 +89,26 @@ def test_recall_on_the_embeddings(spark):
     assert len(got) == (ids % 20 == 0).sum() and hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("skew", ["one", "lognormal"])
+def test_recall_where_norms_differ(spark, monkeypatch, skew):
+    monkeypatch.setattr(lsh, "SCAN_ROWS", 50, raising=False)
+    rng = np.random.default_rng(8)
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()], float)
+    if skew == "one":
+        x[7] *= 50
+    else:
+        x *= np.exp(0.5 * rng.standard_normal(len(x)))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found_by(lsh.nearest(df))
+    hits = 0
+    for q, near in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {i for i, _ in near})
+    assert len(got) == len(range(0, len(x), 20)) and all(len(near) == 20 for near in got.values())
+    assert hits >= 0.9 * 20 * len(got), hits / 20 / len(got)
+
+
 def test_hot_bucket_is_dealt_over_parts(spark, rows, monkeypatch):
     df = frame(spark, rows)
     whole = found_by(lsh.nearest(df))
