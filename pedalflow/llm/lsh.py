@@ -156,14 +156,14 @@ def _probes(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.Reco
 class Pool:
     """The best candidates of a part's queries; pairs come in heaps and all but the best k + 1 of each query go.
 
-    Heaps are ranked by matrix products, whose last digits depend on the shapes; a few more than needed are kept and
-    scored again one by one, always in the same way, before they leave.
+    Heaps are ranked by matrix products, whose last digits depend on the shapes. Pairs within their rounding error of
+    the cut are scored again one by one, always in the same way, and ordered by that score and their smallest id.
     """
 
-    SPARE = 4
-
     def __init__(self, asked: np.ndarray, k: int):
         self.asked, self.k = asked, k + 1
+        self.wide = 4 * asked.shape[1] * np.finfo(float).eps * np.sqrt((asked**2).sum(axis=1))
+        self.longest = 0.0
         self.least = np.full(len(asked), -np.inf)
         self.q = np.zeros(0, np.int64)
         self.s = np.zeros(0)
@@ -175,7 +175,8 @@ class Pool:
     def offer(self, which: np.ndarray, block: np.ndarray, places: np.ndarray, flat: np.ndarray, offs: np.ndarray) -> None:
         """Queries by number against places of a candidate block."""
         scores = self.asked[which] @ block[places].T
-        a, b = np.nonzero(scores >= self.least[which][:, None])
+        self.longest = max(self.longest, float(np.sqrt((block[places] ** 2).sum(axis=1).max(initial=0))))
+        a, b = np.nonzero(scores >= (self.least - self.wide * self.longest)[which][:, None])
         if len(a):
             self.pending.append((which[a], scores[a, b], block, places[b], flat, offs))
             self.held += len(a)
@@ -192,14 +193,27 @@ class Pool:
         place = np.concatenate([np.arange(len(self.q)), *[p[3] for p in self.pending]])
         order = np.lexsort((-s, q))
         q, s, source, place = q[order], s[order], source[order], place[order]
-        first = np.searchsorted(q, q)
         # One candidate may come from several tables; with that many copies the best distinct ones are still in reach.
-        near = np.flatnonzero(np.arange(len(q)) - first < (self.k + self.SPARE) * (TABLES + 1))
+        reach = self.k * (TABLES + 2)
+        last = np.minimum(np.searchsorted(q, q) + reach, np.searchsorted(q, q, side="right")) - 1
+        near = np.flatnonzero(s >= s[last] - 2 * self.wide[q] * self.longest)
+        q, source, place = q[near], source[near], place[near]
+        s, smallest = np.empty(len(q)), np.empty(len(q), np.int64)
+        for i in np.unique(source).tolist():
+            mine = np.flatnonzero(source == i)
+            for j in range(0, len(mine), 1 << 15):
+                rows = mine[j : j + (1 << 15)]
+                at = place[rows]
+                s[rows] = np.sum(self.asked[q[rows]] * (self.v[at] if i < 0 else self.pending[i][2][at]), axis=1)
+                smallest[rows] = [self.ids[c][0] for c in at.tolist()] if i < 0 else self.pending[i][4][self.pending[i][5][at]]
+        order = np.lexsort((smallest, -s, q))
+        q, s, source, place = q[order], s[order], source[order], place[order]
+        near = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) < reach)
         keep, seen, count = [], set(), {}
         names, vecs = [], []
         for r in near.tolist():
             qi = int(q[r])
-            if count.get(qi, 0) >= self.k + self.SPARE:
+            if count.get(qi, 0) >= self.k:
                 continue
             if source[r] < 0:
                 ids, vec = self.ids[place[r]], self.v[place[r]]
@@ -207,23 +221,22 @@ class Pool:
                 _, _, block, _, flat, offs = self.pending[source[r]]
                 c = place[r]
                 ids, vec = tuple(flat[offs[c] : offs[c + 1]].tolist()), block[c]
-            if (qi, ids) in seen:
+            if (qi, s[r], ids) in seen:
                 continue
-            seen.add((qi, ids))
+            seen.add((qi, s[r], ids))
             count[qi] = count.get(qi, 0) + 1
             keep.append(r), names.append(ids), vecs.append(vec)
-            if count[qi] == self.k + self.SPARE:
+            if count[qi] == self.k:
                 self.least[qi] = s[r]
         self.q, self.s, self.ids = q[keep], s[keep], names
-        self.v = np.array(vecs).reshape(len(keep), -1)
+        self.v = np.array(vecs).reshape(len(keep), self.asked.shape[1])
         self.pending, self.held = [], 0
 
     def listed(self) -> dict[int, list[tuple[float, int]]]:
         """For each query with candidates, (score, id), best first."""
         self.settle()
-        exact = np.sum(self.asked[self.q] * self.v, axis=1) if len(self.q) else ()
         out: dict[int, list[tuple[float, int]]] = {}
-        for q, s, ids in zip(self.q.tolist(), exact, self.ids, strict=True):
+        for q, s, ids in zip(self.q.tolist(), self.s, self.ids, strict=True):
             out.setdefault(q, []).extend((-float(s), v) for v in ids)
         return {q: [(-s, v) for s, v in sorted(set(rows))[: self.k]] for q, rows in out.items()}
 

@@ -109,6 +109,18 @@ def test_recall_where_norms_differ(spark, monkeypatch, skew):
     assert hits >= 0.9 * 20 * len(got), hits / 20 / len(got)
 
 
+def test_ties_at_the_cut_go_to_smaller_ids():
+    rng = np.random.default_rng(3)
+    block = np.array([[bin(i)[2:].zfill(12)[j] == "1" for j in range(12)] for i in range(4096) if bin(i).count("1") == 6][:600], float)  # all tie
+    ids = rng.permutation(600)
+    pool = lsh.Pool(np.ones((1, 12)), 5)
+    for s in range(0, 600, 100):
+        pool.offer(np.array([0]), block, np.arange(s, s + 100), ids, np.arange(601))
+        pool.settle()
+    want = sorted((-float(v.sum()), int(i)) for v, i in zip(block, ids, strict=True))[:6]
+    assert pool.listed()[0] == [(-s, i) for s, i in want]
+
+
 def test_hot_bucket_is_dealt_over_parts(spark, rows, monkeypatch):
     df = frame(spark, rows)
     whole = found_by(lsh.nearest(df))
