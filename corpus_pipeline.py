@@ -33,11 +33,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one document stays, that with the smallest id; of a component without any
-    id, one text. Of rows that share an id one stays."""
+    id, one text. Rows that share an id are told apart by their components, so each component keeps a row of its own."""
     prepare(spark)
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
     found = jaccard.near_duplicates(keyed, carry=("_key",))
-    named = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("_key").alias("_key"))
+    # Rows that share an id may be of several components, and a text without words is its own.
+    alone = F.when(F.col("class").isNull(), F.col("_key")).alias("_alone")
+    named = found.where("doc_id = component_id").groupBy("component", "doc_id", alone).agg(F.min("_key").alias("_key")).select("doc_id", "_key").distinct()
     nameless = found.where("component_id is null and (class is null or class = component)")
     # Texts of one class may differ; the smallest key of each stays.
     nameless = nameless.groupBy("class").agg(F.min("_key").alias("_key")).select(F.lit(None).cast("long").alias("doc_id"), "_key")

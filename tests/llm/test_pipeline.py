@@ -64,6 +64,14 @@ def test_every_stage_against_plain_versions(spark):
     assert Counter((r["doc_id"], hashlib.sha256(x).hexdigest(), len(x) // 4) for r, x in zip(mixed, ids, strict=True)) == Counter((r["doc_id"], r["ids_sha256"], r["n_tokens"]) for r in tokens)
 
 
+def test_components_that_share_an_id_keep_a_row_each(spark):
+    one, other = (" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue"))
+    rows = [(1, one, "en", "s", 0), (1, other, "en", "s", 0), (2, one, "en", "s", 0), (3, other, "en", "s", 0), (3, other, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, one), (1, other)])
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], spark.read.parquet(f"{SF}/documents.parquet").schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
