@@ -417,7 +417,7 @@ def polygons(spark: SparkSession) -> DataFrame:
 
 
 EDGES = ", ".join(
-    f"('{name}', {r}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for name, rings in POLYGONS.items() for r, ring in enumerate(rings) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)
+    f"('{name}', {r}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for name, rings in POLYGONS.items() for r, ring in enumerate(rings) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)
 )
 POINTS = "pt AS (SELECT c_custkey AS id, (c_custkey % 100) / 10 AS lon, (c_custkey % 37) / 10 AS lat FROM customer)"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,21 @@ from .catalog import Catalog
 
 SOURCE = "syn"
 
+#: The driver's tables as declared, so that no query opens files to learn their columns.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+    "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,21 +139,22 @@ def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.where(number % 9 != 0).select("date", ((number % 11) / 10).alias("precipitation"), (20 + number % 70).cast("double").alias("max_temperature"), (number % 4).cast("double").alias("snow_depth"))
 
 
+RELATIONS = {
+    "station_status": status,
+    "gaps": gaps,
+    "station_areas": station_areas,
+    "weather": weather,
+    "vehicle_types": vehicle_types,
+    "free_bike_cells": free_bike_cells,
+    "station_information": station_information,
+}
+
+
 def catalog(spark: SparkSession, sf_dir: str, grid: bool = False) -> Catalog:
-    """All relations of the driver's tables; with ``grid``, station_status on the hour."""
-    return Catalog(
-        spark,
-        source=SOURCE,
-        tables={
-            "station_status": (status_grid if grid else status)(spark, sf_dir),
-            "gaps": gaps(spark, sf_dir),
-            "station_areas": station_areas(spark, sf_dir),
-            "weather": weather(spark, sf_dir),
-            "vehicle_types": vehicle_types(spark, sf_dir),
-            "free_bike_cells": free_bike_cells(spark, sf_dir),
-            "station_information": station_information(spark, sf_dir),
-        },
-    )
+    """All relations of the driver's tables, each planned when it is first asked for; with ``grid``, station_status on
+    the hour."""
+    made = RELATIONS | ({"station_status": status_grid} if grid else {})
+    return Catalog(spark, source=SOURCE, tables={name: partial(make, spark, sf_dir) for name, make in made.items()})
 
 
 #: The same relations for the oracle, as common table expressions.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -32,15 +33,18 @@ def in_utc(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Catalog:
-    """The seven relations of one source. ``tables`` gives ready-made ones instead of reading them."""
+    """The seven relations of one source. ``tables`` gives ready-made ones, or functions that plan them when they are
+    first asked for, instead of reading them."""
 
     spark: SparkSession
     data_dir: str = ""
     source: str = "bikes"
-    tables: dict[str, DataFrame] | None = None
+    tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None
 
     def table(self, name: str) -> DataFrame:
         if self.tables is not None and name in self.tables:
+            if callable(self.tables[name]):
+                self.tables[name] = self.tables[name]()
             return self.tables[name]
         if name in schemas.SNAPSHOTS:
             return in_utc(read_table(self.spark, f"{self.data_dir}/{self.source}/{name}", T.StructType(list(schemas.SNAPSHOTS[name])), True))
