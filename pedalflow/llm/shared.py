@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -60,7 +62,9 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_pedalflow_sent", False) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    archive = Path(tempfile.mkdtemp(prefix="pedalflow-")) / "pedalflow.zip"
+    folder = tempfile.mkdtemp(prefix="pedalflow-")  # the driver's own, from which Spark serves it
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / "pedalflow.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted((root / "pedalflow").rglob("*.py")):
             out.write(file, file.relative_to(root))
@@ -73,6 +77,21 @@ def prepare(spark: SparkSession) -> None:
     limit_batches(spark)
 
 
+def vocabulary(path: str) -> str:
+    """A vocabulary file by its path, or a public one by its bare name, which each machine resolves for itself."""
+    if os.path.basename(path) != path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
+def others(columns: list[str], *names: str) -> list[str]:
+    """Columns that are called like none of these names, in any spelling of case: Spark can't tell such columns apart."""
+    taken = {x.lower() for x in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -10,13 +10,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, materialise, new_path, partitions_for, read
+from .shared import lean, materialise, new_path, partitions_for, read, vocabulary
 from .words import compact_words, slices, text_buffers
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,8 +37,8 @@ class EliasFano:
     """A non-decreasing sequence of integers in about 2 + log2(range / n) bits each.
 
     The low bits of each value lie packed side by side, the high bits as gaps in a bit vector. ``select`` finds the
-    i-th one in that vector from a 32-bit sample every SAMPLE ones, so a single value is read without decoding the
-    others and without a table of 64-bit offsets.
+    i-th one in that vector from a 32-bit sample every SAMPLE ones, so values are read without decoding the others and
+    without a table of 64-bit offsets.
     """
 
     def __init__(self, n: int, least: int, low_bits: int, low: np.ndarray, high: np.ndarray):
@@ -70,27 +69,28 @@ class EliasFano:
         bits = np.unpackbits(self.low[a // 8 : -(-b // 8)], bitorder="little")[a % 8 :][: b - a]
         return (bits.reshape(-1, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
+    def _index(self) -> None:
+        """For every SAMPLE-th one the byte of the high bits that holds it and the ones before that byte."""
+        ones = np.cumsum(np.bitwise_count(self.high), dtype=np.uint32)
+        self._samples = np.searchsorted(ones, np.arange(0, self.n, SAMPLE) + 1).astype(np.uint32)
+        self._before = (ones[self._samples] - np.bitwise_count(self.high[self._samples])).astype(np.uint32)
+
     def select(self, i: int) -> int:
         """The i-th value."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
+        return int(self.select_run(i, i + 1)[0])
+
+    def select_run(self, first: int, last: int) -> np.ndarray:
+        """The values from the first to before the last: only the stretch of high bits between their samples is read."""
+        if not 0 <= first < last <= self.n:
+            raise IndexError((first, last))
         if self._samples is None:
-            ones = np.cumsum(np.bitwise_count(self.high), dtype=np.uint32)
-            self._samples = np.searchsorted(ones, np.arange(0, self.n, SAMPLE) + 1).astype(np.uint32)
-            self._before = np.concatenate(([0], ones))[self._samples].astype(np.uint32)
-        s = i // SAMPLE
+            self._index()
+        s, e = first // SAMPLE, (last - 1) // SAMPLE + 1
         at, seen = int(self._samples[s]), int(self._before[s])
-        stop = int(self._samples[s + 1]) + 1 if s + 1 < len(self._samples) else len(self.high)
+        stop = int(self._samples[e]) + 1 if e < len(self._samples) else len(self.high)
         ones = np.flatnonzero(np.unpackbits(self.high[at:stop], bitorder="little"))
-        place = at * 8 + int(ones[i - seen])
-        return self.least + ((place - i) << self.low_bits) + int(self._low(i, i + 1)[0])
-
-    def decode(self) -> np.ndarray:
-        """All values."""
-        if self.n == 0:
-            return np.zeros(0, np.int64)
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        rel = ((places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(0, self.n)
+        places = at * 8 + ones[first - seen : last - seen]
+        rel = ((places - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(first, last)
         return (rel + np.array([self.least], np.int64).astype(np.uint64)).astype(np.int64)
 
     def to_bytes(self) -> bytes:
@@ -124,11 +124,20 @@ class Shard:
         self.bounds, at = EliasFano.from_buffer(data, at)
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_null + self.docs.decode().tolist()
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """Ids of the documents from the first to before the last."""
+        named = (max(first, self.n_null) - self.n_null, last - self.n_null)
+        return [None] * (max(0, min(last, self.n_null) - first)) + (self.docs.select_run(*named).tolist() if named[1] > named[0] else [])
 
     def __getitem__(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        start, end = self.bounds.select_run(i, i + 2)
+        return self.ids[start:end]
+
+    def runs(self, most: int = 4096) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Documents in runs: the first, the one after the last, and all their boundaries, found by select."""
+        for i in range(0, self.n_docs, most):
+            j = min(i + most, self.n_docs)
+            yield i, j, self.bounds.select_run(i, j + 1)
 
 
 @lru_cache(maxsize=2)
@@ -138,7 +147,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return Tokenizer.from_file(vocabulary(path))
 
 
 class WordEncoder:
@@ -254,8 +263,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, out: str, end_id: int,
 
 
 def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encodes the texts and writes shard files to the folder ``out`` (a URI that pyarrow can write); returns the
-    manifest ``part, k, n_ids``, whose order by part and k is the order of the ids.
+    """Encodes the texts by the tokenizer at ``path`` (or the public one of that name) and writes shard files to the
+    folder ``out`` (a URI that pyarrow can write); returns the manifest ``part, k, n_ids``, whose order by part and k is the order of the ids.
 
     Documents go by range of doc_id (texts' hashes break ties, so that many rows without id still spread), shards
     follow one another in ascending order. Null or empty text: only the end id. Null ids come first. Repeated rows
@@ -275,20 +284,24 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             shard = Shard(content.as_buffer().to_pybytes())
-            bounds = shard.bounds.decode()
-            crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            n = shard.n_docs
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, shard.part, np.int32)), pa.array(np.full(n, shard.k, np.int32)), pa.array(shard.doc_ids(), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())],
-                names=["part", "k", "doc_id", "local_start", "n_tokens", "ids_crc32"],
-            )
+            for i, j, bounds in shard.runs():
+                crcs = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                n = j - i
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, shard.part, np.int32)), pa.array(np.full(n, shard.k, np.int32)), pa.array(shard.doc_ids(i, j), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crcs, pa.int64())],
+                    names=["part", "k", "doc_id", "local_start", "n_tokens", "ids_crc32"],
+                )
 
 
 def read_token_files(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (in all ids of all shards), n_tokens, ids_crc32."""
-    upto = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    # A row here is a shard file, not a document.
-    bases = manifest.select("part", "k", F.coalesce(F.sum("n_ids").over(upto), F.lit(0)).alias("base"))
+
+    def before(window):
+        return F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+
+    # A row here is a writing task, then a shard file, never a document.
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("_first"))
+    bases = manifest.withColumn("_in", before(Window.partitionBy("part").orderBy("k"))).join(parts, "part").select("part", "k", (F.col("_first") + F.col("_in")).alias("base"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.efids").load(out).select("content")
     rows = files.mapInArrow(lean(_read), "part int, k int, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["part", "k"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
@@ -296,5 +309,5 @@ def read_token_files(spark: SparkSession, out: str, manifest: DataFrame) -> Data
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "token-files")
-    manifest = write_token_files(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), out)
+    manifest = write_token_files(read(spark, sf_dir, "documents"), TOKENIZER, out)
     return read_token_files(spark, out, manifest)

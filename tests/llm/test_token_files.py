@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -16,8 +17,10 @@ TEXTS = ["Hello World's <|endoftext|> 12 x²", "", None, "a b\u0085c\x1cd　e 
 def test_elias_fano(values):
     ef = tf.EliasFano.encode(np.array(values, np.int64))
     ef, _ = tf.EliasFano.from_buffer(ef.to_bytes(), 0)
-    assert ef.decode().tolist() == values
     assert [ef.select(i) for i in range(len(values))] == values
+    for i in range(0, len(values), 97):
+        for j in {i + 1, min(i + 300, len(values)), len(values)}:
+            assert ef.select_run(i, j).tolist() == values[i:j]
 
 
 def test_elias_fano_is_near_minimal():
@@ -46,6 +49,36 @@ def test_files_hold_what_the_tokenizer_gives(spark, shard_ids):
     assert got == expected(rows)
 
 
+def test_a_shard_finds_documents_by_select():
+    lengths = [1, 3, 1, 5] * 700
+    ids = np.arange(sum(lengths), dtype="<u2")
+    names = [None, None, *range(10, 10 + 7 * (len(lengths) - 2), 7)]
+    shard = tf.Shard(tf.pack_shard(2, 1, names, lengths, ids.tobytes(), 2))
+    ends = np.cumsum(lengths)
+    for i in (0, 1, 2, 255, 256, 1000, len(lengths) - 1):
+        assert shard[i].tolist() == list(range(ends[i] - lengths[i], ends[i]))
+    runs = list(shard.runs(300))
+    assert [d for i, j, _ in runs for d in shard.doc_ids(i, j)] == names
+    assert np.concatenate([b[1:] for _, _, b in runs]).tolist() == ends.tolist()
+
+
+def test_results_come_through_select(spark, monkeypatch):
+    calls = []
+    select_run = tf.EliasFano.select_run
+    monkeypatch.setattr(tf.EliasFano, "select_run", lambda self, a, b: calls.append((a, b)) or select_run(self, a, b))
+    data = tf.pack_shard(0, 0, [4, 9], [2, 3], np.arange(5, dtype="<u2").tobytes(), 2)
+    batch = pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["content"])
+    got = pa.Table.from_batches(list(tf._read(iter([batch])))).to_pydict()
+    assert got["doc_id"] == [4, 9] and got["local_start"] == [0, 2] and got["n_tokens"] == [2, 3] and calls == [(0, 3), (0, 2)]
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "a b"), (2, "don't stop the été " * 900_000), (3, None)]
+    out = new_path(spark, "t")
+    manifest = tf.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), tf.TOKENIZER, out, shard_ids=1000)
+    assert sorted(map(tuple, tf.read_token_files(spark, out, manifest).collect())) == expected(rows)
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(None, "b a"), (None, "b a"), (2, "c"), (2, "c")], "doc_id long, text string")
     out = new_path(spark, "t")
