@@ -13,11 +13,11 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import lean, materialise, read
+from .shared import lean, materialise, others, read, vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters a chunk owns, and characters it shares with the next one.
@@ -28,7 +28,7 @@ MARGIN = 2
 
 @lru_cache(maxsize=4)
 def ranks_of(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
+    with open(vocabulary(path), "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
@@ -55,7 +55,7 @@ def boundaries(text: str, whole_end: bool) -> np.ndarray:
     return found if whole_end else found[found <= len(text) - MARGIN]
 
 
-def cut_points(heads: list[np.ndarray], tails: list[np.ndarray]) -> list[int | None]:
+def cut_points(heads: list[np.ndarray], tails: list[np.ndarray], sure: bool = False) -> list[int | None]:
     """For each chunk but the first: the smallest place that both its predecessor and it hold for a boundary.
 
     heads[i] are the boundaries that chunk i found in the part it shares with chunk i-1, tails[i] those it found in
@@ -63,15 +63,14 @@ def cut_points(heads: list[np.ndarray], tails: list[np.ndarray]) -> list[int | N
     boundary on both chunks find the same pre-tokens. None: they never meet, and the chunk is read on with its
     predecessor.
 
-    The first chunk is right from its start; a later one is right from its cut point. When chunk i has no cut point,
-    the tail of its predecessor proves nothing about chunk i+1 either, and what chunk i found can't be trusted.
+    The first chunk is right from its start, a later one from its cut point. After a chunk without one, the next two
+    that meet resynchronise most likely, but both may be off alike: whoever reads the piece before such a cut must see
+    its scan arrive there. With ``sure`` only cuts that need no such look are made.
     """
     out: list[int | None] = []
-    trusted = True
     for head, tail in zip(heads[1:], tails[:-1], strict=True):
-        both = np.intersect1d(head, tail) if trusted else ()
+        both = np.intersect1d(head, tail) if not sure or None not in out else ()
         out.append(int(both[0]) if len(both) else None)
-        trusted = bool(len(both))
     return out
 
 
@@ -102,30 +101,43 @@ def _scan(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterat
         )
 
 
-def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one document: for each chunk, the piece it belongs to and where its own text in that piece begins."""
+def _stitch(pdf: pd.DataFrame, sure: bool = False) -> pd.DataFrame:
+    """Of one document: for each chunk, the piece it belongs to, where that piece begins, where the next one does and
+    whether its reader must see the scan arrive there."""
     pdf = pdf.sort_values("k")
-    cuts = cut_points([np.asarray(x) for x in pdf["head"]], [np.asarray(x) for x in pdf["tail"]])
-    piece, first, out = 0, 0, []
+    cuts = cut_points([np.asarray(x) for x in pdf["head"]], [np.asarray(x) for x in pdf["tail"]], sure)
+    row, piece, first, out = pdf["row"].iloc[0], 0, 0, []
     for k, cut in zip(pdf["k"], [0, *cuts], strict=True):
         if cut is not None:
             piece, first = k, cut
-        out.append((pdf["row"].iloc[0], k, piece, first))
-    return pd.DataFrame(out, columns=["row", "k", "piece", "first"])
+        out.append((row, k, piece, first))
+    found = pd.DataFrame(out, columns=["row", "k", "piece", "first"])
+    begins = found.groupby("piece")["first"].first()
+    many = found.groupby("piece").size() > 1
+    found["stop"] = found["piece"].map(begins.shift(-1)).fillna(-1).astype("int64")
+    found["look"] = found["piece"].map(many) & (found["stop"] >= 0)
+    return found
+
+
+PLACED = "row string, k int, piece int, first long, stop long, look boolean"
+PIECES = "row string, piece int, ids binary, met boolean"
 
 
 def _encode_pieces(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
-    """Encodes one piece: the text from its cut point to the next piece's, over one chunk or, where none of the
-    boundaries met, several."""
+    """Encodes one piece: the text from its cut point to the next piece's, over one chunk or, where neighbours never
+    met, several. ``met`` is false where the scan from its begin doesn't arrive at its end."""
     pdf = pdf.sort_values("k")
-    text, end = "", None
+    parts, begin, end = [], int(pdf["at"].iloc[0]), int(pdf["at"].iloc[0])
     for at, part in zip(pdf["at"], pdf["part"], strict=True):
-        text = part if end is None else text[: at - begin] + part
-        begin = at if end is None else begin
+        parts.append(part[end - at :])
         end = at + len(part)
-    first, stop = int(pdf["first"].iloc[0]), int(pdf["stop"].iloc[0])
-    ids = encoder(path).encode_ordinary(text[first - begin : stop - begin])
-    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "piece": [int(pdf["piece"].iloc[0])], "ids": [np.asarray(ids, "<u4").tobytes()]})
+    text, first, stop = "".join(parts), int(pdf["first"].iloc[0]), int(pdf["stop"].iloc[0])
+    stop, met = (end, True) if stop < 0 else (stop, True)
+    if pdf["look"].iloc[0]:
+        # Text goes on behind the end, so the last pre-tokens before it are those of the whole text.
+        met = any(m.start() == stop - begin for m in PATTERN.finditer(text, first - begin))
+    ids = encoder(path).encode_ordinary(text[first - begin : stop - begin]) if met else []
+    return pd.DataFrame({"row": [pdf["row"].iloc[0]], "piece": [int(pdf["piece"].iloc[0])], "ids": [np.asarray(ids, "<u4").tobytes()], "met": [met]})
 
 
 def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -138,6 +150,9 @@ def _encode_short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 
 def _join_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A text's ids, null where some piece didn't meet its end."""
+    if not pdf["met"].all():
+        return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [None]})
     return pd.DataFrame({"row": [pdf["row"].iloc[0]], "ids": [b"".join(pdf.sort_values("piece")["ids"])]})
 
 
@@ -156,15 +171,17 @@ def encode(
 
     Texts of up to ``chunk`` characters are one chunk. Longer ones are cut into chunks that overlap, pre-tokenised
     in parallel, stitched at the first boundary that both neighbours find in their shared part, and encoded piece by
-    piece; where neighbours never meet (one run longer than the overlap), the text is read on as one piece. Only
-    one text's ids and boundaries ever meet in one task, and copies of a long text are encoded once.
+    piece; where neighbours never meet (one run longer than the overlap), the text is read on until two chunks do and
+    the scan is seen to arrive there. Only one text's ids and boundaries ever meet in one task, and copies of a long
+    text are encoded once.
 
     ``then`` maps batches of (row, ids) to (row, ``fields``) in the same workers' pass, so that ids needn't travel.
 
     Null or empty text: no ids. Repeated rows are encoded each. An empty table gives no rows. A column that is
-    called ``ids`` is replaced.
+    called ``ids``, in any case, is replaced. ``path`` is a rank file or the bare name of a public one.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
+    out_names = fields.names if fields else ["ids"]
+    keep = others(docs.columns if keep is None else keep, *out_names)
     kept = [F.col(f"`{c}`") for c in keep]
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     long_text = F.length(text) > chunk
@@ -181,17 +198,17 @@ def encode(
         "bpe-chunks",
     )
     spread = parts.repartition("row", "k")
-    scanned = spread.mapInArrow(lambda it: _scan(it, chunk, overlap), "row string, k int, head array<long>, tail array<long>")
-    placed = scanned.groupBy("row").applyInPandas(_stitch, "row string, k int, piece int, first long")
-    stops = placed.where("k = piece").select("row", "piece", F.lead("first").over(Window.partitionBy("row").orderBy("piece")).alias("stop"))
-    pieces = (
-        parts.join(placed, ["row", "k"])
-        .join(stops, ["row", "piece"])
-        .withColumn("stop", F.coalesce("stop", "length"))
-        .groupBy("row", "piece")
-        .applyInPandas(lambda pdf: _encode_pieces(pdf, path), "row string, piece int, ids binary")
-    )
-    long_ids = pieces.groupBy("row").applyInPandas(_join_pieces, "row string, ids binary")
+    scanned = materialise(spread.mapInArrow(lambda it: _scan(it, chunk, overlap), "row string, k int, head array<long>, tail array<long>"), "bpe-boundaries")
+
+    def joined(rows: DataFrame, sure: bool) -> DataFrame:
+        placed = rows.groupBy("row").applyInPandas(lambda pdf: _stitch(pdf, sure), PLACED)
+        pieces = parts.join(placed, ["row", "k"]).groupBy("row", "piece").applyInPandas(lambda pdf: _encode_pieces(pdf, path), PIECES)
+        return pieces.groupBy("row").applyInPandas(_join_pieces, "row string, ids binary")
+
+    found = materialise(joined(scanned, False), "bpe-long")
+    # Texts, if any, of which two chunks were off alike are read on from the last sure cut as one piece.
+    again = joined(scanned.join(found.where("ids is null").select("row"), "row", "left_semi"), True)
+    long_ids = found.where("ids is not null").unionByName(again)
     whole = named.drop("text").join(long_ids, "row").select(F.col("kept").alias("row"), "ids")
     if then is not None:
         whole = whole.mapInArrow(lean(follow), out)
@@ -205,8 +222,9 @@ def decode_bytes(ids: bytes, path: str) -> bytes:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows with a binary column ``decoded``, the bytes that the column ``ids`` stands for; null ids give null."""
-    kept = [c for c in encoded.columns if c != "decoded"]
+    """The rows with a binary column ``decoded``, the bytes that the column ``ids`` stands for; null ids give null. A
+    column that is called ``decoded``, in any case, is replaced."""
+    kept = others(encoded.columns, "decoded")
 
     def run(batches):
         for batch in batches:
@@ -240,5 +258,4 @@ def digests(docs: DataFrame, path: str, keep: list[str], **how: int) -> DataFram
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(RANKS)
-    return digests(read(spark, sf_dir, "documents"), path, ["doc_id"])
+    return digests(read(spark, sf_dir, "documents"), RANKS, ["doc_id"])

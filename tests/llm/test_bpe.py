@@ -44,12 +44,45 @@ def test_decoding_gives_the_bytes_back_and_digests_agree(spark):
         assert r.ids_sha256 == hashlib.sha256(whole(TEXTS[r.doc_id])).hexdigest() and r.n_tokens == len(whole(TEXTS[r.doc_id])) // 4
 
 
+def test_a_very_long_text_and_clashing_columns(spark):
+    text = "né pas l'été 12 " * 60_000 + "z" * 70_000 + " end's " * 20_000
+    df = spark.createDataFrame([(1, text, b"x", "y"), (2, "a b", None, None)], "doc_id long, text string, IDS binary, Kept string")
+    got = {r.doc_id: r for r in bpe.encode(df, bpe.RANKS).select("doc_id", "ids", "Kept").collect()}
+    assert bytes(got[1].ids) == whole(text) and bytes(got[2].ids) == whole("a b") and got[1].Kept == "y"
+    clash = spark.createDataFrame([(2, "a b", 5)], "doc_id long, text string, N_TOKENS int")
+    assert bpe.digests(clash, bpe.RANKS, clash.columns).columns == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(df, PATH).columns == ["doc_id", "text", "ids"] and bpe.encode(df, PATH).count() == 0
 
 
-def test_cut_points_stop_trusting_a_chunk_that_never_met_its_predecessor():
+def test_cut_points_resynchronise_after_a_chunk_that_never_met_its_predecessor():
     heads = [np.array([0]), np.array([10, 12]), np.array([20, 21]), np.array([30, 33])]
     tails = [np.array([12, 13]), np.array([22]), np.array([33]), np.array([])]
-    assert bpe.cut_points(heads, tails) == [12, None, None]
+    assert bpe.cut_points(heads, tails) == [12, None, 33]
+    assert bpe.cut_points(heads, tails, sure=True) == [12, None, None]
+
+
+def test_a_long_run_in_mid_text_leaves_the_rest_in_pieces(spark):
+    text = "some words here " * 40 + "b" * 700 + " and on it goes, " * 200
+    rows = [(0, text)]
+    parts = [(k, s, text[s : s + 264]) for k, s in enumerate(range(0, len(text), 200))]
+    found = [bpe.boundaries(p, s + len(p) == len(text)) + s for _, s, p in parts]
+    cuts = bpe.cut_points([x[x < s + 64] for x, (_, s, _) in zip(found, parts)], [x[x >= s + 200] for x, (_, s, _) in zip(found, parts)])
+    assert None in cuts and None not in cuts[cuts.index(None) + 5 :]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bytes(bpe.encode(df, bpe.RANKS, chunk=200, overlap=64).first().ids) == whole(text)
+
+
+def test_chunks_that_are_off_alike_are_noticed(monkeypatch):
+    import pandas as pd
+
+    text = "x" * 100 + " " + "y" * 100
+    one = {"row": ["r"] * 2, "k": [0, 1], "at": [0, 80], "part": [text[:130], text[80:]], "piece": [0, 0], "first": [0, 0], "look": [True, True]}
+    assert not bpe._encode_pieces(pd.DataFrame(one | {"stop": [150, 150]}), PATH)["met"].iloc[0]
+    assert bpe._encode_pieces(pd.DataFrame(one | {"stop": [100, 100]}), PATH)["met"].iloc[0]
+    # All pieces fail at first: the texts take the sure way and still come out whole.
+    frame = pd.DataFrame({"row": ["r"], "piece": [0], "ids": [b""], "met": [False]})
+    assert bpe._join_pieces(frame)["ids"].iloc[0] is None
