@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_fold, lean, materialise, read
+from .shared import crc_fold, lean, materialise, others, read
 from .words import mix, slices, text_buffers
 
-#: Slots of the filter, hashes an n-gram sets, least share of a language's n-grams for a place in its filter (so that
-#: a language has at most 1 / MIN_RATE of them), and least part of the largest share that any language has.
-SLOTS, HASHES, MIN_RATE, KEEP = 1 << 21, 2, 1e-6, 0.2
+#: Hashes an n-gram sets, slots for each distinct n-gram, and the fewest and most slots of a filter. More n-grams than
+#: the most slots are meant for still all go in; only the rate of false positives, which is corrected, rises.
+HASHES, ROOM, LEAST_SLOTS, MOST_SLOTS = 2, 4, 1 << 16, 1 << 22
+#: Bytes of an n-gram, up to 8, and documents of each language that the filters are learned from.
+GRAM, TRAIN_DOCS = 6, 600
 UNKNOWN = "und"
 #: Bytes of text that are looked up at once.
 SLICE = 1 << 19
@@ -50,27 +52,34 @@ def normalise(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-byte n-grams of each document as 32-bit numbers, and where each document's begin. A document with fewer
+    """The n-grams of GRAM bytes of each document as numbers, and where each document's begin. A document with fewer
     bytes has one, padded with spaces."""
-    padded = np.concatenate((data, np.full(3, 0x20, np.uint8))).astype(np.uint32)
     n = len(data)
-    all_codes = padded[:n] | (padded[1 : n + 1] << np.uint32(8)) | (padded[2 : n + 2] << np.uint32(16)) | (padded[3 : n + 3] << np.uint32(24))
+    padded = np.concatenate((data, np.full(GRAM - 1, 0x20, np.uint8)))
+    all_codes = padded[:n].astype(np.uint64)
+    for k in range(1, GRAM):
+        all_codes |= padded[k : n + k].astype(np.uint64) << np.uint64(8 * k)
     length = np.diff(offs)
-    counts = np.maximum(length - 3, np.minimum(length, 1))
+    counts = np.maximum(length - GRAM + 1, np.minimum(length, 1))
     begins = np.concatenate(([0], np.cumsum(counts)))
     take = np.arange(begins[-1]) - np.repeat(begins[:-1], counts) + np.repeat(offs[:-1], counts)
     found = all_codes[take]
-    for i in np.flatnonzero((length > 0) & (length < 4)):
-        piece = bytes(data[offs[i] : offs[i + 1]]).ljust(4)
+    for i in np.flatnonzero((length > 0) & (length < GRAM)):
+        piece = bytes(data[offs[i] : offs[i + 1]]).ljust(GRAM)
         found[begins[i]] = int.from_bytes(piece, "little")
     return found, begins
 
 
-def slots(found: np.ndarray) -> Iterator[np.ndarray]:
-    """The filter slots of n-grams, one array a hash."""
-    h = mix(found.astype(np.uint64) + np.uint64(1))
+def slots(found: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The slots of n-grams in a filter of that size, a power of two; one array a hash."""
+    h = mix(found + np.uint64(1))
     for j in range(HASHES):
-        yield ((h >> np.uint64(32 * j)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        yield ((h >> np.uint64(32 * j)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def filter_size(distinct: int) -> int:
+    """Slots for so many distinct n-grams."""
+    return min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (ROOM * distinct - 1).bit_length())) if distinct else LEAST_SLOTS
 
 
 @dataclass
@@ -87,7 +96,7 @@ class Model:
         """The place of each document's language and its share of the document's n-grams."""
         found, begins = codes(*normalise(raw, offs))
         n = np.diff(begins).astype(float)
-        at = list(slots(found))
+        at = list(slots(found, self.table.shape[1]))
         share = np.zeros((len(self.langs), len(n)))
         edges = begins[:-1][n > 0]
         for w in range(len(self.table)):
@@ -113,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, (found, counts) in held.items():
             for i in range(0, len(found), 50_000):
                 part = found[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.astype(np.int64)), pa.array(counts[i : i + 50_000])], names=["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part.view(np.int64)), pa.array(counts[i : i + 50_000])], names=["lang", "code", "n"])
 
     for batch in batches:
         raw, offs = text_buffers(batch.column("text"))
@@ -137,8 +146,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(texts: DataFrame) -> Model:
     """The filters from rows (text, lang), all of them; rows where either is null are left out.
 
-    A language's filter holds the n-grams that make up at least MIN_RATE of its own and at least KEEP of the largest
-    share that any language has. The driver gets the filter's slots only, whose number is fixed.
+    A language's filter holds every n-gram of its texts, so a look-up returns all languages that have one. The driver
+    gets the filter's slots only, of which there are MOST_SLOTS at most for every 64 languages.
     """
     rows = texts.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
     counts = materialise(rows.mapInArrow(lean(_count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "lang-counts")
@@ -146,23 +155,20 @@ def learn(texts: DataFrame) -> Model:
     langs = sorted(totals, key=lambda x: x.encode())
     width = max(1, -(-len(langs) // 64))
     if not langs:
-        return Model([], 0, np.zeros((1, SLOTS), np.uint64), np.zeros(0))
+        return Model([], 0, np.zeros((1, LEAST_SLOTS), np.uint64), np.zeros(0))
+    size = filter_size(counts.agg(F.count_distinct("code").alias("n")).first()["n"])
     place = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])
-    total = F.create_map(*[F.lit(x) for k in langs for x in (k, float(totals[k]))])
-    rated = counts.withColumn("rate", F.col("n") / total[F.col("lang")]).withColumn("place", place[F.col("lang")])
-    best = rated.groupBy("code").agg(F.max("rate").alias("best"), F.collect_list(F.struct("place", "rate")).alias("all"))
-    chosen = best.select("code", F.explode("all").alias("x"), "best").where((F.col("x.rate") >= MIN_RATE) & (F.col("x.rate") >= KEEP * F.col("best")))
 
     def to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where = batch.column("place").to_numpy(zero_copy_only=False)
-            for at in slots(batch.column("code").to_numpy(zero_copy_only=False)):
+            for at in slots(batch.column("code").to_numpy(zero_copy_only=False).view(np.uint64), size):
                 bit = (np.uint64(1) << (where % 64).astype(np.uint64)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((where // 64).astype(np.int32)), pa.array(at), pa.array(bit)], names=["word", "slot", "bits"])
 
-    bits = chosen.select("code", F.col("x.place").alias("place")).mapInArrow(to_slots, "word int, slot long, bits long")
+    bits = counts.select("code", place[F.col("lang")].alias("place")).mapInArrow(to_slots, "word int, slot long, bits long")
     filled = bits.groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros((width, SLOTS), np.uint64)
+    table = np.zeros((width, size), np.uint64)
     table[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
     fill = np.array([((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
     return Model(langs, max(range(len(langs)), key=lambda i: (totals[langs[i]], -i)), table, fill**HASHES)
@@ -174,11 +180,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     A null text or one without any letter, and any text where nothing was learned: ``und`` and 0. Ties go to the most
     frequent language of the learned texts, then to the first by code point. Columns of docs that are called like
-    the results are replaced; repeated rows are scored each.
+    the results, in any case, are replaced; repeated rows are scored each; an empty table gives no rows.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = others(docs.columns if keep is None else keep, "lang_pred", "score")
     inside = "text" in kept  # then the text travels in the row alone
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS words for every 64 languages
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_SLOTS words at most for every 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -200,8 +206,18 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return rows.mapInArrow(lean(run), schema).select("row.*", "lang_pred", "score")
 
 
-def learn_from_documents(docs: DataFrame) -> Model:
-    return learn(docs.where(crc_fold("doc_id", 3) != 1).select("text", "lang"))
+def learn_from_documents(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
+    """Filters from a bounded sample of the documents whose crc32 fold is not 1: of each language the ``most`` rows that
+    come first by the hash of their id, whole texts.
+
+    A filter that holds every n-gram of ever more documents comes to hold, by quotations, junk and wrong labels, those
+    of all languages; one of a fixed number of documents stays as sharp on a corpus of any size.
+    """
+    known = docs.where(crc_fold("doc_id", 3) != 1).where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
+    first = Window.partitionBy("lang").orderBy("_h", "_t")
+    # Hashes alone are ranked; the texts of the chosen ones are fetched after.
+    chosen = known.select("lang", "_h", "_t").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("lang", "_h", "_t").distinct()
+    return learn(known.join(F.broadcast(chosen), ["lang", "_h", "_t"], "left_semi"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

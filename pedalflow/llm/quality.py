@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_fold, lean, read
+from .shared import crc_fold, lean, others, read
 from .words import slices, text_buffers
 
 #: Bytes a chunk, bytes from one chunk to the next, bytes an input step, steps a filter spans.
@@ -181,9 +181,9 @@ def score(docs: DataFrame, net: Net | float) -> DataFrame:
     """The rows of docs with ``score``, the probability that the whole text is good.
 
     Every byte of a text is in some chunk. Null and empty texts are one chunk of padding. Columns of docs that are
-    called ``score`` are replaced; repeated rows are scored each; an empty table gives no rows.
+    called ``score``, in any case, are replaced; repeated rows are scored each; an empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = others(docs.columns, "score")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "text")
     if not isinstance(net, Net):
         return rows.select("row.*", F.lit(float(net)).alias("score"))
