@@ -24,11 +24,13 @@ class Bits:
 
 
 class FmIndex:
-    """Finds the places of patterns of up to DEPTH symbols in a text of numbers (0 parts its pieces).
+    """Counts and intervals of patterns of up to DEPTH symbols in a text of numbers (0 parts its pieces).
 
     Suffixes are sorted by their first DEPTH symbols only, which is as far as a backward search of such patterns
     looks: a pattern's suffixes are side by side, and a step to the left counts its symbol in the Burrows-Wheeler
-    transform before both ends. The transform lies in a wavelet matrix, as many bits a symbol as the alphabet takes.
+    transform before both ends. The transform lies in a wavelet matrix, as many bits a symbol as the alphabet takes;
+    neither the text nor the suffix array is kept. An interval names what it was found for: places of a stream that
+    come back with the same one hold the same symbols.
     """
 
     DEPTH = 16
@@ -49,7 +51,6 @@ class FmIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(fresh)
             step *= 2
-        self.places = order
         last = text[order - 1]  # the place before the first is the last, where a piece ends
         counts = np.bincount(text, minlength=int(text.max()) + 1)
         self.first = np.concatenate(([0], np.cumsum(counts)))
@@ -71,24 +72,27 @@ class FmIndex:
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with a symbol more on the left."""
         base = self.first[symbols] - self.origin[symbols]
-        return base + self._descend(symbols, low), base + self._descend(symbols, high)
+        both = self._descend(np.concatenate((symbols, symbols)), np.concatenate((low, high)))
+        return base + both[: len(low)], base + both[len(low) :]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row of symbols its interval of suffixes, by backward search; empty where it doesn't occur."""
-        symbols = patterns[:, -1]
-        low, high = self.first[symbols], self.first[symbols + 1]
-        for k in range(patterns.shape[1] - 2, -1, -1):
-            low, high = self.extend(patterns[:, k], low, high)
-        return low, high
+    def matching(self, stream: np.ndarray, limit: int = DEPTH, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a stream: for each place, how many symbols that end there, up to ``limit``, lie side
+        by side at ``least`` places of the text, and the interval of that match. Symbols that the text lacks, and 0,
+        match nothing.
 
-    def matching(self, piece: np.ndarray) -> np.ndarray:
-        """Matching statistics of a stream: for each place, how many symbols from there on, up to DEPTH, occur side by
-        side in the text; symbols that the text lacks, and 0, match nothing."""
-        known = (piece > 0) & (piece < len(self.first) - 1)
-        out = np.zeros(len(piece), np.int64)
-        for size in range(1, min(self.DEPTH, len(piece)) + 1):
-            windows = np.lib.stride_tricks.sliding_window_view(piece, size)
-            real = np.lib.stride_tricks.sliding_window_view(known, size).all(axis=1)
-            low, high = self.search(np.where(real[:, None], windows, 1))
-            out[: len(windows)][real & (high > low)] = size
-        return out
+        All places search backward together, one symbol a step; those whose interval gets too small drop out.
+        """
+        length, low, high = (np.zeros(len(stream), np.int64) for _ in range(3))
+        known = (stream > 0) & (stream < len(self.first) - 1)
+        at = np.flatnonzero(known)
+        a, b = self.first[stream[at]], self.first[stream[at] + 1]
+        for size in range(1, limit + 1):
+            keep = b - a >= least
+            at, a, b = at[keep], a[keep], b[keep]
+            length[at], low[at], high[at] = size, a, b
+            if size == limit or not len(at):
+                break
+            go = (at >= size) & known[at - size]
+            at, a, b = at[go], a[go], b[go]
+            a, b = self.extend(stream[at - size], a, b)
+        return length, low, high

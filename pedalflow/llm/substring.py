@@ -3,8 +3,9 @@
 A window is WINDOW consecutive words. Of the runs of GRAM words in a window the one with the smallest hash is its
 anchor, so equal windows have equal anchors, and only runs that are the anchor of windows of two different texts can
 lie in a repeated window. For those anchors, every text sends the words of the windows around them to the shard of the
-anchor's hash. A shard holds its distinct pieces in an FM-index; the windows streamed against it come back with the
-smallest document that holds each of them.
+anchor's hash; windows at an anchor that very many texts have go to shards one by one. A shard holds its distinct
+pieces in an FM-index; streamed against it, they come back with matching statistics. Where these reach a whole window
+at two places or more, the windows of one interval are equal, and the smallest document among them holds it first.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +24,12 @@ from .shared import drop, lean, materialise, partitions_for, read
 from .words import Words, grams, mix, pieces
 
 WINDOW, GRAM = 13, 5
-#: Words after which a task's shard is indexed and the next one begins, at a new anchor.
+#: Words after which a task's shard is indexed and the next one begins, at a new route.
 SHARD_WORDS = 600_000
 #: Texts a task remembers so as to send their anchors once.
 SEEN = 300_000
+#: Texts from which on the windows at an anchor are dealt one by one.
+HOT_TEXTS = 2000
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -71,14 +74,15 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the wanted anchors of each text, the pieces of the windows around them. Every piece of every document gives
-    a row with its place; its word hashes come only with the first one of a batch, next to the batch's smallest
+    """For the wanted anchors of each text, the pieces of the windows around them, and where each is to go: by its
+    anchor, or for a hot one by anchor and window. Every piece of every document gives a row with its place; its word hashes come only with the first one of a batch, next to the batch's smallest
     document that has it."""
     for batch in batches:
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
         keys = batch.column("text_key").to_numpy(zero_copy_only=False)
         wanted = batch.column("anchors")
         flat, offs = wanted.values.to_numpy().view(np.uint64), wanted.offsets.to_numpy()
+        crowded = batch.column("hot").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         for i, j, words in pieces(batch):
             h, doc, first, count = anchors(words)
             ask = np.repeat(np.arange(j - i), np.diff(offs[i : j + 1]))
@@ -88,12 +92,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not hit.any():
                 continue
             h, doc, first, count = h[hit], doc[hit], first[hit], count[hit]
+            hot = np.isin(h, crowded)
+            if hot.any():
+                times = np.where(hot, count, 1)
+                nth = np.where(np.repeat(hot, times), _within(times), 0)
+                h, doc, first, hot = (np.repeat(x, times) for x in (h, doc, first, hot))
+                first, count = first + nth, np.where(hot, 1, np.repeat(count, times))
             length = count + WINDOW - 1
             ends = np.cumsum(length)
             taken = words.hashes[_within(length) + np.repeat(words.offsets[:-1][doc] + first, length)]
             with np.errstate(over="ignore"):
                 spread = mix(taken + _within(length).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 piece = mix(np.add.reduceat(spread, ends - length) + length.astype(np.uint64))
+                route = np.where(hot, mix(h + piece), h)
             # Of equal pieces the one of the smallest document carries the words.
             order = np.lexsort((docs[i:j][doc], piece))
             lead = np.concatenate(([True], piece[order][1:] != piece[order][:-1]))
@@ -105,14 +116,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blank = pa.py_buffer(np.packbits(bears, bitorder="little"))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h.view(np.int64)),
+                    pa.array(route.view(np.int64)),
                     pa.array(piece.view(np.int64)),
                     pa.array(docs[i:j][doc]),
                     pa.array(keys[i:j][doc]),
                     pa.array(first.astype(np.int32)),
                     pa.BinaryArray.from_buffers(pa.binary(), len(h), [blank, pa.py_buffer(bounds), pa.py_buffer(data)]),
                 ],
-                names=["anchor", "piece", "doc_id", "text_key", "start", "words"],
+                names=["route", "piece", "doc_id", "text_key", "start", "words"],
             )
 
 
@@ -134,25 +145,16 @@ def smallest_holders(segments: list[bytes], docs: np.ndarray) -> tuple[np.ndarra
     text[inside] = number[back]
     owner = np.repeat(docs, length + 1)
 
-    where = np.repeat(begin, length - WINDOW + 1) + _within(length - WINDOW + 1)
-    with np.errstate(over="ignore"):
-        rolled = np.zeros(len(where), np.uint64)
-        for k in range(WINDOW):
-            rolled = (rolled + text[where + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            rolled ^= rolled >> np.uint64(29)
-    # A window whose hash is alone in the shard has no equal; of the others one each is looked up.
-    order = np.argsort(rolled)
-    same = rolled[order][1:] == rolled[order][:-1]
-    first = np.concatenate(([True], ~same)) & np.concatenate((same, [False]))
-    asked = where[order[first]]
     found = owner.copy()
-    if len(asked):
-        index = FmIndex(text)
-        low, high = index.search(text[asked[:, None] + np.arange(WINDOW)])
-        size = high - low
-        places = index.places[np.repeat(low, size) + _within(size)]
-        least = np.minimum.reduceat(owner[places], np.cumsum(size) - size)
-        found[places] = np.repeat(least, size)
+    matched, interval, _ = FmIndex(text).matching(text, WINDOW, 2)
+    ends = np.flatnonzero(matched == WINDOW)
+    if len(ends):
+        # Windows of one interval are equal, and all places of it are in the stream.
+        order = np.argsort(interval[ends], kind="stable")
+        same, starts = interval[ends[order]], ends[order] - WINDOW + 1
+        first = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+        least = np.minimum.reduceat(owner[starts], first)
+        found[starts] = np.repeat(least, np.diff(np.append(first, len(starts))))
     return found, begin, length
 
 
@@ -161,8 +163,8 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor; gives for each piece of which some window is also in another piece, or in several
+def _shard(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by route; gives for each piece of which some window is also in another piece, or in several
     documents, the smallest document that holds each of its windows."""
     number: dict[bytes, int] = {}
     least: list[int] = []
@@ -177,10 +179,10 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["piece", "holders"])
 
     for batch in batches:
-        anchor = batch.column("anchor").to_numpy()
+        route = batch.column("route").to_numpy()
         columns = (batch.column(c).to_pylist() for c in ("piece", "doc_id", "words"))
-        for at, piece, doc, words in zip(anchor.tolist(), *columns, strict=True):
-            if at != now and size > SHARD_WORDS:
+        for at, piece, doc, words in zip(route.tolist(), *columns, strict=True):
+            if at != now and size > shard_words:
                 yield out()
                 number, least, names, size = {}, [], [], 0
             now = at
@@ -201,21 +203,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     firsts = base.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    # A text has one row at an anchor, so one anchor holds a small part of all rows however common its passage.
-    same = Window.partitionBy("anchor")
-    sent = base.select("text", "text_key").mapInArrow(lean(_anchors), "text_key long, anchor long")
-    shared = materialise(
-        sent.withColumns({"low": F.min("text_key").over(same), "high": F.max("text_key").over(same)}).where("low < high").select("text_key", "anchor"), "substring-anchors"
-    )
-    wanted = shared.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "text_key")
-    texts = base.join(wanted.select(F.col("text_key").alias("_key"), F.col("first_id").alias("_id"), "anchors"), (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")))
+    sent = materialise(base.select("text", "text_key").mapInArrow(lean(_anchors), "text_key long, anchor long"), "substring-anchors")
+    counts = sent.groupBy("anchor").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.count("*").alias("texts")).where("low < high")
+    # A table of its own: a join with it can split an anchor that very many texts have.
+    common = materialise(counts.select("anchor", (F.col("texts") > HOT_TEXTS).alias("hot")), "substring-common")
+    shared = sent.join(common, "anchor")
+    lists = shared.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = lists.join(firsts, "text_key").select(F.col("text_key").alias("_key"), F.col("first_id").alias("_id"), "anchors", "hot")
+    texts = base.join(wanted, (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")))
     cut = materialise(
-        texts.select("doc_id", "text_key", "text", "anchors").mapInArrow(lean(_cut), "anchor long, piece long, doc_id long, text_key long, start int, words binary"), "substring-pieces"
+        texts.select("doc_id", "text_key", "text", "anchors", "hot").mapInArrow(lean(_cut), "route long, piece long, doc_id long, text_key long, start int, words binary"), "substring-pieces"
     )
-    drop(shared)
+    drop(sent, common)
     # Equal pieces go to the shards a few times at most; their many places wait for the answer outside.
-    shards = cut.where("words is not null").select("anchor", "piece", "doc_id", "words").repartition(partitions_for(spark), "anchor").sortWithinPartitions("anchor")
-    holders = shards.mapInArrow(lean(_shard), "piece long, holders array<long>")
+    shards = cut.where("words is not null").select("route", "piece", "doc_id", "words").repartition(partitions_for(spark), "route").sortWithinPartitions("route")
+    holders = shards.mapInArrow(lean(_shard, SHARD_WORDS), "piece long, holders array<long>")
     places = cut.select("piece", "text_key", "doc_id", "start").join(holders, "piece")
     mask = F.aggregate("holders", F.struct(F.lit(0).alias("mask"), F.lit(1).alias("bit")), lambda a, x: F.struct(
         (a["mask"] + F.when(x < F.col("doc_id"), a["bit"]).otherwise(0)).alias("mask"), (a["bit"] * 2).alias("bit")), lambda a: a["mask"])

@@ -47,9 +47,10 @@ def rows():
     return out + out[:5]
 
 
-@pytest.mark.parametrize("shard", [600_000, 60])
-def test_against_brute_force(spark, rows, monkeypatch, shard):
+@pytest.mark.parametrize("shard,hot", [(600_000, 2000), (60, 2000), (60, 2), (600_000, 20)])
+def test_against_brute_force(spark, rows, monkeypatch, shard, hot):
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
+    monkeypatch.setattr(substring, "HOT_TEXTS", hot)
     df = spark.createDataFrame([(t, d, "x", 1) for d, t in rows], "text string, doc_id long, kept string, starts int")
     out = substring.remove_repeats(df, with_text=False)
     got = sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=str)
@@ -64,26 +65,57 @@ def test_texts_come_back_and_empty_table(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_backward_search_finds_every_place():
-    rng = np.random.default_rng(1)
-    text = np.concatenate([np.append(rng.integers(1, 5, n), 0) for n in (30, 1, 400, 70)])
-    index = FmIndex(text)
-    for m in (1, 2, 5, 13, 16):
-        patterns = rng.integers(1, 5, (50, m))
-        patterns[:10] = np.stack([text[a : a + m] if 0 not in text[a : a + m] else patterns[0] for a in range(40, 50)])
-        low, high = index.search(patterns)
-        for p, a, b in zip(patterns, low, high, strict=True):
-            want = [i for i in range(len(text) - m + 1) if (text[i : i + m] == p).all()]
-            assert sorted(index.places[a:b].tolist()) == want
+def occurrences(text, pattern):
+    return [i for i in range(len(text) - len(pattern) + 1) if (text[i : i + len(pattern)] == pattern).all()]
 
 
-def test_matching_statistics():
-    text = np.array([1, 2, 3, 1, 2, 4, 0, 2, 4, 1, 0])
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_matching_statistics(least):
+    rng = np.random.default_rng(1)
+    text = np.concatenate([np.append(rng.integers(1, 5, n), 0) for n in (30, 1, 200, 70)])
     index = FmIndex(text)
-    piece = np.array([2, 3, 1, 2, 3, 9, 2, 4, 1, 2])
-    held = {tuple(text[a:b]) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if 0 not in text[a:b]}
-    want = [max([b - a for b in range(a + 1, len(piece) + 1) if tuple(piece[a:b]) in held], default=0) for a in range(len(piece))]
-    assert index.matching(piece).tolist() == want
+    for stream in (text, np.concatenate([rng.integers(1, 7, 60), text[40:60], [0, 9], text[3:25]])):
+        length, low, high = index.matching(stream, 13, least)
+        for e in range(len(stream)):
+            held = lambda n: 0 not in stream[e - n + 1 : e + 1] and len(occurrences(text, stream[e - n + 1 : e + 1])) >= least  # noqa: B023, E731
+            want = 0
+            while want < 13 and want <= e and held(want + 1):
+                want += 1
+            assert length[e] == want
+            if want:
+                assert high[e] - low[e] == len(occurrences(text, stream[e - want + 1 : e + 1]))
+
+
+def test_one_interval_for_equal_windows_alone():
+    rng = np.random.default_rng(3)
+    text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in (100, 300)])
+    length, low, _ = FmIndex(text).matching(text, 4, 1)
+    names = {}
+    for e in np.flatnonzero(length == 4):
+        names.setdefault(int(low[e]), set()).add(tuple(text[e - 3 : e + 1]))
+    assert all(len(x) == 1 for x in names.values()) and len({x.pop() for x in names.values()}) == len(names)
+
+
+def test_holders_come_from_the_matching_statistics(monkeypatch):
+    asked = []
+    matching = FmIndex.matching
+    monkeypatch.setattr(FmIndex, "matching", lambda self, *a: asked.append(a[1:]) or matching(self, *a))
+    passage, other = np.arange(1, 15, dtype=np.uint64), np.arange(50, 70, dtype=np.uint64)
+    found, begin, length = substring.smallest_holders([x.tobytes() for x in (np.append(passage, np.uint64(99)), other, passage)], np.array([7, 3, 5]))
+    assert asked == [(13, 2)] and length.tolist() == [15, 20, 14]
+    assert found[begin[0] : begin[0] + 3].tolist() == [5, 5, 7] and found[begin[2] : begin[2] + 2].tolist() == [5, 5] and set(found[begin[1] : begin[1] + 8].tolist()) == {3}
+    # Without its intervals no window has another holder.
+    monkeypatch.setattr(FmIndex, "matching", lambda self, s, *a: (np.zeros(len(s), np.int64),) * 3)
+    found, begin, _ = substring.smallest_holders([x.tobytes() for x in (np.append(passage, np.uint64(99)), passage)], np.array([7, 5]))
+    assert found[begin[0]] == 7
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(8)
+    long = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(250_000))
+    rows = [(2, long), (1, " ".join(long.split()[1000:1040])), (3, " ".join(long.split()[200_000:200_013]) + " x"), (4, "y"), (2, long)]
+    got = sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()), key=str)
+    assert got == brute(rows)
 
 
 def test_anchors_cover_every_window_once():
