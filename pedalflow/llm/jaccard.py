@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,10 +101,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows (class, n, h) whose column another class has too, with the column's number of rows."""
-    # A class has a few rows in a column at most, so a column holds a small part of all rows however common its shingle.
-    same = Window.partitionBy("h")
-    found = rows.select("class", "n", "h").withColumns({"low": F.min("class").over(same), "high": F.max("class").over(same), "rows": F.count("*").over(same)})
-    return found.where("low < high").drop("low", "high")
+    found = rows.groupBy("h").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low < high")
+    # A table of its own: a join with it can split a column that very many classes have.
+    return rows.select("class", "n", "h").join(materialise(found.select("h", "rows"), "jaccard-columns"), "h")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +169,10 @@ def candidates(rows: DataFrame) -> DataFrame:
     least = F.ceil(F.ceil(F.least("n_a", "n_b") * PERCENT / 100) / COMMON)
     both = F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
     likely = pairs.where(F.col("got") + both >= least).select("a", "b")
-    heavy = many.join(large.where(F.col("large") >= F.col("need")).select("class"), "class")
-    stars = heavy.join(heavy.groupBy("h").agg(F.min("class").alias("a")), "h").select("a", F.col("class").alias("b"))
+    heavy = materialise(many.join(large.where(F.col("large") >= F.col("need")).select("class"), "class").select("class", "h"), "jaccard-heavy")
+    # A table of its own, as above.
+    centres = materialise(heavy.groupBy("h").agg(F.min("class").alias("a")), "jaccard-centres")
+    stars = heavy.join(centres, "h").select("a", F.col("class").alias("b"))
     return likely.unionByName(stars.where("a <> b").distinct())
 
 
@@ -339,29 +340,43 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     no rows. Other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *carry).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("_text", F.xxhash64("text"))
+    rows = docs.select(
+        F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), *carry).alias("row"), F.coalesce("text", F.lit("")).alias("text")
+    )
     schema = T.StructType([rows.schema["row"], T.StructField("n", T.LongType()), T.StructField("class", T.LongType()), T.StructField("columns", T.ArrayType(T.LongType()))])
     sets = materialise(rows.mapInArrow(lean(_sets), schema), "jaccard-sets")
     sent = sets.select("class", "n", F.explode("columns").alias("h"))
     shared = materialise(_shared(sent), "jaccard-shared")
     wide, sets = sets, materialise(sets.drop("columns"), "jaccard-classes")
     drop(wide)
-    again = materialise(_enough(_shared(_enough(shared))), "jaccard-candidates")
+    enough = materialise(_enough(shared), "jaccard-enough")
     drop(shared)
+    again = materialise(_enough(materialise(_shared(enough), "jaccard-shared-again")), "jaccard-candidates")
+    drop(enough)
     families = components(candidates(again), "jaccard-families")
     drop(again)
     families = families.select(F.col("node").alias("class"), F.col("component").alias("family"))
 
-    # Summed before it is joined, so that a class with very many copies is one row.
-    chosen = sets.where("n > 0").groupBy("class").agg(F.min("row.doc_id").alias("doc_id")).join(families, "class")
-    texts = base.join(chosen.select(F.col("doc_id").alias("_id"), "class", "family"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "family", "text")
+    # One text stands for a class, one that few rows repeat. It is found by its id and its hash, so that rows without an
+    # id, or with one id, don't all meet.
+    copies = sets.where("n > 0").groupBy("class", "row.doc_id", "row._text").agg(F.count("*").alias("copies"))
+    chosen = copies.groupBy("class").agg(F.min(F.struct("copies", "doc_id", "_text")).alias("x")).join(families, "class")
+    chosen = chosen.select(F.col("x.doc_id").alias("_id"), F.col("x._text").alias("_hash"), "class", "family")
+    texts = base.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))).select("class", "family", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
             keep, n, data = [], [], []
             wanted = batch.column("class").to_pylist()
+            first = [r for r, c in enumerate(wanted) if not (c in sent or sent.add(c))]  # rows may repeat a text
+            batch = batch.take(pa.array(first, pa.int64()))
+            if len(sent) > SEEN:
+                sent.clear()
+            wanted = batch.column("class").to_pylist()
             for r, s in enumerate(shingle_sets(batch)):
-                if len(s) and class_of(s) == wanted[r]:  # rows that share an id may have other texts
+                if len(s) and class_of(s) == wanted[r]:
                     keep.append(r), n.append(len(s)), data.append(s.tobytes())
             part = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("family"), part.column("class"), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["family", "class", "n", "data"])

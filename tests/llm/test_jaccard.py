@@ -105,3 +105,18 @@ def test_components_of_chains_and_stars(spark, monkeypatch, alone):
         found.unite(a, b)
     assert got == {x: found.root(x) for e in edges for x in e}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_rows_without_id_and_with_one_id(spark):
+    rnd = random.Random(4)
+    texts = [" ".join(f"{i}w{rnd.randrange(60)}" for _ in range(40)) for i in range(40)]
+    near = [t + " more" for t in texts[:20]]
+    rows = [(None, t) for t in texts + near] * 3 + [(5, t) for t in texts[20:] + near] + [(9, texts[0])] * 4
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(250_000)]
+    rows = [(3, " ".join(words)), (2, " ".join(words[:-5000])), (1, " ".join(words[:100_000])), (4, "x y"), (None, "")]
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS N_shingles", "3 AS Class")) == brute(rows)
