@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, SPAN, WINDOW = 24, 46, 32
+HIDDEN, SPAN, WINDOW = 16, 32, 32
 #: Documents that are scored side by side.
 SIDE = 2048
-RATE, CLIP = 0.02, 1.0
+RATE, CLIP = 0.05, 1.0
+#: Documents that are trained side by side.
+BATCH = 256
+#: Tokens of a document that are trained on in a row.
+SEGMENT = 128 * WINDOW
 
 
 def softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,8 +123,8 @@ class Gru:
         return total
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Over one window (step by document; target -1 after a document's end): gradients of the mean loss, the last
-        state, and that loss. Nothing flows back beyond the window."""
+        """Over one window (step by document; target -1 after a document's end): gradients of the mean loss (of the
+        embedding as rows and their values), the last state, and that loss. Nothing flows back beyond the window."""
         w, n = self.w, HIDDEN
         # Step by feature by document, so that the gates are blocks.
         x = np.ascontiguousarray(w["embed"][inputs].transpose(0, 2, 1))
@@ -147,7 +151,7 @@ class Gru:
         order = np.argsort(klass, kind="stable")
         rows = klass[order]
         starts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
-        g = {k: np.zeros_like(v) for k, v in w.items()}
+        g = {k: np.zeros_like(w[k]) for k in ("word", "word_b")}
         lp, p = softmax_loss(w["klass"].T @ flat.T + w["klass_b"][:, None], klass)
         loss = -float(lp.sum())
         p[klass, np.arange(len(goal))] -= 1
@@ -184,22 +188,29 @@ class Gru:
             d_h += w["u"] @ d_g[t]
         g["u"], g["b"] = (before @ d_g.transpose(0, 2, 1)).sum(axis=0), d_g.sum(axis=2).sum(axis=0)
         d_g[:, 2 * n :] = d_new
-        wide = 3 * n
-        places = (inputs.reshape(-1, 1) * wide + np.arange(wide)).ravel()
-        np.add.at(g["embed"].reshape(-1), places, d_g.transpose(0, 2, 1).ravel())  # fast on one axis only
+        # Only the rows of tokens that were given.
+        flat_in = inputs.ravel()
+        order = np.argsort(flat_in.astype(np.uint16) if len(w["embed"]) <= 1 << 16 else flat_in, kind="stable")
+        rows = flat_in[order]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        g["embed"] = rows[starts], np.add.reduceat(d_g.transpose(0, 2, 1).reshape(-1, 3 * n)[order], starts, axis=0)
         return g, np.ascontiguousarray(states[-1].T), loss / count
 
-    def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, batch: int = 64, rate: float = RATE, before: np.ndarray | None = None) -> int:
+    def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, batch: int = BATCH, rate: float = RATE, before: np.ndarray | None = None) -> int:
         """One pass of AdaGrad over all windows of the documents in a seeded order, the state going from one window to
-        the next. ``before`` has the token that stands before each document's first, the end token if not given.
+        the next up to SEGMENT tokens. ``before`` has the token that stands before each document's first, the end token if not given.
         Returns the tokens it learned from.
 
         ``batch`` documents go side by side; where one ends the next takes its turn. The order spreads documents over
         the pass by their length, so that long ones do not remain alone at its end.
         """
         rng = np.random.default_rng(seed)
-        opens, end = begins[:-1], begins[1:]
-        first = np.zeros(len(opens), np.int64) if before is None else before
+        # Long documents go in segments side by side, so that none is trained on alone, window after window.
+        segments = -(-np.diff(begins) // SEGMENT)
+        nth = np.arange(int(segments.sum())) - np.repeat(np.cumsum(segments) - segments, segments)
+        opens, end = np.repeat(begins[:-1], segments) + nth * SEGMENT, np.repeat(begins[1:], segments)
+        end = np.minimum(opens + SEGMENT, end)
+        first = np.where(nth > 0, tokens[np.maximum(opens - 1, 0)], 0 if before is None else np.repeat(before, segments))
         turns = -(-(end - opens) // WINDOW)
         steps = max(-(-int(turns.sum()) // batch), int(turns.max(initial=0)))
         order = np.argsort(rng.random(len(turns)) * (steps - turns + 1), kind="stable")
@@ -220,14 +231,15 @@ class Gru:
             target = np.where(live, tokens[np.minimum(at, len(tokens) - 1)], -1)
             given = np.where(live, np.where(at == opens[pick], first[pick], tokens[np.clip(at - 1, 0, len(tokens) - 1)]), 0)
             grads, h, _ = self.gradients(given, target, h)
-            seen += int(live.sum())
+            n = int(live.sum())
+            seen += n
             place = place + WINDOW
             for name, g in grads.items():
-                # A row of a token that was not given has no gradient.
-                rows = np.unique(given) if name == "embed" else slice(None)
-                g = np.clip(g[rows] * WINDOW, -CLIP, CLIP)
-                self._sum[name][rows] += g * g
-                self.w[name][rows] -= rate * g / np.sqrt(self._sum[name][rows])
+                rows, g = g if name == "embed" else (slice(None), g)
+                g = np.clip(g * (n / batch), -CLIP, CLIP)  # few documents that are left alone move it little
+                upto = self._sum[name][rows] + g * g
+                self._sum[name][rows] = upto
+                self.w[name][rows] -= rate * g / np.sqrt(upto)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.NAMES])

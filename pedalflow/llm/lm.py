@@ -9,20 +9,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .gru import WINDOW, Gru
-from .shared import crc_fold, lean, materialise, partitions_for, read
-from .words import pieces, slices, text_buffers
+from .shared import crc_fold, drop, lean, materialise, partitions_for, read
+from .words import mix, pieces, slices, text_buffers
 
 #: Bytes of text a chunk, and bytes a task holds to put documents of like length into one chunk.
 CHUNK_BYTES, HOLD_BYTES = 6 << 20, 18 << 20
 #: Words the network tells apart; documents that start its training on the driver, how often, and the most tokens that
 #: each gives every time.
-VOCAB, WARM_DOCS, WARM_EPOCHS, WARM_TOKENS = 2046, 2000, 4, 4 * WINDOW
-#: Rate of the pass over the whole corpus.
-RATE = 0.01
+VOCAB, WARM_DOCS, WARM_EPOCHS, WARM_TOKENS = 1022, 2000, 4, 4 * WINDOW
+#: Rate of the pass over the whole corpus, and training tokens from which on it takes another copy of the network.
+RATE, SHARD_TOKENS = 0.05, 1 << 21
 SMOOTH = 0.1
 FOLDS = 10
 
@@ -86,29 +86,17 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's words with their counts in the whole corpus, in one row; and of the words that this chunk stands
-    for, how many there are and which are the most frequent."""
+    """In one row for each chunk its words that another chunk has too, with their counts in the whole corpus."""
     now, held = None, []
 
     def out() -> pa.RecordBatch:
-        h, c, first = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, c = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h.view(np.uint64))
-        known = np.flatnonzero(first & (c > 0))
-        top = known[np.lexsort((h[known], -c[known]))[:VOCAB]]
-        return pa.RecordBatch.from_pydict(
-            {
-                "chunk": pa.array([now], pa.int64()),
-                "hashes": pa.array([h[order].tobytes()], pa.binary()),
-                "counts": pa.array([c[order].tobytes()], pa.binary()),
-                "distinct": pa.array([len(known)], pa.int64()),
-                "total": pa.array([int(c[known].sum())], pa.int64()),
-                "top": pa.array([[{"c": int(c[i]), "h": int(h[i])} for i in top]], pa.list_(pa.struct([("c", pa.int64()), ("h", pa.int64())]))),
-            }
-        )
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int64()), "hashes": pa.array([h[order].tobytes()], pa.binary()), "counts": pa.array([c[order].tobytes()], pa.binary())})
 
     for batch in batches:
         chunk = batch.column("chunk").to_numpy()
-        columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "c", "first")]
+        columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "c")]
         edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a == b:
@@ -170,28 +158,63 @@ def _concat(batch: pa.RecordBatch, learn: np.ndarray | None = None) -> tuple[np.
     return np.concatenate(found), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of every training document, whole, with its shard and its place in it, which its id and words give."""
+    kind = np.uint16 if VOCAB + 2 <= 1 << 16 else np.uint32
+    for batch in batches:
+        for r, _, learn, texts in _texts(batch):
+            hashes, offs = _concat(texts, learn)
+            if len(offs) == 1:
+                continue
+            names = batch.column("ids")[r].values.fill_null(0).to_numpy()[learn].astype(np.uint64)
+            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))[offs]
+            with np.errstate(over="ignore"):
+                place = mix(mix(names + np.uint64(1)) + np.diff(upto))
+            tokens, begins = model.encode(hashes, offs)
+            tokens = tokens.astype(kind)
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(begins * tokens.itemsize), pa.py_buffer(tokens)])
+            yield pa.RecordBatch.from_arrays([pa.array((place % np.uint64(shards)).astype(np.int64)), pa.array((place >> np.uint64(1)).astype(np.int64)), data.cast(pa.binary())], names=["shard", "place", "tokens"])
+
+
 def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
-    """One pass over the whole corpus: every task goes on training the same network on all windows of all its training
-    documents, each document in order with the state carried on, and the results are averaged, weighted by tokens. Sums are made in two levels, so that no task and not
-    the driver holds more than a few hundred copies of a block of weights."""
+    """One pass over the whole corpus: training documents are dealt into shards of about SHARD_TOKENS tokens by their
+    ids and words, a copy of the network goes on learning from all windows of a shard's documents, each in order with
+    the state carried on, and the copies are averaged, weighted by tokens. Shards and the order in them depend on the
+    documents alone, not on partitions or tasks. Sums are made in three levels, so that no task and not the driver
+    holds more than a few hundred copies of a block of weights."""
     block = 8192
+    shards = max(1, -(-model.n // SHARD_TOKENS))
     sent = chunks.sparkSession.sparkContext.broadcast(model)  # VOCAB words' weights
+    kind = np.uint16 if VOCAB + 2 <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        net, seen = model.net.like(model.net.flat()), 0
-        if hasattr(model.net, "_sum"):
-            net._sum = {k: v.copy() for k, v in model.net._sum.items()}
+        total, seen = np.zeros(len(model.net.flat())), 0
+        now, held = None, []
+
+        def learned() -> None:
+            nonlocal seen
+            tokens = np.concatenate(held).astype(np.int64)
+            net = model.net.like(model.net.flat())
+            if hasattr(model.net, "_sum"):
+                net._sum = {k: v.copy() for k, v in model.net._sum.items()}
+            n = net.train(tokens, np.concatenate(([0], np.cumsum([len(x) for x in held]))), seed + now, rate=RATE)
+            np.add(total, net.flat().astype(np.float64) * n, out=total)
+            seen += n
+
         for batch in batches:
-            for _, chunk, learn, texts in _texts(batch):
-                tokens, begins = model.encode(*_concat(texts, learn))
-                if len(tokens):
-                    seen += net.train(tokens, begins, seed + chunk, rate=RATE)
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("tokens"), strict=True):
+                if shard != now:
+                    if held:
+                        learned()
+                    now, held = shard, []
+                held.append(np.frombuffer(data.as_buffer(), kind).copy())
+        if held:
+            learned()
         if seen:
-            flat = net.flat().astype(np.float64) * seen
             salt = TaskContext.get().partitionId() % 256
-            for i in range(0, len(flat), block):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "seen": pa.array([float(seen)]), "data": pa.array([flat[i : i + block].tobytes()], pa.binary())})
+            for i in range(0, len(total), block):
+                yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "seen": pa.array([float(seen)]), "data": pa.array([total[i : i + block].tobytes()], pa.binary())})
 
     def total(keys: list[str]):
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -200,7 +223,9 @@ def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
 
         return add
 
-    parts = chunks.mapInArrow(lean(run), "block int, salt int, seen double, data binary")
+    tokens = chunks.mapInArrow(lean(lambda it: _tokens(it, sent.value, shards)), "shard long, place long, tokens binary")
+    dealt = tokens.repartition(partitions_for(chunks.sparkSession), "shard").sortWithinPartitions("shard", "place", "tokens")
+    parts = dealt.select("shard", "tokens").mapInArrow(lean(run), "block int, salt int, seen double, data binary")
     parts = parts.groupBy("block", "salt").applyInPandas(total(["block", "salt"]), "block int, salt int, seen double, data binary")
     rows = parts.groupBy("block").applyInPandas(total(["block"]), "block int, seen double, data binary").collect()
     if not rows:
@@ -235,16 +260,17 @@ def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     pieces of a bounded number of documents, whatever their length, on the driver and then learns from every token of every training document.
     """
     spark = chunks.sparkSession
-    words = chunks.mapInArrow(lean(_vocabulary), "chunk long, h long, n long")
-    same = Window.partitionBy("h")
-    counted = words.select("chunk", "h", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("chunk")) == 1).alias("first"))
-    spread = counted.repartition(partitions_for(spark), "chunk").sortWithinPartitions("chunk")
-    packed = materialise(
-        spread.mapInArrow(lean(_pack), "chunk long, hashes binary, counts binary, distinct long, total long, top array<struct<c: long, h: long>>"), "lm-vocabulary"
-    )
-    sums = packed.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    words = materialise(chunks.mapInArrow(lean(_vocabulary), "chunk long, h long, n long"), "lm-words")
+    # A table of its own: a join with it can split a word that very many chunks have.
+    counted = materialise(words.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "lm-counts")
+    known = counted.where("c > 0")
+    sums = known.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
+    # A word of one chunk alone is counted there again; the others' counts travel back.
+    spread = words.select("chunk", "h").join(counted.where("chunks > 1").select("h", "c"), "h").repartition(partitions_for(spark), "chunk").sortWithinPartitions("chunk")
+    packed = materialise(spread.select("chunk", "h", "c").mapInArrow(lean(_pack), "chunk long, hashes binary, counts binary"), "lm-vocabulary")
     n_end = chunks.select(F.size(F.filter("learn", lambda x: x)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    top = packed.select(F.explode("top").alias("x")).select("x.*").orderBy(F.desc("c"), "h").limit(VOCAB).collect()
+    top = known.select("c", "h").orderBy(F.desc("c"), "h").limit(VOCAB).collect()
+    drop(words, counted)
     hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     counts = np.array([r["c"] for r in top], np.int64)
     order = np.argsort(hashes)
@@ -255,26 +281,37 @@ def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     some = docs.where((crc_fold("doc_id", FOLDS) != 0) & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS).distinct()
     cut = some.join(F.broadcast(ids), "doc_id").mapInArrow(lean(lambda it: _pieces(it, model)), "doc_id long, epoch int, before long, tokens array<long>")
-    warm = cut.limit(2 * WARM_DOCS * WARM_EPOCHS).collect()  # at most WARM_DOCS ids
-    warm.sort(key=lambda r: (r["epoch"], r["doc_id"], r["tokens"]))
+    # At most WARM_DOCS ids; more rows than twice as many come from ids that repeat.
+    order = ("epoch", "doc_id", "before", "tokens")
+    warm = cut.orderBy(*order).limit(2 * WARM_DOCS * WARM_EPOCHS).collect()
+    warm.sort(key=lambda r: tuple(r[c] for c in order))
     for epoch in range(WARM_EPOCHS):
         rows = [r for r in warm if r["epoch"] == epoch]
         if rows:
             begins = np.concatenate(([0], np.cumsum([len(r["tokens"]) for r in rows])))
-            model.net.train(np.concatenate([r["tokens"] for r in rows]), begins, epoch, before=np.array([r["before"] for r in rows]))
+            model.net.train(np.concatenate([r["tokens"] for r in rows]), begins, epoch, batch=64, before=np.array([r["before"] for r in rows]))
     if model.n:
         model.net = average(chunks, model, 100)
     return model, packed
 
 
+def _counts(hashes: np.ndarray, learn: np.ndarray, known: bytes | None, counts: bytes | None) -> np.ndarray:
+    """Counts in the corpus of a chunk's words: those that came back, and for words of this chunk alone its own."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    found, back = np.unique(hashes, return_inverse=True)
+    c = np.bincount(back, learn, len(found)).astype(np.int64)
+    if known:
+        c[np.searchsorted(found, np.frombuffer(known, np.uint64))] = np.frombuffer(counts, np.int64)
+    return c[back]
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     end_base, known_end = float(model.base(np.array([model.n_end]))[0]), int(model.n_end > 0)
     for batch in batches:
-        for r, _, _, texts in _texts(batch):
-            known = np.frombuffer(batch.column("hashes")[r].as_py() or b"", np.uint64)
-            counts = np.frombuffer(batch.column("counts")[r].as_py() or b"", np.int64)
+        for r, _, learn, texts in _texts(batch):
             hashes, offs = _concat(texts)
-            c = counts[np.searchsorted(known, hashes)] if len(hashes) else np.zeros(0, np.int64)
+            c = _counts(hashes, np.repeat(learn, np.diff(offs)), batch.column("hashes")[r].as_py(), batch.column("counts")[r].as_py())
             sums = lambda x: np.concatenate(([0], np.cumsum(x)))[offs]  # noqa: B023, E731
             tokens, begins = model.encode(hashes, offs)
             score = model.net.score(tokens, begins)
@@ -297,8 +334,8 @@ def score(docs: DataFrame) -> DataFrame:
     """Every document's base and model log10 probabilities: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score. Documents whose crc32 fold is not 0 are learned from.
 
-    Documents are put into chunks; only a chunk's distinct words travel to be counted, and come back with their counts
-    in the corpus. Null and empty texts are the end token alone. Repeated rows are learned from and scored each.
+    Documents are put into chunks; only a chunk's distinct words travel to be counted, and those that other chunks have
+    too come back with their counts in the corpus. Null and empty texts are the end token alone. Repeated rows are learned from and scored each.
     Nothing to learn from: the network gives every token its starting share. An empty table gives no rows. Other
     columns are ignored.
     """

@@ -6,7 +6,7 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from pedalflow.llm import lm
+from pedalflow.llm import gru, lm
 from pedalflow.llm.gru import HIDDEN, Gru
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -74,6 +74,9 @@ def test_gradients_against_differences():
     goal[4:, 1] = -1
     h = rng.standard_normal((4, HIDDEN))
     grads = net.gradients(given, goal, h)[0]
+    rows, values = grads["embed"]
+    grads["embed"] = np.zeros_like(net.w["embed"])
+    grads["embed"][rows] = values
     for k in net.NAMES:
         at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
         old, near = net.w[k][at], []
@@ -123,3 +126,56 @@ def test_learns_where_all_documents_are_long(spark):
 def test_beats_the_base_on_held_out_documents(spark):
     out = lm.op6_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert out.s > out.b
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, "a b"), (3, "an other text of this id"), (3, None)], docs.schema))
+    key = lambda df: sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 4)) for r in lm.score(df).collect())
+    assert key(docs.repartition(1)) == key(docs.repartition(5, "text"))
+
+
+def test_counts_of_shared_and_own_words():
+    hashes = np.array([9, 4, 9, 7, 9, 4], np.uint64)
+    learn = np.array([True, True, False, False, True, False])
+    shared = np.array([4], np.uint64), np.array([50])
+    assert lm._counts(hashes, learn, *(x.tobytes() for x in shared)).tolist() == [2, 50, 2, 0, 2, 50]
+    assert lm._counts(hashes, learn, None, None).tolist() == [2, 1, 2, 0, 2, 1]
+
+
+def test_rare_words_share_what_the_network_gives_them():
+    """The score of a document, word by word, with words outside the vocabulary by their share of the rare ones."""
+    net = Gru.fresh(np.array([3.0, 5.0, 4.0, 2.0]))
+    model = lm.Model(net, np.array([11, 12], np.uint64), np.array([2, 3]), 14, 7, 3, 5, 4)
+    hashes, counts = np.array([11, 77, 12, 78], np.uint64), np.array([4, 3, 2, 0])
+    tokens, begins = model.encode(hashes, np.array([0, 4]))
+    assert tokens.tolist() == [2, 1, 3, 1, 0]
+    h, last, want = np.zeros((1, HIDDEN), np.float32), np.zeros(1, np.int64), 0.0
+    for t in tokens.tolist():
+        h, _ = net.step(last, h)
+        want += float(net.log_probs(h, np.array([t]))[0])
+        last = np.array([t])
+    want += sum(math.log((c + 0.1) / (5 + 0.1 * 5)) for c in (3, 0))
+    got = net.score(tokens, begins)[0] + model.rare(counts[[1, 3]]).sum()
+    assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    rows = [(1, "The " + "long way " * 150_000), (2, "the way"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS SCORE", "2 AS Chunk")
+    for got, want in zip(ours(df), plain(rows), strict=True):
+        assert got[:5] == want[:5] and got[5] == pytest.approx(want[5], rel=1e-9)
+
+
+def test_segments_of_a_long_document_cover_it_once():
+    rng = np.random.default_rng(9)
+    docs = [np.append(rng.integers(1, 60, n), 0) for n in (gru.SEGMENT * 3 + 5, 7, gru.SEGMENT - 1)]
+    begins = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    net, seen = Gru.fresh(np.ones(60)), []
+    whole = net.gradients
+    net.gradients = lambda given, target, h: seen.extend(zip(given.T.ravel().tolist(), target.T.ravel().tolist(), strict=True)) or whole(given, target, h)
+    assert net.train(np.concatenate(docs), begins, 7) == begins[-1]
+    want = Counter((int(a), int(b)) for d in docs for a, b in zip(np.append(0, d[:-1]), d, strict=True))
+    assert Counter(x for x in seen if x[1] >= 0) == want
