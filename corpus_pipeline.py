@@ -8,7 +8,6 @@ documents; where a stage changes a text, n_chars follows it.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +15,25 @@ from pedalflow.llm import bpe, jaccard, langid, mixing, substring
 from pedalflow.llm.shared import WORD, materialise, prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The share of a text's n-grams that its language must know, and the characters a text needs to be judged by it.
-LEAST_SCORE, LEAST_CHARS = 0.2, 50
+#: The share of a text's n-grams that its language must know.
+LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no learned language: without any letter, or of LEAST_CHARS and more whose best language
-    knows under LEAST_SCORE of the text's n-grams. The model is learned from the stage's own documents; kept ones stay
-    as they are."""
+    """Rejects documents in no learned language: null, without any letter, or of whose n-grams no language knows
+    LEAST_SCORE, however short they are. The model is learned from the stage's own documents; kept ones, repeated rows
+    too, stay as they are. An empty table gives no rows."""
     prepare(spark)
     model = langid.learn_from_documents(docs)
     found = langid.predict(docs.select(*COLUMNS), model)
-    known = (F.col("score") >= LEAST_SCORE) | (F.length("text") < LEAST_CHARS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & known).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one document stays, that with the smallest id; of a component without any
-    id, one text. Rows that share an id are told apart by their components, so each component keeps a row of its own."""
+    id, one text. Rows that share an id are told apart by their components, so each component keeps a row of its own;
+    rows that are alike are one document. Null and empty texts are linked with nothing and stay. An empty table gives no
+    rows."""
     prepare(spark)
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
     found = jaccard.near_duplicates(keyed, carry=("_key",))
@@ -51,7 +51,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the words of passages that a document with a smaller id has too. A document that loses none keeps its
-    text as it is; one that loses all its words goes."""
+    text as it is; one that loses all its words goes. Rows without an id, and null or empty texts, stay as they are;
+    repeated rows lose the same words. An empty table gives no rows."""
     prepare(spark)
     found = substring.remove_repeats(docs.select("doc_id", F.struct("lang", "source", "n_chars", F.col("text").alias("whole")).alias("doc"), "text"))
     changed = F.col("n_removed") > 0
@@ -66,7 +67,9 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it whole, and where the mix takes a part of it adds its first
-    words once more, joined by one space. Documents that the mix doesn't take go, and so do those without words."""
+    words once more, joined by one space. Documents that the mix doesn't take go, and so do those without words, null
+    texts among them. A null source is a source; ties in the order go by id, then size. Of rows that share id, text and
+    source one stands for all and takes their shares. An empty table gives no rows."""
     keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_key"))
     taken = mixing.mix(keyed, keep=("_key",)).where("taken > 0")
     # Rows that share id and text are alike; their shares go to one of them.
@@ -84,10 +87,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as counts and digests: doc_id, lang, source, n_tokens,
-    ids_sha256, decoded_sha256."""
+    ids_sha256, decoded_sha256. Null and empty texts have no ids; repeated rows come out each. An empty table gives no
+    rows."""
     prepare(spark)
-    path = public_tokenizers.path(bpe.RANKS)
-    return bpe.digests(docs, path, ["doc_id", "lang", "source"])
+    return bpe.digests(docs, bpe.RANKS, ["doc_id", "lang", "source"])
 
 
 STAGES = [
