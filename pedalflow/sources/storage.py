@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,19 +39,34 @@ def stored_keys(spark: SparkSession, data_dir: str, source: str, dataset: str, d
     return table.select(*schemas.KEYS[dataset]).distinct()
 
 
+def partition_dates(spark: SparkSession, path: str) -> list[date]:
+    """The dates of a folder's partitions, newest first, from their names: no file is opened."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return []
+    names = (f.getPath().getName() for f in store.listStatus(place) if f.isDirectory())
+    return sorted((date.fromisoformat(n[5:]) for n in names if n.startswith("date=") and n[5:6].isdigit()), reverse=True)
+
+
 def latest_snapshot(spark: SparkSession, data_dir: str, source: str, dataset: str):
-    """The newest stored time, from the newest partition alone; None without any."""
-    table = read_table(spark, f"{data_dir}/{source}/{dataset}", T.StructType(list(schemas.SNAPSHOTS[dataset])), True)
-    newest = table.agg(F.max("date")).first()[0]
-    return None if newest is None else table.where(F.col("date") == F.lit(newest)).agg(F.max(schemas.TIMES[dataset])).first()[0]
+    """The newest stored time, from the newest partition that has any alone; None without any."""
+    path = f"{data_dir}/{source}/{dataset}"
+    table = read_table(spark, path, T.StructType(list(schemas.SNAPSHOTS[dataset])), True)
+    for day in partition_dates(spark, path):
+        newest = table.where(F.col("date") == F.lit(day)).agg(F.max(schemas.TIMES[dataset])).first()[0]
+        if newest is not None:
+            return newest
+    return None
 
 
 def latest_gap_end(spark: SparkSession, data_dir: str, source: str, feed: str):
     """The newest end of a feed's gaps, from the two newest partitions."""
-    table = read_table(spark, f"{data_dir}/{source}/gaps", T.StructType(list(schemas.SNAPSHOTS["gaps"])), True)
-    newest = [r[0] for r in table.select("date").distinct().orderBy(F.desc("date")).limit(2).collect()]
+    path = f"{data_dir}/{source}/gaps"
+    newest = partition_dates(spark, path)[:2]
     if not newest:
         return None
+    table = read_table(spark, path, T.StructType(list(schemas.SNAPSHOTS["gaps"])), True)
     return table.where(F.col("date").isin([F.lit(d) for d in newest]) & (F.col("feed") == feed)).agg(F.max("gap_end")).first()[0]
 
 
@@ -58,25 +75,31 @@ def append_once(df: DataFrame, data_dir: str, source: str, dataset: str) -> None
     a batch that is run twice is stored once."""
     spark = df.sparkSession
     time = schemas.TIMES[dataset]
-    rows = checked(conform(df, schemas.SNAPSHOTS[dataset]), dataset, source).withColumn("date", F.to_date(time)).dropDuplicates(list(schemas.KEYS[dataset]))
-    dates = [r[0] for r in rows.select("date").distinct().collect()]
-    new = rows.join(stored_keys(spark, data_dir, source, dataset, dates), list(schemas.KEYS[dataset]), "left_anti")
-    new.select(*schemas.SNAPSHOTS[dataset].names, "date").repartition("date").sortWithinPartitions(time).write.mode("append").partitionBy("date").parquet(f"{data_dir}/{source}/{dataset}")
+    rows = checked(conform(df, schemas.SNAPSHOTS[dataset]), dataset, source).withColumn("date", F.to_date(time)).dropDuplicates(list(schemas.KEYS[dataset])).persist()
+    try:
+        dates = [r[0] for r in rows.select("date").distinct().collect()]
+        there = set(partition_dates(spark, f"{data_dir}/{source}/{dataset}"))
+        old = [d for d in dates if d in there]
+        new = rows.join(stored_keys(spark, data_dir, source, dataset, old), list(schemas.KEYS[dataset]), "left_anti") if old else rows
+        new.select(*schemas.SNAPSHOTS[dataset].names, "date").repartition("date").sortWithinPartitions(time).write.mode("append").partitionBy("date").parquet(f"{data_dir}/{source}/{dataset}")
+    finally:
+        rows.unpersist()
 
 
 def missing_days(spark: SparkSession, data_dir: str, today: str, days_back: int) -> DataFrame:
     """Days from today - days_back to today - 2 without stored weather."""
-    stored = read_table(spark, f"{data_dir}/weather", T.StructType(list(schemas.WEATHER)), True).select("date").distinct()
-    first, last = F.date_sub(F.lit(today).cast("date"), days_back), F.date_sub(F.lit(today).cast("date"), 2)
-    every = spark.range(1).select(F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))).alias("date"))
-    return every.join(stored, "date", "left_anti")
+    first, last = (date.fromisoformat(today) - timedelta(days=d) for d in (days_back, 2))
+    stored = set(partition_dates(spark, f"{data_dir}/weather"))
+    days = [first + timedelta(days=d) for d in range((last - first).days + 1)]
+    return spark.createDataFrame([(d,) for d in days if d not in stored], "date date")
 
 
 def write_days_once(hours: DataFrame, data_dir: str) -> None:
     """Weather hours of days that aren't stored yet; a stored day is never touched."""
     rows = conform(hours, schemas.WEATHER).withColumn("date", F.to_date("hour_ts"))
-    stored = read_table(hours.sparkSession, f"{data_dir}/weather", T.StructType(list(schemas.WEATHER)), True).select("date").distinct()
-    rows.join(stored, "date", "left_anti").repartition("date").write.mode("append").partitionBy("date").parquet(f"{data_dir}/weather")
+    stored = partition_dates(hours.sparkSession, f"{data_dir}/weather")
+    new = rows.where(~F.col("date").isin([F.lit(d) for d in stored])) if stored else rows
+    new.repartition("date").write.mode("append").partitionBy("date").parquet(f"{data_dir}/weather")
 
 
 def write_station_areas(rows: DataFrame, data_dir: str) -> None:
@@ -107,9 +130,10 @@ def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
+    """As many files as the rows have partitions, unless their number is given."""
+    (df.coalesce(files) if files else df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_nested_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+def write_nested_json(df: DataFrame, path: str, files: int | None = None) -> None:
+    (df.coalesce(files) if files else df).write.mode("overwrite").json(path)

@@ -57,13 +57,14 @@ def collect(payloads: DataFrame, data_dir: str, source: str, checkpoint: str, ev
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def store_gaps(gaps: DataFrame, data_dir: str, source: str, checkpoint: str) -> StreamingQuery:
+def store_gaps(gaps: DataFrame, data_dir: str, source: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends gap rows; one that is stored under the same feed and start stays as it is."""
 
     def store(batch: DataFrame, _: int) -> None:
         append_once(batch.where(F.col("source") == source), data_dir, source, "gaps")
 
-    return gaps.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = gaps.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def once(status: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -1,173 +1,225 @@
-"""Outages of feeds as a stateful stream: polls go in, gap rows come out."""
+"""Gaps of feeds as a stateful stream: what happens to a feed goes in, gap rows come out.
+
+A feed is in one of three modes, and each kind of event moves it by the table MOVES. Polls are events of the kinds
+``failed``, ``newer`` and ``same``; ``started`` and ``stopped`` frame a run of the collector; ``quiet`` comes from a
+timer when the watermark, which the other feeds push on, passes the time at which this one's snapshot is too old.
+"""
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
-from datetime import datetime, timedelta
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Seconds between polls of live and of daily feeds; a feed is stale after so many times its interval.
-INTERVALS = {"station_status": 120, "free_bike_status": 120, "station_information": 86_400, "vehicle_types": 86_400}
-STALE_FACTOR, DOWN_FACTOR = 3, 2
-RETRY_FLOOR = 120
+from ..sources.storage import latest_gap_end, latest_snapshot
+from .schedule import DAY, INTERVALS, SHORTEST
+
+#: A feed is stale after so many intervals without a newer snapshot; the collector was down if it starts so many late.
+STALE_AFTER, DOWN_AFTER = 3, 2
 
-POLLS = "source string, feed string, fetched_at timestamp, ok boolean, last_updated timestamp"
+#: ``mark`` is null for polls, else 'started' or 'stopped'; a start brings the stored snapshot as last_updated and the
+#: end of the last stored gap as covered.
+POLLS = "source string, feed string, fetched_at timestamp, ok boolean, last_updated timestamp, mark string, covered timestamp"
 GAPS = "source string, feed string, gap_start timestamp, gap_end timestamp, reason string, attempts int"
 
+#: What the stream serves: the dataset that holds each feed's snapshots.
+DATASETS = {feed: "free_bike_cells" if feed == "free_bike_status" else feed for feed in INTERVALS}
+
 
-@dataclass
-class Outages:
-    """What is known of one feed: its newest snapshot, an open outage, and for which snapshot it was called stale."""
+class Feed(NamedTuple):
+    """What is known of a feed. ``since`` and ``attempts`` are those of the outage it is in; ``told`` is the snapshot
+    whose staleness has a row; ``covered`` is where the last gap ended."""
 
-    last: datetime | None = None
-    start: datetime | None = None
-    reason: str | None = None
+    mode: str = "clear"
+    newest: datetime | None = None
+    since: datetime | None = None
     attempts: int = 0
-    stale_for: datetime | None = None
+    told: datetime | None = None
     covered: datetime | None = None
 
-    def _gap(self, start: datetime, end: datetime, reason: str, attempts: int) -> list[tuple]:
-        """A gap row unless it has no length."""
-        if end <= start:
-            return []
-        self.covered = max(self.covered or end, end)
-        return [(start, end, reason, attempts)]
-
-    def resume(self, stored: datetime | None, covered: datetime | None, now: datetime, interval: int) -> None:
-        """At a restart: over DOWN_FACTOR intervals since the stored snapshot mean that the collector was down. The
-        outage begins no earlier than the last stored gap ends. Daily feeds have no such outage."""
-        self.last, self.covered = stored, covered
-        if stored is not None and interval < 86_400 and (now - stored).total_seconds() > DOWN_FACTOR * interval:
-            self.start, self.reason = max(stored, covered or stored), "collector_down"
-
-    def failed(self, now: datetime) -> list[tuple]:
-        if self.start is None:
-            self.start, self.reason = self.last or now, "fetch_error"
-            if self.stale_for is not None and self.stale_for == self.start:
-                self.start = now  # that snapshot's row is there already
-        self.attempts += 1
-        return []
-
-    def succeeded(self, now: datetime, last_updated: datetime | None, interval: int) -> list[tuple]:
-        if last_updated is not None and (self.last is None or last_updated > self.last):
-            self.last = last_updated
-        out: list[tuple] = []
-        if self.start is not None:
-            closes = self.last is not None and self.last > self.start
-            if self.reason == "collector_down" and not closes:
-                return out  # stays open until there is a newer snapshot
-            start, reason, attempts = self.start, self.reason, self.attempts
-            self.start, self.reason, self.attempts = None, None, 0
-            if closes:
-                out += self._gap(start, self.last, reason, attempts)
-        return out + self.stale(now, interval)
-
-    def stale(self, now: datetime, interval: int) -> list[tuple]:
-        """Once a snapshot: a row when nothing newer came for over STALE_FACTOR intervals."""
-        if self.last is None or self.stale_for == self.last or (now - self.last).total_seconds() <= STALE_FACTOR * interval:
-            return []
-        self.stale_for = self.last
-        return self._gap(max(self.last, self.covered or self.last), now, "stale_feed", 0)
-
-    def flush(self, now: datetime) -> list[tuple]:
-        """At shutdown: an open outage ends now."""
-        if self.start is None:
-            return []
-        start, reason, attempts = self.start, self.reason, self.attempts
-        self.start, self.reason, self.attempts = None, None, 0
-        return self._gap(start, now, reason, attempts)
-
-
-_FIELDS = tuple(Outages.__dataclass_fields__)
-_STATE = "last timestamp, start timestamp, reason string, attempts int, stale_for timestamp, covered timestamp"
+
+_STATE = "mode string, newest timestamp, since timestamp, attempts int, told timestamp, covered timestamp"
+Gap = tuple[datetime, datetime, str, int]
+Step = tuple[Feed, list[Gap]]
+
+
+def _later(*times: datetime | None) -> datetime | None:
+    return max((t for t in times if t is not None), default=None)
+
+
+def _record(feed: Feed, start: datetime, end: datetime, reason: str, attempts: int) -> Step:
+    """A row for a stretch that has a length."""
+    return (feed._replace(covered=_later(feed.covered, end)), [(start, end, reason, attempts)]) if end > start else (feed, [])
+
+
+def _ended(feed: Feed, end: datetime) -> Step:
+    reason = {"failing": "fetch_error", "down": "collector_down"}[feed.mode]
+    return _record(feed._replace(mode="clear", since=None, attempts=0), feed.since, end, reason, feed.attempts)
+
+
+def _stay(feed: Feed, now: datetime, interval: int) -> Step:
+    return feed, []
+
+
+def _start(feed: Feed, now: datetime, interval: int) -> Step:
+    """Too long after the newest snapshot: nobody was looking. What a gap covers already isn't counted again. Feeds of
+    one snapshot a day have no such outage."""
+    late = feed.newest is not None and now - feed.newest > timedelta(seconds=DOWN_AFTER * interval)
+    return (feed._replace(mode="down", since=_later(feed.newest, feed.covered)) if late and interval < DAY else feed), []
+
+
+def _fail(feed: Feed, now: datetime, interval: int) -> Step:
+    """An outage begins with the newest snapshot, or now if there is none or its staleness has the row of that start."""
+    known = feed.newest is not None and feed.newest != feed.told
+    return feed._replace(mode="failing", since=feed.newest if known else now, attempts=1), []
+
+
+def _again(feed: Feed, now: datetime, interval: int) -> Step:
+    return feed._replace(attempts=feed.attempts + 1), []
+
+
+def _watch(feed: Feed, now: datetime, interval: int) -> Step:
+    """One row for a snapshot that got too old."""
+    if feed.newest in (None, feed.told) or now - feed.newest <= timedelta(seconds=STALE_AFTER * interval):
+        return feed, []
+    return _record(feed._replace(told=feed.newest), _later(feed.newest, feed.covered), now, "stale_feed", 0)
+
+
+def _recover(feed: Feed, now: datetime, interval: int) -> Step:
+    """The outage ends with the newest snapshot; whether that one is too old is another question."""
+    feed, gaps = _ended(feed, feed.newest or feed.since)
+    feed, more = _watch(feed, now, interval)
+    return feed, gaps + more
+
+
+def _return(feed: Feed, now: datetime, interval: int) -> Step:
+    """Back after a down time, if the snapshot is one from after it."""
+    return _recover(feed, now, interval) if feed.newest > feed.since else (feed, [])
+
+
+def _close(feed: Feed, now: datetime, interval: int) -> Step:
+    return _ended(feed, now)
+
+
+MOVES: dict[tuple[str, str], Callable[[Feed, datetime, int], Step]] = {
+    ("clear", "started"): _start,
+    ("clear", "failed"): _fail,
+    ("clear", "newer"): _watch,
+    ("clear", "same"): _watch,
+    ("clear", "quiet"): _watch,
+    ("clear", "stopped"): _stay,
+    ("failing", "started"): _stay,
+    ("failing", "failed"): _again,
+    ("failing", "newer"): _recover,
+    ("failing", "same"): _recover,
+    ("failing", "quiet"): _stay,
+    ("failing", "stopped"): _close,
+    ("down", "started"): _stay,
+    ("down", "failed"): _again,
+    ("down", "newer"): _return,
+    ("down", "same"): _stay,
+    ("down", "quiet"): _stay,
+    ("down", "stopped"): _close,
+}
+
+
+def move(feed: Feed, kind: str, now: datetime, interval: int) -> Step:
+    return MOVES[feed.mode, kind](feed, now, interval)
 
 
 def _plain(value):
-    return None if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)) else value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
+    return None if value is None or pd.isna(value) else value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
 
 
-def run_polls(state: Outages, polls: pd.DataFrame, interval: int) -> list[tuple]:
-    """Polls in order of time, through the state."""
-    out: list[tuple] = []
-    for poll in polls.sort_values("fetched_at").itertuples():
-        now, updated = _plain(poll.fetched_at), _plain(poll.last_updated)
-        out += state.succeeded(now, updated, interval) if poll.ok else state.failed(now)
-    return out
+def replay(feed: Feed, events: pd.DataFrame, interval: int) -> Step:
+    """Events, in order of time, through the table."""
+    rows: list[Gap] = []
+    for event in events.sort_values("fetched_at", kind="stable").itertuples():
+        now, mark, update = _plain(event.fetched_at), _plain(event.mark), _plain(event.last_updated)
+        kind = mark or ("failed" if not event.ok else "newer" if update is not None and (feed.newest is None or update > feed.newest) else "same")
+        if kind in ("newer", "started"):
+            feed = feed._replace(newest=_later(feed.newest, update), covered=_later(feed.covered, _plain(event.covered)))
+        feed, found = move(feed, kind, now, interval)
+        rows += found
+    return feed, rows
 
 
-def _rows(key: tuple, found: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(*key, *g) for g in found], columns=["source", "feed", "gap_start", "gap_end", "reason", "attempts"])
+def _frame(key: tuple, rows: list[Gap]) -> pd.DataFrame:
+    return pd.DataFrame([(*key, *r) for r in rows], columns=["source", "feed", "gap_start", "gap_end", "reason", "attempts"])
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    known = Outages(**dict(zip(_FIELDS, map(_plain, state.get), strict=True))) if state.exists else Outages()
-    polls = pd.concat(list(frames))
-    found = run_polls(known, polls, INTERVALS.get(key[1], RETRY_FLOOR))
-    state.update(tuple(asdict(known)[f] for f in _FIELDS))
-    if found:
-        yield _rows(key, found)
+def _instant(milliseconds: int) -> datetime:
+    return datetime(1970, 1, 1) + timedelta(milliseconds=milliseconds)
 
 
-def gap_stream(polls: DataFrame) -> DataFrame:
-    """Gap rows of a stream of polls (columns as in POLLS), one state a source and feed. Append output."""
-    return polls.groupBy("source", "feed").applyInPandasWithState(_update, GAPS, _STATE, "append", GroupStateTimeout.NoTimeout)
+def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    feed = Feed(*map(_plain, state.get)) if state.exists else Feed()
+    interval = INTERVALS.get(key[1], SHORTEST)
+    if state.hasTimedOut:
+        feed, rows = move(feed, "quiet", _instant(state.getCurrentWatermarkMs()), interval)
+    else:
+        feed, rows = replay(feed, pd.concat(list(frames)), interval)
+    state.update(tuple(feed))
+    if feed.mode == "clear" and feed.newest not in (None, feed.told):
+        alarm = feed.newest + timedelta(seconds=STALE_AFTER * interval, milliseconds=1)
+        state.setTimeoutTimestamp(max(int((alarm - datetime(1970, 1, 1)) / timedelta(milliseconds=1)), state.getCurrentWatermarkMs() + 1))
+    if rows:
+        yield _frame(key, rows)
+
+
+def gap_stream(polls: DataFrame, late: str = "1 minute") -> DataFrame:
+    """Gap rows of a stream of events (columns as in POLLS), one state a source and feed. Append output. A feed that is
+    not polled any more is called stale once the other feeds' polls have moved the watermark on."""
+    return polls.withWatermark("fetched_at", late).groupBy("source", "feed").applyInPandasWithState(_update, GAPS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gaps_of(polls: DataFrame) -> DataFrame:
-    """The same over a finished table of polls. One feed's polls go through one task in order, as its state demands."""
+    """The same over a finished table of events, without timers. One feed's events go through one task in order, as its
+    state demands."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _rows(key, run_polls(Outages(), frame, INTERVALS.get(key[1], RETRY_FLOOR)))
+        return _frame(key, replay(Feed(), frame, INTERVALS.get(key[1], SHORTEST))[1])
 
     return polls.groupBy("source", "feed").applyInPandas(run, GAPS)
 
 
-def collector_down(rows: DataFrame, now: datetime, covered: DataFrame | None = None) -> DataFrame:
-    """At a restart, from stored keys (source, feed, snapshot_ts): feeds whose newest snapshot is over DOWN_FACTOR
-    intervals old, with the start of their outage."""
-    newest = rows.groupBy("source", "feed").agg(F.max("snapshot_ts").alias("last"))
-    interval = F.coalesce(*[F.when(F.col("feed") == f, F.lit(s)) for f, s in INTERVALS.items()], F.lit(RETRY_FLOOR))
-    old = newest.where((interval < 86_400) & (F.unix_seconds(F.lit(now)) - F.unix_seconds("last") > DOWN_FACTOR * interval))
-    if covered is None:
-        return old.select("source", "feed", F.col("last").alias("gap_start"))
-    return old.join(covered, ["source", "feed"], "left").select("source", "feed", F.greatest("last", "gap_end").alias("gap_start"))
-
-
-@dataclass
-class Backoff:
-    """Delays after failures: a random part of a bound that doubles up to a cap, never below what the server asks for
-    unless that is over the cap."""
-
-    base: float = 120
-    factor: float = 2
-    cap: float = 1800
-    seed: int | None = None
-    attempts: int = 0
+def _zoned(found: datetime | None) -> datetime | None:
+    """What the driver's rows hold is in its own local time."""
+    return None if found is None else found.astimezone(timezone.utc)
 
-    def __post_init__(self) -> None:
-        self._random = random.Random(self.seed)
 
-    def next_delay(self, retry_after: float | None = None) -> float:
-        bound = min(self.cap, self.base * self.factor**self.attempts)
-        self.attempts += 1
-        return min(self.cap, max(self._random.uniform(0, bound), retry_after or 0))
+def starts(spark: SparkSession, data_dir: str, source: str, feeds: list[str], now: datetime) -> list[dict]:
+    """The events of a collector's start: what storage holds of each feed. For a stream whose state is older or lost."""
+    return [
+        {
+            "source": source,
+            "feed": feed,
+            "fetched_at": now,
+            "ok": None,
+            "last_updated": _zoned(latest_snapshot(spark, data_dir, source, DATASETS.get(feed, feed))),
+            "mark": "started",
+            "covered": _zoned(latest_gap_end(spark, data_dir, source, feed)),
+        }
+        for feed in feeds
+    ]
 
-    def on_grid(self, interval: int, retry_after: float | None = None) -> float:
-        """The delay rounded up to the polls' grid."""
-        floor = min(interval, RETRY_FLOOR)
-        return math.ceil(max(floor, self.next_delay(retry_after)) / floor) * floor
 
-    def reset(self) -> None:
-        self.attempts = 0
+def stops(source: str, feeds: list[str], now: datetime) -> list[dict]:
+    """The events of a collector's end, which close open outages."""
+    return [{"source": source, "feed": feed, "fetched_at": now, "ok": None, "last_updated": None, "mark": "stopped", "covered": None} for feed in feeds]
 
 
-def next_due(last_updated: datetime, ttl: int, fetched_at: datetime, interval: int) -> datetime:
-    """When a feed is due: not before its time to live is over, nor before its interval."""
-    return max(last_updated + timedelta(seconds=ttl), fetched_at + timedelta(seconds=interval))
+def collector_down(rows: DataFrame, now: datetime, covered: DataFrame | None = None) -> DataFrame:
+    """The rule of a late start over stored keys (source, feed, snapshot_ts), as columns: feeds whose newest snapshot is
+    too old at ``now``, with the start of their outage."""
+    newest = rows.groupBy("source", "feed").agg(F.max("snapshot_ts").alias("last"))
+    interval = F.coalesce(*[F.when(F.col("feed") == f, F.lit(s)) for f, s in INTERVALS.items()], F.lit(SHORTEST))
+    old = newest.where((interval < DAY) & (F.unix_seconds(F.lit(now)) - F.unix_seconds("last") > DOWN_AFTER * interval))
+    if covered is None:
+        return old.select("source", "feed", F.col("last").alias("gap_start"))
+    return old.join(covered, ["source", "feed"], "left").select("source", "feed", F.greatest("last", "gap_end").alias("gap_start"))
