@@ -17,10 +17,15 @@ from .shared import materialise, partitions_for, read
 BLOCK, ASK = 2048, 256
 #: Parts of the rotated coordinates after which partial sums are bounded.
 STAGES = (0.25, 0.5, 0.75)
+#: Components that the candidate blocks of one group have together; lengths of vectors, the most frequent ones, that get
+#: a rotation of their own (the others are searched unrotated, with the same results).
+GROUP_CELLS, ROTATED = 1 << 21, 16
 
 
 def gram(rows: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length, the sum of outer products of all classes: length squared numbers reach the driver."""
+    """For the ROTATED most frequent vector lengths, the sum of outer products of all classes: length squared numbers
+    each reach the driver."""
+    lengths = [r["d"] for r in rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(ROTATED).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -32,7 +37,7 @@ def gram(rows: DataFrame) -> dict[int, np.ndarray]:
         for d, s in sums.items():
             yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(d * d, d, np.int32)), "at": pa.array(np.arange(d * d)), "v": pa.array(s.ravel())})
 
-    parts = rows.select("vec", F.size("vec").alias("d")).mapInArrow(run, "d int, at long, v double").groupBy("d", "at").agg(F.sum("v").alias("v"))
+    parts = rows.select("vec", F.size("vec").alias("d")).where(F.col("d").isin(lengths) if lengths else F.lit(False)).mapInArrow(run, "d int, at long, v double").groupBy("d", "at").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in parts.collect():
         out.setdefault(r["d"], np.zeros(r["d"] ** 2))[r["at"]] = r["v"]
@@ -48,9 +53,9 @@ def rotation(sums: np.ndarray) -> np.ndarray:
 class Prepared:
     """A block's integer vectors, rotated, with the length of what each stage leaves."""
 
-    def __init__(self, ints: np.ndarray, turn: np.ndarray):
+    def __init__(self, ints: np.ndarray, turn: np.ndarray | None):
         self.ints = ints.astype(np.float64)
-        self.rotated = self.ints @ turn
+        self.rotated = self.ints if turn is None else self.ints @ turn
         d = ints.shape[1]
         self.cuts = [0, *sorted({int(d * s) for s in STAGES if 0 < int(d * s) < d})]
         squares = self.rotated**2
@@ -98,7 +103,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = table.filter(pa.array(sizes == d)).combine_chunks()
             ids, offs = vectors.ragged(own.column("ids").combine_chunks())
             data = vectors.pack({"ints": narrow(vectors.matrix(own.column("vec").combine_chunks(), np.int64)), "ids": ids, "offs": offs})
-            yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "cb": pa.array([(part << 32) + k]), "top": pa.array([float(own.column("norm")[0].as_py())]), "data": pa.array([data], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "cb": pa.array([(part << 32) + k]), "grp": pa.array([(part << 32) + k // max(1, GROUP_CELLS // (BLOCK * d))]), "top": pa.array([float(own.column("norm")[0].as_py())]), "data": pa.array([data], pa.binary())})
             k += 1
 
 
@@ -114,49 +119,53 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(batches: Iterator[pa.RecordBatch], turns: dict[int, np.ndarray], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (query block, candidate block) come by query block, longest candidates first."""
-    now, best, asked, cids = None, None, None, None
-
-    def out() -> pa.RecordBatch:
-        found = [best.listed(i) for i in range(len(cids))]
-        lengths = np.sqrt((asked.ints**2).sum(axis=1))
-        # The smallest candidate length that can still matter to some query of the block.
-        need = float(min(np.where(lengths > 0, best.least / np.maximum(lengths, 1e-300), np.where(best.least > 0, np.inf, -np.inf)), default=-np.inf))
-        return pa.RecordBatch.from_pydict(
-            {
-                "qb": pa.array([now] * len(cids), pa.int64()),
-                "need": pa.array([need] * len(cids), pa.float64()),
-                "cid": pa.array(cids, pa.string()),
-                "scores": pa.array([[int(s) for s in x] for x, _ in found], pa.list_(pa.int64())),
-                "ids": pa.array([x for _, x in found], pa.list_(pa.int64())),
-            }
-        )
-
+    """Rows come by key: the candidate blocks that lie there, longest first, which are prepared once, then the query
+    blocks that ask them."""
+    now, held = None, []
     for batch in batches:
         for r in range(batch.num_rows):
-            d, qb = batch.column("d")[r].as_py(), batch.column("qb")[r].as_py()
-            if qb != now:
-                if now is not None:
-                    yield out()
-                q = vectors.unpack(batch.column("asking")[r].as_py())
-                now, asked, cids = qb, Prepared(q["ints"], turns[d]), q["cids"]
-                best = vectors.Best(len(cids), k)
-            c = vectors.unpack(batch.column("data")[r].as_py())
-            search_block(asked, Prepared(c["ints"], turns[d]), c["ids"], c["offs"], best)
-    if now is not None:
-        yield out()
-
-
-FOUND = "qb long, need double, cid string, scores array<long>, ids array<long>"
+            key, kind, d = (batch.column(c)[r].as_py() for c in ("key", "kind", "d"))
+            if key != now:
+                now, held = key, []
+            data = vectors.unpack(batch.column("data")[r].as_py())
+            if kind == 0:
+                held.append((d, Prepared(data["ints"], turns.get(d)), data["ids"], data["offs"]))
+                continue
+            asked, cids = Prepared(data["ints"], turns.get(d)), data["cids"]
+            best = vectors.Best(len(cids), k)
+            known = batch.column("least")[r].as_py()
+            if known is not None:  # scores that each query has k of already
+                best.least = np.frombuffer(known).copy()
+            for own, block, ids, offs in held:
+                if own == d:
+                    search_block(asked, block, ids, offs, best)
+            found = [best.listed(i) for i in range(len(cids))]
+            lengths = np.sqrt((asked.ints**2).sum(axis=1))
+            # The smallest candidate length that can still matter to some query of the block.
+            need = float(min(np.where(lengths > 0, best.least / np.maximum(lengths, 1e-300), np.where(best.least > 0, np.inf, -np.inf)), default=-np.inf))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "qb": pa.array([batch.column("qb")[r].as_py()] * len(cids), pa.int64()),
+                    "need": pa.array([need] * len(cids), pa.float64()),
+                    "least": pa.array([best.least.tobytes()] + [None] * (len(cids) - 1), pa.binary()),
+                    "cid": pa.array(cids, pa.string()),
+                    "scores": pa.array([[int(s) for s in x] for x, _ in found], pa.list_(pa.int64())),
+                    "ids": pa.array([x for _, x in found], pa.list_(pa.int64())),
+                }
+            )
+
+
+FOUND = "qb long, need double, least binary, cid string, scores array<long>, ids array<long>"
 
 
 def top_k(rows: DataFrame, scale: int = 64, k: int = vectors.K, every: int = vectors.EVERY) -> DataFrame:
     """Each query's k best rows by the inner product of the vectors floor(scale * x): query_id, rank, vec_id, score.
 
     Queries are the rows whose id ``every`` divides; candidates all rows but those with the query's own id. Classes
-    of equal vectors are sorted by length across the cluster and packed into blocks. A first round pairs each query
-    block with the block of the longest vectors only and so finds scores to beat; the second pairs it with every
-    block whose longest vector can still beat them.
+    of equal vectors are sorted by length across the cluster and packed into blocks, neighbouring blocks into groups. A
+    first round pairs each query block with the block of the longest vectors only and so finds scores to beat; the
+    second sends it to every group whose longest vector can still beat them. A group lies in one task, so a candidate
+    block travels and is rotated once.
 
     Null ids or vectors, empty vectors and vectors with null or non-finite components take no part; equal rows count
     once; vectors of another length are no candidates. Scores and components must fit 53 bits. Ties go to the
@@ -170,25 +179,31 @@ def top_k(rows: DataFrame, scale: int = 64, k: int = vectors.K, every: int = vec
     turns = {d: rotation(s) for d, s in gram(ready).items()}
     n = partitions_for(spark)
     by_norm = ready.select("d", "norm", "cid", "vec", "ids").repartitionByRange(n, "d", F.desc("norm"), "cid").sortWithinPartitions("d", F.desc("norm"), "cid")
-    held_blocks = materialise(by_norm.mapInArrow(_candidates, "d int, cb long, top double, data binary"), "topk-candidates")
+    held_blocks = materialise(by_norm.mapInArrow(_candidates, "d int, cb long, grp long, top double, data binary"), "topk-candidates")
     asked = ready.where("asked").select("d", "cid", "vec").sortWithinPartitions("d")
     asked_blocks = materialise(asked.mapInArrow(_questions, "d int, qb long, asking binary"), "topk-queries")
-    meta = held_blocks.select("d", "cb", "top")
-
-    def search(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(asked_blocks.select("qb", "asking"), "qb").join(held_blocks.select("cb", "data"), "cb")
-        ordered = full.repartition(n, "qb").sortWithinPartitions("qb", F.desc("top"), "cb").select("d", "qb", "asking", "data")
-        return ordered.mapInArrow(lambda it: _search(it, turns, k), FOUND)
-
-    longest = meta.groupBy("d").agg(F.max_by("cb", F.struct("top", -F.col("cb"))).alias("cb"), F.max("top").alias("top"))
-    first = search(asked_blocks.select("d", "qb").join(longest, "d"))
-    need = materialise(first.select("qb", "need").distinct(), "topk-need")
-    # One row here is a pair of blocks. There are few vector lengths, so the pairs are made in n shares of the candidate
-    # blocks, each of which meets all query blocks (two numbers a block).
-    asking = asked_blocks.select("d", "qb").join(need, "qb").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    offered = meta.withColumn("share", F.pmod(F.xxhash64("cb"), F.lit(n)).cast("int"))
-    pairs = asking.join(offered, ["d", "share"]).where(F.col("top") * (1 + 1e-9) + 1e-9 >= F.col("need")).select("d", "qb", "cb", "top")
-    result = search(pairs).select("cid", "scores", "ids")
+    meta = held_blocks.groupBy("d", "grp").agg(F.max("top").alias("top"))
+
+    def search(blocks: DataFrame, questions: DataFrame) -> DataFrame:
+        """blocks: key, d, top, data; questions: key, d, qb, asking, least."""
+        none = F.lit(None)
+        left = blocks.select("key", F.lit(0).alias("kind"), "d", "top", none.cast("long").alias("qb"), "data", none.cast("binary").alias("least"))
+        right = questions.select("key", F.lit(1).alias("kind"), "d", F.lit(0.0).alias("top"), "qb", F.col("asking").alias("data"), "least")
+        ordered = left.unionByName(right).repartition(n, "key").sortWithinPartitions("key", "kind", F.desc("top"), "qb")
+        return ordered.select("key", "kind", "d", "qb", "data", "least").mapInArrow(lambda it: _search(it, turns, k), FOUND)
+
+    # The longest block of each length goes to n places, and the query blocks are dealt over these.
+    longest = held_blocks.join(held_blocks.groupBy("d").agg(F.max_by("cb", F.struct("top", -F.col("cb"))).alias("cb")), ["d", "cb"])
+    first = longest.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("key"), "d", "top", "data")
+    dealt = asked_blocks.withColumn("key", F.pmod(F.xxhash64("qb"), F.lit(n)).cast("long")).withColumn("least", F.lit(None).cast("binary"))
+    need = materialise(search(first, dealt).where("least is not null").select("qb", "need", "least"), "topk-need")
+    # One row here is a pair of a query block and a group. There are few vector lengths, so the pairs are made in n shares
+    # of the groups, each of which meets all query blocks (two numbers a block).
+    asking = asked_blocks.select("d", "qb").join(need.select("qb", "need"), "qb").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    offered = meta.withColumn("share", F.pmod(F.xxhash64("grp"), F.lit(n)).cast("int"))
+    pairs = asking.join(offered, ["d", "share"]).where(F.col("top") * (1 + 1e-9) + 1e-9 >= F.col("need")).select("qb", F.col("grp").alias("key"))
+    questions = pairs.join(asked_blocks.join(need.select("qb", "least"), "qb"), "qb")
+    result = search(held_blocks.withColumnRenamed("grp", "key"), questions).select("cid", "scores", "ids")
     return vectors.answers(held, result, "long", k, every)
 
 
