@@ -61,11 +61,13 @@ def mix(
     The running sums never gather a source in one task: documents are cut into 4096 buckets by their seeded order,
     buckets are summed first, and each bucket then only needs the sum of the buckets before it.
 
-    Null text or no words: size 0, taken 0. Null ids share one place in the order. Repeated rows count each. Sources
+    Null text or no words: size 0, taken 0. A row without id has its place in the order by its text. Repeated rows count
+    each; ties in the order go by id, then size. Sources
     without any words have target 0. An empty table gives no rows. Other columns of docs are ignored.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if size is None else size
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # Rows without an id are told apart by their texts, so that they don't all draw alike.
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).cast("binary"))
     rows = materialise(
         docs.select(
             "doc_id",
@@ -117,7 +119,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS nn, coalesce(source, '') AS nm,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS draw
   FROM documents),
 s AS (
   SELECT nn, nm, CAST(sum(size) AS BIGINT) AS source_size,

@@ -44,3 +44,13 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mix(df).count() == 0
     df = spark.createDataFrame([(1, " \t", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.mix(df).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_without_id_spread_and_long_texts_count_whole(spark):
+    rows = [(None, f"w {i}", "s") for i in range(300)] + [(1, "w " * 700_000, "t"), (2, "é\u00a0x y", "t"), (2, "é\u00a0x y", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS SIZE", "2 AS Taken")
+    out = mixing.mix(df).cache()
+    assert out.where("size = 700000").count() == 1 and out.where("doc_id = 2 and size = 2").count() == 2
+    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect():
+        assert r.t == int(r.g)
+    assert out.exceptAll(mixing.mix(df.repartition(5)).select(*out.columns)).count() == 0
