@@ -16,8 +16,8 @@ from .words import slices, text_buffers
 #: Bytes a chunk, bytes from one chunk to the next, bytes an input step, steps a filter spans.
 CHUNK, HOP, STEP, SPAN = 1024, 896, 4, 3
 EMBED, FILTERS, HIDDEN = 8, 24, 16
-#: Bounds of the training sample: documents of each class, and characters of a document that may be in it.
-TRAIN_DOCS, TRAIN_CHARS = 1200, 40_000
+#: Bounds of the training sample: documents of each class, and chunks of a document, spread over all of it.
+TRAIN_DOCS, TRAIN_CHUNKS = 1200, 40
 EPOCHS, BATCH, RATE, SEED = 12, 32, 4e-3, 11
 THRESHOLD = 0.3
 
@@ -130,17 +130,17 @@ class Net:
         return g
 
 
-def train(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Net:
-    """A net fitted with Adam on texts of both classes, which weigh the same; the bias then takes up the prior."""
+def train(cut: list[np.ndarray], labels: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> Net:
+    """A net fitted with Adam on texts of both classes, as their chunks; the classes weigh the same, and the bias then
+    takes up the prior."""
     net, rng = Net.fresh(seed), np.random.default_rng(seed)
-    cut = [chunks(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
     share = labels.mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
-    t, total = 0, epochs * -(-len(texts) // BATCH)
+    t, total = 0, epochs * -(-len(cut) // BATCH)
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(cut))
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             begins = np.concatenate(([0], np.cumsum([len(cut[p]) for p in pick])))
@@ -155,26 +155,40 @@ def train(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = EP
     return net
 
 
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to TRAIN_CHUNKS chunks of each text, from its first to its last."""
+    for batch in batches:
+        raw, offs = text_buffers(batch.column("text"))
+        for i, j in slices(offs):
+            block, begins = chunks(raw, offs[i : j + 1])
+            found = []
+            for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                pick = np.arange(a, b) if b - a <= TRAIN_CHUNKS else np.linspace(a, b - 1, TRAIN_CHUNKS).astype(np.int64)
+                found.append(block[pick].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("quality").slice(i, j - i), pa.array(found, pa.binary())], names=["doc_id", "quality", "chunks"])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Net | float:
-    """A net from rows whose crc32 fold is not 0. The sample is bounded: of each class the TRAIN_DOCS labelled ids that
-    come first by hash, less those whose text is null or has over TRAIN_CHARS characters. The prior counts all labels
-    to learn from. With one class only, its Laplace-smoothed share is all there is to learn."""
+    """A net from rows whose crc32 fold is not 0. The sample is bounded: of each class the TRAIN_DOCS labelled ids with a
+    text that come first by hash, of each one text (that of the smallest hash where an id repeats) and of a long text
+    TRAIN_CHUNKS chunks all over it. The prior counts all labels to learn from. With one class only, its
+    Laplace-smoothed share is all there is to learn."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", 5) != 0))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     if len(counts) < 2:
         return prior
-    picked = None
-    for q in (0, 1):
-        part = known.where(F.col("quality") == q).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-        picked = part if picked is None else picked.unionByName(part)
-    texts = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").collect()  # at most 2 * TRAIN_DOCS ids
-    rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
-    found = np.array([r[2] for r in rows])
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_t"))
+    usable = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).join(texts.groupBy("doc_id").agg(F.min("_t").alias("_t")), "doc_id")
+    parts = [usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for q in (0, 1)]
+    picked = parts[0].unionByName(parts[1])
+    rows = texts.join(F.broadcast(picked), ["doc_id", "_t"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")  # at most 2 * TRAIN_DOCS ids
+    rows = rows.mapInArrow(lean(_samples), "doc_id long, quality int, chunks binary").dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["chunks"]))
+    found = np.array([r["quality"] for r in rows])
     if len(set(found.tolist())) < 2:
         return prior
-    return train([r[1].encode() for r in rows], found, prior)
+    return train([np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows], found, prior)
 
 
 def score(docs: DataFrame, net: Net | float) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from pedalflow.llm import quality as q
@@ -64,3 +66,46 @@ def test_odd_rows_and_one_class(spark):
     assert isinstance(q.learn(df, labels), float)
     assert q.score(df, q.learn(df, labels.limit(0))).where("score = 0.5").count() == 4
     assert q.score(df.limit(0), q.Net.fresh()).count() == 0
+
+
+def plain_score(net, text):
+    """The probability of one text, loop by loop: every chunk, every filter at every place, largest values, layers."""
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    data = text.encode()
+    starts = [0]
+    while starts[-1] + q.CHUNK < len(data):
+        starts.append(starts[-1] + q.HOP)
+    pooled = []
+    for s in starts:
+        part = data[s : s + q.CHUNK].ljust(q.CHUNK, b"\0")
+        steps = [np.concatenate([w["embed"][b] for b in part[i : i + q.STEP]]) for i in range(0, q.CHUNK, q.STEP)]
+        values = []
+        for f in range(q.FILTERS):
+            places = [sum(steps[i + k] @ w["conv"][:, k * q.FILTERS + f] for k in range(q.SPAN)) for i in range(len(steps) - q.SPAN + 1)]
+            values.append(max(0.0, max(places) + w["conv_b"][f]))
+        pooled.append(values)
+    pooled = np.array(pooled)
+    features = [*pooled.max(axis=0), *pooled.mean(axis=0)]
+    hidden = [max(0.0, features @ w["hidden"][:, h] + w["hidden_b"][h]) for h in range(q.HIDDEN)]
+    return 1 / (1 + math.exp(-(hidden @ w["out"] + w["out_b"][0])))
+
+
+def test_scores_against_a_plain_convolution(spark):
+    net = q.Net.fresh(9)
+    net.w["conv_b"] += np.float32(0.1)
+    texts = ["", "short", "Grün und naß. " * 60, "x" * q.CHUNK, "y" * (q.CHUNK + 1), "many words 12 !? " * 250]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'k' AS Score")
+    for r in q.score(df, net).collect():
+        assert np.isclose(r.score, plain_score(net, texts[r.doc_id]), rtol=1e-4, atol=1e-6)
+
+
+def test_long_documents_take_part_in_training(spark):
+    rows = [(i, ("good clean prose " if i % 2 else "zq## $$ x9x9 ") * 9000) for i in range(40)] + [(3, "other"), (None, "x"), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    net = q.learn(docs, labels)
+    assert isinstance(net, q.Net)
+    again = q.learn(docs.repartition(3), labels.repartition(2))
+    assert all((net.w[k] == again.w[k]).all() for k in net.w)
+    found = {r.doc_id: r.score for r in q.score(docs.where("doc_id > 3 and text is not null"), net).collect()}
+    assert min(s for d, s in found.items() if d % 2) > max(s for d, s in found.items() if not d % 2)
