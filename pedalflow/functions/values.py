@@ -71,6 +71,11 @@ def s_curve(x: Column, center: float | Column, width: float | Column) -> Column:
     return 1 / (1 + F.exp((F.lit(0) + center - x) / width))
 
 
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounded, ties to the even digit."""
+    return F.bround(x, digits)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_")
 

@@ -208,6 +208,29 @@ def footprint_daily(spark: SparkSession, d: str) -> DataFrame:
     return metrics.footprint_rows(c, full_days(c))
 
 
+@query(f"SELECT * FROM ({ORACLES['footprint_daily']}) ORDER BY local_date DESC LIMIT 1")
+def footprint_latest_day(spark: SparkSession, d: str) -> DataFrame:
+    c = bridge.catalog(spark, d, grid=True)
+    return metrics.latest(metrics.footprint_rows(c, full_days(c)))
+
+
+@query(
+    """docked AS (SELECT unnest([station_id % 20, 20 + station_id % 3]) AS vehicle_type_id, unnest([num_bikes_available, 1]) AS bikes FROM status WHERE event_id % 3 <> 0)
+SELECT vehicle_type_id, CAST(sum(bikes) AS BIGINT) AS bikes, count(*) AS n FROM (
+  SELECT * FROM docked UNION ALL SELECT vehicle_type_id, num_bikes FROM free_cells WHERE NOT at_station) GROUP BY 1""",
+    "status", "free_cells",
+)
+def bikes_by_type(spark: SparkSession, d: str) -> DataFrame:
+    """Stations list their bikes by type in some snapshots and lack the list, or have an empty one, in others."""
+    counted = lambda kind, n: F.struct(kind.alias("vehicle_type_id"), n.alias("count"))
+    station = F.col("station_id")
+    listed = F.array(counted(station % 20, F.col("num_bikes_available")), counted(20 + station % 3, F.lit(1)))
+    empty = F.when(F.col("event_id") % 2 == 0, F.slice(listed, 1, 0))
+    rows = bridge.status(spark, d).withColumn("vehicle_types_available", F.when(F.col("event_id") % 3 != 0, listed).otherwise(empty))
+    entries = metrics.typed_entries(bridge.Catalog(spark, tables={"station_status": rows, "free_bike_cells": bridge.free_bike_cells(spark, d)}))
+    return entries.groupBy("vehicle_type_id").agg(F.sum("bikes").alias("bikes"), F.count("*").alias("n"))
+
+
 @query(
     """SELECT e.event_id, e.ts, v.propulsion_type FROM events e
 ASOF LEFT JOIN vehicle_types v ON v.vehicle_type_id = e.user_id % 25 AND e.ts >= v.snapshot_ts""",
@@ -357,6 +380,12 @@ def dip_argmin(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(least).select("x.mean", "x.weekday", "x.local_hour")
 
 
+@query(CITY + " SELECT weekday, local_hour, round(m, 9) AS mean FROM av ORDER BY m DESC, weekday, local_hour LIMIT 1", "status_grid")
+def peak_argmax(spark: SparkSession, d: str) -> DataFrame:
+    rows = metrics.peak(metrics.availability_rows(bridge.catalog(spark, d, grid=True)), "mean_bikes_available", "weekday", "local_hour")
+    return rows.select("weekday", "local_hour", F.round("mean_bikes_available", 9).alias("mean"))
+
+
 @query(
     f"""t AS (SELECT snapshot_ts, bezirk, sum(num_bikes_available) AS b FROM status_grid JOIN areas USING (source, station_id) GROUP BY 1, 2),
 av AS (SELECT {WDL} AS weekday, {HRL} AS local_hour, bezirk, avg(b) AS m FROM t GROUP BY 1, 2, 3)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import decode_polyline, rounded_rings
 from ..functions.localtime import sunday_first
-from ..functions.values import HOLIDAYS, clean_int, station_id
+from ..functions.values import HOLIDAYS, axis_ticks, clean_int, half_even, station_id
 from ..sources import bridge
 from ..sources.bridge import with_views
 from ..sources.storage import delete_where, update_from, upsert
@@ -343,3 +344,50 @@ def ols_errors(spark: SparkSession, d: str) -> DataFrame:
 def unpivot_actual_predicted(spark: SparkSession, d: str) -> DataFrame:
     daily = trips.daily_trips(bridge.trips(spark, d)).select("date", F.col("trips").cast("double").alias("actual"), (F.col("trips") / 2).alias("predicted"))
     return daily.unpivot(["date"], ["actual", "predicted"], "kind", "value")
+
+
+@query(
+    """SELECT station_id, name FROM stations WHERE station_id IN (SELECT start_station_id FROM trips WHERE gender = 1 AND start_time >= TIMESTAMP '1998-06-01')
+  OR station_id IN (SELECT end_station_id FROM trips WHERE gender = 2 AND start_time < TIMESTAMP '1992-06-01')""",
+    "trips", "stations",
+)
+def stations_at_either_end(spark: SparkSession, d: str) -> DataFrame:
+    rows = bridge.trips(spark, d)
+    starts, ends = rows.where("gender = 1 and start_time >= timestamp_ntz'1998-06-01'"), rows.where("gender = 2 and start_time < timestamp_ntz'1992-06-01'")
+    return trips.seen_at_either_end(bridge.stations(spark, d).select("station_id", "name"), starts, ends)
+
+
+#: A fixed value: the example of the polyline format and the points that it stands for.
+POLYLINE, POLYLINE_POINTS = "_p~iF~ps|U_ulLnnqC_mqNvxq`@", ((-120.2, 38.5), (-120.95, 40.7), (-126.453, 43.252))
+_LEG_ROWS = ", ".join(f"({k}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for k, (a, b) in enumerate(zip(POLYLINE_POINTS, POLYLINE_POINTS[1:])))
+
+
+@query(f"SELECT n_nationkey, number, start_lon, start_lat, end_lon, end_lat FROM nation, (VALUES {_LEG_ROWS}) t(number, start_lon, start_lat, end_lon, end_lat)")
+def polyline_legs(spark: SparkSession, d: str) -> DataFrame:
+    path = bridge.read(spark, d, "nation").select("n_nationkey", F.posexplode(decode_polyline(F.lit(POLYLINE))).alias("position", "q"))
+    return trips.legs_of(path.select("n_nationkey", "position", "q.*"), "n_nationkey", "position").select("n_nationkey", F.col("number"), "start_lon", "start_lat", "end_lon", "end_lat")
+
+
+@query("SELECT n_nationkey, 2 AS n_points, round(n_nationkey / 3.0::DOUBLE, 5) AS lon FROM nation")
+def rounded_ring(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("double")
+    point = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    ring = F.array(point(key / 3, key / 7), point(key / 3 + 1e-9, key / 7), point(key + 1, key + 1))
+    rings = bridge.read(spark, d, "nation").select("n_nationkey", rounded_rings(F.array(F.array(ring))).alias("r"))
+    return rings.select("n_nationkey", F.size(F.col("r")[0][0]).alias("n_points"), F.col("r")[0][0][0]["lon"].alias("lon"))
+
+
+@query(
+    """WITH t AS (SELECT n_nationkey, n_nationkey * 7 + 0.5::DOUBLE AS top, pow(10, floor(log10((n_nationkey * 7 + 0.5::DOUBLE) / 5))) AS p FROM nation),
+s AS (SELECT *, p * CASE WHEN top / 5 / p <= 1 THEN 1 WHEN top / 5 / p <= 2 THEN 2 WHEN top / 5 / p <= 5 THEN 5 ELSE 10 END AS step FROM t)
+SELECT n_nationkey, CAST(ceil(top / step - 1e-9) AS INT) + 1 AS n_ticks, round(ceil(top / step - 1e-9) * step, 6) AS last FROM s"""
+)
+def axis_tick_rows(spark: SparkSession, d: str) -> DataFrame:
+    ticks = bridge.read(spark, d, "nation").select("n_nationkey", axis_ticks(F.col("n_nationkey") * 7 + F.lit(0.5)).alias("t"))
+    return ticks.select("n_nationkey", F.size("t").alias("n_ticks"), F.round(F.element_at("t", -1), 6).alias("last"))
+
+
+@query("SELECT n_nationkey, round_even(n_nationkey / 4.0::DOUBLE, 1) AS tenth, round_even(n_nationkey / 2.0::DOUBLE, 0) AS whole FROM nation")
+def half_even_rounding(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("n_nationkey").cast("double")
+    return bridge.read(spark, d, "nation").select("n_nationkey", half_even(key / 4, 1).alias("tenth"), half_even(key / 2).alias("whole"))

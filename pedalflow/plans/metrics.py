@@ -158,11 +158,15 @@ def net_flow_rows(catalog: Catalog, days: DataFrame) -> DataFrame:
 
 
 def flow_between_rows(net: DataFrame) -> DataFrame:
-    """Each losing Bezirk's whole net loss of an hour, split over the gaining ones by their gain."""
+    """Each losing Bezirk's whole net loss of an hour, split over the gaining ones by their gain. An hour's Bezirke are
+    one row, so the net flow is computed once."""
     key = ["day_type", "local_hour"]
-    lose = net.where("net_per_day < 0").select(*key, F.col("bezirk").alias("from_bezirk"), (-F.col("net_per_day")).alias("loss"))
-    gain = net.where("net_per_day > 0").select(*key, F.col("bezirk").alias("to_bezirk"), F.col("net_per_day").alias("gain"), F.sum("net_per_day").over(Window.partitionBy(*key)).alias("all_gain"))
-    return lose.join(gain, key).select(*key, "from_bezirk", "to_bezirk", (F.col("loss") * F.col("gain") / F.col("all_gain")).alias("bikes_per_day"))
+    hours = net.groupBy(*key).agg(F.collect_list(F.struct("bezirk", F.col("net_per_day").alias("net"))).alias("all"))
+    gains = F.filter("all", lambda x: x["net"] > 0)
+    total = F.aggregate(gains, F.lit(0.0), lambda s, x: s + x["net"])
+    lose = hours.select(*key, gains.alias("gains"), total.alias("total"), F.explode(F.filter("all", lambda x: x["net"] < 0)).alias("a"))
+    both = lose.select(*key, "a", "total", F.explode("gains").alias("b"))
+    return both.select(*key, F.col("a.bezirk").alias("from_bezirk"), F.col("b.bezirk").alias("to_bezirk"), (-F.col("a.net") * F.col("b.net") / F.col("total")).alias("bikes_per_day"))
 
 
 def net_flow_by_bezirk(catalog: Catalog) -> MetricResult:
@@ -208,6 +212,16 @@ def footprint_rows(catalog: Catalog, days: DataFrame) -> DataFrame:
     return joined.groupBy("local_date", "n_stations").agg(*[F.avg(F.coalesce(F.col(c), F.lit(0))).alias(name) for c, name in means])
 
 
+def latest(rows: DataFrame, day: str = "local_date") -> DataFrame:
+    """The row of the last day."""
+    return rows.orderBy(F.desc(day)).limit(1)
+
+
+def peak(rows: DataFrame, value: str, *order: str) -> DataFrame:
+    """The first row, in that order, of those with the highest value."""
+    return rows.orderBy(F.desc(value), *order).limit(1)
+
+
 def daily_footprint(catalog: Catalog) -> MetricResult:
     days = full_days(catalog)
     return guard("daily_footprint", days, lambda: footprint_rows(catalog, days).orderBy("local_date"))

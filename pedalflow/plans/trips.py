@@ -157,6 +157,12 @@ def speed_summary(trips: DataFrame, edges: list[float], least: int = 3) -> DataF
     return rows.groupBy("gender", "bin").agg(F.avg("mph").alias("mean"), F.median("mph").alias("median"), F.stddev_samp("mph").alias("sd"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def seen_at_either_end(stations: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Stations at which one of some trips starts or one of some others ends."""
+    ids = starts.select(F.col("start_station_id").alias("station_id")).unionByName(ends.select(F.col("end_station_id").alias("station_id")))
+    return stations.join(ids.distinct(), "station_id", "left_semi")
+
+
 def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
     """Exact quantiles, linear between neighbours, one row each."""
     every = rows.agg(F.percentile(column, F.array(*[F.lit(p) for p in at])).alias("q"))
