@@ -22,6 +22,9 @@ TABLES, PROJECTIONS, WIDTH, PROBES, PART_ROWS = 14, 8, 1.8, 220, 50_000
 SEED = 20
 #: Quotient of the longest and shortest norm of a range, and classes up to which a range is scanned whole.
 RANGE, SCAN_ROWS = 1.25, 1024
+#: Classes and, of these, queries of the pilot by which the number of probes is fitted, and the part of its neighbours
+#: that has to be found.
+PILOT_ROWS, PILOT_ASKED, PILOT_RECALL = 4096, 128, 0.97
 
 Spans = dict[int, list[tuple[int, float, bool]]]
 
@@ -81,13 +84,13 @@ def bucket_ids(whole: np.ndarray, d: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probe_ids(x: np.ndarray) -> np.ndarray:
+def probe_ids(x: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """The buckets that unit queries visit: query by table by probe, likeliest first."""
     whole, inside = cells(x, np.zeros(len(x)))
     n, m = len(x), PROJECTIONS
     walls = np.concatenate((inside, 1 - inside), axis=2)  # below, above
     order = np.argsort(walls, axis=2, kind="stable")
-    sets = template()
+    sets = template()[:probes]
     out = np.empty((n, TABLES, len(sets)), np.int64)
     for p, ranks in enumerate(sets):
         moved = whole.copy()
@@ -138,7 +141,7 @@ def _index(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.Recor
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, t]), own.column("cid"), own.column("vec"), own.column("ids")], names=["bucket", "cid", "vec", "ids"])
 
 
-def _probes(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], spans: Spans, probes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             for own in _rows_by_length(batch.slice(i, 500)):
@@ -147,12 +150,47 @@ def _probes(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.Reco
                 d = x.shape[1]
                 hashed = [span for span, _, scan in spans[d] if not scan]
                 scanned = np.array([whole_range(d, span) for span, _, scan in spans[d] if scan], np.int64)
-                visits = probe_ids(x).reshape(len(x), -1) if hashed else np.zeros((len(x), 0), np.int64)
+                visits = probe_ids(x, probes).reshape(len(x), -1) if hashed else np.zeros((len(x), 0), np.int64)
                 found = [np.concatenate([scanned, *(ranged(row, span) for span in hashed)]) for row in map(np.unique, visits)]
                 offs = np.concatenate(([0], np.cumsum([len(row) for row in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column("cid"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found)))], names=["cid", "buckets"])
 
 
+def found_at(x: np.ndarray, longest: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each unit query and each vector, which has the longest of its range beside it, the number of probes a table
+    after which the query has met it; one more than PROBES if it never does."""
+    scaled = x / longest[:, None]
+    whole, _ = cells(scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1))))
+    held, visits = bucket_ids(whole, x.shape[1]), probe_ids(asked)
+    first = np.full((len(asked), len(x)), PROBES + 1)
+    for t in range(TABLES):
+        order = np.argsort(held[:, t], kind="stable")
+        ids = held[order, t]
+        low, high = (np.searchsorted(ids, visits[:, t], side) for side in ("left", "right"))
+        for q, p in zip(*np.nonzero(high > low), strict=True):
+            met = order[low[q, p] : high[q, p]]
+            first[q, met] = np.minimum(first[q, met], p + 1)
+    return first
+
+
+def fit_probes(pilot: list[tuple[np.ndarray, float]], total: int, k: int) -> int:
+    """The fewest probes a table with which a pilot's queries find PILOT_RECALL of their neighbours, at most PROBES.
+
+    ``pilot`` holds vectors with the longest norm of their range. A share of all vectors has that share of the
+    neighbours of a query, the nearest ones: in a larger table these are nearer, and fewer probes find them.
+    """
+    if len(pilot) < 2:
+        return PROBES
+    x, longest = np.array([v for v, _ in pilot], np.float64), np.array([n for _, n in pilot])
+    n = min(PILOT_ASKED, len(x))
+    asked = x[:n] / np.sqrt((x[:n] ** 2).sum(axis=1))[:, None]
+    scores = asked @ x.T
+    scores[np.arange(n), np.arange(n)] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : max(1, min(len(x) - 1, -(-k * len(x) // total)))]
+    first = np.sort(np.take_along_axis(found_at(x, longest, asked), near, 1).ravel())
+    return int(min(PROBES, first[math.ceil(PILOT_RECALL * len(first)) - 1]))
+
+
 class Pool:
     """The best candidates of a part's queries; pairs come in heaps and all but the best k + 1 of each query go.
 
@@ -310,8 +348,9 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     Queries are the rows whose id ``every`` divides; candidates all rows but those with the query's own id; all rows
     are in the index, none is sampled. Vectors are dealt into ranges of like norm, each scaled by its own longest, so
     that a few long ones do not make the others alike. A range of up to SCAN_ROWS classes is one bucket that all
-    queries visit. In the others every class of equal vectors lies in one bucket of each table; a query visits PROBES
-    buckets of each, likeliest first. All it meets are scored on the original vectors; a query that meets fewer than
+    queries visit. In the others every class of equal vectors lies in one bucket of each table; a query visits some
+    buckets of each, likeliest first: as many, up to PROBES, as a pilot on PILOT_ROWS classes needs to find
+    PILOT_RECALL of the neighbours. All it meets are scored on the original vectors; a query that meets fewer than
     k others is scored against all of its length. Buckets go to
     index parts of about PART_ROWS rows; a bucket with more is dealt over several, and a query goes to a part once
     with the list of its buckets there.
@@ -333,6 +372,15 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     for r in sorted(sizes, key=lambda r: (r["d"], r["span"])):
         total[r["d"]] = total.get(r["d"], 0) + r["n"]
         spans.setdefault(r["d"], []).append((r["span"], float(r["longest"]), r["n"] <= SCAN_ROWS))
+    # A bounded sample, by hash, of the most frequent length's hashed ranges.
+    common = max(total, key=lambda d: (total[d], -d), default=0)
+    ranges = [(span, longest) for span, longest, scan in spans.get(common, []) if not scan]
+    probes = PROBES
+    if ranges:
+        longest_of = dict(ranges)
+        some = ready.where((F.col("d") == common) & F.col("span").isin([span for span, _ in ranges])).select("cid", "vec", "span")
+        pilot = some.orderBy(F.xxhash64("cid"), "cid").limit(PILOT_ROWS).collect()
+        probes = fit_probes([(np.asarray(r["vec"], np.float64), longest_of[r["span"]]) for r in pilot], total[common], k)
     parts = max(partitions_for(spark), -(-sum(total.values()) * TABLES // PART_ROWS))
 
     kind = ready.schema["vec"].dataType.simpleString()  # vectors travel as they came; sums are made in double
@@ -347,7 +395,7 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     candidates = index.join(shares, "bucket", "left").withColumn("_share", F.pmod(F.xxhash64("cid"), F.coalesce("shares", F.lit(1))).cast("int"))
     candidates = candidates.select(part_of(F.col("_share")), F.size("vec").alias("d"), F.lit(1).alias("kind"), "bucket", F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
     asked = ready.where("asked").select("d", "cid", "vec")
-    visits = asked.mapInArrow(lean(_probes, spans), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
+    visits = asked.mapInArrow(lean(_probes, spans, probes), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
     dealt = visits.join(shares, "bucket", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
     lists = dealt.select("cid", "bucket", part_of(F.col("_share"))).groupBy("cid", "part").agg(F.collect_list("bucket").alias("list"))
     queries = lists.join(asked, "cid").select("part", "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", "list")

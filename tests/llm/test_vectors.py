@@ -142,3 +142,36 @@ def test_empty_tables(spark):
     assert exact_topk.top_k(df).count() == 0 and lsh.nearest(df).count() == 0
     df = frame(spark, [(20, [1.0])])
     assert exact_topk.top_k(df).count() == 0 and lsh.nearest(df).count() == 0
+
+
+def test_ties_go_to_the_smallest_ids(spark):
+    """200 different vectors that all score 1 against the query."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(i), -float(i)]) for i in range(1, 201)]
+    got = found_by(lsh.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))
+    assert got[0] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_fewer_probes_where_neighbours_are_near():
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.sqrt((x**2).sum(axis=1))[:, None]
+    centres = unit(rng.standard_normal((60, 32)))
+    near = unit(centres[rng.integers(0, 60, 2000)] + 0.03 * rng.standard_normal((2000, 32)))
+    far = unit(rng.standard_normal((2000, 32)))
+    fit = lambda x, n: lsh.fit_probes([(v, 1.0) for v in x], n, 20)
+    assert fit(near, 2000) < 40 and fit(near, 2000) < fit(far, 2000) <= lsh.PROBES
+    assert fit(far, 200_000) <= fit(far, 2000)
+    assert fit(near[:1], 2000) == lsh.PROBES
+
+
+def test_found_at_against_the_buckets_themselves():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((80, 8))
+    x /= np.sqrt((x**2).sum(axis=1)).max()
+    asked = x[:5] / np.sqrt((x[:5] ** 2).sum(axis=1))[:, None]
+    first = lsh.found_at(x, np.ones(80), asked)
+    whole, _ = lsh.cells(x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1))))
+    held, visits = lsh.bucket_ids(whole, 8), lsh.probe_ids(asked)
+    for q in range(5):
+        for r in range(80):
+            at = [p + 1 for t in range(lsh.TABLES) for p in np.flatnonzero(visits[q, t] == held[r, t]).tolist()]
+            assert first[q, r] == min(at, default=lsh.PROBES + 1)
