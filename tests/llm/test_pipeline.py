@@ -75,3 +75,26 @@ def test_components_that_share_an_id_keep_a_row_each(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], spark.read.parquet(f"{SF}/documents.parquet").schema).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows_and_extra_columns(spark):
+    prose = " ".join(f"the river and house number {i} stood here before" for i in range(9000))
+    rows = [
+        (1, prose, "en", "a", 9), (2, "the river and house stood", "en", None, None), (2, "the river and house stood", "en", None, None),
+        (3, None, None, "a", None), (4, "", "en", "b", 0), (None, "a house by the river", "en", "b", 1), (5, "12 !?", None, None, 5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = "Score Lang_Pred SIZE taken row kept IDS class component n _key starts Piece k".split()
+    docs = docs.selectExpr("*", *[f"'x' AS {n}" for n in names])
+    want = {
+        "language": {1, 2, None},
+        "near-duplicates": {1, 2, 3, 4, 5, None},
+        "repeated-passages": {1, 2, 3, 4, 5, None},
+        "mixing": {1, 2, 5, None},
+        "tokens": {1, 2, 3, 4, 5, None},
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        assert got.columns == (list(corpus_pipeline.COLUMNS) if name != "tokens" else ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"])
+        found = {r.doc_id for r in got.collect()}
+        assert found <= want[name] and (name == "mixing" or found == want[name]), name
