@@ -163,10 +163,32 @@ def seen_at_either_end(stations: DataFrame, starts: DataFrame, ends: DataFrame)
     return stations.join(ids.distinct(), "station_id", "left_semi")
 
 
-def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    """Exact quantiles, linear between neighbours, one row each."""
-    every = rows.agg(F.percentile(column, F.array(*[F.lit(p) for p in at])).alias("q"))
-    return every.select(F.posexplode("q").alias("pos", "value")).select(F.element_at(F.array(*[F.lit(p) for p in at]), F.col("pos") + 1).alias("p"), "value")
+def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), pieces: int = 256) -> DataFrame:
+    """Exact quantiles, linear between neighbours, one row each; null without any value.
+
+    Equal values are counted first. Approximate quantiles of the distinct values cut them into ``pieces`` ranges, whose
+    sizes tell which ranges hold the wanted ranks; only those are numbered, each by itself. No task holds all values.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    edges = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), 20 * pieces).alias("edges"))
+    # Edges ascend, so a value's range is the number of edges below it.
+    dealt = counts.join(F.broadcast(edges)).select("v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))  # one row
+    # From here on a row is a range, ``pieces`` at most.
+    sizes = dealt.groupBy("range").agg(F.sum("n").alias("size"))
+    before = F.sum("size").over(Window.orderBy("range")) - F.col("size")
+    every = Window.partitionBy(F.lit(0))
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("rank")) for p in at])
+    falls = lambda w, low, high: (F.floor(w["rank"]) <= high) & (F.ceil(w["rank"]) >= low)
+    ranges = sizes.select("range", "size", before.alias("before"), F.sum("size").over(every).alias("total")).withColumn("wanted", F.filter(wanted, lambda w: falls(w, F.col("before"), F.col("before") + F.col("size") - 1)))
+    own = dealt.join(F.broadcast(ranges.where(F.size("wanted") > 0).select("range", "before", "wanted")), "range")
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("v")) - 1
+    near = own.withColumn("last", last).select("v", F.explode(F.filter("wanted", lambda w: falls(w, F.col("last") - F.col("n") + 1, F.col("last")))).alias("w"))
+    # One value or its two neighbours, which the rank lies between.
+    pairs = near.groupBy("w.p", "w.rank").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    share = F.col("rank") - F.floor("rank")
+    found = pairs.select("p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - share) * F.col("a") + share * F.col("b")).alias("value"))
+    asked = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in at])).alias("p"))
+    return asked.join(found, "p", "left")
 
 
 def mean_by(rows: DataFrame, key: Column, value: str = "trips", least: int = 1) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 
 from pedalflow.operators.asof import asof_left
 from pedalflow.operators.intervals import trailing_distinct, without_overlap
+from pedalflow.plans.trips import quantiles
 
 D0 = date(2024, 1, 1)
 
@@ -70,3 +72,13 @@ def test_polylines_ticks_and_pseudonyms(spark):
     assert [r.x for r in tops.select(values.axis_ticks(F.col("t")).alias("x")).collect()] == [[0, 2, 4, 6, 8, 10], [0, 10, 20, 30, 40, 50], [0, 0.01, 0.02, 0.03], [0], [0, 20, 40, 60, 80, 100]]
     names = [r.x for r in spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "i string").select(values.pseudonym(F.col("i"), "s").alias("x")).collect()]
     assert names[0] == names[1] != names[2] and names[3] is None
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.5], [1.0, 2.0], [0.0] * 500 + [1.0], [float(i * 7919 % 1000) / 8 for i in range(3000)] + [None] * 5])
+def test_quantiles_by_ranks_equal_numpy_with_ties_nulls_and_no_rows(spark, values):
+    at = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    got = {r.p: r.value for r in quantiles(frame, "x", at, pieces=16).collect()}
+    known = [v for v in values if v is not None]
+    want = {p: float(np.quantile(known, p)) if known else None for p in at}
+    assert got == (pytest.approx(want, abs=1e-9) if known else want)
