@@ -163,7 +163,7 @@ def seen_at_either_end(stations: DataFrame, starts: DataFrame, ends: DataFrame)
     return stations.join(ids.distinct(), "station_id", "left_semi")
 
 
-def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), pieces: int = 256) -> DataFrame:
+def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), pieces: int = 32) -> DataFrame:
     """Exact quantiles, linear between neighbours, one row each; null without any value.
 
     Equal values are counted first. Approximate quantiles of the distinct values cut them into ``pieces`` ranges, whose
