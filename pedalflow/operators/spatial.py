@@ -32,6 +32,13 @@ def within(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return found.drop("geometry", "min_lon", "max_lon", "min_lat", "max_lat")
 
 
+def outlines(polygons: DataFrame, attributes: DataFrame, key: str = "name") -> DataFrame:
+    """Every vertex of the polygons that have attributes: key, polygon, ring, position, lon, lat, and the attributes."""
+    rings = polygons.select(key, F.posexplode("geometry").alias("polygon", "_rings")).select(key, "polygon", F.posexplode("_rings").alias("ring", "_points"))
+    points = rings.select(key, "polygon", "ring", F.posexplode("_points").alias("position", "_p"))
+    return points.select(key, "polygon", "ring", "position", "_p.lon", "_p.lat").join(attributes, key)
+
+
 def map_stations(stations: DataFrame, layers: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Stations (source, station_id, lon, lat) with one column a layer for those that exactly one polygon of every
     layer holds; and the problems: source, station_id, layer, matches, for each layer where it isn't one."""

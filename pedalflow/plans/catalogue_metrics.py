@@ -472,3 +472,17 @@ def bbox_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
     points = bridge.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") % 100) / 10).alias("lon"), ((F.col("c_custkey") % 37) / 10).alias("lat"))
     return in_boxes(points, polygons(spark)).select("id", "name")
+
+
+VERTICES = ", ".join(f"('{n}', {r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for n, rings in POLYGONS.items() for r, ring in enumerate(rings) for k, (x, y) in enumerate(ring))
+
+
+@query(
+    f"""WITH attributes AS (SELECT CASE r_regionkey WHEN 0 THEN 'west' WHEN 1 THEN 'spike' ELSE 'nowhere' END AS name, r_name AS region FROM region)
+SELECT name, 0 AS polygon, ring, position, lon, lat, region FROM (VALUES {VERTICES}) v(name, ring, position, lon, lat) JOIN attributes USING (name)"""
+)
+def polygon_outlines(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.spatial import outlines
+
+    name = F.when(F.col("r_regionkey") == 0, "west").when(F.col("r_regionkey") == 1, "spike").otherwise("nowhere")
+    return outlines(polygons(spark), bridge.read(spark, d, "region").select(name.alias("name"), F.col("r_name").alias("region")))
