@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_topk, jaccard, langid, lm, lsh, mixing, periodic, quality, substring, token_files, trie
+from . import bpe, byte_repeats, exact_topk, jaccard, langid, lm, lsh, mixing, periodic, quality, substring, token_files, trie
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,7 +15,15 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_suffix_array": byte_repeats.op11_suffix_array,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_periodic": periodic.op13_periodic,
 }
-ORACLES = {"op2_exact_topk": exact_topk.SQL, "op3_mixing": mixing.SQL, "op5_substring": substring.SQL, "op9_jaccard": jaccard.SQL, "op12_prefix_trie": trie.SQL}
+ORACLES = {
+    "op2_exact_topk": exact_topk.SQL,
+    "op3_mixing": mixing.SQL,
+    "op5_substring": substring.SQL,
+    "op9_jaccard": jaccard.SQL,
+    "op11_suffix_array": byte_repeats.SQL,
+    "op12_prefix_trie": trie.SQL,
+}
