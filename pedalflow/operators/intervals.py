@@ -1,31 +1,38 @@
-"""Joins of intervals by equal time buckets, so that no range join compares all with all."""
+"""Sets of intervals: islands of overlapping ones, overlap by one look-up, trailing distinct counts, holes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.localtime import epoch, seconds_between
+from ..functions.localtime import seconds_between
+from .asof import asof_left
+from .scan import neighbours, running
 
-#: Seconds a bucket.
-BUCKET = 3600
 
+def islands(gaps: DataFrame, key: str, split: int | None = None) -> DataFrame:
+    """The union of a key's gaps as disjoint ones: key, gap_start, gap_end. Gaps that only touch stay apart; one that
+    ends before it starts is none.
 
-def buckets(start: Column, end: Column, seconds: int = BUCKET) -> Column:
-    """Numbers of the buckets that [start, end] touches; none where it ends before it starts."""
-    a, b = F.floor(epoch(start) / seconds), F.floor(epoch(end) / seconds)
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    A gap begins an island if no earlier one ends after its start; the island ends where the farthest of its gaps
+    does, which the next island's beginning sees as the farthest end before it.
+    """
+    own = gaps.where("gap_end >= gap_start").select(key, "gap_start", "gap_end").distinct()
+    first = running(own, [key], ["gap_start", "gap_end"], "gap_end", "_reach", "max", current=False, split=split).where("_reach is null or gap_start >= _reach")
+    ends = neighbours(first, [key], ["gap_start", "gap_end"], after={"_end": "_reach"}, split=split)
+    farthest = own.groupBy(F.col(key).alias("_key")).agg(F.max("gap_end").alias("_last"))
+    return ends.join(farthest, F.col(key).eqNullSafe(F.col("_key"))).select(key, "gap_start", F.coalesce("_end", "_last").alias("gap_end"))
 
 
-def without_overlap(rows: DataFrame, gaps: DataFrame, key: str, start: str, end: str, row_key: list[str]) -> DataFrame:
-    """Rows that no gap of the same ``key`` overlaps (gap_start < end and gap_end > start); ``row_key`` names a row.
+def without_overlap(rows: DataFrame, gaps: DataFrame, key: str, start: str, end: str, split: int | None = None) -> DataFrame:
+    """Rows that no gap of the same ``key`` overlaps (gap_start < end and gap_end > start).
 
-    Rows and gaps meet in the buckets that both touch; the rows that a gap hits are then taken out by their key.
+    Of disjoint islands the last one that starts before a row's end reaches farthest, so it alone is asked whether it
+    ends after the row's start.
     """
-    spread = rows.select(*row_key, *[c for c in (key, start, end) if c not in row_key], F.explode(buckets(F.col(start), F.col(end))).alias("_bucket"))
-    parts = gaps.select(F.col(key).alias("_key"), "gap_start", "gap_end", F.explode(buckets(F.col("gap_start"), F.col("gap_end"))).alias("_at"))
-    hit = (F.col("_bucket") == F.col("_at")) & (F.col(key) == F.col("_key")) & (F.col("gap_start") < F.col(end)) & (F.col("gap_end") > F.col(start))
-    return rows.join(spread.join(parts, hit, "left_semi").select(*row_key).distinct(), row_key, "left_anti")
+    met = islands(gaps, key, split).withColumnsRenamed({"gap_start": "_gap_start", "gap_end": "_gap_end"})
+    found = asof_left(rows, met, [key], end, "_gap_start", ["_gap_end"], strict=True, split=split)
+    return found.where(F.col("_gap_end").isNull() | (F.col("_gap_end") <= F.col(start))).drop("_gap_end")
 
 
 def overlap_seconds(start: Column, end: Column, other_start: Column, other_end: Column) -> Column:
@@ -53,9 +60,7 @@ def trailing_distinct(rows: DataFrame, day: str, ident: str, days: int, name: st
     return counts.where(F.col(name) > 0)
 
 
-def holes(rows: DataFrame, key: str, time: str, most_seconds: int) -> DataFrame:
+def holes(rows: DataFrame, key: str, time: str, most_seconds: int, split: int | None = None) -> DataFrame:
     """Stretches of more than ``most_seconds`` between neighbouring times of a key: key, gap_start, gap_end."""
-
-
-    times = rows.select(key, F.col(time).alias("gap_end")).distinct().withColumn("gap_start", F.lag("gap_end").over(Window.partitionBy(key).orderBy("gap_end")))
+    times = neighbours(rows.select(key, F.col(time).alias("gap_end")).distinct(), [key], ["gap_end"], before={"gap_start": "gap_end"}, split=split)
     return times.where(seconds_between(F.col("gap_start"), F.col("gap_end")) > most_seconds).select(key, "gap_start", "gap_end")

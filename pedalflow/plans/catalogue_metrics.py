@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.localtime import epoch, hour_of, local, seconds_between
 from ..functions.values import ellipsis, left_closed, s_curve, slug, step_bin
 from ..operators.asof import asof_left, asof_or_earliest
-from ..operators.intervals import holes, without_overlap
+from ..operators.intervals import holes, islands, without_overlap
+from ..operators.scan import neighbours
 from ..sources import bridge
 from ..sources.bridge import with_views
 from . import metrics
@@ -366,7 +367,44 @@ SELECT station_id, snapshot_ts FROM iv WHERE nx IS NOT NULL AND date_diff('secon
 def intervals_without_gaps(spark: SparkSession, d: str) -> DataFrame:
     ahead = F.lead("snapshot_ts").over(Window.partitionBy("station_id").orderBy("snapshot_ts"))
     rows = bridge.status(spark, d).withColumn("next_ts", ahead).where("next_ts is not null").where(seconds_between(F.col("snapshot_ts"), F.col("next_ts")) <= 7200)
-    return without_overlap(rows, bridge.gaps(spark, d), "source", "snapshot_ts", "next_ts", ["station_id", "snapshot_ts"]).select("station_id", "snapshot_ts")
+    return without_overlap(rows, bridge.gaps(spark, d), "source", "snapshot_ts", "next_ts").select("station_id", "snapshot_ts")
+
+
+@query(
+    """o AS (SELECT source, gap_start, gap_end, max(gap_end) OVER (PARTITION BY source ORDER BY gap_start, gap_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM (SELECT DISTINCT * FROM gaps)),
+n AS (SELECT *, sum(CASE WHEN gap_start < r THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY gap_start, gap_end) AS k FROM o)
+SELECT source, min(gap_start) AS gap_start, max(gap_end) AS gap_end FROM n GROUP BY source, k""",
+    "gaps",
+)
+def gap_islands(spark: SparkSession, d: str) -> DataFrame:
+    return islands(bridge.gaps(spark, d), "source")
+
+
+#: Of the events, nine in ten belong to one key.
+HOT = "CASE WHEN user_id % 10 = 0 THEN user_id % 20 ELSE 1 END"
+
+
+@query(
+    f"""l AS (SELECT event_id, ts, {HOT} AS k FROM events),
+r AS (SELECT ts, event_id % 1000 AS v, {HOT} AS k FROM events WHERE event_type = 'signup'),
+o AS (SELECT k, ts, max(v) AS v FROM r GROUP BY k, ts)
+SELECT event_id, o.v AS match FROM l ASOF LEFT JOIN o ON l.k = o.k AND l.ts >= o.ts""".replace("l AS", "WITH l AS", 1)
+)
+def asof_hot_key(spark: SparkSession, d: str) -> DataFrame:
+    """The key that has nine tenths of the rows is cut along time, whatever the size of the input."""
+    rows = bridge.read(spark, d, "events").withColumn("k", F.expr(HOT))
+    right = rows.where("event_type = 'signup'").select("k", F.col("ts").alias("at"), (F.col("event_id") % 1000).alias("match"))
+    return asof_left(rows.select("k", "event_id", "ts"), right, ["k"], "ts", "at", ["match"], split=0).select("event_id", "match")
+
+
+@query(
+    f"""SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after, date_diff('second', lag(ts) OVER w, ts) AS seconds FROM (SELECT *, {HOT} AS k FROM events)
+WINDOW w AS (PARTITION BY k ORDER BY ts, event_id)"""
+)
+def neighbours_hot_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = bridge.read(spark, d, "events").select("event_id", "ts", F.expr(HOT).alias("k"))
+    found = neighbours(rows, ["k"], ["ts", "event_id"], before={"before": "event_id", "_ts": "ts"}, after={"after": "event_id"}, split=0)
+    return found.select("event_id", "before", "after", seconds_between(F.col("_ts"), F.col("ts")).alias("seconds"))
 
 
 CITY = f"""t AS (SELECT snapshot_ts, sum(num_bikes_available) AS b FROM status_grid GROUP BY 1),

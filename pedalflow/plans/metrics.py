@@ -9,6 +9,7 @@ from ..functions.localtime import clock, hour_of, local, local_date, seconds_bet
 from ..functions.values import day_type, propulsion_class, ratio
 from ..operators.asof import asof_or_earliest
 from ..operators.intervals import without_overlap
+from ..operators.scan import neighbours
 from ..sources.catalog import Catalog
 from .coverage import MetricResult, full_days, guard
 
@@ -73,12 +74,11 @@ def empty_seconds(catalog: Catalog, days: DataFrame, window: tuple | None = None
     An interval counts nothing when it is the last, is longer than twice the median of all, or any gap of the source
     overlaps it; it belongs to the day and the window of its start.
     """
-    ahead = F.lead("snapshot_ts").over(Window.partitionBy(*STATION).orderBy("snapshot_ts"))
-    every = catalog.table("station_status").select(*STATION, "snapshot_ts", "num_bikes_available", "is_installed", ahead.alias("next_ts"))
-    every = every.where("next_ts is not null").withColumn("seconds", seconds_between(F.col("snapshot_ts"), F.col("next_ts")))
+    rows = catalog.table("station_status").select(*STATION, "snapshot_ts", "num_bikes_available", "is_installed")
+    every = neighbours(rows, STATION, ["snapshot_ts"], after={"next_ts": "snapshot_ts"}).where("next_ts is not null").withColumn("seconds", seconds_between(F.col("snapshot_ts"), F.col("next_ts")))
     empty = on_full_days(every.where("num_bikes_available = 0 and is_installed").where(_in_window(window)), days)
     short = empty.join(F.broadcast(_median_seconds(every)), F.col("seconds") <= 2 * F.col("median_seconds"))  # one row
-    free = without_overlap(short, catalog.table("gaps"), "source", "snapshot_ts", "next_ts", [*STATION, "snapshot_ts"])
+    free = without_overlap(short, catalog.table("gaps"), "source", "snapshot_ts", "next_ts")
     return free.groupBy(*STATION).agg(F.sum("seconds").alias("total_seconds"))
 
 
@@ -140,12 +140,11 @@ def net_flow_rows(catalog: Catalog, days: DataFrame) -> DataFrame:
     A station's change since its snapshot before counts in the later one's hour, unless the interval is longer than
     twice the median, a gap of the source overlaps it, or the later snapshot's day isn't full.
     """
-    past = Window.partitionBy(*STATION).orderBy("snapshot_ts")
-    every = catalog.table("station_status").select(*STATION, "snapshot_ts", "num_bikes_available", F.lag("snapshot_ts").over(past).alias("prev_ts"), F.lag("num_bikes_available").over(past).alias("prev_bikes"))
-    every = every.where("prev_ts is not null").withColumn("seconds", seconds_between(F.col("prev_ts"), F.col("snapshot_ts")))
+    rows = catalog.table("station_status").select(*STATION, "snapshot_ts", "num_bikes_available")
+    every = neighbours(rows, STATION, ["snapshot_ts"], before={"prev_ts": "snapshot_ts", "prev_bikes": "num_bikes_available"}).where("prev_ts is not null").withColumn("seconds", seconds_between(F.col("prev_ts"), F.col("snapshot_ts")))
     moved = on_full_days(every.withColumn("delta", F.col("num_bikes_available") - F.col("prev_bikes")).where("delta <> 0"), days)
     short = moved.join(F.broadcast(_median_seconds(every)), F.col("seconds") <= 2 * F.col("median_seconds"))  # one row
-    free = without_overlap(short, catalog.table("gaps"), "source", "prev_ts", "snapshot_ts", [*STATION, "snapshot_ts"])
+    free = without_overlap(short, catalog.table("gaps"), "source", "prev_ts", "snapshot_ts")
     wall = local(F.col("snapshot_ts"))
     hourly = free.join(catalog.table("station_areas"), STATION).groupBy(day_type(weekday(wall)).alias("day_type"), F.hour(wall).alias("local_hour"), "bezirk")
     sums = hourly.agg(F.sum(F.greatest("delta", F.lit(0))).alias("gains"), F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("losses"), F.sum("delta").alias("net"))

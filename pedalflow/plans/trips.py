@@ -9,6 +9,7 @@ from ..functions.geo import haversine
 from ..functions.localtime import sunday_first
 from ..functions.values import clean_int, is_holiday, left_closed, station_id, zero_is_null
 from ..operators.intervals import trailing_distinct
+from ..operators.scan import neighbours
 
 PAIR = ["start_station_id", "end_station_id"]
 RUSH_HOURS = (7, 8, 9, 17, 18, 19)
@@ -109,8 +110,7 @@ def boros_hourly(trips: DataFrame, stations: DataFrame, inner: str = "Manhattan"
 
 def drop_offs(trips: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Every trip that its bike has another after, with that one's start: the order must be total."""
-    bike = Window.partitionBy("bike_id").orderBy(*order)
-    ahead = trips.withColumns({"next_start_station_id": F.lead("start_station_id").over(bike), "next_start_time": F.lead("start_time").over(bike)})
+    ahead = neighbours(trips, ["bike_id"], order, after={"next_start_station_id": "start_station_id", "next_start_time": "start_time"})
     return ahead.where("next_start_station_id is not null")
 
 

@@ -35,11 +35,12 @@ def test_asof_takes_the_latest_not_later_and_equal_times_match(spark):
     assert got == {1: None, 2: "x", 3: "y", 4: None}
 
 
-def test_overlaps_touching_ends_do_not_count(spark):
+@pytest.mark.parametrize("split", [None, 0])
+def test_overlaps_touching_ends_do_not_count(spark, split):
     t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     rows = [(i, "s", t(30 * i), t(30 * i + 40)) for i in range(20)]
     gaps = [("s", t(100), t(110)), ("s", t(105), t(300)), ("other", t(0), t(600)), ("s", t(400), t(400))]
-    got = {r.i for r in without_overlap(spark.createDataFrame(rows, "i int, k string, a timestamp_ntz, b timestamp_ntz"), spark.createDataFrame(gaps, "k string, gap_start timestamp_ntz, gap_end timestamp_ntz"), "k", "a", "b", ["i"]).collect()}
+    got = {r.i for r in without_overlap(spark.createDataFrame(rows, "i int, k string, a timestamp_ntz, b timestamp_ntz"), spark.createDataFrame(gaps, "k string, gap_start timestamp_ntz, gap_end timestamp_ntz"), "k", "a", "b", split=split).collect()}
     assert got == {i for i, _, a, b in rows if not any(k == "s" and g < b and h > a for k, g, h in gaps)}
 
 
@@ -82,3 +83,46 @@ def test_quantiles_by_ranks_equal_numpy_with_ties_nulls_and_no_rows(spark, value
     known = [v for v in values if v is not None]
     want = {p: float(np.quantile(known, p)) if known else None for p in at}
     assert got == (pytest.approx(want, abs=1e-9) if known else want)
+
+
+def test_rows_of_a_hot_key_are_dealt_evenly_and_scans_agree(spark):
+    """One key has nine tenths of the rows; keys and times may be null, times repeat."""
+    from pyspark.sql import functions as F
+
+    from pedalflow.operators import scan
+
+    n = 400_000
+    ident = F.col("id")
+    key = F.when(ident % 10 > 0, "hot").when(ident % 50 == 0, None).otherwise(F.concat(F.lit("k"), (ident % 70).cast("string")))
+    rows = spark.range(n).select(key.alias("k"), F.when(ident % 997 > 0, F.hash(ident) % 60_000).alias("t"), "id", F.when(ident % 3 == 0, ident % 1000).alias("v"))
+    parts = scan.with_segments(rows, ["k"], "t", 8)
+    sizes = sorted(r[1] for r in parts.groupBy(F.spark_partition_id()).count().collect())
+    assert sum(sizes) == n and len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+    order = ["t", "id"]
+    for how in ("last", "max"):
+        for current in (True, False):
+            a, b = (scan.running(rows, ["k"], order, "v", "x", how, current, split).select("id", "x") for split in (1 << 60, 0))
+            assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+    a, b = (scan.neighbours(rows, ["k"], order, {"p": "id", "q": "v"}, {"r": "v"}, split).select("id", "p", "q", "r") for split in (1 << 60, 0))
+    assert a.exceptAll(b).count() == 0 == b.exceptAll(a).count()
+    plan = scan.running(rows, ["k"], order, "v", "x", split=0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_islands_against_marking(spark):
+    from pedalflow.operators.intervals import islands
+
+    rnd = random.Random(3)
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    gaps = [(rnd.choice("ab"), a, a + rnd.choice((0, 1, 5, 30, -3))) for a in (rnd.randrange(600) for _ in range(90))]
+    frame = spark.createDataFrame([(k, t(a), t(b)) for k, a, b in gaps] + [("a", None, t(3))], "k string, gap_start timestamp_ntz, gap_end timestamp_ntz")
+    want = []
+    for k in "ab":
+        for a, b in sorted({(a, b) for x, a, b in gaps if x == k and b >= a}):
+            if want and want[-1][0] == k and a < want[-1][2]:
+                want[-1][2] = max(want[-1][2], b)
+            else:
+                want.append([k, a, b])
+    for split in (None, 0):
+        assert sorted((r.k, r.gap_start, r.gap_end) for r in islands(frame, "k", split).collect()) == [(k, t(a), t(b)) for k, a, b in want]
+    assert islands(frame.limit(0), "k").count() == 0
