@@ -5,6 +5,8 @@ A polygon is an array of rings, a ring an array of (lon, lat) structs, a geometr
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,62 @@ def grid_cell(lat: Column, lon: Column, metres: float = CELL_METRES) -> Column:
     return F.concat(F.lit("g"), row.cast("string"), F.lit(":"), column.cast("string"))
 
 
+HEX = "struct<q: bigint, r: bigint>"
+
+
+def _axial(q: Column, r: Column) -> Column:
+    return F.struct(q.cast("long").alias("q"), r.cast("long").alias("r"))
+
+
+def _nearest(q: Column, r: Column) -> Column:
+    """Cube rounding: all three coordinates (q, r and what makes their sum 0) are rounded, and the one that moved
+    farthest follows from the others."""
+    s = -q - r
+    rq, rr, rs = F.floor(q + 0.5), F.floor(r + 0.5), F.floor(s + 0.5)
+    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
+    return _axial(F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq), F.when(~((dq > dr) & (dq > ds)) & (dr > ds), -rq - rs).otherwise(rr))
+
+
+def hex_plane(lon: Column, lat: Column, origin_lat: float = 0.0) -> tuple[Column, Column]:
+    """Metres east and north on a plate that is true to scale at origin_lat."""
+    metre = math.radians(1) * EARTH_RADIUS
+    return lon * (metre * math.cos(math.radians(origin_lat))), lat * metre
+
+
+def hex_cell(x: Column, y: Column, size: float) -> Column:
+    """Axial coordinates (q, r) of the hexagon, corners up, with this distance from centre to corner, that a point of
+    the plane lies in; null where a coordinate is null."""
+    q, r = (x * (math.sqrt(3) / 3) - y / 3) / size, y * (2 / 3) / size
+    return F.when(x.isNotNull() & y.isNotNull(), _nearest(q, r))
+
+
+def hex_centre(cell: Column, size: float) -> Column:
+    """(x, y) of a hexagon's centre."""
+    x = (cell["q"] + cell["r"] / 2) * (math.sqrt(3) * size)
+    return F.struct(x.alias("x"), (cell["r"] * (1.5 * size)).alias("y"))
+
+
+def hex_distance(a: Column, b: Column) -> Column:
+    """Steps from cell to cell."""
+    dq, dr = a["q"] - b["q"], a["r"] - b["r"]
+    return F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr))
+
+
+def hex_ring(cell: Column, k: int) -> Column:
+    """All cells within k steps, as an array by q, then r: 1 + 3 k (k + 1) of them."""
+    offsets = [(q, r) for q in range(-k, k + 1) for r in range(-k, k + 1) if abs(q + r) <= k]
+    return F.when(cell.isNotNull(), F.array(*[_axial(cell["q"] + q, cell["r"] + r) for q, r in offsets]))
+
+
+def hex_parent(cell: Column) -> Column:
+    """The cell of three times the size, of like orientation, that a cell's centre lies in: nine children each."""
+    return F.when(cell.isNotNull(), _nearest(cell["q"] / F.lit(3.0), cell["r"] / F.lit(3.0)))
+
+
+def hex_name(cell: Column) -> Column:
+    return F.concat(F.lit("h"), cell["q"].cast("string"), F.lit(":"), cell["r"].cast("string"))
+
+
 def rounded_rings(polygons: Column, digits: int = 5) -> Column:
     """Coordinates rounded, and vertices that then equal the one before them left out."""
 

@@ -512,6 +512,81 @@ def bbox_prefilter(spark: SparkSession, d: str) -> DataFrame:
     return in_boxes(points, polygons(spark)).select("id", "name")
 
 
+#: A city of some 24 areas that share borders, their corners where the customers' positions are shifted by ids.
+CITY_CORNERS = """corner AS (SELECT c_custkey % 7 AS i, c_custkey // 7 % 5 AS j, min(c_custkey) AS m FROM customer GROUP BY ALL),
+spot AS (SELECT i, j, i * 1.5 + (m * 37 % 11) / 20.0 AS lon, j * 0.9 + (m * 53 % 7) / 20.0 AS lat FROM corner),
+area AS (SELECT 'a' || a.i || a.j AS name, [a.lon, b.lon, c.lon, d.lon] AS xs, [a.lat, b.lat, c.lat, d.lat] AS ys FROM spot a
+  JOIN spot b ON b.i = a.i + 1 AND b.j = a.j JOIN spot c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN spot d ON d.i = a.i AND d.j = a.j + 1),
+ed AS (SELECT name, unnest(xs)::DOUBLE AS x1, unnest(ys)::DOUBLE AS y1, unnest([xs[2], xs[3], xs[4], xs[1]])::DOUBLE AS x2, unnest([ys[2], ys[3], ys[4], ys[1]])::DOUBLE AS y2 FROM area)"""
+
+
+def city(spark: SparkSession, d: str) -> DataFrame:
+    """The same areas: name, geometry."""
+    key = F.col("c_custkey")
+    corner = bridge.read(spark, d, "customer").groupBy((key % 7).alias("i"), (F.floor(key / 7) % 5).alias("j")).agg(F.min("c_custkey").alias("m"))
+    spot = corner.select("i", "j", F.struct((F.col("i") * 1.5 + (F.col("m") * 37 % 11) / 20.0).alias("lon"), (F.col("j") * 0.9 + (F.col("m") * 53 % 7) / 20.0).alias("lat")).alias("p"))
+    at = lambda i, j, name: spot.select((F.col("i") - i).alias("i"), (F.col("j") - j).alias("j"), F.col("p").alias(name))
+    whole = at(0, 0, "a").join(at(1, 0, "b"), ["i", "j"]).join(at(1, 1, "c"), ["i", "j"]).join(at(0, 1, "d"), ["i", "j"])
+    return whole.select(F.concat(F.lit("a"), F.col("i").cast("string"), F.col("j").cast("string")).alias("name"), F.array(F.array(F.array("a", "b", "c", "d"))).alias("geometry"))
+
+
+@query(
+    f"""WITH {POINTS}, {CITY_CORNERS},
+lv AS (SELECT name, 5 + CAST(floor(log2(360.0) - log2(greatest(max(x1) - min(x1), max(y1) - min(y1)))) AS INT) AS z FROM ed GROUP BY 1),
+cell AS (SELECT id, name, lon, lat, 360.0 / power(2, z) AS w, floor((lon + 180) / w) * w - 180 AS x0, floor((lat + 180) / w) * w - 180 AS y0 FROM pt, lv),
+t AS (SELECT id, c.name,
+  bool_or(greatest(x1, x2) >= x0 AND least(x1, x2) <= x0 + w AND greatest(y1, y2) >= y0 AND least(y1, y2) <= y0 + w
+    AND least((x2 - x1) * (y0 - y1) - (y2 - y1) * (x0 - x1), (x2 - x1) * (y0 - y1) - (y2 - y1) * (x0 + w - x1),
+      (x2 - x1) * (y0 + w - y1) - (y2 - y1) * (x0 - x1), (x2 - x1) * (y0 + w - y1) - (y2 - y1) * (x0 + w - x1)) <= 0
+    AND greatest((x2 - x1) * (y0 - y1) - (y2 - y1) * (x0 - x1), (x2 - x1) * (y0 - y1) - (y2 - y1) * (x0 + w - x1),
+      (x2 - x1) * (y0 + w - y1) - (y2 - y1) * (x0 - x1), (x2 - x1) * (y0 + w - y1) - (y2 - y1) * (x0 + w - x1)) >= 0) AS ray,
+  count(*) FILTER ((y1 > lat) <> (y2 > lat) AND lon < x1 + (lat - y1) * (x2 - x1) / nullif(y2 - y1, 0)) % 2 = 1 AS hit
+  FROM cell c JOIN ed ON ed.name = c.name GROUP BY 1, 2)
+SELECT name, count(*) AS candidates, count(*) FILTER (ray) AS ray_casts, count(*) FILTER (hit) AS points FROM t WHERE ray OR hit GROUP BY 1"""
+)
+def ray_casts(spark: SparkSession, d: str) -> DataFrame:
+    """Of every area: the points that meet one of its cells, those that must cast a ray, and those that it holds."""
+    from ..operators.cover import in_edges
+    from ..operators.spatial import candidates
+
+    points = bridge.read(spark, d, "customer").select(((F.col("c_custkey") % 100) / 10).alias("lon"), ((F.col("c_custkey") % 37) / 10).alias("lat"))
+    hit = F.col("inside") | in_edges(F.col("lon"), F.col("lat"), F.col("edges"))
+    return candidates(points, city(spark, d)).groupBy("name").agg(F.count("*").alias("candidates"), F.count_if(~F.col("inside")).alias("ray_casts"), F.count_if(hit).alias("points"))
+
+
+#: Metres from centre to corner of the query's cells.
+HEX_METRES = 20_000.0
+PLANE = "CROSS JOIN (SELECT 6371008.8 * pi() / 180 AS m) CROSS JOIN (SELECT 20000.0::DOUBLE AS s)"
+
+
+@query(
+    f"""WITH {POINTS}, f AS (SELECT id, ((lon * m) * (sqrt(3.0) / 3) - (lat * m) / 3) / s AS q, (lat * m) * (2.0 / 3) / s AS r, lon * m AS px, lat * m AS py FROM pt {PLANE}),
+near AS (SELECT id, CAST(floor(q) AS BIGINT) + a AS cq, CAST(floor(r) AS BIGINT) + b AS cr, px, py FROM f, unnest([-1, 0, 1, 2]) x(a), unnest([-1, 0, 1, 2]) y(b)),
+best AS (SELECT id, arg_min({{'q': cq, 'r': cr}}, pow((cq + cr / 2) * sqrt(3.0) * 20000 - px, 2) + pow(cr * 30000.0 - py, 2)) AS c FROM near GROUP BY 1)
+SELECT c.q AS q, c.r AS r, count(*) AS points FROM best GROUP BY 1, 2"""
+)
+def hex_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The oracle takes the nearest of sixteen centres."""
+    from ..functions.geo import hex_cell, hex_plane
+
+    points = bridge.read(spark, d, "customer").select(((F.col("c_custkey") % 100) / 10).alias("lon"), ((F.col("c_custkey") % 37) / 10).alias("lat"))
+    return points.groupBy(hex_cell(*hex_plane(F.col("lon"), F.col("lat")), HEX_METRES).alias("c")).agg(F.count("*").alias("points")).select("c.q", "c.r", "points")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey % 100 AS q, c_custkey % 37 - 18 AS r, count(*) AS n FROM customer GROUP BY ALL),
+o AS (SELECT a, b FROM unnest([-2, -1, 0, 1, 2]) x(a), unnest([-2, -1, 0, 1, 2]) y(b) WHERE abs(a + b) <= 2)
+SELECT q + a AS q, r + b AS r, CAST(sum(n) AS BIGINT) AS near FROM c, o GROUP BY ALL"""
+)
+def hex_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Customers within two steps of every cell."""
+    from ..functions.geo import hex_ring
+
+    cells = bridge.read(spark, d, "customer").groupBy((F.col("c_custkey") % 100).alias("q"), (F.col("c_custkey") % 37 - 18).alias("r")).agg(F.count("*").alias("n"))
+    spread = cells.select("n", F.explode(hex_ring(F.struct("q", "r"), 2)).alias("c"))
+    return spread.groupBy("c.q", "c.r").agg(F.sum("n").alias("near"))
+
+
 VERTICES = ", ".join(f"('{n}', {r}, {k}, {x}::DOUBLE, {y}::DOUBLE)" for n, rings in POLYGONS.items() for r, ring in enumerate(rings) for k, (x, y) in enumerate(ring))
 
 

@@ -126,3 +126,72 @@ def test_islands_against_marking(spark):
     for split in (None, 0):
         assert sorted((r.k, r.gap_start, r.gap_end) for r in islands(frame, "k", split).collect()) == [(k, t(a), t(b)) for k, a, b in want]
     assert islands(frame.limit(0), "k").count() == 0
+
+
+def areas(rnd, columns=12, rows=8, extra=6):
+    """A city of areas that share borders: corners of a grid, moved, and more points along each side."""
+    corner = {(i, j): (13 + i * 0.05 + rnd.uniform(-0.015, 0.015), 52.3 + j * 0.04 + rnd.uniform(-0.012, 0.012)) for i in range(columns + 1) for j in range(rows + 1)}
+    sides = {}
+
+    def side(a, b):
+        if (b, a) in sides:
+            return sides[b, a][::-1]
+        if (a, b) not in sides:
+            (x1, y1), (x2, y2) = corner[a], corner[b]
+            sides[a, b] = [(x1, y1)] + [(x1 + (x2 - x1) * k / extra + rnd.uniform(-0.002, 0.002), y1 + (y2 - y1) * k / extra + rnd.uniform(-0.002, 0.002)) for k in range(1, extra)] + [(x2, y2)]
+        return sides[a, b]
+
+    out = {}
+    for i in range(columns):
+        for j in range(rows):
+            loop = [(i, j), (i + 1, j), (i + 1, j + 1), (i, j + 1), (i, j)]
+            out[f"a{i}-{j}"] = [p for a, b in zip(loop[:-1], loop[1:], strict=True) for p in side(a, b)[:-1]]
+    return out
+
+
+def test_covers_leave_few_candidates_and_the_same_points(spark):
+    from pyspark.sql import functions as F
+
+    from pedalflow.functions.geo import GEOMETRY, in_geometry
+    from pedalflow.operators.spatial import candidates, in_boxes, within
+
+    rnd = random.Random(96)
+    city = areas(rnd)
+    rings = [(n, [[ring]]) for n, ring in city.items()]
+    # One with a hole and one of two parts, of very different sizes; one without points.
+    rings += [("ring", [[[(13.0, 52.3), (13.6, 52.3), (13.6, 52.62), (13.0, 52.62)], [(13.1, 52.35), (13.5, 52.35), (13.5, 52.6), (13.1, 52.6)]]])]
+    rings += [("dots", [[[(13.2, 52.4), (13.2001, 52.4), (13.2, 52.4001)]], [[(-170.0, -80.0), (10.0, 0.0), (-170.0, 60.0)]]]), ("none", [])]
+    polygons = spark.createDataFrame(rings, f"name string, geometry {GEOMETRY}")
+    spots = [(k, rnd.uniform(12.98, 13.62), rnd.uniform(52.28, 52.64)) for k in range(3000)] + [(9000 + k, *p) for k, p in enumerate(city["a3-3"])] + [(9999, None, 52.4)]
+    points = spark.createDataFrame(spots, "id int, lon double, lat double")
+    pairs = points.crossJoin(polygons).where(in_geometry(F.col("lon"), F.col("lat"), F.col("geometry")))
+    want = sorted((r.id, r.name) for r in pairs.select("id", "name").collect())
+    assert sorted((r.id, r.name) for r in within(points, polygons).select("id", "name").collect()) == want and len(want) > 3000
+    boxes = {n: (min(x for x, _ in r), max(x for x, _ in r), min(y for _, y in r), max(y for _, y in r)) for n, r in city.items()}
+    found = {(r.id, r.name) for r in in_boxes(points, polygons).select("id", "name").collect() if r.name in boxes}
+    assert found == {(i, n) for i, x, y in spots if x is not None for n, (a, b, c, e) in boxes.items() if a <= x <= b and c <= y <= e}
+    own = polygons.where("name like 'a%'")
+    met = candidates(points.where("id < 9000"), own)
+    assert met.count() < 2 * 3000 and met.where("not inside").count() < 0.6 * met.count()
+
+
+def test_hexagons_are_nearest_nested_and_connected(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from pedalflow.functions import geo
+
+    rnd = random.Random(6)
+    df = spark.createDataFrame([(rnd.uniform(-900, 900), rnd.uniform(-900, 900)) for _ in range(500)] + [(None, 1.0)], "x double, y double")
+    cell = geo.hex_cell(F.col("x"), F.col("y"), 50.0)
+    rows = df.select("x", "y", cell.alias("c")).select("x", "y", "c", geo.hex_centre(F.col("c"), 50.0).alias("m"), geo.hex_ring(F.col("c"), 1).alias("near"), geo.hex_parent(F.col("c")).alias("up"), geo.hex_name(F.col("c")).alias("name")).collect()
+    assert rows[-1].c is None and rows[-1].near is None
+    centre = lambda q, r: ((q + r / 2) * math.sqrt(3) * 50, r * 75)
+    for row in rows[:-1]:
+        own = math.dist((row.x, row.y), (row.m.x, row.m.y))
+        assert len(row.near) == 7 and all(own <= math.dist((row.x, row.y), centre(n.q, n.r)) + 1e-9 for n in row.near)
+        assert math.dist((row.m.x, row.m.y), [3 * v for v in centre(row.up.q, row.up.r)]) <= 150 + 1e-9 and row.name == f"h{row.c.q}:{row.c.r}"
+    ring = spark.range(1).select(F.explode(geo.hex_ring(F.struct(F.lit(2).cast("long").alias("q"), F.lit(-5).cast("long").alias("r")), 3)).alias("c"))
+    steps = [r[0] for r in ring.select(geo.hex_distance(F.col("c"), F.struct(F.lit(2).alias("q"), F.lit(-5).alias("r")))).collect()]
+    assert sorted(steps) == [0] + [1] * 6 + [2] * 12 + [3] * 18
