@@ -9,6 +9,7 @@ from ..functions.localtime import clock, hour_of, local, local_date, seconds_bet
 from ..functions.values import day_type, propulsion_class, ratio
 from ..operators.asof import asof_or_earliest
 from ..operators.intervals import without_overlap
+from ..operators.quantiles import exact_quantiles
 from ..operators.scan import neighbours
 from ..sources.catalog import Catalog
 from .coverage import MetricResult, full_days, guard
@@ -56,7 +57,7 @@ def availability_by_hour(catalog: Catalog, by: str = "city") -> MetricResult:
 
 def _median_seconds(intervals: DataFrame) -> DataFrame:
     """One row: the exact median length of all intervals between snapshots of a station."""
-    return intervals.agg(F.median("seconds").alias("median_seconds"))
+    return exact_quantiles(intervals.select("seconds"), [], "seconds", [0.5]).select(F.col("value").alias("median_seconds"))
 
 
 def _in_window(window: tuple | None) -> Column:

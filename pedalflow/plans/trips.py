@@ -9,6 +9,7 @@ from ..functions.geo import haversine
 from ..functions.localtime import sunday_first
 from ..functions.values import clean_int, is_holiday, left_closed, station_id, zero_is_null
 from ..operators.intervals import trailing_distinct
+from ..operators.quantiles import ACCURACY, exact_quantiles
 from ..operators.scan import neighbours
 
 PAIR = ["start_station_id", "end_station_id"]
@@ -154,7 +155,8 @@ def trip_speeds(trips: DataFrame) -> DataFrame:
 def speed_summary(trips: DataFrame, edges: list[float], least: int = 3) -> DataFrame:
     """Mean, median, deviation and number of speeds by gender and distance bin, of groups of at least ``least``."""
     rows = trip_speeds(trips).where("mph > 0.05 and mph < 35").withColumn("bin", left_closed(F.col("miles"), edges)).where("bin is not null")
-    return rows.groupBy("gender", "bin").agg(F.avg("mph").alias("mean"), F.median("mph").alias("median"), F.stddev_samp("mph").alias("sd"), F.count("*").alias("n")).where(F.col("n") >= least)
+    more = [F.avg("mph").alias("mean"), F.stddev_samp("mph").alias("sd"), F.count("*").alias("n")]
+    return exact_quantiles(rows.select("gender", "bin", "mph"), ["gender", "bin"], "mph", [0.5], more).where(F.col("n") >= least).select("gender", "bin", "mean", F.col("value").alias("median"), "sd", "n")
 
 
 def seen_at_either_end(stations: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -163,30 +165,9 @@ def seen_at_either_end(stations: DataFrame, starts: DataFrame, ends: DataFrame)
     return stations.join(ids.distinct(), "station_id", "left_semi")
 
 
-def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), pieces: int = 32) -> DataFrame:
-    """Exact quantiles, linear between neighbours, one row each; null without any value.
-
-    Equal values are counted first. Approximate quantiles of the distinct values cut them into ``pieces`` ranges, whose
-    sizes tell which ranges hold the wanted ranks; only those are numbered, each by itself. No task holds all values.
-    """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    edges = counts.agg(F.percentile_approx("v", F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), 20 * pieces).alias("edges"))
-    # Edges ascend, so a value's range is the number of edges below it.
-    dealt = counts.join(F.broadcast(edges)).select("v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))  # one row
-    # From here on a row is a range, ``pieces`` at most.
-    sizes = dealt.groupBy("range").agg(F.sum("n").alias("size"))
-    before = F.sum("size").over(Window.orderBy("range")) - F.col("size")
-    every = Window.partitionBy(F.lit(0))
-    wanted = F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("total") - 1)).alias("rank")) for p in at])
-    falls = lambda w, low, high: (F.floor(w["rank"]) <= high) & (F.ceil(w["rank"]) >= low)
-    ranges = sizes.select("range", "size", before.alias("before"), F.sum("size").over(every).alias("total")).withColumn("wanted", F.filter(wanted, lambda w: falls(w, F.col("before"), F.col("before") + F.col("size") - 1)))
-    own = dealt.join(F.broadcast(ranges.where(F.size("wanted") > 0).select("range", "before", "wanted")), "range")
-    last = F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("v")) - 1
-    near = own.withColumn("last", last).select("v", F.explode(F.filter("wanted", lambda w: falls(w, F.col("last") - F.col("n") + 1, F.col("last")))).alias("w"))
-    # One value or its two neighbours, which the rank lies between.
-    pairs = near.groupBy("w.p", "w.rank").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    share = F.col("rank") - F.floor("rank")
-    found = pairs.select("p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - share) * F.col("a") + share * F.col("b")).alias("value"))
+def quantiles(rows: DataFrame, column: str, at: tuple[float, ...] = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99), accuracy: int = ACCURACY) -> DataFrame:
+    """Exact quantiles, linear between neighbours, one row each; null without any value."""
+    found = exact_quantiles(rows.select(column), [], column, at, accuracy=accuracy)
     asked = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(p) for p in at])).alias("p"))
     return asked.join(found, "p", "left")
 
@@ -197,10 +178,11 @@ def mean_by(rows: DataFrame, key: Column, value: str = "trips", least: int = 1)
 
 def stations_from_trips(ends: DataFrame, known: DataFrame) -> DataFrame:
     """Stations that no known list has: of each id the most frequent name and rounded place among distinct
-    sightings (ties by name and place). ``ends``: station_id, name, latitude, longitude."""
-    new = ends.where("station_id is not null").join(known.select(F.col("normalized_id").alias("station_id")), "station_id", "left_anti").distinct()
+    sightings (ties by name and place, nulls last). ``ends``: station_id, name, latitude, longitude."""
+    new = ends.where("station_id is not null").distinct().join(known.select(F.col("normalized_id").alias("station_id")), "station_id", "left_anti")
     place = ["station_id", "name", F.round("latitude", 4).alias("latitude"), F.round("longitude", 4).alias("longitude")]
     counts = new.groupBy(*place).agg(F.count("*").alias("trips"))
-    first = Window.partitionBy("station_id").orderBy(F.desc("trips"), F.asc_nulls_last("name"), F.asc_nulls_last("latitude"), F.asc_nulls_last("longitude"))
-    best = counts.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return best.select(F.col("station_id").alias("normalized_id"), "name", "latitude", "longitude", F.lit("trips_data").alias("data_source"))
+    # Smallest first: fewer trips negated, and of equal ones a null after everything else.
+    order = [-F.col("trips"), *[x for c in ("name", "latitude", "longitude") for x in (F.col(c).isNull(), F.col(c))]]
+    best = counts.groupBy("station_id").agg(F.min_by(F.struct("name", "latitude", "longitude"), F.struct(*[x.alias(f"_{k}") for k, x in enumerate(order)])).alias("_best"))
+    return best.select(F.col("station_id").alias("normalized_id"), "_best.name", "_best.latitude", "_best.longitude", F.lit("trips_data").alias("data_source"))

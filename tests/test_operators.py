@@ -76,10 +76,11 @@ def test_polylines_ticks_and_pseudonyms(spark):
 
 
 @pytest.mark.parametrize("values", [[], [None], [3.5], [1.0, 2.0], [0.0] * 500 + [1.0], [float(i * 7919 % 1000) / 8 for i in range(3000)] + [None] * 5])
-def test_quantiles_by_ranks_equal_numpy_with_ties_nulls_and_no_rows(spark, values):
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_quantiles_by_ranks_equal_numpy_with_ties_nulls_and_no_rows(spark, values, accuracy):
     at = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
     frame = spark.createDataFrame([(v,) for v in values], "x double")
-    got = {r.p: r.value for r in quantiles(frame, "x", at, pieces=16).collect()}
+    got = {r.p: r.value for r in quantiles(frame, "x", at, accuracy=accuracy).collect()}
     known = [v for v in values if v is not None]
     want = {p: float(np.quantile(known, p)) if known else None for p in at}
     assert got == (pytest.approx(want, abs=1e-9) if known else want)
@@ -195,3 +196,20 @@ def test_hexagons_are_nearest_nested_and_connected(spark):
     ring = spark.range(1).select(F.explode(geo.hex_ring(F.struct(F.lit(2).cast("long").alias("q"), F.lit(-5).cast("long").alias("r")), 3)).alias("c"))
     steps = [r[0] for r in ring.select(geo.hex_distance(F.col("c"), F.struct(F.lit(2).alias("q"), F.lit(-5).alias("r")))).collect()]
     assert sorted(steps) == [0] + [1] * 6 + [2] * 12 + [3] * 18
+
+
+def test_quantiles_of_groups_with_brackets(spark):
+    from pyspark.sql import functions as F
+
+    from pedalflow.operators.quantiles import exact_quantiles
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice(("a", "b", None)), rnd.choice((1, 2)), rnd.choice((None, rnd.gauss(0, 3), float(rnd.randrange(5))))) for _ in range(6000)] + [("c", 1, None), ("d", 1, 4.0)]
+    frame = spark.createDataFrame(rows, "k string, j int, v double")
+    for accuracy in (25, 10_000):
+        got = {(r.k, r.j, r.p): (r.value, r.n) for r in exact_quantiles(frame, ["k", "j"], "v", (0.1, 0.5, 0.999), [F.count("*").alias("n")], accuracy).collect()}
+        groups = {}
+        for k, j, v in rows:
+            groups.setdefault((k, j), []).append(v)
+        want = {(*g, p): (float(np.quantile([v for v in vs if v is not None], p)), len(vs)) for g, vs in groups.items() if g != ("c", 1) for p in (0.1, 0.5, 0.999)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
