@@ -1,8 +1,9 @@
 """Quadtree covers of polygons: cells that lie inside, and cells that a border passes.
 
 Cells of level z are squares of 360 / 2^z degrees. A polygon starts with the few cells of its own size, at most four;
-cells that an edge may touch are parted into four, again and again, and carry on only the edges that a ray to the east
-from within them can cross. What no edge touches is inside or outside as a whole, which one such ray decides.
+cells that an edge may touch are parted, two levels at a time, and carry on only the edges that a ray to the east from
+within them can cross. What no edge touches is inside or outside as a whole, which one such ray decides. Expressions
+are SQL texts: lambdas over edges are parsed at once instead of being put together call by call.
 """
 
 from __future__ import annotations
@@ -12,21 +13,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Times a border cell is parted: sides of the last ones are a polygon's size by 2^DEPTH, about.
-DEPTH = 5
+#: Times a border cell is parted, and levels each time: sides of the last ones are a polygon's size by 2^4, about.
+STEPS, LEVELS = 2, 2
 #: The finest level a polygon may start with, cells of some 2 metres.
 FINEST = 24
 #: Degrees by which edges are taken to reach farther than they do, against rounding.
 MARGIN = 1e-9
 
 
-def side(level: Column) -> Column:
-    return F.lit(360.0) / F.pow(F.lit(2.0), level)
-
-
 def cell(at: Column, level: Column) -> Column:
     """Number of a coordinate's cell along its axis."""
-    return F.floor((at + 180.0) / side(level))
+    return F.floor((at + 180.0) / (F.lit(360.0) / F.pow(F.lit(2.0), level)))
 
 
 def level_of(width: Column, height: Column) -> Column:
@@ -34,79 +31,67 @@ def level_of(width: Column, height: Column) -> Column:
     return F.least(F.lit(FINEST), F.floor(F.lit(math.log2(360.0)) - F.log2(F.greatest(width, height, F.lit(1e-9))))).cast("int")
 
 
-def edges_of(geometry: Column) -> Column:
-    """Polygons as rings of edges, each ring closed."""
-
-    def ring(points: Column) -> Column:
-        n = F.size(points)
-        following = F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
-        return F.zip_with(points, following, lambda a, b: F.struct(a["lon"].alias("x1"), a["lat"].alias("y1"), b["lon"].alias("x2"), b["lat"].alias("y2")))
-
-    return F.transform(geometry, lambda rings: F.transform(rings, ring))
-
-
-def crossed(lon: Column, lat: Column, edges: Column) -> Column:
-    """Whether a ray to the east crosses an odd number of these edges, by the same comparisons as ``geo.in_ring``."""
+#: Polygons as closed rings of edges.
+EDGES = """transform(geometry, rings -> transform(rings, r -> zip_with(r, concat(slice(r, 2, greatest(size(r) - 1, 0)), slice(r, 1, 1)),
+  (a, b) -> named_struct('x1', a.lon, 'y1', a.lat, 'x2', b.lon, 'y2', b.lat))))"""
 
-    def crosses(e: Column) -> Column:
-        at = e["x1"] + F.try_divide((lat - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
-        return F.coalesce(((e["y1"] > lat) != (e["y2"] > lat)) & (lon < at), F.lit(False))
 
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+def _ray(lon: str, lat: str, edges: str) -> str:
+    """Whether a ray to the east crosses an odd number of edges, by the same comparisons as ``geo.in_ring``."""
+    at = f"e.x1 + try_divide(({lat} - e.y1) * (e.x2 - e.x1), e.y2 - e.y1)"
+    return f"size(filter({edges}, e -> coalesce((e.y1 > {lat}) != (e.y2 > {lat}) AND {lon} < {at}, false))) % 2 = 1"
 
 
-def in_edges(lon: Column, lat: Column, polygons: Column) -> Column:
+def _inside(lon: str, lat: str, polygons: str = "edges") -> str:
     """Inside the first ring of a polygon and in none of its others."""
+    first, others = _ray(lon, lat, "get(p, 0)"), _ray(lon, lat, "h")
+    return f"exists({polygons}, p -> coalesce({first}, false) AND NOT exists(slice(p, 2, greatest(size(p) - 1, 0)), h -> {others}))"
 
-    def inside(rings: Column) -> Column:
-        holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
-        return F.coalesce(crossed(lon, lat, F.get(rings, F.lit(0))), F.lit(False)) & ~F.exists(holes, lambda r: crossed(lon, lat, r))
 
-    return F.exists(polygons, inside)
+def in_edges() -> Column:
+    """Whether (lon, lat) lies within the polygons of ``edges``."""
+    return F.expr(_inside("lon", "lat"))
 
 
-def _ahead(polygons: Column, west: Column, south: Column, north: Column) -> Column:
-    """The edges that a ray to the east from a point of the cell can cross."""
-    near = lambda e: (F.greatest(e["y1"], e["y2"]) >= south - MARGIN) & (F.least(e["y1"], e["y2"]) <= north + MARGIN) & (F.greatest(e["x1"], e["x2"]) >= west - MARGIN)
-    return F.transform(polygons, lambda rings: F.transform(rings, lambda edges: F.filter(edges, near)))
-
-
-def touches(e: Column, west: Column, east: Column, south: Column, north: Column) -> Column:
-    """Whether an edge meets a cell: their boxes do, and not all corners lie on one side of its line."""
-    boxes = (F.greatest(e["x1"], e["x2"]) >= west - MARGIN) & (F.least(e["x1"], e["x2"]) <= east + MARGIN) & (F.greatest(e["y1"], e["y2"]) >= south - MARGIN) & (F.least(e["y1"], e["y2"]) <= north + MARGIN)
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-    turns = [dx * (y - e["y1"]) - dy * (x - e["x1"]) for x in (west, east) for y in (south, north)]
-    slack = (F.abs(dx) + F.abs(dy)) * MARGIN
-    return boxes & (F.least(*turns) <= slack) & (F.greatest(*turns) >= -slack)
+#: The edges that a ray to the east from a point of the cell can cross.
+_AHEAD = f"""CASE WHEN NOT inside THEN transform(edges, p -> transform(p, r -> filter(r, e -> greatest(e.y1, e.y2) >= south - {MARGIN} AND least(e.y1, e.y2) <= south + wide + {MARGIN}
+  AND greatest(e.x1, e.x2) >= west - {MARGIN}))) END"""
+_TURNS = ", ".join(f"(e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1)" for x in ("west", "west + wide") for y in ("south", "south + wide"))
+_SLACK = f"(abs(e.x2 - e.x1) + abs(e.y2 - e.y1)) * {MARGIN}"
+#: Whether an edge meets the cell: their boxes do, and not all corners lie on one side of its line.
+_BORDER = f"""coalesce(exists(flatten(flatten(edges)), e -> least(e.x1, e.x2) <= west + wide + {MARGIN} AND greatest(e.x1, e.x2) >= west - {MARGIN}
+  AND least({_TURNS}) <= {_SLACK} AND greatest({_TURNS}) >= -({_SLACK})), false)"""
+_CENTRE = f"NOT inside AND NOT border AND {_inside('(west + wide / 2)', '(south + wide / 2)')}"
 
 
 def _judged(cells: DataFrame, rest: list[str]) -> DataFrame:
     """Cells with only the edges ahead of them, without those outside; ``inside`` ones have no edges any more."""
-    wide = side(F.col("z"))
-    west, south = F.col("x") * wide - 180.0, F.col("y") * wide - 180.0
-    east, north = west + wide, south + wide
-    near = cells.withColumn("edges", F.when(~F.col("inside"), _ahead(F.col("edges"), west, south, north)))
-    border = F.exists(F.flatten(F.flatten(F.col("edges"))), lambda e: touches(e, west, east, south, north))
-    told = near.withColumn("border", F.coalesce(border, F.lit(False)))
-    within = F.when(~F.col("inside") & ~F.col("border"), in_edges(west + wide / 2, south + wide / 2, F.col("edges")))
-    found = told.withColumn("within", F.coalesce(within, F.lit(False))).where("inside or border or within")
-    return found.select(*rest, "z", "x", "y", (~F.col("border")).alias("inside"), F.when(F.col("border"), F.col("edges")).alias("edges"))
-
-
-def cover(polygons: DataFrame, depth: int = DEPTH) -> DataFrame:
+    wide = "360.0D / power(2.0D, z)"
+    placed = cells.selectExpr(*rest, "z", "x", "y", "inside", "edges", f"{wide} AS wide", f"x * ({wide}) - 180.0D AS west", f"y * ({wide}) - 180.0D AS south")
+    near = placed.selectExpr(*rest, "z", "x", "y", "inside", "wide", "west", "south", f"{_AHEAD} AS edges")
+    told = near.selectExpr("*", f"{_BORDER} AS border")
+    return told.where(f"inside OR border OR ({_CENTRE})").selectExpr(*rest, "z", "x", "y", "NOT border AS inside", "CASE WHEN border THEN edges END AS edges")
+
+
+def cover(polygons: DataFrame, steps: int = STEPS) -> DataFrame:
     """Cells of polygons (geometry and any other columns): the other columns; z, x, y; whether the cell is ``inside``;
     and of a border cell the edges that decide about its points. Polygons without points have none."""
-    from ..functions.geo import bounding_box
-
-    rest = [c for c in polygons.columns if c != "geometry"]
-    boxed = polygons.withColumns(bounding_box(F.col("geometry"))).where("min_lon is not null")
-    level = level_of(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
-    first = boxed.select("*", level.alias("z"), edges_of(F.col("geometry")).alias("edges"), F.lit(False).alias("inside"))
-    span = lambda axis: F.sequence(cell(F.col(f"min_{axis}"), F.col("z")), cell(F.col(f"max_{axis}"), F.col("z")))
-    now = _judged(first.withColumn("x", F.explode(span("lon"))).withColumn("y", F.explode(span("lat"))), rest)
-    for _ in range(depth):
-        quarters = F.array(*[F.struct((F.col("z") + 1).alias("z"), (F.col("x") * 2 + i).alias("x"), (F.col("y") * 2 + j).alias("y")) for i in (0, 1) for j in (0, 1)])
-        same = F.array(F.struct("z", "x", "y"))
-        spread = now.select(*rest, "inside", "edges", F.explode(F.when(F.col("inside"), same).otherwise(quarters)).alias("c"))
-        now = _judged(spread.select(*rest, "inside", "edges", "c.z", "c.x", "c.y"), rest)
+    rest = [f"`{c}`" for c in polygons.columns if c != "geometry"]
+    first = boxes(polygons).selectExpr(*rest, "z", "explode(xs) AS x", "ys", "geometry").selectExpr(*rest, "z", "x", "explode(ys) AS y", "geometry")
+    now = _judged(first.selectExpr(*rest, "z", "x", "y", "false AS inside", f"{EDGES} AS edges"), rest)
+    parts = 1 << LEVELS
+    inner = f"transform(sequence(0, {parts * parts - 1}), k -> named_struct('z', z + {LEVELS}, 'x', x * {parts} + k % {parts}, 'y', y * {parts} + k div {parts}))"
+    for _ in range(steps):
+        spread = now.selectExpr(*rest, "inside", "edges", f"explode(CASE WHEN inside THEN array(named_struct('z', z, 'x', x, 'y', y)) ELSE {inner} END) AS c")
+        now = _judged(spread.selectExpr(*rest, "inside", "edges", "c.z AS z", "c.x AS x", "c.y AS y"), rest)
     return now
+
+
+def boxes(polygons: DataFrame) -> DataFrame:
+    """Polygons that have points, with the level of their size, their closed box, and the numbers of the cells that it
+    touches along both axes."""
+    flat = "flatten(flatten(geometry))"
+    ends = [f"array_{end}(transform({flat}, p -> p.{axis})) AS {end}_{axis}" for axis in ("lon", "lat") for end in ("min", "max")]
+    boxed = polygons.selectExpr("*", *ends).where("min_lon is not null")
+    sized = boxed.withColumn("z", level_of(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")))
+    return sized.withColumns({to: F.sequence(cell(F.col(f"min_{axis}"), F.col("z")), cell(F.col(f"max_{axis}"), F.col("z"))) for axis, to in (("lon", "xs"), ("lat", "ys"))})

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,18 +34,21 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, at: Sequen
         same = same & rows[k].eqNullSafe(right[f"_r_{k}"])
     source = rows.where(F.col(value).isNotNull())
     joined = source.join(right, same) if keys else source.join(F.broadcast(right))  # without keys one row
-    large = F.col("_n") > 4 * accuracy
-    wanted = F.array(
-        *[
-            F.when(~large | (number <= F.col("_cuts")[2 * i + 1]), F.struct(F.lit(i).alias("i"), F.when(~large | (number >= F.col("_cuts")[2 * i]), number).alias("v")))
-            for i in range(len(at))
-        ]
-    )
-    parts = joined.select(*keys, "_n", *extra, F.explode(F.filter(wanted, lambda x: x.isNotNull())).alias("_x"))
-    counts = parts.groupBy(*keys, "_n", *extra, F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_c"))
+    small = F.col("_n") <= 4 * accuracy
+    cut = lambda k: F.col("_cuts")[k]
+    inside = [small | ((number >= cut(2 * i)) & (number <= cut(2 * i + 1))) for i in range(len(at))]
+    kept = F.when(reduce(or_, inside), number)
+    # What lies in no bracket is counted by the cuts below it, with its smallest value for all.
+    gap = F.when(kept.isNull(), sum(((number > cut(k)).cast("int") for k in range(len(cuts))), F.lit(0)))
+    counts = joined.groupBy(*keys, "_n", "_cuts", *extra, gap.alias("_gap"), kept.alias("_kept")).agg(F.count("*").alias("_c"), F.min(number).alias("_least"))
+    v, low, high = F.coalesce("_kept", "_least"), (lambda i: cut(2 * i)), (lambda i: cut(2 * i + 1))
+    wanted = [F.when(small | (v <= high(i)), F.struct(F.lit(i).alias("i"), F.when(small | (v >= low(i)), v).alias("v"))) for i in range(len(at))]
+    asked = counts.select(*keys, "_n", *extra, "_c", F.explode(F.array_compact(F.array(*wanted))).alias("_x"))
+    counts = asked.select(*keys, "_n", *extra, "_c", F.col("_x.i").alias("_i"), F.col("_x.v").alias("_v"))
     rank = F.element_at(F.array(*[F.lit(float(p)) for p in at]), F.col("_i") + 1) * (F.col("_n") - 1)
     upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v")))
     met = counts.withColumns({"_upto": upto, "_rank": rank}).where((F.col("_upto") > F.floor("_rank")) & (F.col("_upto") - F.col("_c") <= F.ceil("_rank")))
+    met = met.where("_v is not null")
     # One value, or two neighbours between which the rank lies.
     pairs = met.groupBy(*keys, "_i", "_rank", *extra).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
     share = F.col("_rank") - F.floor("_rank")

@@ -5,53 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import bounding_box, in_box
-from .cover import DEPTH, cell, cover, in_edges, level_of
+from ..functions.geo import in_box
+from .cover import LEVELS, STEPS, boxes, cell, cover, in_edges
 
 _CELL = ("_z", "_x", "_y")
 
 
-def _in_cells(points: DataFrame, levels: DataFrame, cells: DataFrame) -> DataFrame:
+def _in_cells(points: DataFrame, sized: DataFrame, steps: int, cells: DataFrame) -> DataFrame:
     """Points (lon, lat) with the rows of ``cells`` (z, x, y) whose cell holds them. A point asks once for each level
-    there is (``levels``, one row with an array)."""
-    own = points.join(F.broadcast(levels)).withColumn("_z", F.explode("levels")).drop("levels")  # one row
+    that polygons of these sizes have cells of: one row with an array of fewer than thirty."""
+    levels = sized.agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("z", F.col("z") + LEVELS * steps, F.lit(LEVELS))))).alias("_levels"))
+    own = points.join(F.broadcast(levels)).withColumn("_z", F.explode("_levels")).drop("_levels")
     asked = own.withColumns({"_x": cell(F.col("lon"), F.col("_z")), "_y": cell(F.col("lat"), F.col("_z"))})
     return asked.join(cells.withColumnsRenamed({"z": "_z", "x": "_x", "y": "_y"}), list(_CELL)).drop(*_CELL)
 
 
-def _boxes(polygons: DataFrame) -> DataFrame:
-    boxed = polygons.withColumns(bounding_box(F.col("geometry"))).where("min_lon is not null")
-    return boxed.withColumn("z", level_of(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")))
-
-
-def _levels(boxes: DataFrame, depth: int) -> DataFrame:
-    """One row: the levels of these polygons' cells, fewer than thirty."""
-    return boxes.agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("z", F.col("z") + depth)))).alias("levels"))
-
-
 def in_boxes(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """Points (lon, lat) with every polygon (name, geometry) whose closed bounding box holds them.
 
     Both meet by cells of the polygon's own size, an equal-key join: a polygon goes to the cells that its box touches,
     four at most, a point to its own of every size there is.
     """
-    boxes = _boxes(polygons)
-    span = lambda axis: F.sequence(cell(F.col(f"min_{axis}"), F.col("z")), cell(F.col(f"max_{axis}"), F.col("z")))
-    spread = boxes.withColumn("x", F.explode(span("lon"))).withColumn("y", F.explode(span("lat")))
-    return _in_cells(points, _levels(boxes, 0), spread).where(in_box(F.col("lon"), F.col("lat")))
+    sized = boxes(polygons)
+    spread = sized.withColumn("x", F.explode("xs")).withColumn("y", F.explode("ys")).drop("xs", "ys")
+    return _in_cells(points, sized, 0, spread).where(in_box(F.col("lon"), F.col("lat")))
 
 
-def candidates(points: DataFrame, polygons: DataFrame, depth: int = DEPTH) -> DataFrame:
+def candidates(points: DataFrame, polygons: DataFrame, steps: int = STEPS) -> DataFrame:
     """Points with every polygon that has a cell at their place; ``inside`` tells that the whole cell is in it, else
     ``edges`` has those that a ray to the east may cross."""
-    return _in_cells(points, _levels(_boxes(polygons), depth), cover(polygons, depth))
+    return _in_cells(points, boxes(polygons), steps, cover(polygons, steps))
 
 
-def within(points: DataFrame, polygons: DataFrame, depth: int = DEPTH) -> DataFrame:
+def within(points: DataFrame, polygons: DataFrame, steps: int = STEPS) -> DataFrame:
     """Points with every polygon that holds them: inside an outer ring and in none of its holes. Only points in cells
     that a border passes cast a ray, and only over the edges ahead of their cell."""
-    found = candidates(points, polygons, depth)
-    return found.where(F.col("inside") | in_edges(F.col("lon"), F.col("lat"), F.col("edges"))).drop("inside", "edges")
+    return candidates(points, polygons, steps).where(F.col("inside") | in_edges()).drop("inside", "edges")
 
 
 def outlines(polygons: DataFrame, attributes: DataFrame, key: str = "name") -> DataFrame:
