@@ -69,7 +69,7 @@ def free_bike_cells(payloads: DataFrame, cell: Column) -> DataFrame:
     bare = F.transform(first, lambda b: b.dropFields("bike_id"))
     rows = read.withColumn("b", F.explode(bare)).select("snapshot_ts", "fetched_at", "source", "b.*")
     flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))).cast("int")
-    keys = ["snapshot_ts", "fetched_at", "source", cell.alias("cell"), "vehicle_type_id", F.col("station_id").isNotNull().alias("at_station")]
+    keys = ["snapshot_ts", "fetched_at", "source", cell.alias("cell"), "vehicle_type_id", F.coalesce(F.col("station_id") != "", F.lit(False)).alias("at_station")]
     return rows.groupBy(*keys).agg(F.count("*").cast("int").alias("num_bikes"), flag("is_disabled").alias("num_disabled"), flag("is_reserved").alias("num_reserved"))
 
 

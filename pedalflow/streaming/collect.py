@@ -40,18 +40,20 @@ def collect(payloads: DataFrame, data_dir: str, source: str, checkpoint: str, ev
     """Appends every feed's new rows of one source; a batch that is run again stores nothing twice.
 
     Each batch is parsed and stored by the batch writer, which leaves out keys that are on disk. Bike ids are dropped
-    inside the payload before any shuffle, state or sink. One query serves one source, so a source that fails leaves
+    inside the payload before any shuffle, state, cache or sink: payloads that may hold some are not kept for the
+    other feeds' sake. One query serves one source, so a source that fails leaves
     the others running.
     """
 
     def store(batch: DataFrame, _: int) -> None:
-        batch = batch.where(F.col("source") == source).persist()
+        own = batch.where(F.col("source") == source)
+        plain = own.where(F.col("feed") != "free_bike_status").persist()
         try:
             for feed in feeds.REQUIRED:
-                dataset, rows = rows_of(batch, feed)
+                dataset, rows = rows_of(own if feed == "free_bike_status" else plain, feed)
                 append_once(rows, data_dir, source, dataset)
         finally:
-            batch.unpersist()
+            plain.unpersist()
 
     writer = payloads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).queryName(f"collect-{source}")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

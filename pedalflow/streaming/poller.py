@@ -7,7 +7,6 @@ stored, and writes the events from which the gap stream learns of starts, failur
 from __future__ import annotations
 
 import json
-import os
 import random
 import uuid
 from collections.abc import Callable
@@ -46,14 +45,46 @@ def fetch(url: str, agent: str = "pedalflow") -> str:
         raise Unreachable(type(error).__name__) from error
 
 
-def drop_lines(folder: str, rows: list[dict]) -> None:
-    """Rows as one file of JSON lines that appears at once; streams skip names that begin with a dot."""
-    if rows:
-        os.makedirs(folder, exist_ok=True)
-        name = f"{uuid.uuid4().hex}.json"
-        with open(f"{folder}/.{name}", "w") as out:
-            out.writelines(json.dumps(r, default=lambda t: t.isoformat()) + "\n" for r in rows)
-        os.rename(f"{folder}/.{name}", f"{folder}/{name}")
+def drop_lines(spark: SparkSession, folder: str, rows: list[dict]) -> None:
+    """Rows as one file of JSON lines that appears at once, on whichever file system the folder is; streams skip names
+    that begin with a dot."""
+    if not rows:
+        return
+    text = "".join(json.dumps(r, default=lambda t: t.isoformat()) + "\n" for r in rows)
+    path, name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, f"{uuid.uuid4().hex}.json"
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path(folder))
+    hidden = path(f"{folder}/.{name}")
+    out = store.create(hidden)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not store.rename(hidden, path(f"{folder}/{name}")):
+        raise OSError(f"{folder}/{name}")
+
+
+def checked(body: str) -> dict:
+    """A payload with its envelope: an object that has last_updated, ttl and data."""
+    told = json.loads(body)
+    if not isinstance(told, dict):
+        raise ValueError("no object")
+    for key in ("last_updated", "ttl", "data"):
+        told[key]
+    return told
+
+
+#: What is kept of a free-floating bike.
+BIKE = ("lat", "lon", "vehicle_type_id", "station_id", "is_disabled", "is_reserved")
+
+
+def without_ids(told: dict) -> dict:
+    """A free_bike_status payload with each bike once and no bike's id, before anything of it is written."""
+    first: dict[object, dict] = {}
+    for k, bike in enumerate(told["data"]["bikes"]):
+        ident = bike.get("bike_id")
+        first.setdefault((True, ident) if ident is not None else (False, k), {c: bike[c] for c in BIKE if c in bike})
+    return {k: told[k] for k in ("last_updated", "ttl")} | {"data": {"bikes": list(first.values())}}
 
 
 @dataclass
@@ -78,14 +109,18 @@ class Poller:
     draw: Callable[[], float] = random.random
     seen: dict[str, Seen] = field(default_factory=dict)
     urls: dict[str, str] | None = None
+    spark: SparkSession | None = None
+
+    def drop(self, folder: str, rows: list[dict]) -> None:
+        drop_lines(self.spark or SparkSession.builder.getOrCreate(), folder, rows)
 
     def start(self, spark: SparkSession, data_dir: str) -> None:
         """Takes up what storage holds."""
-        now, name = self.clock(), self.provider.name
+        self.spark, now, name = spark, self.clock(), self.provider.name
         for feed in self.provider.feeds:
             stored = latest_snapshot(spark, data_dir, name, gaps.DATASETS[feed])
             self.seen[feed] = Seen(stored=None if stored is None else stored.astimezone(timezone.utc))
-        drop_lines(self.events, gaps.starts(spark, data_dir, name, list(self.provider.feeds), now))
+        self.drop(self.events, gaps.starts(spark, data_dir, name, list(self.provider.feeds), now))
 
     def due(self, feed: str) -> datetime:
         s = self.seen.setdefault(feed, Seen())
@@ -104,18 +139,21 @@ class Poller:
         event = {"source": self.provider.name, "feed": feed, "fetched_at": now, "ok": False}
         try:
             body = self.get(self.address(feed))
-            told = json.loads(body)
+            told = checked(body)
             updated = datetime.fromtimestamp(told["last_updated"], timezone.utc)
-        except (Unreachable, ValueError, KeyError, TypeError) as error:
-            s.failures += 1
+            ttl = int(told["ttl"] or 0)
+            body = json.dumps(without_ids(told)) if feed == "free_bike_status" else body
+        except (Unreachable, ValueError, KeyError, TypeError, AttributeError) as error:
+            # The next try asks for the feeds' addresses anew.
+            s.failures, self.urls = s.failures + 1, None
             wait = schedule.pause(s.failures, self.draw(), getattr(error, "asked", None), schedule.INTERVALS[feed])
             s.retry = now + timedelta(seconds=wait)
         else:
             if updated != (s.updated or s.stored):
-                drop_lines(self.payloads, [{"source": self.provider.name, "feed": feed, "fetched_at": now, "json": body}])
-            s.fetched, s.updated, s.ttl, s.failures, s.retry = now, updated, int(told.get("ttl") or 0), 0, None
+                self.drop(self.payloads, [{"source": self.provider.name, "feed": feed, "fetched_at": now, "json": body}])
+            s.fetched, s.updated, s.ttl, s.failures, s.retry = now, updated, ttl, 0, None
             event |= {"ok": True, "last_updated": updated}
-        drop_lines(self.events, [event])
+        self.drop(self.events, [event])
 
     def round(self) -> float:
         """Polls what is due; the seconds until something is again."""
@@ -125,7 +163,7 @@ class Poller:
         return max(0.0, (min(map(self.due, self.provider.feeds)) - self.clock()).total_seconds())
 
     def stop(self) -> None:
-        drop_lines(self.events, gaps.stops(self.provider.name, list(self.provider.feeds), self.clock()))
+        self.drop(self.events, gaps.stops(self.provider.name, list(self.provider.feeds), self.clock()))
 
     def run(self, spark: SparkSession, data_dir: str, stop: Event) -> None:
         self.start(spark, data_dir)

@@ -206,6 +206,33 @@ def test_supervision_restarts_one_and_leaves_the_other():
     assert count["sound"] == 1 and count["weak"] > 1 and count["broken"] == 0 and not stop.is_set()
 
 
+def test_no_bike_id_reaches_a_file_and_bad_envelopes_are_failures(spark, tmp_path):
+    bike = lambda i, **more: {"bike_id": i, "lat": 52.5, "lon": 13.4, "vehicle_type_id": "e", **more}
+    bikes = [bike("secret-1"), bike("secret-1", station_id="7"), bike(None), bike(None), bike("secret-2", station_id="7"), bike("secret-3", station_id="", is_disabled=True)]
+    bodies = [{"last_updated": 1_772_409_000, "ttl": 60}, [1], {"last_updated": 1_772_409_000, "data": {"bikes": []}}, {"last_updated": 1_772_409_000, "ttl": 60, "data": {"bikes": bikes}}]
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        return json.dumps({"data": {"de": {"feeds": [{"name": "free_bike_status", "url": f"u{len(asked)}"}]}}}) if url == "root" else json.dumps(bodies.pop(0))
+
+    places = [str(tmp_path / x) for x in ("payloads", "events")]
+    own = poller.Poller(Provider("syn", "root", ("free_bike_status",)), *places, get=get, clock=lambda: at(0).replace(tzinfo=timezone.utc), spark=spark)
+    for failures in (1, 2, 3, 0):
+        own.poll("free_bike_status")
+        assert own.seen["free_bike_status"].failures == failures
+    assert asked == ["root", "u1", "root", "u3", "root", "u5", "root", "u7"]  # addresses are read again after a failure
+    assert [json.loads(x)["ok"] for f in sorted((tmp_path / "events").glob("*.json"), key=lambda f: f.stat().st_mtime_ns) for x in f.read_text().splitlines()] == [False, False, False, True]
+    data, check = str(tmp_path / "data"), str(tmp_path / "check")
+    collect.collect(collect.payload_stream(spark, places[0]), data, "syn", check).awaitTermination()
+    (cell,) = {r.cell for r in Catalog(spark, data, "syn").free_bike_cells.collect()}
+    rows = {(r.at_station, r.num_bikes, r.num_disabled) for r in Catalog(spark, data, "syn").free_bike_cells.collect()}
+    assert rows == {(False, 4, 1), (True, 1, 0)} and cell
+    written = [f for f in tmp_path.rglob("*") if f.is_file()]
+    assert len(written) > 5 and not any(b"secret" in f.read_bytes() for f in written if f.suffix != ".parquet")
+    assert not any("bike_id" in spark.read.parquet(str(f)).columns for f in written if f.suffix == ".parquet")
+
+
 def test_providers_from_the_environment():
     found = providers({"PEDALFLOW_PROVIDERS": json.dumps({"one": "http://a", "two": {"url": "http://b", "feeds": ["station_status"]}, "off": {"url": "x", "enabled": False}})})
     assert list(found) == ["one", "two"] and found["two"].feeds == ("station_status",) and len(found["one"].feeds) == 4
