@@ -16,21 +16,27 @@ from . import vectors
 from .shared import lean, materialise, partitions_for, read
 from .words import mix
 
-#: Hash tables, projections a table, width of a projection's cells (of vectors scaled to length 1), buckets a query
-#: visits in each table, and rows of an index part.
-TABLES, PROJECTIONS, WIDTH, PROBES, PART_ROWS = 14, 8, 1.8, 220, 50_000
+#: Hash tables, width of a projection's cells (of vectors scaled to length 1), buckets that a query visits at most in
+#: each table, and rows of an index part.
+TABLES, WIDTH, PROBES, PART_ROWS = 14, 1.8, 220, 50_000
 SEED = 20
-#: Quotient of the longest and shortest norm of a range, and classes up to which a range is scanned whole.
-RANGE, SCAN_ROWS = 1.25, 1024
-#: Classes and, of these, queries of the pilot by which the number of probes is fitted, and the part of its neighbours
-#: that has to be found.
-PILOT_ROWS, PILOT_ASKED, PILOT_RECALL = 4096, 128, 0.97
+#: Quotient of the longest and shortest norm of a range.
+RANGE = 1.25
+#: Classes that share a bucket of a table, about, by which the guess of projections a table goes; the pilot begins a step
+#: above it and goes down in steps.
+SHARE_A_BUCKET, STEP = 32, 2
+#: Classes and, of these, queries of a length's pilot, the part of its neighbours that has to be found, and lengths,
+#: the most frequent ones, that have a pilot.
+PILOT_ROWS, PILOT_ASKED, PILOT_RECALL, PILOTS = 4096, 128, 0.97, 4
+#: Queries that an index part answers at once.
+ASK = 1024
 
-Spans = dict[int, list[tuple[int, float, bool]]]
+#: For each length of vectors: projections a table, probes a table, and the ranges of norms, each with its longest.
+Plans = dict[int, tuple[int, int, list[tuple[int, float]]]]
 
 
-@lru_cache(maxsize=2)
-def template(m: int = PROJECTIONS, probes: int = PROBES) -> tuple[tuple[int, ...], ...]:
+@lru_cache(maxsize=8)
+def template(m: int, probes: int = PROBES) -> tuple[tuple[int, ...], ...]:
     """Sets of ranks among a query's 2m cell-wall distances, likeliest first.
 
     The expected square of the j-th smallest of these distances is known in closed form when the query lies uniformly
@@ -59,18 +65,18 @@ def template(m: int = PROJECTIONS, probes: int = PROBES) -> tuple[tuple[int, ...
 
 
 @lru_cache(maxsize=8)
-def projections(d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Normal directions (one more component than the vectors) and offsets of all tables."""
-    rng = np.random.default_rng([SEED, d])
-    return rng.standard_normal((d + 1, TABLES * PROJECTIONS)), rng.random(TABLES * PROJECTIONS) * WIDTH
+def projections(d: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal directions (one more component than the vectors) and offsets of all tables of m projections."""
+    rng = np.random.default_rng([SEED, d, m])
+    return rng.standard_normal((d + 1, TABLES * m)), rng.random(TABLES * m) * WIDTH
 
 
-def cells(x: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(x: np.ndarray, extra: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Cell numbers and places inside the cells (0 to 1), vector by table by projection."""
-    turn, shift = projections(x.shape[1])
+    turn, shift = projections(x.shape[1], m)
     at = (np.column_stack((x, extra)) @ turn + shift) / WIDTH
     whole = np.floor(at)
-    shape = (len(x), TABLES, PROJECTIONS)
+    shape = (len(x), TABLES, m)
     return whole.astype(np.int64).reshape(shape), (at - whole).reshape(shape)
 
 
@@ -84,13 +90,13 @@ def bucket_ids(whole: np.ndarray, d: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def probe_ids(x: np.ndarray, probes: int = PROBES) -> np.ndarray:
+def probe_ids(x: np.ndarray, m: int, probes: int = PROBES) -> np.ndarray:
     """The buckets that unit queries visit: query by table by probe, likeliest first."""
-    whole, inside = cells(x, np.zeros(len(x)))
-    n, m = len(x), PROJECTIONS
+    whole, inside = cells(x, np.zeros(len(x)), m)
+    n = len(x)
     walls = np.concatenate((inside, 1 - inside), axis=2)  # below, above
     order = np.argsort(walls, axis=2, kind="stable")
-    sets = template()[:probes]
+    sets = template(m)[:probes]
     out = np.empty((n, TABLES, len(sets)), np.int64)
     for p, ranks in enumerate(sets):
         moved = whole.copy()
@@ -114,54 +120,44 @@ def ranged(buckets: np.ndarray, span: int) -> np.ndarray:
         return mix(buckets.view(np.uint64) + np.array([span], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def whole_range(d: int, span: int) -> int:
-    """The bucket that holds all of a range that is scanned."""
-    return int(ranged(np.array([-d], np.int64), span)[0])
-
-
-def _index(batches: Iterator[pa.RecordBatch], spans: Spans) -> Iterator[pa.RecordBatch]:
-    """Each class once a table, or once at all in a range that is scanned. Vectors are scaled by the longest of their
-    range and get a component that makes them unit long, so that nearness in space orders those of a range as their
-    inner products with a query do."""
+def _index(batches: Iterator[pa.RecordBatch], plans: Plans) -> Iterator[pa.RecordBatch]:
+    """Each class once a table. Vectors are scaled by the longest of their range and get a component that makes them
+    unit long, so that nearness in space orders those of a range as their inner products with a query do."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
             for of_length in _rows_by_length(batch.slice(i, 2000)):
                 d, place = of_length.column("d")[0].as_py(), of_length.column("span").to_numpy()
-                for span, longest, scan in spans[d]:
+                m, _, spans = plans[d]
+                for span, longest in spans:
                     own = of_length.filter(pa.array(place == span))
                     if not own.num_rows:
                         continue
-                    if scan:
-                        found = np.full((own.num_rows, 1), whole_range(d, span))
-                    else:
-                        x = vectors.matrix(own.column("vec"), np.float64) / longest
-                        whole, _ = cells(x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1))))
-                        found = ranged(bucket_ids(whole, d), span)
-                    for t in range(found.shape[1]):
+                    x = vectors.matrix(own.column("vec"), np.float64) / longest
+                    whole, _ = cells(x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1))), m)
+                    found = ranged(bucket_ids(whole, d), span)
+                    for t in range(TABLES):
                         yield pa.RecordBatch.from_arrays([pa.array(found[:, t]), own.column("cid"), own.column("vec"), own.column("ids")], names=["bucket", "cid", "vec", "ids"])
 
 
-def _probes(batches: Iterator[pa.RecordBatch], spans: Spans, probes: int) -> Iterator[pa.RecordBatch]:
+def _probes(batches: Iterator[pa.RecordBatch], plans: Plans) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             for own in _rows_by_length(batch.slice(i, 500)):
                 x = vectors.matrix(own.column("vec"), np.float64)
                 x /= np.sqrt((x**2).sum(axis=1))[:, None]
-                d = x.shape[1]
-                hashed = [span for span, _, scan in spans[d] if not scan]
-                scanned = np.array([whole_range(d, span) for span, _, scan in spans[d] if scan], np.int64)
-                visits = probe_ids(x, probes).reshape(len(x), -1) if hashed else np.zeros((len(x), 0), np.int64)
-                found = [np.concatenate([scanned, *(ranged(row, span) for span in hashed)]) for row in map(np.unique, visits)]
+                m, probes, spans = plans[x.shape[1]]
+                visits = probe_ids(x, m, probes).reshape(len(x), -1)
+                found = [np.concatenate([ranged(row, span) for span, _ in spans]) for row in map(np.unique, visits)]
                 offs = np.concatenate(([0], np.cumsum([len(row) for row in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([own.column("cid"), pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found)))], names=["cid", "buckets"])
 
 
-def found_at(x: np.ndarray, longest: np.ndarray, asked: np.ndarray) -> np.ndarray:
+def found_at(x: np.ndarray, longest: np.ndarray, asked: np.ndarray, m: int) -> np.ndarray:
     """For each unit query and each vector, which has the longest of its range beside it, the number of probes a table
     after which the query has met it; one more than PROBES if it never does."""
     scaled = x / longest[:, None]
-    whole, _ = cells(scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1))))
-    held, visits = bucket_ids(whole, x.shape[1]), probe_ids(asked)
+    whole, _ = cells(scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1))), m)
+    held, visits = bucket_ids(whole, x.shape[1]), probe_ids(asked, m)
     first = np.full((len(asked), len(x)), PROBES + 1)
     for t in range(TABLES):
         order = np.argsort(held[:, t], kind="stable")
@@ -173,22 +169,38 @@ def found_at(x: np.ndarray, longest: np.ndarray, asked: np.ndarray) -> np.ndarra
     return first
 
 
-def fit_probes(pilot: list[tuple[np.ndarray, float]], total: int, k: int) -> int:
-    """The fewest probes a table with which a pilot's queries find PILOT_RECALL of their neighbours, at most PROBES.
+def guess(total: int) -> int:
+    """Projections a table for so many classes."""
+    return max(1, round(math.log2(max(2, total / SHARE_A_BUCKET))))
+
+
+def fit(pilot: list[tuple[np.ndarray, float]], total: int, k: int) -> tuple[int, int]:
+    """Projections and probes a table with which a pilot's queries find PILOT_RECALL of their neighbours at the least
+    cost: the part of all classes that they meet, and the buckets they ask for. Where nothing reaches that, what finds
+    most. At least the bucket itself and those behind each of its walls are visited.
 
     ``pilot`` holds vectors with the longest norm of their range. A share of all vectors has that share of the
     neighbours of a query, the nearest ones: in a larger table these are nearer, and fewer probes find them.
     """
+    middle = guess(total)
     if len(pilot) < 2:
-        return PROBES
+        return middle, PROBES
     x, longest = np.array([v for v, _ in pilot], np.float64), np.array([n for _, n in pilot])
     n = min(PILOT_ASKED, len(x))
     asked = x[:n] / np.sqrt((x[:n] ** 2).sum(axis=1))[:, None]
     scores = asked @ x.T
     scores[np.arange(n), np.arange(n)] = -np.inf
     near = np.argsort(-scores, axis=1, kind="stable")[:, : max(1, min(len(x) - 1, -(-k * len(x) // total)))]
-    first = np.sort(np.take_along_axis(found_at(x, longest, asked), near, 1).ravel())
-    return int(min(PROBES, first[math.ceil(PILOT_RECALL * len(first)) - 1]))
+    tried = []
+    for m in range(middle + STEP, 0, -STEP):
+        first = found_at(x, longest, asked, m)
+        met = np.sort(np.take_along_axis(first, near, 1).ravel())
+        probes = int(min(PROBES, max(2 * m + 1, met[math.ceil(PILOT_RECALL * len(met)) - 1])))
+        recall = float((met <= probes).mean())
+        tried.append((-min(recall, PILOT_RECALL), total * float((first <= probes).mean()) + TABLES * probes, m, probes))
+        if sum(-lost >= PILOT_RECALL for lost, *_ in tried) == 2:
+            break  # fewer projections meet more
+    return min(tried)[2:]
 
 
 class Pool:
@@ -279,67 +291,62 @@ class Pool:
         return {q: [(-s, v) for s, v in sorted(set(rows))[: self.k]] for q, rows in out.items()}
 
 
-def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by index part: its queries first, then its candidates by bucket."""
-    part = d = None
-    cids: list[str] = []
-    asked: list[np.ndarray] = []
-    visits: list[tuple[np.ndarray, int]] = []
-    pool, by_bucket = None, {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        found = pool.listed() if pool else {}
-        for i in range(0, len(found), 2000):
-            rows = list(found.items())[i : i + 2000]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "cid": pa.array([cids[q] for q, _ in rows], pa.string()),
-                    "scores": pa.array([[s for s, _ in x] for _, x in rows], pa.list_(pa.float64())),
-                    "ids": pa.array([[v for _, v in x] for _, x in rows], pa.list_(pa.int64())),
-                }
-            )
+class Part:
+    """An index part's candidates of one length, which come by bucket: heaps of at most PART_ROWS rows, about."""
+
+    def __init__(self):
+        self.heaps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.of: dict[int, list[tuple[int, int, int]]] = {}
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        buckets = rows.column("bucket").to_numpy()
+        flat, offs = vectors.ragged(rows.column("list"))
+        starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True):
+            self.of.setdefault(int(buckets[i]), []).append((len(self.heaps), i, j))
+        self.heaps.append((vectors.matrix(rows.column("vec"), np.float64), flat, offs))
+
+    def answer(self, rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The best candidates of some queries among the buckets that each asks for."""
+        pool = Pool(vectors.matrix(rows.column("vec"), np.float64), k)
+        flat, offs = vectors.ragged(rows.column("list"))
+        probe, whose = flat[offs[0] : offs[-1]], np.repeat(np.arange(rows.num_rows), np.diff(offs))
+        order = np.argsort(probe, kind="stable")
+        probe, whose = probe[order], whose[order]
+        begin = np.flatnonzero(np.concatenate(([True], probe[1:] != probe[:-1])))
+        for bucket, which in zip(probe[begin].tolist(), np.split(whose, begin[1:]), strict=True):
+            for heap, i, j in self.of.get(bucket, ()):
+                x, ids, bounds = self.heaps[heap]
+                for s in range(i, j, 512):
+                    pool.offer(which, x, np.arange(s, min(j, s + 512)), ids, bounds)
+        found = list(pool.listed().items())
+        cids = rows.column("cid").to_pylist()
+        return pa.RecordBatch.from_pydict(
+            {
+                "cid": pa.array([cids[q] for q, _ in found], pa.string()),
+                "scores": pa.array([[s for s, _ in x] for _, x in found], pa.list_(pa.float64())),
+                "ids": pa.array([[v for _, v in x] for _, x in found], pa.list_(pa.int64())),
+            }
+        )
+
 
+def _rerank(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by index part: its candidates by bucket, which are held, then its queries, which pass by."""
+    now, part = None, Part()
     for batch in batches:
-        keys = batch.column("part").to_numpy()
-        sizes = batch.column("d").to_numpy()
-        kinds = batch.column("kind").to_numpy()
+        keys, sizes, kinds = (batch.column(c).to_numpy() for c in ("part", "d", "kind"))
         change = np.flatnonzero(np.diff(keys) | np.diff(sizes) | np.diff(kinds)) + 1
         edges = [0, *change.tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a == b:
                 continue
-            own = batch.slice(a, b - a)
-            if (keys[a], sizes[a]) != (part, d):
-                yield from out()
-                part, d = keys[a], sizes[a]
-                cids, asked, visits, pool, by_bucket = [], [], [], None, {}
-            x = vectors.matrix(own.column("vec"), np.float64)
+            if (keys[a], sizes[a]) != now:
+                now, part = (keys[a], sizes[a]), Part()
             if kinds[a] == 0:
-                flat, offs = vectors.ragged(own.column("list"))
-                for r in range(len(x)):
-                    visits.append((flat[offs[r] : offs[r + 1]], len(cids) + r))
-                cids += own.column("cid").to_pylist()
-                asked.append(x)
-                continue
-            if not asked:
-                continue
-            if pool is None:
-                pool = Pool(np.concatenate(asked), k)
-                probe = np.concatenate([v for v, _ in visits])
-                whose = np.repeat([i for _, i in visits], [len(v) for v, _ in visits])
-                order = np.argsort(probe, kind="stable")
-                probe, whose = probe[order], whose[order]
-                begin = np.flatnonzero(np.concatenate(([True], probe[1:] != probe[:-1])))
-                by_bucket = dict(zip(probe[begin].tolist(), np.split(whose, begin[1:]), strict=True))
-            buckets = own.column("bucket").to_numpy()
-            flat, offs = vectors.ragged(own.column("list"))
-            starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True):
-                which = by_bucket.get(int(buckets[i]))
-                if which is not None:
-                    for s in range(i, j, 512):
-                        pool.offer(which, x, np.arange(s, min(j, s + 512)), flat, offs)
-    yield from out()
+                part.add(batch.slice(a, b - a))
+            elif part.heaps:
+                for i in range(a, b, ASK):
+                    yield part.answer(batch.slice(i, min(ASK, b - i)), k)
 
 
 def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) -> DataFrame:
@@ -347,13 +354,13 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
 
     Queries are the rows whose id ``every`` divides; candidates all rows but those with the query's own id; all rows
     are in the index, none is sampled. Vectors are dealt into ranges of like norm, each scaled by its own longest, so
-    that a few long ones do not make the others alike. A range of up to SCAN_ROWS classes is one bucket that all
-    queries visit. In the others every class of equal vectors lies in one bucket of each table; a query visits some
-    buckets of each, likeliest first: as many, up to PROBES, as a pilot on PILOT_ROWS classes needs to find
-    PILOT_RECALL of the neighbours. All it meets are scored on the original vectors; a query that meets fewer than
-    k others is scored against all of its length. Buckets go to
-    index parts of about PART_ROWS rows; a bucket with more is dealt over several, and a query goes to a part once
-    with the list of its buckets there.
+    that a few long ones do not make the others alike. Every class of equal vectors lies in one bucket of each table; a
+    query visits some buckets of each in every range, likeliest first. How many projections make a bucket and how many
+    buckets are visited, up to PROBES, follows from the number of classes and a pilot on PILOT_ROWS of them, for each
+    of the PILOTS most frequent lengths of vectors; other lengths get all PROBES. All it meets are scored on the
+    original vectors; a query that meets fewer than k others is scored against all of its length. Buckets go to index
+    parts of about PART_ROWS rows, of which a task holds one while queries pass by; a bucket with more is dealt over
+    several, and a query goes to a part once with the list of its buckets there.
 
     Null ids or vectors, empty vectors, zero vectors and vectors with null or non-finite components take no part;
     equal rows count once; vectors of another length are no candidates. Ties go to the smaller id. Fewer candidates
@@ -368,23 +375,20 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     # A row for each length of vectors and range of norms.
     sizes = ready.groupBy("d", "span").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()
     total: dict[int, int] = {}
-    spans: Spans = {}
+    ranges: dict[int, list[tuple[int, float]]] = {}
     for r in sorted(sizes, key=lambda r: (r["d"], r["span"])):
         total[r["d"]] = total.get(r["d"], 0) + r["n"]
-        spans.setdefault(r["d"], []).append((r["span"], float(r["longest"]), r["n"] <= SCAN_ROWS))
-    # A bounded sample, by hash, of the most frequent length's hashed ranges.
-    common = max(total, key=lambda d: (total[d], -d), default=0)
-    ranges = [(span, longest) for span, longest, scan in spans.get(common, []) if not scan]
-    probes = PROBES
-    if ranges:
-        longest_of = dict(ranges)
-        some = ready.where((F.col("d") == common) & F.col("span").isin([span for span, _ in ranges])).select("cid", "vec", "span")
-        pilot = some.orderBy(F.xxhash64("cid"), "cid").limit(PILOT_ROWS).collect()
-        probes = fit_probes([(np.asarray(r["vec"], np.float64), longest_of[r["span"]]) for r in pilot], total[common], k)
+        ranges.setdefault(r["d"], []).append((r["span"], float(r["longest"])))
+    plans: Plans = {d: (guess(n), PROBES, ranges[d]) for d, n in total.items()}
+    for d in sorted(total, key=lambda d: (-total[d], d))[:PILOTS]:
+        # A bounded sample, by hash.
+        longest = dict(ranges[d])
+        pilot = ready.where(F.col("d") == d).select("cid", "vec", "span").orderBy(F.xxhash64("cid"), "cid").limit(PILOT_ROWS).collect()
+        plans[d] = (*fit([(np.asarray(r["vec"], np.float64), longest[r["span"]]) for r in pilot], total[d], k), ranges[d])
     parts = max(partitions_for(spark), -(-sum(total.values()) * TABLES // PART_ROWS))
 
     kind = ready.schema["vec"].dataType.simpleString()  # vectors travel as they came; sums are made in double
-    index = materialise(ready.select("d", "span", "cid", "vec", "ids").mapInArrow(lean(_index, spans), f"bucket long, cid string, vec {kind}, ids array<long>"), "lsh-index")
+    index = materialise(ready.select("d", "span", "cid", "vec", "ids").mapInArrow(lean(_index, plans), f"bucket long, cid string, vec {kind}, ids array<long>"), "lsh-index")
     # A table of its own, so that its size, mostly nothing, is known before it is joined.
     large = index.groupBy("bucket").count().where(F.col("count") > PART_ROWS)
     shares = materialise(large.select("bucket", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("shares")), "lsh-shares")
@@ -393,12 +397,12 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
         return F.pmod(F.xxhash64("bucket", share), F.lit(parts)).cast("int").alias("part")
 
     candidates = index.join(shares, "bucket", "left").withColumn("_share", F.pmod(F.xxhash64("cid"), F.coalesce("shares", F.lit(1))).cast("int"))
-    candidates = candidates.select(part_of(F.col("_share")), F.size("vec").alias("d"), F.lit(1).alias("kind"), "bucket", F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
+    candidates = candidates.select(part_of(F.col("_share")), F.size("vec").alias("d"), F.lit(0).alias("kind"), "bucket", F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
     asked = ready.where("asked").select("d", "cid", "vec")
-    visits = asked.mapInArrow(lean(_probes, spans, probes), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
+    visits = asked.mapInArrow(lean(_probes, plans), "cid string, buckets array<long>").select("cid", F.explode("buckets").alias("bucket"))
     dealt = visits.join(shares, "bucket", "left").withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
     lists = dealt.select("cid", "bucket", part_of(F.col("_share"))).groupBy("cid", "part").agg(F.collect_list("bucket").alias("list"))
-    queries = lists.join(asked, "cid").select("part", "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", "list")
+    queries = lists.join(asked, "cid").select("part", "d", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", "list")
     both = queries.unionByName(candidates).repartition(min(parts, 8 * partitions_for(spark)), "part").sortWithinPartitions("part", "d", "kind", "bucket")
     schema = "cid string, scores array<double>, ids array<long>"
     result = materialise(both.mapInArrow(lean(_rerank, k), schema), "lsh-found")
@@ -409,9 +413,9 @@ def nearest(rows: DataFrame, k: int = vectors.K, every: int = vectors.EVERY) ->
     if not short.isEmpty():
         shares_of = F.create_map(*[F.lit(x) for d, n in total.items() for x in (d, -(-n // PART_ROWS))])
         every_part = F.explode(F.sequence(F.lit(0), shares_of[F.col("d")] - 1)).alias("part")
-        left = short.select(every_part, "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", F.array(F.lit(0).cast("long")).alias("list"))
+        left = short.select(every_part, "d", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), "cid", "vec", F.array(F.lit(0).cast("long")).alias("list"))
         own_part = F.pmod(F.xxhash64("cid"), shares_of[F.col("d")]).cast("int").alias("part")
-        right = ready.select(own_part, "d", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
+        right = ready.select(own_part, "d", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("string").alias("cid"), "vec", F.col("ids").alias("list"))
         scan = left.unionByName(right).repartition(partitions_for(spark), "part", "d").sortWithinPartitions("part", "d", "kind", "bucket")
         result = result.unionByName(scan.mapInArrow(lean(_rerank, k), schema))
     return vectors.answers(held, result, "double", k, every)
