@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import decode_polyline, rounded_rings
 from ..functions.localtime import sunday_first
 from ..functions.values import HOLIDAYS, axis_ticks, clean_int, half_even, station_id
+from ..operators.bitmaps import daily_states, trailing_counts
 from ..sources import bridge
 from ..sources.bridge import with_views
 from ..sources.storage import delete_where, update_from, upsert
@@ -141,6 +142,12 @@ def active_28d_bikes(spark: SparkSession, d: str) -> DataFrame:
     return trips.active_bikes(bridge.trips(spark, d))
 
 
+@query(_trailing("SELECT DISTINCT CAST(start_time AS DATE) AS date, bike_id AS id FROM trips", "bikes"), "trips")
+def active_28d_bikes_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The same from bitmaps a day."""
+    return trailing_counts(daily_states(bridge.trips(spark, d), "start_time", "bike_id"), 28, "bikes")
+
+
 @query(_trailing("SELECT CAST(start_time AS DATE) AS date, start_station_id AS id FROM trips UNION SELECT CAST(start_time AS DATE), end_station_id FROM trips", "stations"), "trips")
 def active_28d_stations(spark: SparkSession, d: str) -> DataFrame:
     return trips.active_stations(bridge.trips(spark, d))

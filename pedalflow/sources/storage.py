@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schemas
+from . import ledger, schemas
 from .catalog import read_table
 
 
@@ -70,9 +70,9 @@ def latest_gap_end(spark: SparkSession, data_dir: str, source: str, feed: str):
     return table.where(F.col("date").isin([F.lit(d) for d in newest]) & (F.col("feed") == feed)).agg(F.max("gap_end")).first()[0]
 
 
-def append_once(df: DataFrame, data_dir: str, source: str, dataset: str) -> None:
+def append_once(df: DataFrame, data_dir: str, source: str, dataset: str, batch: str | None = None) -> None:
     """Appends rows whose key isn't stored yet, into UTC date partitions. Writing the same rows again adds nothing, so
-    a batch that is run twice is stored once."""
+    a batch that is run twice is stored once; one that has a name also if its writers overlap or die."""
     spark = df.sparkSession
     time = schemas.TIMES[dataset]
     rows = checked(conform(df, schemas.SNAPSHOTS[dataset]), dataset, source).withColumn("date", F.to_date(time)).dropDuplicates(list(schemas.KEYS[dataset])).persist()
@@ -81,7 +81,11 @@ def append_once(df: DataFrame, data_dir: str, source: str, dataset: str) -> None
         there = set(partition_dates(spark, f"{data_dir}/{source}/{dataset}"))
         old = [d for d in dates if d in there]
         new = rows.join(stored_keys(spark, data_dir, source, dataset, old), list(schemas.KEYS[dataset]), "left_anti") if old else rows
-        new.select(*schemas.SNAPSHOTS[dataset].names, "date").repartition("date").sortWithinPartitions(time).write.mode("append").partitionBy("date").parquet(f"{data_dir}/{source}/{dataset}")
+        ready = new.select(*schemas.SNAPSHOTS[dataset].names, "date").repartition("date").sortWithinPartitions(time)
+        if batch is None:
+            ready.write.mode("append").partitionBy("date").parquet(f"{data_dir}/{source}/{dataset}")
+        else:
+            ledger.commit_batch(ready, f"{data_dir}/{source}/{dataset}", batch)
     finally:
         rows.unpersist()
 
@@ -112,6 +116,35 @@ def compact(spark: SparkSession, data_dir: str, source: str, dataset: str, out_d
     table.repartition("date").sortWithinPartitions("date", *schemas.KEYS[dataset]).write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/{source}/{dataset}")
 
 
+def z_order(columns: list[Column], bits: int = 10) -> Column:
+    """One number that is near where all of these bucket numbers (below 2^bits) are: their bits in turns."""
+    picked = [F.shiftleft(F.shiftright(c.cast("long"), i).bitwiseAND(F.lit(1)), len(columns) * i + k) for i in range(bits) for k, c in enumerate(columns)]
+    total = picked[0]
+    for x in picked[1:]:
+        total = total.bitwiseOR(x)
+    return total
+
+
+def cluster(rows: DataFrame, columns: list[str], path: str, files: int, group_bytes: int = 16 << 20, bloom: tuple[str, ...] = (), bits: int = 10) -> None:
+    """Writes rows in Z-order of these columns, so that look-ups by any of them read few row groups.
+
+    Columns are cut into 2^bits buckets at quantiles of a sketch (text by its hash, which keeps equal values together),
+    and files are ranges of the interleaved numbers. ``bloom``: columns that get Bloom filters.
+    """
+    n = 1 << bits
+    kinds = dict(rows.dtypes)
+    number = {c: F.pmod(F.xxhash64(c), F.lit(1 << 40)).cast("double") if kinds[c] == "string" else (F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c)).cast("double") for c in columns}
+    cuts = rows.agg(*[F.percentile_approx(number[c], F.array(*[F.lit(i / n) for i in range(1, n)]), 4 * n).alias(f"_cuts_{c}") for c in columns])
+    # Cuts ascend, so a value's bucket is the number of them below it.
+    placed = rows.join(F.broadcast(cuts))  # one row
+    buckets = [F.coalesce(F.size(F.filter(f"_cuts_{c}", lambda cut: cut < number[c])), F.lit(0)) for c in columns]  # noqa: B023
+    marked = placed.withColumn("_z", z_order(buckets, bits)).select(*rows.columns, "_z")
+    writer = marked.repartitionByRange(files, "_z").sortWithinPartitions("_z", *columns).drop("_z").write.mode("overwrite").option("parquet.block.size", group_bytes)
+    for c in bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows whose key no new row has, and all new rows."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

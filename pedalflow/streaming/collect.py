@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -36,6 +38,11 @@ def rows_of(payloads: DataFrame, feed: str, cell: Column | None = None) -> tuple
     return "free_bike_cells", feeds.free_bike_cells(own, grid_cell(F.col("lat"), F.col("lon")) if cell is None else cell)
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name that a stream keeps with its checkpoint, whoever runs it."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
 def collect(payloads: DataFrame, data_dir: str, source: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends every feed's new rows of one source; a batch that is run again stores nothing twice.
 
@@ -45,13 +52,14 @@ def collect(payloads: DataFrame, data_dir: str, source: str, checkpoint: str, ev
     the others running.
     """
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
+        name = f"{query_id(batch.sparkSession, checkpoint)}-{number}"
         own = batch.where(F.col("source") == source)
         plain = own.where(F.col("feed") != "free_bike_status").persist()
         try:
             for feed in feeds.REQUIRED:
                 dataset, rows = rows_of(own if feed == "free_bike_status" else plain, feed)
-                append_once(rows, data_dir, source, dataset)
+                append_once(rows, data_dir, source, dataset, name)
         finally:
             plain.unpersist()
 
@@ -62,8 +70,8 @@ def collect(payloads: DataFrame, data_dir: str, source: str, checkpoint: str, ev
 def store_gaps(gaps: DataFrame, data_dir: str, source: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends gap rows; one that is stored under the same feed and start stays as it is."""
 
-    def store(batch: DataFrame, _: int) -> None:
-        append_once(batch.where(F.col("source") == source), data_dir, source, "gaps")
+    def store(batch: DataFrame, number: int) -> None:
+        append_once(batch.where(F.col("source") == source), data_dir, source, "gaps", f"{query_id(batch.sparkSession, checkpoint)}-{number}")
 
     writer = gaps.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -213,3 +213,23 @@ def test_quantiles_of_groups_with_brackets(spark):
             groups.setdefault((k, j), []).append(v)
         want = {(*g, p): (float(np.quantile([v for v in vs if v is not None], p)), len(vs)) for g, vs in groups.items() if g != ("c", 1) for p in (0.1, 0.5, 0.999)}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_late_rows_change_the_states_of_their_own_days(spark, tmp_path):
+    from pedalflow.operators.bitmaps import add_late, daily_states, read_states, trailing_counts, write_states
+
+    rnd = random.Random(5)
+    make = lambda n: [(D0 + timedelta(days=rnd.randrange(60)), rnd.choice((0, 5, 32_767, 32_768, 10**6, rnd.randrange(10**5)))) for _ in range(n)]
+    early = make(300) + [(None, 4), (D0, None)]
+    late = [(D0 + timedelta(days=d), i) for d in (3, 40) for i in (5, 77, 2_000_000)]
+    path = str(tmp_path / "states")
+    frame = lambda rows: spark.createDataFrame(rows, "d date, i long")
+    write_states(daily_states(frame(early), "d", "i"), path)
+    stamps = lambda: {f.relative_to(path): f.stat().st_mtime_ns for f in (tmp_path / "states").rglob("*.parquet")}
+    before = stamps()
+    for _ in range(2):
+        add_late(frame(late), "d", "i", path)
+    kept = {f for f in before if f.parent.name[5:] not in ("2024-01-04", "2024-02-10")}
+    assert len(kept) > 40 and all(before[f] == stamps()[f] for f in kept)
+    got = {r.date: r.n for r in trailing_counts(read_states(spark, path), 28, "n").collect()}
+    assert got == {r.date: r.n for r in trailing_distinct(frame(early + late), "d", "i", 28, "n").collect()}

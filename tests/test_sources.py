@@ -1,4 +1,5 @@
 import json
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -154,3 +155,52 @@ def test_station_and_weather_files(spark, tmp_path):
     (tmp_path / "w.csv").write_text("station,date,p,sd,sf,mx,mn,w\nX,2013-07-01,0.1,0,0,80,70,-9999\n")
     row = trip_files.read_daily_weather(spark, str(tmp_path / "w.csv")).first()
     assert row.average_wind_speed is None and row.max_temperature == 80
+
+
+def test_a_batch_counts_once_whoever_writes_it_and_dies_where(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pedalflow.sources import ledger
+
+    root = str(tmp_path / "table")
+    rows = lambda k: spark.range(10).select((F.col("id") + k).alias("id"), F.lit("2024-01-01").cast("date").alias("date"))
+    ids = lambda: sorted(r.id for r in spark.read.schema("id long, date date").parquet(root).collect())
+    assert ledger.commit_batch(rows(0), root, "q-0") and not ledger.commit_batch(rows(0), root, "q-0") and ids() == list(range(10))
+    ledger.stage(rows(10), root, "q-1")  # died before its claim: the batch comes again
+    assert ids() == list(range(10))
+    assert ledger.commit_batch(rows(10), root, "q-1") and ids() == list(range(20))
+    staged = ledger.stage(rows(20), root, "q-2")
+    assert ledger.claim(spark, root, "q-2", staged) and ids() == list(range(20))  # died after its claim, here with no file moved
+    assert not ledger.commit_batch(rows(20), root, "q-2") and ids() == list(range(30))
+    one, two = (ledger.stage(rows(30).repartition(3), root, "q-3") for _ in range(2))  # two writers
+    assert ledger.claim(spark, root, "q-3", one) and not ledger.claim(spark, root, "q-3", two)
+    moved = next((tmp_path / "table" / one).rglob("*.parquet"))
+    plan = json.loads((tmp_path / "table/_ledger/q-3.todo").read_text())
+    (tmp_path / "table" / dict(plan["moves"])[str(moved.relative_to(root))]).parent.mkdir(parents=True, exist_ok=True)
+    moved.rename(tmp_path / "table" / dict(plan["moves"])[str(moved.relative_to(root))])  # died between two renames
+    assert ledger.publish(spark, root) == ["q-3"] and ledger.publish(spark, root) == [] and ids() == list(range(40))
+    assert not list((tmp_path / "table").rglob("*.todo")) and not (tmp_path / "table" / one).exists()
+
+
+def test_clusters_let_look_ups_skip_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    times = F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 200) * 120)
+    rows = spark.range(400_000).select((F.col("id") % 200).cast("string").alias("station_id"), times.alias("snapshot_ts"), (F.col("id") % 30).alias("bikes"))
+    path = str(tmp_path / "z")
+    storage.cluster(rows, ["station_id", "snapshot_ts"], path, files=16, group_bytes=64 << 10, bloom=("station_id",), bits=6)
+    assert spark.read.parquet(path).count() == 400_000 and spark.read.parquet(path).exceptAll(rows).count() == 0
+    day = (1_700_000_000 + 120 * 700, 1_700_000_000 + 120 * 900)
+    groups = kept = 0
+    for file in (tmp_path / "z").glob("*.parquet"):
+        meta = pq.read_metadata(file)
+        names = {meta.schema.column(c).name: c for c in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            station, time = (meta.row_group(g).column(names[c]) for c in ("station_id", "snapshot_ts"))
+            own = pq.ParquetFile(file).read_row_group(g, ["station_id", "snapshot_ts"])
+            stamps = [t.timestamp() for t in (min(own["snapshot_ts"].to_pylist()), max(own["snapshot_ts"].to_pylist()))]
+            groups += 1
+            kept += station.statistics.min <= "77" <= station.statistics.max and "77" in set(own["station_id"].to_pylist()) and stamps[0] <= day[1] and stamps[1] >= day[0]
+            assert time.num_values > 0
+    assert groups >= 16 and kept <= 0.1 * groups, (kept, groups)
