@@ -3,7 +3,7 @@
 A window is WINDOW consecutive words. Of the runs of GRAM words in a window the one with the smallest hash is its
 anchor, so equal windows have equal anchors, and only runs that are the anchor of windows of two different texts can
 lie in a repeated window. For those anchors, every text sends the words of the windows around them to the shard of the
-anchor's hash; windows at an anchor that very many texts have go to shards one by one. A shard holds its distinct
+anchor's hash; windows at an anchor of very many places go to shards one by one. A shard holds its distinct
 pieces in an FM-index; streamed against it, they come back with matching statistics. Where these reach a whole window
 at two places or more, the windows of one interval are equal, and the smallest document among them holds it first.
 """
@@ -28,8 +28,9 @@ WINDOW, GRAM = 13, 5
 SHARD_WORDS = 600_000
 #: Texts a task remembers so as to send their anchors once.
 SEEN = 300_000
-#: Texts from which on the windows at an anchor are dealt one by one.
-HOT_TEXTS = 2000
+#: Places, in all texts together, from which on the windows at an anchor are dealt one by one: it bounds what comes to
+#: a shard after SHARD_WORDS.
+HOT_PLACES = 2000
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each text that the task meets for the first time."""
+    """The distinct anchors of each text that the task meets for the first time, and at how many places it has each."""
     seen: set[int] = set()
     for batch in batches:
         keys = batch.column("text_key").to_pylist()
@@ -69,8 +70,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
+            places = np.diff(np.append(np.flatnonzero(new), len(h)))
             h, doc = h[new], doc[new]
-            yield pa.RecordBatch.from_arrays([pa.array(own[i:j][doc]), pa.array(h.view(np.int64))], names=["text_key", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[i:j][doc]), pa.array(h.view(np.int64)), pa.array(places.astype(np.int32))], names=["text_key", "anchor", "places"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +205,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", F.xxhash64("text"))
     firsts = base.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
-    sent = materialise(base.select("text", "text_key").mapInArrow(lean(_anchors), "text_key long, anchor long"), "substring-anchors")
-    counts = sent.groupBy("anchor").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.count("*").alias("texts")).where("low < high")
+    sent = materialise(base.select("text", "text_key").mapInArrow(lean(_anchors), "text_key long, anchor long, places int"), "substring-anchors")
+    counts = sent.groupBy("anchor").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"), F.sum("places").alias("places")).where("low < high")
     # A table of its own: a join with it can split an anchor that very many texts have.
-    common = materialise(counts.select("anchor", (F.col("texts") > HOT_TEXTS).alias("hot")), "substring-common")
-    shared = sent.join(common, "anchor")
+    common = materialise(counts.select("anchor", (F.col("places") > HOT_PLACES).alias("hot")), "substring-common")
+    shared = sent.select("text_key", "anchor").join(common, "anchor")
     lists = shared.groupBy("text_key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     wanted = lists.join(firsts, "text_key").select(F.col("text_key").alias("_key"), F.col("first_id").alias("_id"), "anchors", "hot")
     texts = base.join(wanted, (F.col("text_key") == F.col("_key")) & (F.col("doc_id") == F.col("_id")))
@@ -272,8 +274,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
     A window is repeated when its word sequence also starts in a document with a smaller doc_id; all windows are
     judged on the texts as they came. Null texts are empty. Rows without doc_id keep all words and count for no other.
-    Repeated rows are one document and keep the same words. Words are told apart by 64-bit hashes. An empty table
-    gives no rows.
+    Repeated rows are one document and keep the same words. Words are told apart by 64-bit hashes. A text of any length
+    is read whole, some words at a time, and its pieces go to shards of bounded size. An empty table gives no rows.
     """
     whole = docs.withColumn("text", F.coalesce("text", F.lit("")))
     # A table of its own: a join with it can split a text that very many documents are copies of.

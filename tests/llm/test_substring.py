@@ -50,7 +50,7 @@ def rows():
 @pytest.mark.parametrize("shard,hot", [(600_000, 2000), (60, 2000), (60, 2), (600_000, 20)])
 def test_against_brute_force(spark, rows, monkeypatch, shard, hot):
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
-    monkeypatch.setattr(substring, "HOT_TEXTS", hot)
+    monkeypatch.setattr(substring, "HOT_PLACES", hot)
     df = spark.createDataFrame([(t, d, "x", 1) for d, t in rows], "text string, doc_id long, kept string, starts int")
     out = substring.remove_repeats(df, with_text=False)
     got = sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=str)
@@ -129,3 +129,42 @@ def test_anchors_cover_every_window_once():
     got = [(d, f + k) for d, f, c in zip(doc.tolist(), first.tolist(), count.tolist(), strict=True) for k in range(c)]
     assert got == [(d, i) for d, t in enumerate(texts) for i in range(len(t.split()) - 12)]
     assert count.max() <= substring.WINDOW - substring.GRAM + 1
+
+
+def test_an_anchor_of_two_texts_and_very_many_places_fills_no_shard(spark, monkeypatch):
+    """Both texts hold one run of five words again and again, each time among other words."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = [" ".join(x for _ in range(1500) for x in ["a", "b", "c", "d", "e", *(word() for _ in range(6))]) for _ in range(2)]
+    shared = " ".join(word() for _ in range(20))
+    rows = [(1, f"{texts[0]} {shared}"), (2, f"{texts[1]} {shared}")]
+    sizes = []
+    holders = substring.smallest_holders
+    monkeypatch.setattr(substring, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(substring, "HOT_PLACES", 200)
+    monkeypatch.setattr(substring, "smallest_holders", lambda s, d: sizes.append(sum(len(x) // 8 for x in s)) or holders(s, d))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df, with_text=False).collect()), key=str)
+    assert got == brute(rows) and got[1][2] >= 20
+    pieces = [b for batch in substring_shards(df) for b in batch]
+    assert max(pieces) <= 200 * 21
+
+
+def substring_shards(df):
+    """Words of each route that goes to shards."""
+    kept = []
+    run = substring.materialise
+
+    def watch(frame, name):
+        table = run(frame, name)
+        if name == "substring-pieces":
+            kept.append([r.n for r in table.where("words is not null").groupBy("route").agg({"words": "count"}).withColumnRenamed("count(words)", "n").collect()])
+            kept.append([r.n // 8 for r in table.where("words is not null").selectExpr("route", "octet_length(words) n").groupBy("route").sum("n").withColumnRenamed("sum(n)", "n").collect()])
+        return table
+
+    substring.materialise = watch
+    try:
+        substring.remove_repeats(df, with_text=False).collect()
+    finally:
+        substring.materialise = run
+    return kept
