@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, SPAN, WINDOW = 16, 32, 32
+HIDDEN, SPAN, WINDOW = 24, 46, 32
 #: Documents that are scored side by side.
 SIDE = 2048
 RATE, CLIP = 0.05, 1.0
-#: Documents that are trained side by side.
-BATCH = 256
+#: Documents that are trained side by side: a window's gates then stay in a core's cache.
+BATCH = 128
 #: Tokens of a document that are trained on in a row.
 SEGMENT = 128 * WINDOW
 

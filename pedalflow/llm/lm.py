@@ -20,7 +20,7 @@ from .words import mix, pieces, slices, text_buffers
 CHUNK_BYTES, HOLD_BYTES = 6 << 20, 18 << 20
 #: Words the network tells apart; documents that start its training on the driver, how often, and the most tokens that
 #: each gives every time.
-VOCAB, WARM_DOCS, WARM_EPOCHS, WARM_TOKENS = 1022, 2000, 4, 4 * WINDOW
+VOCAB, WARM_DOCS, WARM_EPOCHS, WARM_TOKENS = 2046, 2000, 4, 4 * WINDOW
 #: Rate of the pass over the whole corpus, and training tokens from which on it takes another copy of the network.
 RATE, SHARD_TOKENS = 0.05, 1 << 21
 SMOOTH = 0.1
@@ -279,12 +279,12 @@ def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     model = Model(start, hashes[order], (np.arange(len(top)) + 2)[order], sums["n"] + n_end, sums["v"] + (n_end > 0), n_end, rare, sums["v"] - len(top))
 
     some = docs.where((crc_fold("doc_id", FOLDS) != 0) & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS).distinct()
-    cut = some.join(F.broadcast(ids), "doc_id").mapInArrow(lean(lambda it: _pieces(it, model)), "doc_id long, epoch int, before long, tokens array<long>")
-    # At most WARM_DOCS ids; more rows than twice as many come from ids that repeat.
-    order = ("epoch", "doc_id", "before", "tokens")
-    warm = cut.orderBy(*order).limit(2 * WARM_DOCS * WARM_EPOCHS).collect()
-    warm.sort(key=lambda r: tuple(r[c] for c in order))
+    keyed = some.withColumn("_key", F.xxhash64("text"))
+    picked = keyed.select("doc_id", "_key").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_key").limit(WARM_DOCS)
+    # WARM_DOCS documents at most, each once, however often its row is repeated.
+    once = keyed.join(F.broadcast(picked), ["doc_id", "_key"]).dropDuplicates(["doc_id", "_key"])
+    cut = once.select("doc_id", "text").mapInArrow(lean(lambda it: _pieces(it, model)), "doc_id long, epoch int, before long, tokens array<long>")
+    warm = sorted(cut.collect(), key=lambda r: (r["epoch"], r["doc_id"], r["before"], r["tokens"]))
     for epoch in range(WARM_EPOCHS):
         rows = [r for r in warm if r["epoch"] == epoch]
         if rows:
@@ -336,6 +336,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     Documents are put into chunks; only a chunk's distinct words travel to be counted, and those that other chunks have
     too come back with their counts in the corpus. Null and empty texts are the end token alone. Repeated rows are learned from and scored each.
+    Texts of any length are read, learned from and scored whole, the state carried from window to window.
     Nothing to learn from: the network gives every token its starting share. An empty table gives no rows. Other
     columns are ignored.
     """

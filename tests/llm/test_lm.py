@@ -179,3 +179,36 @@ def test_segments_of_a_long_document_cover_it_once():
     assert net.train(np.concatenate(docs), begins, 7) == begins[-1]
     want = Counter((int(a), int(b)) for d in docs for a, b in zip(np.append(0, d[:-1]), d, strict=True))
     assert Counter(x for x in seen if x[1] >= 0) == want
+
+
+def test_scores_equal_a_plain_network_word_by_word():
+    """One document after the other, one token after the other, probabilities of all classes and all their tokens."""
+    import numpy as np
+
+    from pedalflow.llm import gru
+
+    rng = np.random.default_rng(5)
+    net = gru.Gru.fresh(rng.integers(1, 50, 150).astype(float))
+    for k, v in net.w.items():
+        if k != "word_b":
+            v += rng.standard_normal(v.shape).astype(np.float32) * 0.3
+    lengths = [1, 2, 40, 130, 7]
+    tokens = np.concatenate([np.append(rng.integers(1, 150, n - 1), 0) for n in lengths])
+    begins = np.concatenate(([0], np.cumsum(lengths)))
+    w, n = {k: v.astype(np.float64) for k, v in net.w.items()}, gru.HIDDEN
+    share = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for a, b in zip(begins[:-1], begins[1:], strict=True):
+        h, last, total = np.zeros(n), 0, 0.0
+        for token in tokens[a:b]:
+            x, g = w["embed"][last], h @ w["u"] + w["b"]
+            reset, keep = logistic(x[:n] + g[:n]), logistic(x[n : 2 * n] + g[n : 2 * n])
+            h = (1 - keep) * np.tanh(x[2 * n :] + reset * g[2 * n :]) + keep * h
+            classes = share(h @ w["klass"] + w["klass_b"])
+            whole = np.concatenate([p * share(h @ w["word"][c] + w["word_b"][c]) for c, p in enumerate(classes)])
+            assert abs(whole.sum() - 1) < 1e-9
+            total += np.log(whole[token])
+            last = token
+        want.append(total)
+    assert np.allclose(net.score(tokens, begins), want, rtol=1e-4)
