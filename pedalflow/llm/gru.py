@@ -11,7 +11,7 @@ import numpy as np
 
 HIDDEN, SPAN, WINDOW = 24, 46, 32
 #: Documents that are scored side by side.
-SIDE = 2048
+SIDE = 512
 RATE, CLIP = 0.05, 1.0
 #: Documents that are trained side by side: a window's gates then stay in a core's cache.
 BATCH = 128
@@ -69,8 +69,13 @@ class Gru:
         """One step of the recurrence for a batch: the new state, and what the way back needs."""
         w, n = self.w, HIDDEN
         x = w["embed"][tokens]
-        g = h @ w["u"] + w["b"]
-        gates = sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
+        g = h @ w["u"]
+        g += w["b"]
+        gates = x[:, : 2 * n] + g[:, : 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         r, z = gates[:, :n], gates[:, n:]
         new = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
         return new + z * (h - new), (tokens, h, r, z, new, g[:, 2 * n :])
