@@ -20,9 +20,12 @@ SEGMENTS = 8
 
 
 def input_bytes(rows: DataFrame) -> int:
-    """Size of what a plan reads, as its sources declare it."""
+    """Size of what a plan reads, as its sources declare it: files do, rows that a program made in memory don't and
+    count as none."""
     leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    unknown = int(rows.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
+    return sum(size for size in sizes if size < unknown)
 
 
 def _partitions(rows: DataFrame) -> int:
@@ -71,10 +74,11 @@ def _carried(segments: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataF
 
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, how: str = "last", current: bool = True, split: int | None = None) -> DataFrame:
     """The rows with the last value of ``column`` that isn't null, or the largest, among those of their keys up to each
-    of them in this order, or before it. ``split``: bytes of input above which large keys are cut."""
+    of them in this order, or before it. ``split``: bytes of input above which large keys are cut; 0 cuts
+    them always."""
     pick = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max}[how]
     frame = (Window.unboundedPreceding, 0 if current else -1)
-    if input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
+    if split != 0 and input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
         return rows.withColumn(name, pick(F.col(column)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))
     parts = with_segments(rows, keys, order[0])
     inner = Window.partitionBy(*keys, "_segment")
@@ -93,7 +97,7 @@ def neighbours(rows: DataFrame, keys: Sequence[str], order: Sequence[str], befor
     """The rows with columns of the row before and after each within its keys, in this order, which must be total:
     ``before`` and ``after`` name them, new name to column. Null at either end."""
     before, after = before or {}, after or {}
-    if input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
+    if split != 0 and input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
         window = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumns({n: F.lag(c).over(window) for n, c in before.items()} | {n: F.lead(c).over(window) for n, c in after.items()})
     parts = with_segments(rows, keys, order[0])
