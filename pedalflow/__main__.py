@@ -151,7 +151,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "gaps":
         from .streaming import collect, gaps
 
-        collect.store_gaps(gaps.gap_stream(collect.poll_stream(spark, args.polls)), settings.data_dir, settings.source, args.checkpoint).awaitTermination()
+        collect.store_gaps(gaps.gap_stream(collect.poll_stream(spark, args.polls), stored=gaps.stored_state(spark, settings.data_dir, settings.source, list(gaps.INTERVALS))), settings.data_dir, settings.source, args.checkpoint).awaitTermination()
     elif args.command == "areas":
         newest = metrics.newest_known(catalog.table("station_information"), metrics.STATION, ["lat", "lon"])
         good, problems = map_stations(newest, {"bezirk": feeds.read_geojson(spark, args.bezirke, args.name), "ortsteil": feeds.read_geojson(spark, args.ortsteile, args.name)})
@@ -173,7 +173,7 @@ def main(argv: list[str] | None = None) -> int:
         for name in providers(os.environ):
             place = f"{args.checkpoint}/{name}"
             jobs[f"{name} snapshots"] = partial(collect.collect, collect.payload_stream(spark, args.payloads), settings.data_dir, name, f"{place}/snapshots", args.every)
-            jobs[f"{name} gaps"] = partial(collect.store_gaps, gaps.gap_stream(collect.poll_stream(spark, args.polls)), settings.data_dir, name, f"{place}/gaps", args.every)
+            jobs[f"{name} gaps"] = partial(collect.store_gaps, gaps.gap_stream(collect.poll_stream(spark, args.polls), stored=gaps.stored_state(spark, settings.data_dir, name, list(gaps.INTERVALS))), settings.data_dir, name, f"{place}/gaps", args.every)
         supervise(jobs, stopping())
     elif args.command == "export":
         print(export(catalog, args.out))

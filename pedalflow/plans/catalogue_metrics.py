@@ -358,6 +358,24 @@ def gap_detection_batch(spark: SparkSession, d: str) -> DataFrame:
     return holes(bridge.status(spark, d), "station_id", "snapshot_ts", 172_800)
 
 
+@query(
+    """WITH p AS (SELECT CAST(user_id % 100 AS VARCHAR) AS source, event_type AS feed, ts, coalesce(min(value) > 40, false) AS ok FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3),
+q AS (SELECT *, max(CASE WHEN ok THEN ts END) OVER (PARTITION BY source, feed ORDER BY ts) AS newest,
+  min(CASE WHEN ok THEN ts END) OVER (PARTITION BY source, feed ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS back FROM p)
+SELECT source, feed, coalesce(newest, min(ts)) AS gap_start, back AS gap_end, 'fetch_error' AS reason, CAST(count(*) AS INTEGER) AS attempts
+FROM q WHERE NOT ok AND back IS NOT NULL GROUP BY source, feed, newest, back"""
+)
+def gaps_of_events(spark: SparkSession, d: str) -> DataFrame:
+    """The table of moves over events as polls: those of a low value failed, the others brought a snapshot of their time."""
+    from ..streaming.gaps import gaps_of
+
+    ok = F.coalesce(F.min("value") > 40, F.lit(False)).alias("ok")
+    keys = [(F.col("user_id") % 100).cast("string").alias("source"), F.col("event_type").alias("feed"), F.col("ts").cast("timestamp").alias("fetched_at")]
+    rows = bridge.read(spark, d, "events").groupBy(*keys).agg(ok)
+    polls = rows.select("*", F.when(F.col("ok"), F.col("fetched_at")).alias("last_updated"), F.lit(None).cast("string").alias("mark"), F.lit(None).cast("timestamp").alias("covered"))
+    return gaps_of(polls).select("source", "feed", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("gap_start", "gap_end")], "reason", "attempts")
+
+
 @query(
     """iv AS (SELECT *, lead(snapshot_ts) OVER (PARTITION BY station_id ORDER BY snapshot_ts) AS nx FROM status)
 SELECT station_id, snapshot_ts FROM iv WHERE nx IS NOT NULL AND date_diff('second', snapshot_ts, nx) <= 7200

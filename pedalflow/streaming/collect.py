@@ -20,10 +20,10 @@ def payload_stream(spark: SparkSession, folder: str, files_per_batch: int = 64)
     return spark.readStream.schema(PAYLOADS).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def poll_stream(spark: SparkSession, folder: str) -> DataFrame:
+def poll_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) -> DataFrame:
     from .gaps import POLLS
 
-    return spark.readStream.schema(POLLS).json(folder)
+    return spark.readStream.schema(POLLS).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 def rows_of(payloads: DataFrame, feed: str, cell: Column | None = None) -> tuple[str, DataFrame]:

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from pedalflow.session import ROCKS  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -17,6 +19,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKS)
         .config("spark.checkpoint.dir", f"file://{shared}/checkpoints")
         .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()

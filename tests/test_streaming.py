@@ -124,6 +124,52 @@ def test_a_feed_that_falls_silent_is_called_stale(spark, tmp_path):
     assert [(r.gap_start, r.reason) for r in rows] == [(at(0), "stale_feed")] and rows[0].gap_end > at(360)
 
 
+def state(spark, check, name):
+    """A state variable's rows, as Spark's own reader of state shows them."""
+    return spark.read.format("statestore").option("stateVarName", name).load(check).collect()
+
+
+def test_state_of_gaps_goes_on_ends_and_is_forgotten(spark, tmp_path):
+    folder, data, check = tmp_path / "polls", str(tmp_path / "data"), str(tmp_path / "check")
+    folder.mkdir()
+
+    def feed(number, *events):
+        (folder / f"{number}.json").write_text("\n".join(map(json.dumps, events)))
+        collect.store_gaps(gaps.gap_stream(collect.poll_stream(spark, str(folder))), data, "syn", check).awaitTermination()
+
+    stopped = {"source": "syn", "feed": "station_status", "fetched_at": at(400).isoformat(), "mark": "stopped"}
+    untimed = {"source": "syn", "feed": "station_status", "ok": True}
+    feed(0, *polls((0, 0), (120, None)), untimed)
+    (row,) = state(spark, check, "outage")
+    assert (row.key.feed, row.value.mode, row.value.attempts) == ("station_status", "failing", 1)
+    feed(1, *polls((240, None)))  # another query, the same state
+    assert state(spark, check, "outage")[0].value.attempts == 2
+    feed(2, stopped)
+    assert state(spark, check, "outage") == [] and len(state(spark, check, "snapshot")) == 1
+    rows = Catalog(spark, data, "syn").gaps.collect()
+    assert [(r.gap_start, r.gap_end, r.reason, r.attempts) for r in rows] == [(at(0), at(400), "fetch_error", 2)]
+    for number, day in ((3, 31), (4, 32), (5, 33)):
+        feed(number, *polls((day * 86_400, day * 86_400), feed="vehicle_types"))
+    assert {r.key.feed for r in state(spark, check, "snapshot")} == {"vehicle_types"}
+    assert {r.key.feed for r in state(spark, check, "alarms")} == {"vehicle_types"}
+
+
+def test_a_stream_without_checkpoint_begins_with_what_is_stored(spark, tmp_path):
+    folder, data = tmp_path / "polls", str(tmp_path / "data")
+    folder.mkdir()
+    stored = spark.createDataFrame([("syn", "station_status", gaps._micros(at(0)), None), ("syn", "free_bike_status", gaps._micros(at(900)), gaps._micros(at(950)))], "source string, feed string, newest long, covered long")
+    mark = lambda feed: {"source": "syn", "feed": feed, "fetched_at": at(1000).isoformat(), "mark": "started"}
+    parts = [[mark("station_status")], polls((1010, 1005)), polls((9000, 8999)), polls((9100, 9099))]
+    for k, part in enumerate(parts):
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        stream = gaps.gap_stream(collect.poll_stream(spark, str(folder)), stored=stored)
+        collect.store_gaps(stream, data, "syn", str(tmp_path / "check")).awaitTermination()
+    rows = {(r.feed, r.gap_start, r.reason) for r in Catalog(spark, data, "syn").gaps.collect()}
+    assert {("station_status", at(0), "collector_down"), ("free_bike_status", at(950), "stale_feed")} <= rows
+    none = gaps.stored_state(spark, data, "syn", ["station_status"]).first()
+    assert none.newest is None and none.covered == gaps._micros(max(r.gap_end for r in Catalog(spark, data, "syn").gaps.where("feed = 'station_status'").collect()))
+
+
 def test_a_poller_runs_from_start_to_stop(spark, tmp_path):
     station = {"station_id": "7", "num_bikes_available": 2, "is_installed": True, "is_renting": True, "is_returning": True, "last_reported": 1_772_366_400}
     now, broken = [0], set()
