@@ -80,6 +80,12 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "_")
 
 
+def relabel(level: Column, labels: dict) -> Column:
+    """Levels under other names, as text; one without a new name keeps its own, null stays null."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, level), level.cast("string"))
+
+
 def ellipsis(text: Column, most: int = 17) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 

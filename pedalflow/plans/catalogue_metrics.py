@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.localtime import epoch, hour_of, local, seconds_between
-from ..functions.values import ellipsis, left_closed, s_curve, slug, step_bin
+from ..functions.values import ellipsis, left_closed, relabel, s_curve, slug, step_bin
 from ..operators.asof import asof_left, asof_or_earliest
 from ..operators.intervals import holes, islands, without_overlap
 from ..operators.scan import neighbours
@@ -462,6 +462,34 @@ def map_bins(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("weekday", "local_hour", step_bin(F.col("mean_bikes_available") / 40).alias("bin"))
 
 
+@query(
+    _weather("precipitation_mm", ">= 0.1", "rainy", "dry").partition("\nSELECT")[0]
+    + """,
+pt AS (SELECT max(temperature_c) AS v, bool_or(miss) AS miss FROM sw GROUP BY snapshot_ts, l),
+al AS (SELECT 'rain' AS kind, bucket FROM cl UNION ALL SELECT 'temperature', CASE WHEN miss OR v IS NULL THEN 'excluded' WHEN v < 10.0 THEN 'cold' ELSE 'warm' END FROM pt)
+SELECT kind, bucket, count(al.bucket) AS n_snapshots, count(al.bucket) = 0 AS missing
+FROM (VALUES ('rain', 'rainy'), ('rain', 'dry'), ('temperature', 'cold'), ('temperature', 'warm')) want(kind, bucket) LEFT JOIN al USING (kind, bucket) GROUP BY 1, 2""",
+    "status_grid", "weather",
+)
+def weather_bucket_report(spark: SparkSession, d: str) -> DataFrame:
+    catalog = bridge.catalog(spark, d, grid=True)
+    return metrics.weather_buckets(catalog, "rain").unionByName(metrics.weather_buckets(catalog, "temperature"))
+
+
+#: Days of the week, Sunday first, and new names for two kinds of events.
+DAY_LABELS = {1: "Sun", 2: "Mon", 3: "Tue", 4: "Wed", 5: "Thu", 6: "Fri", 7: "Sat"}
+EVENT_LABELS = {"click": "tap", "signup": "join"}
+
+
+@query(
+    """SELECT CASE dayofweek(ts) WHEN 0 THEN 'Sun' WHEN 1 THEN 'Mon' WHEN 2 THEN 'Tue' WHEN 3 THEN 'Wed' WHEN 4 THEN 'Thu' WHEN 5 THEN 'Fri' WHEN 6 THEN 'Sat' END AS dow,
+  CASE event_type WHEN 'click' THEN 'tap' WHEN 'signup' THEN 'join' ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY 1, 2"""
+)
+def relabelled_levels(spark: SparkSession, d: str) -> DataFrame:
+    rows = bridge.read(spark, d, "events")
+    return rows.groupBy(relabel(F.dayofweek("ts"), DAY_LABELS).alias("dow"), relabel(F.col("event_type"), EVENT_LABELS).alias("kind")).agg(F.count("*").alias("n"))
+
+
 @query(
     """SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g') AS slug, CASE WHEN length(n_name) > 9 THEN substr(n_name, 1, 8) || '…' ELSE n_name END AS short,
   round(1 / (1 + exp((10.0 - n_nationkey) / 3.0)), 9) AS curve, CASE WHEN n_nationkey < 5 THEN '[0,5)' WHEN n_nationkey < 12 THEN '[5,12)' WHEN n_nationkey < 20 THEN '[12,20)' END AS bin FROM nation"""
