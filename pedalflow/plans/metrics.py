@@ -315,8 +315,9 @@ WEATHER_BUCKETS = {"rain": ("rainy", "dry"), "temperature": ("cold", "warm")}
 
 def weather_buckets(catalog: Catalog, kind: str) -> DataFrame:
     """How many snapshots each bucket of a kind has; ``missing`` is one that has none, with no curve to show."""
+    found = weather_rows(catalog, kind)
     counted = [F.struct(F.lit(b).alias("bucket"), F.coalesce(F.sum(F.when(F.col("bucket") == b, F.col("n_snapshots"))), F.lit(0)).alias("n_snapshots")) for b in WEATHER_BUCKETS[kind]]
-    rows = weather_rows(catalog, kind).agg(F.array(*counted).alias("_all")).select(F.inline("_all"))
+    rows = found.agg(F.array(*counted).alias("_all")).select(F.inline("_all"))
     return rows.select(F.lit(kind).alias("kind"), "bucket", "n_snapshots", (F.col("n_snapshots") == 0).alias("missing"))
 
 

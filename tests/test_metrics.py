@@ -122,3 +122,10 @@ def test_weather_buckets(spark):
     c = Catalog(spark, source="syn", tables={"station_status": spark.createDataFrame(rows, synthetic.STATUS), "weather": spark.createDataFrame(weather, "hour_ts timestamp_ntz, precipitation_mm double, temperature_c double")})
     got = {(r.bucket, r.local_hour): (r.mean_bikes_available, r.empty_station_share, r.n_snapshots, r.n_hours) for r in metrics.weather_rows(c, "rain").collect()}
     assert got == {("rainy", 7): (3.0, 0.5, 4, 4), ("dry", 13): (6.0, 0.0, 4, 4), ("excluded", None): (None, None, 2, 2)}
+    wet = Catalog(spark, source="syn", tables={"station_status": spark.createDataFrame(rows, synthetic.STATUS), "weather": c.table("weather").where("precipitation_mm > 0")})
+    seen = lambda catalog, kind: [(r.bucket, r.n_snapshots, r.missing) for r in metrics.weather_buckets(catalog, kind).collect()]
+    assert seen(wet, "rain") == [("rainy", 4, False), ("dry", 0, True)] and seen(c, "temperature") == [("cold", 4, False), ("warm", 4, False)]
+    none = Catalog(spark, source="syn", tables={"station_status": spark.createDataFrame([], synthetic.STATUS), "weather": c.table("weather").limit(0)})
+    assert seen(none, "temperature") == [("cold", 0, True), ("warm", 0, True)]
+    with pytest.raises(ValueError):
+        metrics.weather_buckets(c, "wind")

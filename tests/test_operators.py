@@ -71,6 +71,8 @@ def test_polylines_ticks_and_pseudonyms(spark):
     assert got == [[(-120.2, 38.5), (-120.95, 40.7), (-126.453, 43.252)], [], None]
     tops = spark.createDataFrame([(9.0,), (47.0,), (0.03,), (0.0,), (100.0,)], "t double")
     assert [r.x for r in tops.select(values.axis_ticks(F.col("t")).alias("x")).collect()] == [[0, 2, 4, 6, 8, 10], [0, 10, 20, 30, 40, 50], [0, 0.01, 0.02, 0.03], [0], [0, 20, 40, 60, 80, 100]]
+    levels = spark.createDataFrame([("a",), ("b",), (None,)], "i string").select(values.relabel(F.col("i"), {"a": "x"}).alias("x"))
+    assert [r.x for r in levels.collect()] == ["x", "b", None]
     names = [r.x for r in spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "i string").select(values.pseudonym(F.col("i"), "s").alias("x")).collect()]
     assert names[0] == names[1] != names[2] and names[3] is None
 
