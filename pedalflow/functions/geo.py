@@ -137,6 +137,23 @@ def rounded_rings(polygons: Column, digits: int = 5) -> Column:
     return F.transform(polygons, lambda rings: F.transform(rings, ring))
 
 
+def encode_polyline(points: Column, digits: int = 5) -> Column:
+    """The text that ``decode_polyline`` reads, of an array of (lon, lat); null stays null, no point gives an empty text."""
+    whole = F.transform(points, lambda p: F.struct(F.round(p["lat"] * 10**digits).cast("long").alias("a"), F.round(p["lon"] * 10**digits).cast("long").alias("b")))
+
+    def moves(p: Column, i: Column) -> Column:
+        last = F.when(i > 0, F.get(whole, i - 1))
+        return F.array(*[p[x] - F.coalesce(last[x], F.lit(0)) for x in ("a", "b")])
+
+    def text(move: Column) -> Column:
+        signed = F.when(move < 0, -2 * move - 1).otherwise(2 * move)
+        last = F.floor((F.length(F.bin(signed)) - 1) / 5).cast("int")
+        part = lambda k: F.call_function("shiftright", signed, 5 * k).bitwiseAND(F.lit(31)) + F.when(k < last, 32).otherwise(0)
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: F.char(part(k) + 63)), "")
+
+    return F.array_join(F.transform(F.flatten(F.transform(whole, moves)), text), "")
+
+
 def decode_polyline(text: Column, digits: int = 5) -> Column:
     """An encoded polyline as an array of (lon, lat): numbers in chunks of five bits, signs in the lowest bit, each point
     as its difference from the one before."""

@@ -13,7 +13,7 @@ from ..operators.scan import neighbours
 from ..sources import bridge
 from ..sources.bridge import with_views
 from . import metrics
-from .coverage import full_days
+from .coverage import MetricResult, full_days
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,26 @@ def availability_bezirk(spark: SparkSession, d: str) -> DataFrame:
     return metrics.availability_rows(bridge.catalog(spark, d, grid=True), "bezirk")
 
 
+def _published(result: MetricResult, rows: DataFrame) -> DataFrame:
+    """What a metric shows, with the number of full days: no rows below the minimum."""
+    shown = rows.where(F.lit(False)) if result.rows is None else result.rows
+    return shown.withColumn("n_full_days", F.lit(result.full_days).cast("long"))
+
+
+ENOUGH = "(SELECT count(*) FROM full_days) AS n_full_days"
+
+
+@query(
+    _days("status_grid")
+    + f""", t AS (SELECT snapshot_ts, bezirk, sum(num_bikes_available) AS b FROM status_grid JOIN areas USING (source, station_id) GROUP BY 1, 2)
+SELECT {WDL} AS weekday, {HRL} AS local_hour, bezirk, avg(b) AS mean_bikes_available, count(*) AS n_snapshots, {ENOUGH} FROM t GROUP BY 1, 2, 3 HAVING n_full_days >= 14""",
+    "status_grid", "gaps", "areas",
+)
+def availability_published(spark: SparkSession, d: str) -> DataFrame:
+    c = bridge.catalog(spark, d, grid=True)
+    return _published(metrics.availability_by_hour(c, "bezirk"), metrics.availability_rows(c, "bezirk"))
+
+
 def _empty(window: str = "true") -> str:
     return (
         _days()
@@ -170,6 +190,12 @@ def flow_between(spark: SparkSession, d: str) -> DataFrame:
     return metrics.flow_between_rows(metrics.net_flow_rows(c, full_days(c))).withColumn("bikes_per_day", F.round("bikes_per_day", 9))
 
 
+@query(NET + f" SELECT net.*, {ENOUGH} FROM net WHERE n_full_days >= 14", "status", "gaps", "areas")
+def net_flow_published(spark: SparkSession, d: str) -> DataFrame:
+    c = bridge.catalog(spark, d)
+    return _published(metrics.net_flow_by_bezirk(c), metrics.net_flow_rows(c, full_days(c)))
+
+
 @query(
     NET
     + """, h AS (SELECT unnest(range(24)) AS local_hour), k AS (SELECT DISTINCT day_type, bezirk FROM net)
@@ -321,6 +347,16 @@ def weather_effect_rain(spark: SparkSession, d: str) -> DataFrame:
     return metrics.weather_rows(bridge.catalog(spark, d, grid=True), "rain").withColumn("empty_station_share", F.round("empty_station_share", 9))
 
 
+@query(
+    _days("status_grid") + ", shown AS (WITH " + _weather("temperature_c", "< 10.0", "cold", "warm") + f") SELECT *, {ENOUGH} FROM shown WHERE n_full_days >= 14",
+    "status_grid", "gaps", "weather",
+)
+def weather_effect_published(spark: SparkSession, d: str) -> DataFrame:
+    c = bridge.catalog(spark, d, grid=True)
+    shown = _published(metrics.weather_effect(c, "temperature"), metrics.weather_rows(c, "temperature"))
+    return shown.withColumn("empty_station_share", F.round("empty_station_share", 9))
+
+
 @query(_weather("temperature_c", "< 10.0", "cold", "warm"), "status_grid", "weather")
 def weather_effect_temp(spark: SparkSession, d: str) -> DataFrame:
     return metrics.weather_rows(bridge.catalog(spark, d, grid=True), "temperature").withColumn("empty_station_share", F.round("empty_station_share", 9))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geo import decode_polyline, rounded_rings
+from ..functions.geo import decode_polyline, encode_polyline, rounded_rings
 from ..functions.localtime import sunday_first
 from ..functions.values import HOLIDAYS, axis_ticks, clean_int, half_even, station_id
 from ..operators.bitmaps import daily_states, trailing_counts
@@ -375,26 +375,49 @@ def polyline_legs(spark: SparkSession, d: str) -> DataFrame:
     return trips.legs_of(path.select("n_nationkey", "position", "q.*"), "n_nationkey", "position").select("n_nationkey", F.col("number"), "start_lon", "start_lat", "end_lon", "end_lat")
 
 
-@query("SELECT n_nationkey, 2 AS n_points, round(n_nationkey / 3.0::DOUBLE, 5) AS lon FROM nation")
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, (l_partkey * 7919 % 36000000 - 18000000) / 100000.0::DOUBLE AS lon, (l_suppkey * 104729 % 18000000 - 9000000) / 100000.0::DOUBLE AS lat FROM lineitem),
+n AS (SELECT l_orderkey, CAST(row_number() OVER w - 1 AS INT) AS number, lon AS start_lon, lat AS start_lat, lead(lon) OVER w AS end_lon, lead(lat) OVER w AS end_lat FROM p
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, lon, lat))
+SELECT * FROM n WHERE end_lon IS NOT NULL"""
+)
+def route_legs(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as points of a route, written as a polyline; the legs come from the text."""
+    lon, lat = (F.col("l_partkey") * 7919 % 36_000_000 - 18_000_000) / 100_000, (F.col("l_suppkey") * 104_729 % 18_000_000 - 9_000_000) / 100_000
+    stops = bridge.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", lon.alias("lon"), lat.alias("lat")))).alias("stops"))
+    route = F.transform("stops", lambda s: F.struct(s["lon"].alias("lon"), s["lat"].alias("lat")))
+    points = stops.select("l_orderkey", encode_polyline(route).alias("line")).select("l_orderkey", F.posexplode(decode_polyline(F.col("line"))).alias("position", "q"))
+    return trips.legs_of(points.select("l_orderkey", "position", "q.*"), "l_orderkey", "position")
+
+
+@query(
+    """WITH t AS (SELECT c_custkey, c_custkey / 3.0::DOUBLE AS x, c_custkey / 3.0::DOUBLE + c_custkey % 4 * 0.000004::DOUBLE AS y FROM customer)
+SELECT c_custkey, CAST(CASE WHEN round(x, 5) = round(y, 5) THEN 2 ELSE 3 END AS INT) AS n_points, round(x, 5) AS lon, round(y, 5) AS second_lon FROM t"""
+)
 def rounded_ring(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("n_nationkey").cast("double")
+    """The second point is up to 0.000012 degrees from the first, so that rounding joins some of them."""
+    key = F.col("c_custkey").cast("double")
     point = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
-    ring = F.array(point(key / 3, key / 7), point(key / 3 + 1e-9, key / 7), point(key + 1, key + 1))
-    rings = bridge.read(spark, d, "nation").select("n_nationkey", rounded_rings(F.array(F.array(ring))).alias("r"))
-    return rings.select("n_nationkey", F.size(F.col("r")[0][0]).alias("n_points"), F.col("r")[0][0][0]["lon"].alias("lon"))
+    aside = key / 3 + F.col("c_custkey") % 4 * F.lit(0.000004)
+    ring = F.array(point(key / 3, key / 7), point(aside, key / 7), point(key + 1, key + 1))
+    rings = bridge.read(spark, d, "customer").select("c_custkey", rounded_rings(F.array(F.array(ring))).alias("r"))
+    first = F.col("r")[0][0]
+    return rings.select("c_custkey", F.size(first).alias("n_points"), first[0]["lon"].alias("lon"), F.when(F.size(first) == 3, first[1]["lon"]).otherwise(first[0]["lon"]).alias("second_lon"))
 
 
 @query(
-    """WITH t AS (SELECT n_nationkey, n_nationkey * 7 + 0.5::DOUBLE AS top, pow(10, floor(log10((n_nationkey * 7 + 0.5::DOUBLE) / 5))) AS p FROM nation),
+    """WITH m AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY 1),
+t AS (SELECT *, pow(10, floor(log10(top / 5))) AS p FROM m),
 s AS (SELECT *, p * CASE WHEN top / 5 / p <= 1 THEN 1 WHEN top / 5 / p <= 2 THEN 2 WHEN top / 5 / p <= 5 THEN 5 ELSE 10 END AS step FROM t)
-SELECT n_nationkey, CAST(ceil(top / step - 1e-9) AS INT) + 1 AS n_ticks, round(ceil(top / step - 1e-9) * step, 6) AS last FROM s"""
+SELECT o_custkey, CAST(ceil(top / step - 1e-9) AS INT) + 1 AS n_ticks, round(ceil(top / step - 1e-9) * step, 6) AS last FROM s"""
 )
 def axis_tick_rows(spark: SparkSession, d: str) -> DataFrame:
-    ticks = bridge.read(spark, d, "nation").select("n_nationkey", axis_ticks(F.col("n_nationkey") * 7 + F.lit(0.5)).alias("t"))
-    return ticks.select("n_nationkey", F.size("t").alias("n_ticks"), F.round(F.element_at("t", -1), 6).alias("last"))
+    """An axis for each customer, up to the dearest order."""
+    tops = bridge.read(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("top"))
+    return tops.select("o_custkey", axis_ticks(F.col("top")).alias("t")).select("o_custkey", F.size("t").alias("n_ticks"), F.round(F.element_at("t", -1), 6).alias("last"))
 
 
-@query("SELECT n_nationkey, round_even(n_nationkey / 4.0::DOUBLE, 1) AS tenth, round_even(n_nationkey / 2.0::DOUBLE, 0) AS whole FROM nation")
+@query("SELECT l_orderkey, round_even(sum(l_quantity) / 4.0::DOUBLE, 1) AS tenth, round_even(sum(l_quantity) / 2.0::DOUBLE, 0) AS whole FROM lineitem GROUP BY 1")
 def half_even_rounding(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("n_nationkey").cast("double")
-    return bridge.read(spark, d, "nation").select("n_nationkey", half_even(key / 4, 1).alias("tenth"), half_even(key / 2).alias("whole"))
+    sums = bridge.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("n"))
+    return sums.select("l_orderkey", half_even(F.col("n") / 4, 1).alias("tenth"), half_even(F.col("n") / 2).alias("whole"))

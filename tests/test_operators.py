@@ -61,6 +61,20 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(event_type)" in plan and "props" not in plan
 
 
+def test_polylines_are_written_as_they_are_read(spark):
+    from pyspark.sql import functions as F
+
+    from pedalflow.functions import geo
+
+    # The example of the format, with its text.
+    known = [(-120.2, 38.5), (-120.95, 40.7), (-126.453, 43.252)]
+    rows = [(0, known), (1, [(0.0, 0.0), (179.99999, -90.0), (-180.0, 90.0), (-180.0, 90.0)]), (2, []), (3, None), (4, [(0.00001, -0.00001)])]
+    df = spark.createDataFrame(rows, f"k int, p {geo.RING}").withColumn("text", geo.encode_polyline(F.col("p"))).withColumn("back", geo.decode_polyline(F.col("text")))
+    got = {r.k: (r.text, r.back if r.back is None else [tuple(x) for x in r.back]) for r in df.collect()}
+    assert got[0] == ("_p~iF~ps|U_ulLnnqC_mqNvxq`@", known)
+    assert got[1][1] == rows[1][1] and got[2] == ("", []) and got[3] == (None, None) and got[4][1] == rows[4][1]
+
+
 def test_polylines_ticks_and_pseudonyms(spark):
     from pyspark.sql import functions as F
 
