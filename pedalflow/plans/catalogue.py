@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue_metrics, catalogue_trips
+from . import catalogue_metrics, catalogue_storage, catalogue_trips
 
-QUERIES: dict = catalogue_metrics.QUERIES | catalogue_trips.QUERIES
-ORACLES: dict[str, str] = catalogue_metrics.ORACLES | catalogue_trips.ORACLES
+QUERIES: dict = catalogue_metrics.QUERIES | catalogue_trips.QUERIES | catalogue_storage.QUERIES
+ORACLES: dict[str, str] = catalogue_metrics.ORACLES | catalogue_trips.ORACLES | catalogue_storage.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,16 @@ class InvalidSnapshot(ValueError):
     """Rows that must not be stored."""
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in spark.checkpoint.dir, or a local one for a local session without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="pedalflow-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The declared columns in order, cast; columns that are missing are null."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
