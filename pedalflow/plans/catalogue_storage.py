@@ -39,12 +39,13 @@ def gaps_stored_once(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT hour_ts, CASE WHEN date_diff('day', DATE '1970-01-01', CAST(hour_ts AS DATE)) % 2 = 0 THEN temperature_c ELSE temperature_c + 100 END AS temperature_c
-FROM weather WHERE date_diff('day', DATE '1970-01-01', CAST(hour_ts AS DATE)) % 2 = 1 OR hour(hour_ts) < 12""",
+    """w AS (SELECT *, date_diff('day', DATE '1970-01-01', CAST(hour_ts AS DATE)) % 2 = 0 AND bool_or(hour(hour_ts) < 12) OVER (PARTITION BY CAST(hour_ts AS DATE)) AS early FROM weather)
+SELECT hour_ts, CASE WHEN early THEN temperature_c ELSE temperature_c + 100 END AS temperature_c FROM w WHERE NOT early OR hour(hour_ts) < 12""",
     "weather",
 )
 def weather_days_once(spark: SparkSession, d: str) -> DataFrame:
-    """The mornings of even days are stored, then all days with other temperatures: a stored day is never touched."""
+    """The mornings of even days are stored, then all days with other temperatures: a stored day is never touched.
+    Even days without a morning are new to the second writing."""
     folder = scratch(spark, "weather")
     hours = bridge.weather(spark, d)
     write_days_once(hours.where((F.unix_date(F.to_date("hour_ts")) % 2 == 0) & (F.hour("hour_ts") < 12)), folder)
