@@ -74,6 +74,11 @@ def grid_cell(lat: Column, lon: Column, metres: float = CELL_METRES) -> Column:
 HEX = "struct<q: bigint, r: bigint>"
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _axial(q: Column, r: Column) -> Column:
     return F.struct(q.cast("long").alias("q"), r.cast("long").alias("r"))
 
@@ -95,9 +100,18 @@ def hex_plane(lon: Column, lat: Column, origin_lat: float = 0.0) -> tuple[Column
 
 def hex_cell(x: Column, y: Column, size: float) -> Column:
     """Axial coordinates (q, r) of the hexagon, corners up, with this distance from centre to corner, that a point of
-    the plane lies in; null where a coordinate is null."""
-    q, r = (x * (math.sqrt(3) / 3) - y / 3) / size, y * (2 / 3) / size
-    return F.when(x.isNotNull() & y.isNotNull(), _nearest(q, r))
+    the plane lies in; null where a coordinate is null. Of cells whose centres are equally near, as on a border, the
+    one with the smallest q, then r, has the point."""
+    place = F.struct(((x * (math.sqrt(3) / 3) - y / 3) / size).alias("q"), (y * (2 / 3) / size).alias("r"), x.alias("x"), y.alias("y"))
+    ring = [(q, r) for q in (-1, 0, 1) for r in (-1, 0, 1) if abs(q + r) <= 1]
+
+    def ranked(p: Column, q: Column, r: Column) -> Column:
+        far = F.pow((q + r / 2) * math.sqrt(3) * size - p["x"], 2) + F.pow(r * (1.5 * size) - p["y"], 2)
+        return F.struct(far.alias("far"), q.alias("q"), r.alias("r"))
+
+    # Rounding alone would leave a border to the last digits of the coordinates.
+    best = _once(place, lambda p: _once(_nearest(p["q"], p["r"]), lambda c: F.least(*[ranked(p, c["q"] + q, c["r"] + r) for q, r in ring])))
+    return F.when(x.isNotNull() & y.isNotNull(), _once(best, lambda c: _axial(c["q"], c["r"])))
 
 
 def hex_centre(cell: Column, size: float) -> Column:

@@ -214,6 +214,18 @@ def test_hexagons_are_nearest_nested_and_connected(spark):
     assert sorted(steps) == [0] + [1] * 6 + [2] * 12 + [3] * 18
 
 
+def test_borders_of_hexagons_belong_to_the_smaller_cell(spark):
+    """x = 0 is the border of the cells (-(r + 1) / 2, r) and (-(r - 1) / 2, r) of every odd row, at all of its heights."""
+    from pyspark.sql import functions as F
+
+    from pedalflow.functions import geo
+
+    df = spark.range(1, 60, 2).select(F.col("id").alias("r"), F.explode(F.array(*[F.lit(k / 11 - 0.45) for k in range(10)])).alias("k"))
+    cell = geo.hex_cell(F.lit(0.0), (F.col("r") + F.col("k") / 2) * 30_000.0, 20_000.0)
+    rows = df.select("r", cell.alias("c")).collect()
+    assert len(rows) == 300 and all((x.c.q, x.c.r) == (-(x.r + 1) // 2, x.r) for x in rows)
+
+
 def test_quantiles_of_groups_with_brackets(spark):
     from pyspark.sql import functions as F
 
