@@ -40,6 +40,14 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return found
 
 
+def _cuts_before(cuts: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending cuts lie before a value, 0 for a null one: halving, so that a row costs the
+    logarithm of the number of cuts, which grows with the partitions."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(most.bit_length()))])
+    # An index past the end gives null and no step.
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0))
+
+
 def with_segments(rows: DataFrame, keys: Sequence[str], time: str, partitions: int | None = None) -> DataFrame:
     """The rows with ``_segment``, range-partitioned by keys and segment.
 
@@ -59,7 +67,7 @@ def with_segments(rows: DataFrame, keys: Sequence[str], time: str, partitions: i
     step = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("_parts"))).cast("int")
     cuts = fine.select(*[f"_r_{k}" for k in keys], F.array_distinct(F.filter("_fine", lambda _, i: (i + 1) % step == 0)).alias("_cuts"))
     both = rows.join(F.broadcast(cuts), _same(rows, cuts, keys), "left")
-    segment = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(time))), F.lit(0)).alias("_segment")
+    segment = _cuts_before(F.col("_cuts"), F.col(time), most).alias("_segment")
     marked = both.select(*[rows[c] for c in rows.columns], F.when(F.col("_cuts").isNotNull(), segment).otherwise(0).alias("_segment"))
     return marked.repartitionByRange(n, *keys, "_segment")
 
