@@ -151,46 +151,50 @@ def rounded_rings(polygons: Column, digits: int = 5) -> Column:
     return F.transform(polygons, lambda rings: F.transform(rings, ring))
 
 
+#: Digits of base 32, as ``conv`` writes them, and the characters for those that more digits follow and for last ones.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+GOES_ON, LAST = "".join(map(chr, range(95, 127))), "".join(map(chr, range(63, 95)))
+
+
 def encode_polyline(points: Column, digits: int = 5) -> Column:
     """The text that ``decode_polyline`` reads, of an array of (lon, lat); null stays null, no point gives an empty text."""
-    whole = F.transform(points, lambda p: F.struct(F.round(p["lat"] * 10**digits).cast("long").alias("a"), F.round(p["lon"] * 10**digits).cast("long").alias("b")))
-
-    def moves(p: Column, i: Column) -> Column:
-        last = F.when(i > 0, F.get(whole, i - 1))
-        return F.array(*[p[x] - F.coalesce(last[x], F.lit(0)) for x in ("a", "b")])
+    rounded = F.transform(points, lambda p: F.struct(F.round(p["lat"] * 10**digits).cast("long").alias("a"), F.round(p["lon"] * 10**digits).cast("long").alias("b")))
 
     def text(move: Column) -> Column:
         signed = F.when(move < 0, -2 * move - 1).otherwise(2 * move)
-        last = F.floor((F.length(F.bin(signed)) - 1) / 5).cast("int")
-        part = lambda k: F.call_function("shiftright", signed, 5 * k).bitwiseAND(F.lit(31)) + F.when(k < last, 32).otherwise(0)
-        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: F.char(part(k) + 63)), "")
+        # Smallest digit first.
+        written = F.reverse(F.conv(signed.cast("string"), 10, 32))
+        return _once(written, lambda w: F.concat(F.translate(F.left(w, F.length(w) - 1), DIGITS, GOES_ON), F.translate(F.right(w, F.lit(1)), DIGITS, LAST)))
+
+    def line(whole: Column) -> Column:
+        def moves(p: Column, i: Column) -> Column:
+            last = F.when(i > 0, F.get(whole, i - 1))
+            return F.array(*[p[x] - F.coalesce(last[x], F.lit(0)) for x in ("a", "b")])
+
+        return F.array_join(F.transform(F.flatten(F.transform(whole, moves)), text), "")
 
-    return F.array_join(F.transform(F.flatten(F.transform(whole, moves)), text), "")
+    return _once(rounded, line)
 
 
 def decode_polyline(text: Column, digits: int = 5) -> Column:
     """An encoded polyline as an array of (lon, lat): numbers in chunks of five bits, signs in the lowest bit, each point
-    as its difference from the one before."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.ascii(c) - 63).cast("long"))
-    start = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.array().cast("array<bigint>").alias("out"))
-
-    def take(state: Column, code: Column) -> Column:
-        value = state["value"] + F.call_function("shiftleft", code.bitwiseAND(F.lit(31)), state["shift"])
-        signed = F.when(value % 2 == 1, -((value + 1) / 2).cast("long")).otherwise((value / 2).cast("long"))
-        goes_on = code >= 32
-        return F.struct(
-            F.when(goes_on, value).otherwise(F.lit(0)).cast("long").alias("value"),
-            F.when(goes_on, state["shift"] + 5).otherwise(F.lit(0)).alias("shift"),
-            F.when(goes_on, state["out"]).otherwise(F.concat(state["out"], F.array(signed))).alias("out"),
-        )
-
-    steps = F.aggregate(codes, start, take, lambda s: s["out"])
-
-    def total(upto: Column, first: int) -> Column:
-        """The sum of every second difference from ``first`` up to point number ``upto``."""
-        own = F.filter(steps, lambda _, i: (i % 2 == first) & (i <= 2 * upto + first))
-        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(10.0**digits)
-
-    n = F.floor(F.size(steps) / 2).cast("int")
-    points = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(total(k, 1).alias("lon"), total(k, 0).alias("lat")))
-    return F.when(n > 0, points).when(text.isNotNull(), F.array().cast(RING))
+    as its difference from the one before. The work is in proportion to the text."""
+    # Each number is a run of characters that go on and one that ends it; a rest without an end is none.
+    numbers = F.regexp_extract_all(text, F.lit("[_-~]*[?-^]"), F.lit(0))
+
+    def signed(number: Column) -> Column:
+        value = F.conv(F.reverse(F.translate(number, GOES_ON + LAST, DIGITS + DIGITS)), 32, 10).cast("long")
+        return _once(value, lambda v: F.when(v % 2 == 1, -F.shiftright(v, 1) - 1).otherwise(F.shiftright(v, 1)))
+
+    def walk(steps: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("lat"), F.lit(0).cast("long").alias("lon"), F.array().cast(RING).alias("out"))
+
+        def take(state: Column, k: Column) -> Column:
+            lat, lon = state["lat"] + F.get(steps, 2 * k), state["lon"] + F.get(steps, 2 * k + 1)
+            point = F.struct((lon / F.lit(10.0**digits)).alias("lon"), (lat / F.lit(10.0**digits)).alias("lat"))
+            return F.struct(lat.alias("lat"), lon.alias("lon"), F.concat(state["out"], F.array(point)).alias("out"))
+
+        n = F.floor(F.size(steps) / 2).cast("int")
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, take, lambda s: s["out"])).otherwise(F.array().cast(RING))
+
+    return F.when(text.isNotNull(), _once(F.transform(numbers, signed), walk))

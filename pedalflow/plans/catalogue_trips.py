@@ -386,8 +386,8 @@ def route_legs(spark: SparkSession, d: str) -> DataFrame:
     lon, lat = (F.col("l_partkey") * 7919 % 36_000_000 - 18_000_000) / 100_000, (F.col("l_suppkey") * 104_729 % 18_000_000 - 9_000_000) / 100_000
     stops = bridge.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", lon.alias("lon"), lat.alias("lat")))).alias("stops"))
     route = F.transform("stops", lambda s: F.struct(s["lon"].alias("lon"), s["lat"].alias("lat")))
-    points = stops.select("l_orderkey", encode_polyline(route).alias("line")).select("l_orderkey", F.posexplode(decode_polyline(F.col("line"))).alias("position", "q"))
-    return trips.legs_of(points.select("l_orderkey", "position", "q.*"), "l_orderkey", "position")
+    paths = stops.select("l_orderkey", encode_polyline(route).alias("line")).select("l_orderkey", decode_polyline(F.col("line")).alias("path"))
+    return trips.legs_of_paths(paths, "l_orderkey", "path")
 
 
 @query(

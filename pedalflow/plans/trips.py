@@ -66,6 +66,13 @@ def legs_of(points: DataFrame, key: str, position: str) -> DataFrame:
     return ahead.where("end_lon is not null").select(key, F.col(position).alias("number"), F.col("lon").alias("start_lon"), F.col("lat").alias("start_lat"), "end_lon", "end_lat")
 
 
+def legs_of_paths(paths: DataFrame, key: str, path: str) -> DataFrame:
+    """As legs_of, of paths that come as arrays of (lon, lat): each is cut where it lies, no row is sorted again."""
+    starts = F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))
+    legs = F.transform(starts, lambda p, i: F.struct(p["lon"].alias("start_lon"), p["lat"].alias("start_lat"), F.get(path, i + 1)["lon"].alias("end_lon"), F.get(path, i + 1)["lat"].alias("end_lat")))
+    return paths.select(key, F.posexplode(legs).alias("number", "leg")).select(key, "number", "leg.*")
+
+
 def leg_counts(legs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Trips over every leg, by its coordinates."""
     return legs.join(pairs, PAIR).groupBy("start_lon", "start_lat", "end_lon", "end_lat").agg(F.sum("trips").alias("trips"))

@@ -75,6 +75,22 @@ def test_polylines_are_written_as_they_are_read(spark):
     assert got[1][1] == rows[1][1] and got[2] == ("", []) and got[3] == (None, None) and got[4][1] == rows[4][1]
 
 
+def test_long_polylines_take_time_in_proportion(spark):
+    """Reading number by number for every point again would take hours here."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pedalflow.functions import geo
+
+    line = [(i * 7919 % 36_000_000 / 1e5 - 180, i * 104_729 % 18_000_000 / 1e5 - 90) for i in range(3000)]
+    df = spark.createDataFrame([(line,)], f"p {geo.RING}")
+    began = time.monotonic()
+    found = df.select(geo.decode_polyline(geo.encode_polyline(F.col("p"))).alias("x")).head().x
+    assert time.monotonic() - began < 60
+    assert [(round(p.lon * 1e5), round(p.lat * 1e5)) for p in found] == [(round(x * 1e5), round(y * 1e5)) for x, y in line]
+
+
 def test_polylines_ticks_and_pseudonyms(spark):
     from pyspark.sql import functions as F
 
@@ -214,6 +230,23 @@ def test_hexagons_are_nearest_nested_and_connected(spark):
     assert sorted(steps) == [0] + [1] * 6 + [2] * 12 + [3] * 18
 
 
+def test_a_row_finds_its_segment_by_halving(spark):
+    from pyspark.sql import functions as F
+
+    from pedalflow.operators import scan
+
+    rnd = random.Random(3)
+    for n in (0, 1, 7, 8, 100, 1000):
+        cuts = sorted(rnd.sample(range(3000), n))
+        asked = [None, -1, 0, 3001, *cuts[:20], *[rnd.randrange(3000) for _ in range(200)]]
+        df = spark.createDataFrame([(cuts, v) for v in asked], "cuts array<int>, v int")
+        for r in df.select("v", scan._cuts_before(F.col("cuts"), F.col("v"), 1000).alias("x")).collect():
+            assert r.x == (0 if r.v is None else sum(c < r.v for c in cuts))
+    # No row looks at every cut.
+    rows = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("t"))
+    assert "filter(_cuts" not in scan.with_segments(rows, ["k"], "t", 4)._jdf.queryExecution().analyzed().toString()
+
+
 def test_borders_of_hexagons_belong_to_the_smaller_cell(spark):
     """x = 0 is the border of the cells (-(r + 1) / 2, r) and (-(r - 1) / 2, r) of every odd row, at all of its heights."""
     from pyspark.sql import functions as F
