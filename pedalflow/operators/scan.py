@@ -1,9 +1,9 @@
 """Scans along time within a key: running values and neighbours, also where one key holds most of the rows.
 
-A window puts all rows of a key into one task. Where the input is large, keys with more rows than a share of a task
-are cut into segments by quantiles of their own times, so that no group is large and range partitions of (key, segment)
-are about equal; what a segment hands on to those after it is one row, which comes back by a join with the few
-segments there are.
+A window puts all rows of a key into one task. Where the input is large, its keys' rows are counted; if one has more
+than a share of a task, such keys are cut into segments by quantiles of their own times, so that no group is large and
+range partitions of (key, segment) are about equal; what a segment hands on to those after it is one row, which comes
+back by a join with the few segments there are. Cutting reads the input several times, so that it is done only then.
 """
 
 from __future__ import annotations
@@ -32,6 +32,17 @@ def _partitions(rows: DataFrame) -> int:
     return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def uncut(rows: DataFrame, keys: Sequence[str], split: int | None = None) -> bool:
+    """Whether a plain window may take each key whole: the input is small, or no key has more rows than a SEGMENTS-th of
+    a partition, which a large input is counted for. ``split``: bytes up to which it is small; 0: never whole."""
+    if split == 0:
+        return False
+    if input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
+        return True
+    found = rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("most"), F.sum("_n").alias("total")).first()
+    return not found["total"] or found["most"] * _partitions(rows) * SEGMENTS <= found["total"]
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Equal keys, nulls too; the right side's are called ``_r_<key>``."""
     found = F.lit(True)
@@ -86,7 +97,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column:
     them always."""
     pick = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max}[how]
     frame = (Window.unboundedPreceding, 0 if current else -1)
-    if split != 0 and input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
+    if uncut(rows, keys, split):
         return rows.withColumn(name, pick(F.col(column)).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))
     parts = with_segments(rows, keys, order[0])
     inner = Window.partitionBy(*keys, "_segment")
@@ -105,7 +116,7 @@ def neighbours(rows: DataFrame, keys: Sequence[str], order: Sequence[str], befor
     """The rows with columns of the row before and after each within its keys, in this order, which must be total:
     ``before`` and ``after`` name them, new name to column. Null at either end."""
     before, after = before or {}, after or {}
-    if split != 0 and input_bytes(rows) <= (SPLIT_BYTES if split is None else split):
+    if uncut(rows, keys, split):
         window = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumns({n: F.lag(c).over(window) for n, c in before.items()} | {n: F.lead(c).over(window) for n, c in after.items()})
     parts = with_segments(rows, keys, order[0])

@@ -142,6 +142,22 @@ def test_rows_of_a_hot_key_are_dealt_evenly_and_scans_agree(spark):
     assert "CartesianProduct" not in plan
 
 
+def test_a_large_input_is_cut_only_where_a_key_is_hot(spark, tmp_path):
+    """Cutting reads the input five times over."""
+    from pyspark.sql import functions as F
+
+    from pedalflow.operators import scan
+
+    ident = F.col("id")
+    for name, key in (("even", ident % 500), ("hot", F.when(ident % 10 > 0, 0).otherwise(ident % 500)), ("none", F.lit(None).cast("long"))):
+        spark.range(20_000 if name != "none" else 0).select(key.alias("k"), (ident * 7919 % 3000).alias("t"), "id").write.parquet(str(tmp_path / name))
+        rows = spark.read.parquet(str(tmp_path / name))
+        found = {split: scan.neighbours(rows, ["k"], ["t", "id"], after={"next": "id"}, split=split) for split in (0, 1, 1 << 60)}
+        assert ("_segment" in found[1]._jdf.queryExecution().analyzed().toString()) == (name == "hot"), name
+        want = sorted(map(tuple, found[1 << 60].collect()), key=str)
+        assert all(sorted(map(tuple, found[split].collect()), key=str) == want for split in (0, 1))
+
+
 def test_islands_against_marking(spark):
     from pedalflow.operators.intervals import islands
 
