@@ -45,8 +45,19 @@ def rush_hour(trips: DataFrame, holidays: bool = True) -> DataFrame:
     return rows if holidays else rows.where(~is_holiday(F.to_date("start_time")))
 
 
+#: Places that rows are dealt to before an aggregate over very many keys; an executor's tasks take several each.
+PLACES = 4096
+
+
+def gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    """These columns, dealt by their hash, so that a partial aggregate by them meets a key in few tasks: else each
+    task of a large scan holds nearly as many groups as rows. Adaptive execution merges small places and parts large
+    ones, as where one key has most rows; the aggregate that follows works on any such parting."""
+    return rows.select(*keys, F.pmod(F.hash(*keys), F.lit(PLACES)).alias("_place")).hint("rebalance", "_place").select(*keys)
+
+
 def pair_counts(trips: DataFrame) -> DataFrame:
-    return trips.groupBy(*PAIR).agg(F.count("*").alias("trips"))
+    return gathered(trips, *PAIR).groupBy(*PAIR).agg(F.count("*").alias("trips"))
 
 
 def named_pairs(pairs: DataFrame, stations: DataFrame) -> DataFrame:

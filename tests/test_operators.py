@@ -158,6 +158,19 @@ def test_a_large_input_is_cut_only_where_a_key_is_hot(spark, tmp_path):
         assert all(sorted(map(tuple, found[split].collect()), key=str) == want for split in (0, 1))
 
 
+def test_pairs_are_gathered_before_they_are_counted(spark):
+    """Each task of the scan would hold nearly as many pairs as rows; most rows are of one pair here, some have nulls."""
+    from collections import Counter
+
+    from pedalflow.plans.trips import pair_counts
+
+    rows = [(1, 2) if i % 3 else (i, i % 7) for i in range(3000)] + [(None, 2), (None, None), (None, None)]
+    found = pair_counts(spark.createDataFrame(rows, "start_station_id long, end_station_id long").repartition(3))
+    assert Counter({(r.start_station_id, r.end_station_id): r.trips for r in found.collect()}) == Counter(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RebalancePartitions")
+
+
 def test_islands_against_marking(spark):
     from pedalflow.operators.intervals import islands
 
