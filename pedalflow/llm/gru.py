@@ -28,6 +28,19 @@ def softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np
     return given - np.log(s), np.divide(e, s, out=e)
 
 
+def log_shares(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probabilities of the targets, a column for each. Writes over the logits."""
+    logits -= logits.max(axis=0)
+    given = logits[target, np.arange(len(target))]
+    return given - np.log(np.exp(logits, out=logits).sum(axis=0))
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A product that is summed up in double precision and rounded: in single precision its last bits depend on how many
+    rows and columns there are and which of them one is, so a score would depend on what is scored beside it."""
+    return (a.astype(np.float64) @ b.astype(np.float64)).astype(a.dtype)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -69,7 +82,7 @@ class Gru:
         """One step of the recurrence for a batch: the new state, and what the way back needs."""
         w, n = self.w, HIDDEN
         x = w["embed"][tokens]
-        g = h @ w["u"]
+        g = product(h, w["u"])
         g += w["b"]
         gates = x[:, : 2 * n] + g[:, : 2 * n]
         np.negative(gates, out=gates)
@@ -84,12 +97,15 @@ class Gru:
         """Natural log probability of each target after its state."""
         w = self.w
         klass, inside = targets // SPAN, targets % SPAN
-        out = softmax_loss(w["klass"].T @ states.T + w["klass_b"][:, None], klass)[0]
+        if len(targets) == 1:  # one column alone is summed up in another order
+            return self.log_probs(np.repeat(states, 2, axis=0), np.repeat(targets, 2))[:1]
+        out = log_shares(product(w["klass"].T, states.T) + w["klass_b"][:, None], klass)
         order = np.argsort(klass, kind="stable")
         edges = np.flatnonzero(np.diff(klass[order])) + 1
         for part in np.split(order, edges):
             c = klass[part[0]]
-            out[part] += softmax_loss(w["word"][c].T @ states[part].T + w["word_b"][c][:, None], inside[part])[0]
+            two = np.repeat(part, 2) if len(part) == 1 else part
+            out[part] += log_shares(product(w["word"][c].T, states[two].T) + w["word_b"][c][:, None], inside[two])[: len(part)]
         return out
 
     def score(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:

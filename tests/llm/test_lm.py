@@ -137,6 +137,17 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert key(docs.repartition(1)) == key(docs.repartition(5, "text"))
 
 
+def test_a_score_does_not_depend_on_what_is_scored_beside_it():
+    """To the last bit; documents of one word stand alone at times."""
+    rng = np.random.default_rng(4)
+    net = Gru.fresh(rng.integers(1, 50, 200).astype(float))
+    docs = [np.append(rng.integers(1, 200, n), 0) for n in (0, 1, 31, 33, 600, *rng.integers(0, 90, 120).tolist())]
+    score = lambda some: net.score(np.concatenate(some), np.concatenate(([0], np.cumsum([len(d) for d in some]))))
+    together = score(docs).tolist()
+    for n in (1, 2, 3, 17, 50):
+        assert [x for i in range(0, len(docs), n) for x in score(docs[i : i + n]).tolist()] == together
+
+
 def test_counts_of_shared_and_own_words():
     hashes = np.array([9, 4, 9, 7, 9, 4], np.uint64)
     learn = np.array([True, True, False, False, True, False])
