@@ -7,42 +7,90 @@ is that of its class times that of the token inside the class.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 HIDDEN, SPAN, WINDOW = 24, 46, 32
 #: Documents that are scored side by side.
-SIDE = 512
+SIDE = 256
 RATE, CLIP = 0.05, 1.0
 #: Documents that are trained side by side: a window's gates then stay in a core's cache.
 BATCH = 128
+#: Columns of states that are multiplied at once: their products stay in a core's cache, and small products are the faster ones.
+COLUMNS = 512
 #: Tokens of a document that are trained on in a row.
 SEGMENT = 128 * WINDOW
 
 
-def softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the targets, and all probabilities; a column for each target. Writes over the logits."""
-    logits -= logits.max(axis=0)
-    given = logits[target, np.arange(len(target))]
-    e = np.exp(logits, out=logits)
-    s = e.sum(axis=0)
-    return given - np.log(s), np.divide(e, s, out=e)
+def exps(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The targets' logits, the exponentials of all and their sums, a column for each target. Only columns whose sum would
+    leave the range of its type are shifted by their largest logit."""
+    given = logits.reshape(-1).take(target * len(target) + np.arange(len(target)))
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        s = e.sum(axis=0)
+    if not (s.min(initial=1) > 1e-20 and s.max(initial=1) < 1e30):
+        far = ~((s > 1e-20) & (s < 1e30))
+        top = logits[:, far].max(axis=0)
+        given[far] -= top
+        e[:, far] = np.exp(logits[:, far] - top)
+        s[far] = e[:, far].sum(axis=0, dtype=np.float64)
+    return given, e, s
+
+
+def softmax_loss(logits: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+    """The negative sum of the targets' log probabilities, a column for each, and its gradients by the logits."""
+    given, e, s = exps(logits, target)
+    e *= 1 / s
+    e.reshape(-1)[target * len(target) + np.arange(len(target))] -= 1
+    return -float((given - np.log(s)).sum()), e
 
 
 def log_shares(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probabilities of the targets, a column for each. Writes over the logits."""
-    logits -= logits.max(axis=0)
-    given = logits[target, np.arange(len(target))]
-    return given - np.log(np.exp(logits, out=logits).sum(axis=0))
+    """Log probabilities of the targets, a column for each. Products come summed up in double precision and are rounded
+    here: in single precision their last bits depend on how many rows and columns there are and which of them one is, so a
+    score would depend on what is scored beside it."""
+    if len(target) == 1:  # one column alone is summed up in another order
+        return log_shares(np.repeat(logits, 2, axis=1), np.repeat(target, 2))[:1]
+    given, _, s = exps(logits.astype(np.float32), target)
+    return given - np.log(s)
+
+
+def sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of stretches of rows: many short ones side by side, row after row, the long ones alone."""
+    sizes = np.diff(starts, append=len(rows))
+    out = rows.take(starts, axis=0)
+    some = np.flatnonzero((sizes > 1) & (sizes <= 8))
+    for k in range(1, 8):
+        some = some[sizes[some] > k]
+        out[some] += rows.take(starts[some] + k, axis=0)
+    for i in np.flatnonzero(sizes > 8).tolist():
+        rows[starts[i] : starts[i] + sizes[i]].sum(axis=0, out=out[i])
+    return out
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A product that is summed up in double precision and rounded: in single precision its last bits depend on how many
-    rows and columns there are and which of them one is, so a score would depend on what is scored beside it."""
-    return (a.astype(np.float64) @ b.astype(np.float64)).astype(a.dtype)
+def stretches(rows: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of ascending numbers each one, its first place and the place after its last."""
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    return list(zip(rows[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)) if len(rows) else []
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def shelves(parts: list[tuple[int, int, int]]) -> Iterator[tuple[list[tuple[int, int, int]], int, int]]:
+    """Stretches on end put together to at most COLUMNS places, longer ones cut; and where these begin and end."""
+    some: list[tuple[int, int, int]] = []
+    for c, first, end in parts:
+        for i, j in blocks(first, end):
+            if some and j - some[0][1] > COLUMNS:
+                yield some, some[0][1], i
+                some = []
+            some.append((c, i, j))
+    if some:
+        yield some, some[0][1], some[-1][2]
+
+
+def blocks(i: int, j: int) -> list[tuple[int, int]]:
+    return [(a, min(a + COLUMNS, j)) for a in range(i, j, COLUMNS)]
 
 
 class Gru:
@@ -78,144 +126,205 @@ class Gru:
             }
         )
 
-    def step(self, tokens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """One step of the recurrence for a batch: the new state, and what the way back needs."""
+    def wide(self) -> dict[str, np.ndarray]:
+        """Transposed weights for scoring, with biases as the last column, in double precision where products are summed up.
+        Those of the gates are halved, as the logistic function of x is (1 + tanh(x / 2)) / 2."""
         w, n = self.w, HIDDEN
-        x = w["embed"][tokens]
-        g = product(h, w["u"])
-        g += w["b"]
-        gates = x[:, : 2 * n] + g[:, : 2 * n]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        r, z = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return new + z * (h - new), (tokens, h, r, z, new, g[:, 2 * n :])
+        out = {
+            "embed": w["embed"].astype(np.float32),
+            "u": np.vstack((w["u"], w["b"])).T.astype(np.float64, order="C"),
+            "klass": np.vstack((w["klass"], w["klass_b"])).T.astype(np.float64, order="C"),
+            "word": np.concatenate((w["word"], w["word_b"][:, None]), axis=1).transpose(0, 2, 1).astype(np.float64, order="C"),
+        }
+        out["embed"][:, : 2 * n] /= 2
+        out["u"][: 2 * n] /= 2
+        return out
 
-    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target after its state."""
-        w = self.w
+    @staticmethod
+    def _step(wide: dict[str, np.ndarray], tokens: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The new state of each column; the last row of the states is one."""
+        n = HIDDEN
+        x = wide["embed"].take(tokens, axis=0).T
+        g = (wide["u"] @ h).astype(np.float32)
+        gates, new = g[: 2 * n], g[2 * n :]
+        gates += x[: 2 * n]
+        np.tanh(gates, out=gates)
+        gates *= np.float32(0.5)
+        gates += np.float32(0.5)
+        new *= gates[:n]
+        new += x[2 * n :]
+        np.tanh(new, out=new)
+        out = h[:n].astype(np.float32)
+        out -= new
+        out *= gates[n:]
+        out += new
+        return out
+
+    @staticmethod
+    def _log_probs(wide: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Of targets after the states in these rows, which end with one."""
         klass, inside = targets // SPAN, targets % SPAN
-        if len(targets) == 1:  # one column alone is summed up in another order
-            return self.log_probs(np.repeat(states, 2, axis=0), np.repeat(targets, 2))[:1]
-        out = log_shares(product(w["klass"].T, states.T) + w["klass_b"][:, None], klass)
-        order = np.argsort(klass, kind="stable")
-        edges = np.flatnonzero(np.diff(klass[order])) + 1
-        for part in np.split(order, edges):
-            c = klass[part[0]]
-            two = np.repeat(part, 2) if len(part) == 1 else part
-            out[part] += log_shares(product(w["word"][c].T, states[two].T) + w["word_b"][c][:, None], inside[two])[: len(part)]
+        out, found = np.empty(len(targets), np.float32), np.empty(len(targets), np.float32)
+        for i, j in blocks(0, len(targets)):
+            out[i:j] = log_shares(wide["klass"] @ states[i:j].T.astype(np.float64, order="C"), klass[i:j])
+        order = np.argsort(klass.astype(np.uint16) if len(wide["klass"]) <= 1 << 16 else klass, kind="stable")
+        own, inside = states.take(order, axis=0), inside[order]
+        for some, i, j in shelves(stretches(klass[order])):
+            columns, logits = own[i:j].T.astype(np.float64, order="C"), np.empty((SPAN, j - i))
+            for c, a, b in some:
+                np.matmul(wide["word"][c], columns[:, a - i : b - i], out=logits[:, a - i : b - i])
+            found[i:j] = log_shares(logits, inside[i:j])
+        out[order] += found
         return out
 
+    def step(self, tokens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of the recurrence for a batch, a row for each document: the new state and the one before."""
+        return self._step(self.wide(), tokens, self._with_one(h).T.astype(np.float64)).T, h
+
+    def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural log probability of each target after its state, a row for each."""
+        return self._log_probs(self.wide(), self._with_one(states), targets)
+
+    @staticmethod
+    def _with_one(states: np.ndarray) -> np.ndarray:
+        return np.column_stack((states, np.ones(len(states), states.dtype)))
+
     def score(self, tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole document; ``begins`` has one entry more than documents, each document
         ends with token 0. Documents of like length go side by side."""
         length = np.diff(begins)
         order = np.argsort(-length, kind="stable")
-        out = np.zeros(len(order))
+        out, wide = np.zeros(len(order)), self.wide()
         for i in range(0, len(order), SIDE):
             part = order[i : i + SIDE]
-            out[part] = self._score(tokens, begins[:-1][part], length[part])
+            out[part] = self._score(wide, tokens, begins[:-1][part], length[part])
         return out
 
-    def _score(self, tokens: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    @classmethod
+    def _score(cls, wide: dict[str, np.ndarray], tokens: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Of documents that come longest first. The state goes from one window to the next until each ends."""
-        total = np.zeros(len(begin))
-        h = np.zeros((len(begin), HIDDEN), np.float32)
+        total, n = np.zeros(len(begin)), HIDDEN
+        h = np.zeros((n + 1, len(begin)))
+        h[n] = 1
         last = np.zeros(len(begin), np.int64)
-        for at in range(0, int(length.max(initial=0)), WINDOW):
-            n = int(np.searchsorted(-length, -at))  # documents that go on
-            h, last = h[:n], last[:n]
-            steps = min(WINDOW, int(length[0]) - at)
-            states, targets, whose = [], [], []
-            for t in range(at, at + steps):
-                m = int(np.searchsorted(-length[:n], -t))
-                new, _ = self.step(last[:m], h[:m])
-                h[:m] = new
-                now = tokens[begin[:m] + t]
-                states.append(new), targets.append(now), whose.append(m)
-                last[:m] = now
-            found = self.log_probs(np.concatenate(states), np.concatenate(targets))
-            at_row = 0
-            for m in whose:
-                total[:m] += found[at_row : at_row + m]
-                at_row += m
+        at, end = 0, int(length.max(initial=0))
+        while at < end:
+            # As many tokens in a window of few documents as in one of many.
+            steps = np.arange(at, min(at + SIDE * WINDOW // int(np.searchsorted(-length, -at)), end))
+            at += len(steps)
+            on = np.searchsorted(-length, -steps).tolist()  # documents that go on, at each step
+            now = tokens[np.minimum(begin[: on[0], None] + steps, len(tokens) - 1)].T
+            states, ends = np.ones((sum(on), n + 1), np.float32), np.cumsum([0, *on]).tolist()
+            for t, m in enumerate(on):
+                h[:n, :m] = new = cls._step(wide, last[:m], h[:, :m])
+                states[ends[t] : ends[t + 1], :n] = new.T
+                last = now[t]
+            found = cls._log_probs(wide, states, np.concatenate([now[t, :m] for t, m in enumerate(on)]))
+            for t, m in enumerate(on):
+                total[:m] += found[ends[t] : ends[t + 1]]
         return total
 
+    def _room(self, steps: int, docs: int, kind: np.dtype) -> list[np.ndarray]:
+        """Arrays for a window, the same ones for all windows of a shape: fresh memory costs more than what is done in it."""
+        if getattr(self, "_shape", None) != (steps, docs, kind):
+            self._shape = steps, docs, kind
+            self._arrays = [np.empty((steps, k * HIDDEN, docs), kind) for k in (3, 3, 2, 1, 1, 1)] + [np.ones((steps + 1, HIDDEN + 1, docs), kind)]
+        return self._arrays
+
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Over one window (step by document; target -1 after a document's end): gradients of the mean loss (of the
         embedding as rows and their values), the last state, and that loss. Nothing flows back beyond the window."""
-        w, n = self.w, HIDDEN
-        # Step by feature by document, so that the gates are blocks.
-        x = np.ascontiguousarray(w["embed"][inputs].transpose(0, 2, 1))
-        x[:, : 2 * n] += w["b"][: 2 * n, None]
-        new_b, turn = w["b"][2 * n :, None], np.ascontiguousarray(w["u"].T)
-        before = np.empty((len(inputs), n, len(h)), h.dtype)
-        states, new, gn, gates = np.empty_like(before), np.empty_like(x[:, :n]), np.empty_like(x[:, :n]), np.empty_like(x[:, : 2 * n])
-        h = np.ascontiguousarray(h.T)
-        for t in range(len(inputs)):
-            before[t] = h
-            g = turn @ h
-            gate = np.add(x[t, : 2 * n], g[: 2 * n], out=gates[t])
-            np.negative(gate, out=gate)
-            np.exp(gate, out=gate)
-            gate += 1
-            np.reciprocal(gate, out=gate)
-            np.add(g[2 * n :], new_b, out=gn[t])
-            np.tanh(x[t, 2 * n :] + gate[:n] * gn[t], out=new[t])
-            h = np.add(new[t], gate[n:] * (h - new[t]), out=states[t])
-        real = targets >= 0
-        count = max(1, int(real.sum()))
-        flat, goal = states.transpose(0, 2, 1)[real], targets[real]
-        klass, inside = goal // SPAN, goal % SPAN
-        order = np.argsort(klass, kind="stable")
-        rows = klass[order]
-        starts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
-        g = {k: np.zeros_like(w[k]) for k in ("word", "word_b")}
-        lp, p = softmax_loss(w["klass"].T @ flat.T + w["klass_b"][:, None], klass)
-        loss = -float(lp.sum())
-        p[klass, np.arange(len(goal))] -= 1
-        p /= count
-        g["klass"], g["klass_b"] = (p @ flat).T, p.sum(axis=1)
-        d_flat = (w["klass"] @ p).T
-        if len(order):
-            own, inside = flat[order], inside[order]
-            p, back = np.empty((SPAN, len(order)), flat.dtype), np.empty_like(own)
-            parts = list(zip(rows[starts].tolist(), starts, [*starts[1:], len(rows)], strict=True))
-            for c, i, j in parts:
-                np.add(w["word"][c].T @ own[i:j].T, w["word_b"][c][:, None], out=p[:, i:j])
-            lp, p = softmax_loss(p, inside)
-            loss -= float(lp.sum())
-            p[inside, np.arange(len(inside))] -= 1
-            p /= count
-            for c, i, j in parts:
-                g["word"][c], g["word_b"][c] = (p[:, i:j] @ own[i:j]).T, p[:, i:j].sum(axis=1)
-                back[i:j] = (w["word"][c] @ p[:, i:j]).T
-            d_flat[order] += back
-        d_states = np.zeros((*inputs.shape, n), flat.dtype)
-        d_states[real] = d_flat
-        d_states = np.ascontiguousarray(d_states.transpose(0, 2, 1))
+        w, n, kind = self.w, HIDDEN, self.w["u"].dtype
+        steps, docs = inputs.shape
+        half = kind.type(0.5)
+        # Step by feature by document, so that the gates are blocks. Biases go with a state that is always one; what goes
+        # into the gates is halved, as the logistic function of x is (1 + tanh(x / 2)) / 2.
+        scale = np.ones((3 * n, 1), kind)
+        scale[: 2 * n] = half
+        x, g, gates, new, kept, by_new, states = self._room(steps, docs, kind)
+        given = w["embed"].take(inputs, axis=0, out=g.reshape(steps, docs, 3 * n), mode="clip")
+        x[...] = given.transpose(0, 2, 1)
+        x[:, : 2 * n] *= half
+        turn = np.ascontiguousarray(np.vstack((w["u"], w["b"])).T) * scale
+        states[0, :n] = h.T
+        for t in range(steps):
+            np.matmul(turn, states[t], out=g[t])
+            gate = np.add(x[t, : 2 * n], g[t, : 2 * n], out=gates[t])
+            np.tanh(gate, out=gate)
+            gate *= half
+            gate += half
+            fresh = np.multiply(gate[:n], g[t, 2 * n :], out=new[t])
+            fresh += x[t, 2 * n :]
+            np.tanh(fresh, out=fresh)
+            keep = np.subtract(states[t, :n], fresh, out=kept[t])
+            keep *= gate[n:]
+            np.add(keep, fresh, out=states[t + 1, :n])
+        # States in the order of their targets' classes, those without a target left out.
+        goal = targets.ravel()
+        klass = goal // SPAN
+        order = np.argsort(klass.astype(np.int16) if len(w["word"]) < 1 << 15 else klass, kind="stable")[int((goal < 0).sum()) :]
+        count = max(1, len(order))
+        own_rows = states[1:].transpose(0, 2, 1).reshape(-1, n + 1).take(order, axis=0)
+        own = np.ascontiguousarray(own_rows.T)
+        rows, inside = klass[order], goal[order] % SPAN
+        with_b = np.vstack((w["klass"], w["klass_b"]))
+        by_klass, by_word = np.zeros_like(with_b.T), np.zeros((len(w["word"]), SPAN, n + 1), kind)
+        back = np.zeros((n, len(order) + 1), kind)  # the last column is for states without a target
+        loss = 0.0
+        for i, j in blocks(0, len(order)):
+            more, p = softmax_loss(with_b.T @ own[:, i:j], rows[i:j])
+            loss += more
+            by_klass += p @ own_rows[i:j]
+            np.matmul(w["klass"], p, out=back[:, i:j])
+        with_b = np.concatenate((w["word"], w["word_b"][:, None]), axis=1)
+        for some, i, j in shelves(stretches(rows)):
+            p = np.empty((SPAN, j - i), kind)
+            for c, a, b in some:
+                np.matmul(with_b[c].T, own[:, a:b], out=p[:, a - i : b - i])
+            more, p = softmax_loss(p, inside[i:j])
+            loss += more
+            for c, a, b in some:
+                part = p[:, a - i : b - i]
+                by_word[c] += part @ own_rows[a:b]
+                back[:, a:b] += w["word"][c] @ part
+        by_klass /= count
+        by_word /= count
+        back /= count
+        place = np.full(len(goal), len(order))
+        place[order] = np.arange(len(order))
+        d_states = back.take(place, axis=1).reshape(n, steps, docs)
         r, z = gates[:, :n], gates[:, n:]
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), gn * r * (1 - r)
-        d_g, d_new, d_h = np.empty_like(x), np.empty_like(new), np.zeros_like(h)
-        for t in reversed(range(len(inputs))):
-            d_h += d_states[t]
-            np.multiply(d_h, by_new[t], out=d_new[t])
-            np.multiply(d_new[t], by_r[t], out=d_g[t, :n])
-            np.multiply(d_h, by_z[t], out=d_g[t, n : 2 * n])
-            np.multiply(d_new[t], r[t], out=d_g[t, 2 * n :])
+        # What the state's gradient is multiplied with on its way to the gates.
+        rest = 1 - z
+        kept *= rest
+        np.multiply(new, new, out=by_new)
+        np.subtract(1, by_new, out=by_new)
+        by_new *= rest
+        by_r = np.subtract(1, r, out=rest)
+        by_r *= r
+        by_r *= g[:, 2 * n :]
+        d_g, d_new, d_h = g, new, np.zeros((n, docs), kind)
+        for t in reversed(range(steps)):
+            d_h += d_states[:, t]
+            d = np.multiply(d_h, by_new[t], out=d_new[t])
+            np.multiply(d, by_r[t], out=d_g[t, :n])
+            np.multiply(d_h, kept[t], out=d_g[t, n : 2 * n])
+            np.multiply(d, r[t], out=d_g[t, 2 * n :])
             d_h *= z[t]
             d_h += w["u"] @ d_g[t]
-        g["u"], g["b"] = (before @ d_g.transpose(0, 2, 1)).sum(axis=0), d_g.sum(axis=2).sum(axis=0)
+        by_u = (states[:-1] @ d_g.transpose(0, 2, 1)).sum(axis=0)
         d_g[:, 2 * n :] = d_new
         # Only the rows of tokens that were given.
         flat_in = inputs.ravel()
         order = np.argsort(flat_in.astype(np.uint16) if len(w["embed"]) <= 1 << 16 else flat_in, kind="stable")
-        rows = flat_in[order]
-        starts = np.flatnonzero(np.diff(rows, prepend=-1))
-        g["embed"] = rows[starts], np.add.reduceat(d_g.transpose(0, 2, 1).reshape(-1, 3 * n)[order], starts, axis=0)
-        return g, np.ascontiguousarray(states[-1].T), loss / count
+        given = flat_in[order]
+        starts = np.flatnonzero(np.diff(given, prepend=-1))
+        by_token = x.reshape(steps, docs, 3 * n)
+        by_token[...] = d_g.transpose(0, 2, 1)
+        by_embed = sums(by_token.reshape(-1, 3 * n).take(order, axis=0, out=g.reshape(-1, 3 * n), mode="clip"), starts)
+        grads = {"u": by_u[:n], "b": by_u[n], "klass": by_klass[:, :n].T, "klass_b": by_klass[:, n], "word": by_word[:, :, :n].transpose(0, 2, 1), "word_b": by_word[:, :, n]}
+        grads["embed"] = given[starts], by_embed
+        return grads, np.array(states[-1, :n].T, order="C"), loss / count
 
     def train(self, tokens: np.ndarray, begins: np.ndarray, seed: int, batch: int = BATCH, rate: float = RATE, before: np.ndarray | None = None) -> int:
         """One pass of AdaGrad over all windows of the documents in a seeded order, the state going from one window to
@@ -256,11 +365,18 @@ class Gru:
             seen += n
             place = place + WINDOW
             for name, g in grads.items():
-                rows, g = g if name == "embed" else (slice(None), g)
-                g = np.clip(g * (n / batch), -CLIP, CLIP)  # few documents that are left alone move it little
-                upto = self._sum[name][rows] + g * g
-                self._sum[name][rows] = upto
-                self.w[name][rows] -= rate * g / np.sqrt(upto)
+                w, upto = self.w[name], self._sum[name]
+                if name == "embed":
+                    rows, g = g
+                    w, upto = w.take(rows, axis=0), upto.take(rows, axis=0)
+                g = np.multiply(g, np.float32(n / batch), order="C")  # few documents that are left alone move it little
+                np.clip(g, -CLIP, CLIP, out=g)
+                upto += g * g
+                g *= np.float32(rate)
+                g /= np.sqrt(upto)
+                w -= g
+                if name == "embed":
+                    self.w[name][rows], self._sum[name][rows] = w, upto
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in self.NAMES])

@@ -28,7 +28,9 @@ FOLDS = 10
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Rows of some documents each: chunk, ids, learn, texts. Documents of like length lie together."""
+    """Rows of some documents each: chunk, ids, learn, sizes and sums (of words and of their hashes, a document each), the
+    distinct words' hashes in ascending order, how often the learned documents have each, and the place of every word
+    among them. Documents of like length lie together. Texts are split into words here alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -43,9 +45,23 @@ def chunked(docs: DataFrame) -> DataFrame:
             _, offs = text_buffers(table.column("text"))
             for i, j in slices(offs, CHUNK_BYTES):
                 rows = table.slice(i, j - i).combine_chunks()
-                ends = pa.array([0, j - i], pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, rows.column(c).combine_chunks()) for c in ("doc_id", "learn", "text")]
-                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), *lists], names=["chunk", "ids", "learn", "texts"])
+                learn = rows.column("learn").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+                hashes, offsets = _concat(pa.RecordBatch.from_arrays([rows.column("text").combine_chunks()], names=["text"]))
+                found, back = np.unique(hashes, return_inverse=True)
+                counts = np.bincount(back, np.repeat(learn, np.diff(offsets)), len(found)).astype(np.int64)
+                upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))[offsets]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "chunk": pa.array([(part << 32) + k]),
+                        "ids": _row(rows.column("doc_id").combine_chunks()),
+                        "learn": _row(pa.array(learn)),
+                        "sizes": _row(pa.array(np.diff(offsets))),
+                        "sums": _row(pa.array(np.diff(upto).view(np.int64))),
+                        "hashes": pa.array([found.tobytes()], pa.binary()),
+                        "counts": pa.array([_narrow(counts)], pa.binary()),
+                        "places": pa.array([_narrow(back)], pa.binary()),
+                    }
+                )
                 k += 1
 
         for batch in batches:
@@ -60,29 +76,71 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield from out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_fold("doc_id", FOLDS) != 0).alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
-    return materialise(rows.mapInArrow(lean(run), "chunk long, ids array<long>, learn array<boolean>, texts array<string>"), "lm-chunks")
+    schema = "chunk long, ids array<long>, learn array<boolean>, sizes array<long>, sums array<long>, hashes binary, counts binary, places binary"
+    return materialise(rows.mapInArrow(lean(run), schema), "lm-chunks")
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, pa.RecordBatch]]:
-    """Row number, chunk, which documents are learned from, and the documents of each row of chunks."""
-    for r in range(batch.num_rows):
-        learn = batch.column("learn")[r].values.to_numpy(zero_copy_only=False).astype(bool)
-        yield r, batch.column("chunk")[r].as_py(), learn, pa.RecordBatch.from_arrays([batch.column("texts")[r].values], names=["text"])
+def _row(values: pa.Array) -> pa.Array:
+    """One row with these values as its list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers in two or four bytes each, or in three: all the low two bytes, then all the third ones."""
+    most = int(numbers.max(initial=0))
+    if most < 1 << 16:
+        return numbers.astype("<u2").tobytes()
+    if most < 1 << 24:
+        return (numbers & 0xFFFF).astype("<u2").tobytes() + (numbers >> 16).astype(np.uint8).tobytes()
+    return numbers.astype("<u4").tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that ``_narrow`` wrote."""
+    if len(data) == 3 * n:
+        return np.frombuffer(data, "<u2", n).astype(np.int64) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.int64) << 16
+    return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype(np.int64)
+
+
+@dataclass
+class Chunk:
+    """A row of chunks: which of its documents are learned from, where each one's words begin, the hashes of its distinct
+    words and how often learned documents have them, and the place of every word among these."""
+
+    ids: pa.Array
+    learn: np.ndarray
+    offsets: np.ndarray
+    sums: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
+    places: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, r: int) -> Chunk:
+        values = lambda name: batch.column(name)[r].values
+        hashes = np.frombuffer(batch.column("hashes")[r].as_buffer(), np.uint64)
+        offsets = np.concatenate(([0], np.cumsum(values("sizes").to_numpy())))
+        return cls(
+            values("ids"),
+            values("learn").to_numpy(zero_copy_only=False).astype(bool),
+            offsets,
+            values("sums").to_numpy().view(np.uint64),
+            hashes,
+            _wide(batch.column("counts")[r].as_buffer(), len(hashes)),
+            _wide(batch.column("places")[r].as_buffer(), int(offsets[-1])),
+        )
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct words of each chunk, by hash, and how often its learned documents have them."""
     for batch in batches:
-        for _, chunk, learn, texts in _texts(batch):
-            hashes, weights = [], []
-            for i, j, words in pieces(texts, lower=True):
-                hashes.append(words.hashes)
-                weights.append(np.repeat(learn[i:j], np.diff(words.offsets)))
-            found, back = np.unique(np.concatenate(hashes), return_inverse=True)
-            n = np.bincount(back, np.concatenate(weights), len(found)).astype(np.int64)
+        for r in range(batch.num_rows):
+            chunk = batch.column("chunk")[r].as_py()
+            found = np.frombuffer(batch.column("hashes")[r].as_buffer(), np.int64)
+            n = _wide(batch.column("counts")[r].as_buffer(), len(found))
             for i in range(0, len(found), 100_000):
                 part = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[part]), chunk)), pa.array(found[part].view(np.int64)), pa.array(n[part])], names=["chunk", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found[part]), chunk)), pa.array(found[part]), pa.array(n[part])], names=["chunk", "h", "n"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +150,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         h, c = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h.view(np.uint64))
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int64()), "hashes": pa.array([h[order].tobytes()], pa.binary()), "counts": pa.array([c[order].tobytes()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([now], pa.int64()), "shared": pa.array([h[order].tobytes()], pa.binary()), "total": pa.array([c[order].tobytes()], pa.binary())})
 
     for batch in batches:
         chunk = batch.column("chunk").to_numpy()
@@ -129,16 +187,20 @@ class Model:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.tokens[at], 1)
 
-    def encode(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def ended(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of documents with an end after each, and where each begins."""
         docs = len(offsets) - 1
         begins = offsets + np.arange(docs + 1)
-        out = np.zeros(begins[-1], np.int64)
+        out = np.zeros(begins[-1], tokens.dtype)
         inner = np.ones(len(out), bool)
         inner[begins[1:] - 1] = False
-        out[inner] = self.token_ids(hashes)
+        out[inner] = tokens
         return out, begins
 
+    def encode(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.ended(self.token_ids(hashes), offsets)
+
     def rare(self, c: np.ndarray) -> np.ndarray:
         """Natural log probability of a word outside the vocabulary, given that it is one."""
         return np.log((c + SMOOTH) / (self.n_rare + SMOOTH * (self.distinct_rare + 1)))
@@ -147,14 +209,12 @@ class Model:
         return np.log10((c + SMOOTH) / (self.n + SMOOTH * (self.distinct + 1)))
 
 
-def _concat(batch: pa.RecordBatch, learn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a batch's texts (of learned ones only), and where each document's begin."""
+def _concat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a batch's texts, and where each document's begin."""
     found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for i, j, words in pieces(batch, lower=True):
-        n = np.diff(words.offsets)
-        keep = np.ones(j - i, bool) if learn is None else learn[i:j]
-        found.append(words.hashes if keep.all() else words.hashes[np.repeat(keep, n)])
-        counts.append(n[keep])
+    for _, _, words in pieces(batch, lower=True):
+        found.append(words.hashes)
+        counts.append(np.diff(words.offsets))
     return np.concatenate(found), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
 
 
@@ -162,16 +222,16 @@ def _tokens(batches: Iterator[pa.RecordBatch], model: Model, shards: int) -> Ite
     """The tokens of every training document, whole, with its shard and its place in it, which its id and words give."""
     kind = np.uint16 if VOCAB + 2 <= 1 << 16 else np.uint32
     for batch in batches:
-        for r, _, learn, texts in _texts(batch):
-            hashes, offs = _concat(texts, learn)
-            if len(offs) == 1:
+        for r in range(batch.num_rows):
+            chunk = Chunk.of(batch, r)
+            learn, sizes = chunk.learn, np.diff(chunk.offsets)
+            if not learn.any():
                 continue
-            names = batch.column("ids")[r].values.fill_null(0).to_numpy()[learn].astype(np.uint64)
-            upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))[offs]
+            names = chunk.ids.fill_null(0).to_numpy()[learn].astype(np.uint64)
             with np.errstate(over="ignore"):
-                place = mix(mix(names + np.uint64(1)) + np.diff(upto))
-            tokens, begins = model.encode(hashes, offs)
-            tokens = tokens.astype(kind)
+                place = mix(mix(names + np.uint64(1)) + chunk.sums[learn])
+            words = model.token_ids(chunk.hashes).astype(kind)[chunk.places[np.repeat(learn, sizes)]]
+            tokens, begins = model.ended(words, np.concatenate(([0], np.cumsum(sizes[learn]))))
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(begins * tokens.itemsize), pa.py_buffer(tokens)])
             yield pa.RecordBatch.from_arrays([pa.array((place % np.uint64(shards)).astype(np.int64)), pa.array((place >> np.uint64(1)).astype(np.int64)), data.cast(pa.binary())], names=["shard", "place", "tokens"])
 
@@ -218,7 +278,7 @@ def average(chunks: DataFrame, model: Model, seed: int) -> Gru:
 
     def total(keys: list[str]):
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            data = sum(np.frombuffer(x) for x in pdf["data"])
+            data = sum(np.frombuffer(x) for x in sorted(pdf["data"]))  # in one order, whatever comes first
             return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "seen": [pdf["seen"].sum()], "data": [data.tobytes()]})
 
         return add
@@ -260,17 +320,18 @@ def learn(chunks: DataFrame, docs: DataFrame) -> tuple[Model, DataFrame]:
     pieces of a bounded number of documents, whatever their length, on the driver and then learns from every token of every training document.
     """
     spark = chunks.sparkSession
-    words = materialise(chunks.mapInArrow(lean(_vocabulary), "chunk long, h long, n long"), "lm-words")
+    words = chunks.select("chunk", "hashes", "counts").mapInArrow(lean(_vocabulary), "chunk long, h long, n long")
     # A table of its own: a join with it can split a word that very many chunks have.
     counted = materialise(words.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), "lm-counts")
     known = counted.where("c > 0")
     sums = known.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     # A word of one chunk alone is counted there again; the others' counts travel back.
-    spread = words.select("chunk", "h").join(counted.where("chunks > 1").select("h", "c"), "h").repartition(partitions_for(spark), "chunk").sortWithinPartitions("chunk")
-    packed = materialise(spread.select("chunk", "h", "c").mapInArrow(lean(_pack), "chunk long, hashes binary, counts binary"), "lm-vocabulary")
+    # Merged, as the size of what comes out of Python is only guessed.
+    spread = words.select("chunk", "h").join(counted.where("chunks > 1").select("h", "c").hint("merge"), "h").repartition(partitions_for(spark), "chunk").sortWithinPartitions("chunk")
+    packed = materialise(spread.select("chunk", "h", "c").mapInArrow(lean(_pack), "chunk long, shared binary, total binary"), "lm-vocabulary")
     n_end = chunks.select(F.size(F.filter("learn", lambda x: x)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     top = known.select("c", "h").orderBy(F.desc("c"), "h").limit(VOCAB).collect()
-    drop(words, counted)
+    drop(counted)
     hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     counts = np.array([r["c"] for r in top], np.int64)
     order = np.argsort(hashes)
@@ -309,21 +370,19 @@ def _counts(hashes: np.ndarray, learn: np.ndarray, known: bytes | None, counts:
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     end_base, known_end = float(model.base(np.array([model.n_end]))[0]), int(model.n_end > 0)
     for batch in batches:
-        for r, _, learn, texts in _texts(batch):
-            hashes, offs = _concat(texts)
-            c = _counts(hashes, np.repeat(learn, np.diff(offs)), batch.column("hashes")[r].as_py(), batch.column("counts")[r].as_py())
-            sums = lambda x: np.concatenate(([0], np.cumsum(x)))[offs]  # noqa: B023, E731
-            tokens, begins = model.encode(hashes, offs)
-            score = model.net.score(tokens, begins)
-            outside = np.ones(len(tokens), bool)
-            outside[begins[1:] - 1] = False
-            score += np.diff(sums(np.where(tokens[outside] == 1, model.rare(c), 0.0)))
+        for r in range(batch.num_rows):
+            chunk = Chunk.of(batch, r)
+            c = _counts(chunk.hashes, chunk.counts, batch.column("shared")[r].as_py(), batch.column("total")[r].as_py())
+            sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[chunk.places])))[chunk.offsets])  # noqa: B023, E731
+            ids = model.token_ids(chunk.hashes)
+            tokens, begins = model.ended(ids[chunk.places], chunk.offsets)
+            score = model.net.score(tokens, begins) + sums(np.where(ids == 1, model.rare(c), 0.0))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("ids")[r].values,
+                    chunk.ids,
                     pa.array(np.diff(begins)),
-                    pa.array(np.diff(sums(c > 0)).astype(np.int64) + known_end),
-                    pa.array(np.diff(sums(model.base(c))) + end_base),
+                    pa.array(sums((c > 0).astype(np.int64)) + known_end),
+                    pa.array(sums(model.base(c)) + end_base),
                     pa.array(score / np.log(10)),
                 ],
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
@@ -344,7 +403,7 @@ def score(docs: DataFrame) -> DataFrame:
     chunks = chunked(docs)
     model, packed = learn(chunks, docs)
     sent = spark.sparkContext.broadcast(model)
-    both = chunks.join(packed.select("chunk", "hashes", "counts"), "chunk", "left")
+    both = chunks.join(packed, "chunk", "left")
     rows = both.mapInArrow(lean(lambda it: _score(it, sent.value)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", (crc_fold("doc_id", FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 

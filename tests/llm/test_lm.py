@@ -223,3 +223,38 @@ def test_scores_equal_a_plain_network_word_by_word():
             last = token
         want.append(total)
     assert np.allclose(net.score(tokens, begins), want, rtol=1e-4)
+
+
+def test_texts_are_split_into_words_once(spark):
+    """Chunks hold words' places among their distinct ones instead of texts."""
+    rows = [(i, f"The cat{i % 7} sat on the mat {i}") for i in range(40)] + [(50, None)]
+    chunks = lm.chunked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not [f for f in chunks.schema if "string" in f.dataType.simpleString()]
+    words = Counter()
+    for batch in chunks.toArrow().to_batches():
+        for chunk in (lm.Chunk.of(batch, r) for r in range(batch.num_rows)):
+            n = np.bincount(chunk.places, np.repeat(chunk.learn, np.diff(chunk.offsets)), len(chunk.hashes))
+            assert n.tolist() == chunk.counts.tolist()
+            words.update(dict(zip(chunk.ids.to_pylist(), np.diff(chunk.offsets).tolist(), strict=True)))
+    assert words == Counter({d: len((t or "").split()) for d, t in rows})
+
+
+@pytest.mark.parametrize("most", [0, 9, (1 << 16) - 1, 1 << 16, (1 << 24) - 1, 1 << 24, (1 << 32) - 1])
+def test_numbers_in_few_bytes(most):
+    for numbers in (np.array([most, 0, most // 3]), np.zeros(0, np.int64)):
+        assert lm._wide(lm._narrow(numbers), len(numbers)).tolist() == numbers.tolist()
+
+
+def test_logits_out_of_range_are_shifted_and_leave_others_alone():
+    rng = np.random.default_rng(1)
+    near, target = rng.standard_normal((46, 6)).astype(np.float32), rng.integers(0, 46, 6)
+    logits = near.copy()
+    logits[:, 1] += 300
+    logits[:, 4] -= 300
+    want = logits.astype(np.float64)
+    want = want[target, np.arange(6)] - np.log(np.exp(want - want.max(axis=0)).sum(axis=0)) - want.max(axis=0)
+    got = gru.log_shares(logits, target)
+    assert np.allclose(got, want, atol=1e-4)
+    assert got[[0, 2, 3, 5]].tolist() == gru.log_shares(near, target)[[0, 2, 3, 5]].tolist()
+    loss, by = gru.softmax_loss(logits, target)
+    assert loss == pytest.approx(-want.sum(), rel=1e-5) and np.abs(by.sum(axis=0)).max() < 1e-5
